@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +101,22 @@ def connected_components(edges: DataFrame, tag: str = "cc", limit: int = 60) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Of batches in which equal keys stand together: each key (long, not null) with its rows. Holds one key's rows."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = pick(batch, key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            if held and keys[first] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = keys[first]
+            held.append(batch.slice(first, end - first))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -92,7 +92,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.
         out[_ranges(out_bounds[full], many[full])] = mix(runs[where])
     for i in np.flatnonzero(short):
         own = hashes[bounds[i] : bounds[i + 1]]
-        out[out_bounds[i]] = mix(np.atleast_1d((own * _FACTORS[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * _FACTORS[63]))[0]
+        total = (own * _FACTORS[: len(own)]).sum(keepdims=True, dtype=np.uint64)
+        out[out_bounds[i]] = mix(total + _FACTORS[63] * np.array([len(own)], np.uint64))[0]
     return out, out_bounds
 
 
