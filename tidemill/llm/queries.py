@@ -32,11 +32,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_jaccard_join": op9_jaccard_join,
+        "op10_pii": op10_pii,
     }
 
 
