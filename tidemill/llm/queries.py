@@ -38,10 +38,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.toxicity import grade_toxicity
+
+    return grade_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.quality import grade_quality
+
+    return grade_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op6_toxicity": op6_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_quality": op8_quality,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_pii": op10_pii,
     }
