@@ -48,8 +48,9 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array, word_bytes: np.ndarray = NOT_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the offsets of each row's words, and each word's first byte and end in the column's bytes."""
+def words(column: pa.Array, word_bytes: np.ndarray = NOT_BLANK, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the offsets of each row's words, and each word's first byte and end in the column's bytes.
+    With `fold`, A to Z count as a to z."""
     data, offsets = column_bytes(column)
     rows = len(offsets) - 1
     if not len(data):
@@ -68,7 +69,7 @@ def words(column: pa.Array, word_bytes: np.ndarray = NOT_BLANK) -> tuple[np.ndar
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     body = data[starts[0] :]
-    values = np.where(inside[starts[0] :], _TABLE[_LOWER[body]] * powers[at], np.uint64(0))
+    values = np.where(inside[starts[0] :], _TABLE[_LOWER[body] if fold else body] * powers[at], np.uint64(0))
     hashes = mix(np.add.reduceat(values, starts - starts[0]))
     ends = starts + np.add.reduceat(inside[starts[0] :].astype(np.int64), starts - starts[0])
     return hashes, np.searchsorted(starts, offsets), starts, ends
