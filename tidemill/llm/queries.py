@@ -56,9 +56,16 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemill.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op4_html_extraction": op4_html_extraction,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
