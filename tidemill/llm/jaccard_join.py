@@ -4,8 +4,8 @@
    once; copies are never expanded into pairs.
 2. A class's keys are its 24 smallest hashes. The smallest hash of a union lies in the intersection with probability J, so
    two sets of Jaccard 0.8 or more have no key in common with a chance of 0.2**24, about 2e-17; sets of up to 24 shingles
-   put up all of them. Classes with a key in common form tiles. A key of more than `tile` classes is cut into blocks by set
-   size, and only blocks whose size bands can hold a link share a tile, so that no task gathers a whole hot key. A class of
+   put up all of them. Classes with a key in common form tiles. A key of more than `few` classes gives a tile for each band
+   of set sizes, and a band too large for a tile is cut into blocks, so that no task gathers a whole hot key. A class of
    whose 24 keys at most 6 are hot leaves those out: a pair has at most 6 keys in common with a chance of about 1e-8.
 3. In a tile, bitmaps of about one bit a shingle bound every overlap from above: each bit that A has and B lacks is at
    least one shingle of A that B lacks. Pairs that could still reach the threshold give candidate groups (only a spanning
@@ -19,6 +19,7 @@ ignored. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -80,79 +81,107 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, bits binary")
 
 
-def _blocks(grouped: DataFrame, block: int, percent: int) -> DataFrame:
-    """(tile, node, n) from (grp, node, n): each group in blocks of `block` by size, a tile for two blocks whose bands can
-    hold a link."""
-    ranked = grouped.withColumn("b", F.floor((F.row_number().over(Window.partitionBy("grp").orderBy("n", "node")) - 1) / block))
-    bands = ranked.groupBy("grp", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = bands.select("grp", F.col("b").alias("b1"), "hi").join(
-        bands.select("grp", F.col("b").alias("b2"), "lo"), "grp"
-    ).where(f"b1 <= b2 and 100 * hi >= {percent} * lo")
-    sides = pairs.select("grp", F.xxhash64("grp", "b1", "b2").alias("tile"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
-    return ranked.join(sides, ["grp", "b"]).select("tile", "node", "n")
+def _banded(grouped: DataFrame, rows: int, shingles_: int, percent: int) -> DataFrame:
+    """(tile, node, n, own) from (grp, node, n): a tile for each group and size band, with the band's own classes and those
+    of the next band, so each class stands in two tiles. Sizes that can link differ by a factor of 100 / percent at most,
+    and a band is a little wider than that. A band with more classes than a tile holds (`rows`, or `shingles_` shingles) is
+    cut into blocks by size, with a tile for any two of them that can hold a link."""
+    ratio = 100 / percent * 1.01
+    band = F.floor(F.log("n") / math.log(ratio)).cast("int")
+    both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
+    dealt = grouped.select("grp", "node", "n", F.inline(both))
+    w = Window.partitionBy("grp", "band")
+    most = F.greatest(F.lit(8), F.least(F.lit(rows), F.floor(shingles_ / F.pow(F.lit(ratio), F.col("band") + 2)))).cast("int")
+    sized = dealt.select("*", F.count("*").over(w).alias("count"), F.count_if("own").over(w).alias("owned"), most.alias("most"))
+    sized = sized.where("owned > 0 and count > 1")
+    name = F.xxhash64("grp", "band")
+    whole = sized.where("count <= most").select(name.alias("tile"), "node", "n", "own")
+    ranked = sized.where("count > most").select(
+        "*", F.floor((F.row_number().over(w.orderBy("n", "node")) - 1) / F.col("most")).alias("b"), name.alias("g")
+    )
+    blocks = ranked.groupBy("g", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("any_own"))
+    pairs = blocks.where("any_own").select("g", F.col("b").alias("b1"), "hi").join(blocks.select("g", F.col("b").alias("b2"), "lo"), "g")
+    pairs = pairs.where(f"b1 <= b2 and 100 * hi >= {percent} * lo")
+    sides = pairs.select("g", F.xxhash64("g", "b1", "b2").alias("tile"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
+    return whole.unionByName(ranked.join(sides, ["g", "b"]).select("tile", "node", "n", "own"))
 
 
-def _tiles(keyed: DataFrame, tile: int, percent: int) -> DataFrame:
-    """(tile, node) from (key, node, n): distinct groups of classes that have to be compared."""
+def _tiles(keyed: DataFrame, few: int, rows: int, shingles_: int, percent: int) -> DataFrame:
+    """(tile, node, n, own) from (key, node, n): groups of classes that have to be compared. The same group under several
+    keys is compared once, if it has at most `few` classes."""
     counted = keyed.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    counted = counted.withColumn("hot", F.count_if(F.col("df") > tile).over(Window.partitionBy("node")))
-    counted = materialize(counted.where(f"df <= {tile} or hot > {FEW_HOT} or n < {KEYS}"), "join-keys")
-    few = counted.where(f"df <= {tile}").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    hot = _blocks(counted.where(f"df > {tile}").select(F.col("key").alias("grp"), "node", "n"), tile, percent)
-    hot = hot.groupBy("tile").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    every = few.select("nodes").unionByName(hot.select("nodes")).where("size(nodes) > 1").distinct()
-    return every.select(F.xxhash64("nodes").alias("tile"), F.explode("nodes").alias("node"))
+    counted = counted.withColumn("hot", F.count_if(F.col("df") > few).over(Window.partitionBy("node")))
+    counted = materialize(counted.where(f"df <= {few} or hot > {FEW_HOT} or n < {KEYS}"), "join-keys")
+    small = counted.where(f"df <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("members"))
+    small = small.where("size(members) > 1").select("members").distinct()
+    small = small.select(F.xxhash64("members").alias("tile"), F.inline("members")).withColumn("own", F.lit(True))
+    hot = counted.where(f"df > {few}").select(F.col("key").alias("grp"), "node", "n")
+    return small.select("tile", "node", "n", "own").unionByName(_banded(hot, rows, shingles_, percent))
 
 
 def _reach(n: np.ndarray, m: np.ndarray | int, overlap: np.ndarray, percent: int) -> np.ndarray:
     return 100 * overlap >= percent * (n + m - overlap)
 
 
-def _allowed(sizes: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of rows in ascending size: each row with the later rows that the bitmaps let link with it."""
+def _allowed(sizes: np.ndarray, own: np.ndarray, bits: list[bytes], label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows in ascending size: each own row with the later rows that the bitmaps let link with it. Pairs of equal label,
+    which the caller may change between rows, are left out."""
     widths = np.array([len(b) // 8 for b in bits])
     by_width = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
-    sheets = {w: np.frombuffer(b"".join([bits[i] for i in own]), np.uint64).reshape(len(own), w) for w, own in by_width.items()}
-    for w, own in by_width.items():
-        # Sizes that can link differ by a quarter at most, so widths by a factor of two at most.
-        near = [(own, sheets[w])]
+    sheets = {w: np.frombuffer(b"".join([bits[i] for i in rows]), np.uint64).reshape(len(rows), w) for w, rows in by_width.items()}
+    for w, rows in by_width.items():
+        # Sizes that can link differ by less than a factor of two, so widths by a factor of two at most.
+        near = [(rows, sheets[w])]
         if 2 * w in by_width:
             near.append((by_width[2 * w], _folded(sheets[2 * w], w)))
         counts = [np.bitwise_count(sheet).sum(1, dtype=np.int64) for _, sheet in near]
-        for at, i in enumerate(own.tolist()):
+        for at, i in enumerate(rows.tolist()):
+            if not own[i]:
+                continue
             found = []
             for k, (others, sheet) in enumerate(near):
                 first = at + 1 if k == 0 else 0
                 end = int(np.searchsorted(sizes[others], 100 * sizes[i] // percent, "right"))
-                if first >= end:
+                open_ = first + np.flatnonzero(label[others[first:end]] != label[i]) if first < end else ()
+                if not len(open_):
                     continue
-                common = np.bitwise_count(sheet[first:end] & sheets[w][at]).sum(1, dtype=np.int64)
-                m = sizes[others[first:end]]
-                most = np.minimum(sizes[i] - (counts[0][at] - common), m - (counts[k][first:end] - common))
-                found.append(others[first:end][_reach(sizes[i], m, most, percent)])
+                common = np.bitwise_count(sheet[open_] & sheets[w][at]).sum(1, dtype=np.int64)
+                m = sizes[others[open_]]
+                most = np.minimum(sizes[i] - (counts[0][at] - common), m - (counts[k][open_] - common))
+                found.append(others[open_][_reach(sizes[i], m, most, percent)])
             if found:
                 yield i, np.concatenate(found)
 
 
+def _ordered(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's rows by size, each class once: a class whose doc_id is repeated comes more than once."""
+    rows = rows.sort_by([("n", "ascending"), ("node", "ascending")])
+    nodes = rows["node"].to_numpy()
+    once = np.append(True, nodes[1:] != nodes[:-1])
+    if not once.all():
+        rows = rows.filter(pa.array(once))
+    return rows, rows["node"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _candidates(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in runs(batches, "tile"):
-            if rows.num_rows < 2:
-                continue
-            rows = rows.sort_by([("n", "ascending"), ("node", "ascending")])
-            nodes, sizes = rows["node"].to_numpy(), rows["n"].to_numpy()
+            rows, nodes, sizes, own = _ordered(rows)
             label = np.arange(len(nodes))
-            for i, js in _allowed(sizes, rows["bits"].to_pylist(), percent):
-                for other in np.unique(label[js]).tolist():
-                    if other != label[i]:
-                        a.append(nodes[i])
-                        b.append(nodes[js[label[js] == other][0]])
-                        label[label == other] = label[i]
+            for i, js in _allowed(sizes, own, rows["bits"].to_pylist(), label, percent):
+                for j in js[np.unique(label[js], return_index=True)[1]].tolist():
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+                    label[label == label[j]] = label[i]
             if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield _edges(a, b)
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield _edges(a, b)
 
     return run
 
@@ -173,31 +202,30 @@ def _arrays(size: int):
 def _verified(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "tile"):
-            rows = rows.sort_by([("n", "ascending"), ("node", "ascending")])
-            nodes, sizes = rows["node"].to_numpy(), rows["n"].to_numpy()
-            once = np.append(True, nodes[1:] != nodes[:-1])  # a class whose doc_id is repeated comes more than once
-            nodes, sizes = nodes[once], sizes[once]
-            sets = [np.frombuffer(x, np.uint64) for x, o in zip(rows["hashes"].to_pylist(), once, strict=True) if o]
+            rows, nodes, sizes, own = _ordered(rows)
+            sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"].to_pylist()]
             label, a, b = np.arange(len(nodes)), [], []
-            for i, js in _allowed(sizes, [bitmap(s) for s in sets], percent):
-                for j in js.tolist():
-                    if label[i] == label[j]:
-                        continue
+            for i, js in _allowed(sizes, own, [bitmap(s) for s in sets], label, percent):
+                while len(js):
+                    j, js = int(js[0]), js[1:]
                     overlap = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * overlap >= percent * (len(sets[i]) + len(sets[j]) - overlap):
                         a.append(nodes[i])
                         b.append(nodes[j])
                         label[label == label[j]] = label[i]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        js = js[label[js] != label[i]]
+            yield _edges(a, b)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, tile: int = 512, group: int = 1000) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id: the smallest doc_id that links reach, where two
     texts link if 100 * |intersection| >= percent * |union| of their sets of distinct runs of `size` words."""
     if not 50 < percent <= 100:
-        raise ValueError("percent must lie in (50, 100]: keys and bitmap widths rely on it")
+        raise ValueError("percent must lie in (50, 100]: bitmap widths rely on it")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = materialize(sketches(docs, size), "join-sets")
     classes = (
@@ -206,16 +234,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, tile:
         .agg(F.min("doc_id").alias("first"), F.min_by(F.struct("keys", "bits"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
     )
     classes = materialize(classes.select("node", "n", "first", "s.keys", "s.bits"), "join-classes")
-    tiles = _tiles(classes.select(F.explode("keys").alias("key"), "node", "n"), tile, percent)
-    compared = tiles.join(classes.select("node", "n", "bits"), "node").repartition("tile").sortWithinPartitions("tile")
+    tiles = _tiles(classes.select(F.explode("keys").alias("key"), "node", "n"), few, tile_rows, tile_shingles, percent)
+    compared = tiles.join(classes.select("node", "bits"), "node").repartition("tile").sortWithinPartitions("tile")
     rough = connected_components(compared.mapInArrow(_candidates(percent), "a long, b long"), "join-rough")
     grouped = rough.join(classes.select("node", "n", "first"), "node").select(F.col("component").alias("grp"), "node", "n", "first")
     grouped = materialize(grouped, "join-groups")
-    where = _blocks(grouped.select("grp", "node", "n"), group, percent).groupBy("node").agg(F.collect_set("tile").alias("tiles"))
+    placed = _banded(grouped.select("grp", "node", "n"), tile_rows, tile_shingles, percent)
+    where = placed.groupBy("node").agg(F.collect_set(F.struct("tile", "own")).alias("tiles"))
     wanted = where.join(grouped.select("node", "first"), "node")
     full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "tiles")
-    full = full.mapInArrow(_arrays(size), "node long, tiles array<long>, n long, hashes binary")
-    full = full.select(F.explode("tiles").alias("tile"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
+    full = full.mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
+    full = full.select(F.inline("tiles"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
     linked = connected_components(full.mapInArrow(_verified(percent), "a long, b long"), "join-linked")
     named = linked.join(classes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
