@@ -74,10 +74,19 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(planted)))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemill.llm.tokencount import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_decontamination": op2_decontamination,
+        "op3_token_counts": op3_token_counts,
         "op4_html_extraction": op4_html_extraction,
         "op5_fingerprints": op5_fingerprints,
         "op6_toxicity": op6_toxicity,
