@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from math import fma as _fma
 
 import pandas as pd
@@ -153,12 +153,6 @@ def mul_add(x, y, z) -> Column:
     return col(x) * col(y) + col(z)
 
 
-@F.pandas_udf("double")
-def _fma_udf(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for x, y, z in parts:
-        yield pd.Series([_exact(a, b, c) for a, b, c in zip(x, y, z, strict=True)], dtype="float64")
-
-
 def _exact(a: float, b: float, c: float) -> float:
     try:
         return _fma(a, b, c)
@@ -168,7 +162,13 @@ def _exact(a: float, b: float, c: float) -> float:
 
 def fma(x, y, z) -> Column:
     """x * y + z with one rounding; Catalyst has no such expression, so values go through Arrow in batches."""
-    return ieee.or_nan(_fma_udf(col(x), col(y), col(z)))
+
+    @F.pandas_udf("double")
+    def exact(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b, c in parts:
+            yield pd.Series([_exact(*v) for v in zip(a, b, c, strict=True)], dtype="float64")
+
+    return ieee.or_nan(exact(col(x), col(y), col(z)))
 
 
 def fill(v: float) -> Column:

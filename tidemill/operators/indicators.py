@@ -225,7 +225,8 @@ def mcginley_dynamic(s: Series, x, n: int) -> Generator:
             if not begun:
                 begun, value = True, x
                 return (value,)
-            divisor = 0.6 * n * (x / value) ** 4 if value and value == value and x == x else 0.0
+            ratio = x / value if value and value == value and x == x else 0.0
+            divisor = 0.6 * n * ratio * ratio * ratio * ratio
             value = value + (x - value) / divisor if divisor else NAN
             return (value,)
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.functions.ieee import NAN, col, no_nan, nz, or_nan
 
@@ -175,10 +176,8 @@ def run_kernels(df: DataFrame, keys: list[str], ord: str, kernels: list[tuple[Ca
     outputs = [c for _, _, cols in kernels for c in cols]
     ready = df.withColumns({f"_in_{c}": nz(c) for c in inputs})
     ready = (ready.repartition(*keys) if keys else ready.coalesce(1)).sortWithinPartitions(*keys, ord)
-    schema = df.schema
-    for c in outputs:
-        schema = schema.add(c, "double")
     kept = df.columns
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in outputs]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
