@@ -239,7 +239,7 @@ def winners(counted: DataFrame) -> DataFrame:
     return counted.join(best, "host").where((F.col("n") == F.col("best.n")) & (F.round("score") == F.col("best.score"))).groupBy("host").agg(F.min("path").alias("path"))
 
 
-def extract_main_text(pages: DataFrame, salts: int = 32) -> DataFrame:
+def extract_main_text(pages: DataFrame, salts: int = 128) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars. The join of pages with their host's path is left
     to Catalyst, which broadcasts the paths where they are measured to be few; else pages are dealt by host and a salt, so
     that a host with a third of all pages is spread over `salts` groups."""
