@@ -223,7 +223,7 @@ def max_drawdown(df: DataFrame, keys: list[str], x: str, i: str) -> DataFrame:
         _any_nan(F.col("x")).alias("nan"),
         F.max("peak").alias("any"),
         F.coalesce(F.max("fall"), F.lit(0.0)).alias("dd"),
-        F.min_by(F.struct("i", "peak"), F.struct(-F.col("fall"), F.col("i"))).alias("at"),
+        F.min_by(F.struct("i", "peak"), F.when(F.col("fall").isNotNull(), F.struct(-F.col("fall"), F.col("i")))).alias("at"),
     )
     worst = worst.withColumn("at", F.when(F.col("dd") > 0, F.col("at")))
     every = [k for k in keys]
