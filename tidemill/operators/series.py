@@ -470,3 +470,8 @@ def rolling_ema(s: Series, x, n: int) -> Generator:
 
 def rolling_rma(s: Series, x, n: int) -> Generator:
     return (yield rma_kernel(x, n))
+
+
+def compress(df: DataFrame, mask: Column | str) -> DataFrame:
+    """The rows where the mask is true, in their order."""
+    return df.where(col(mask))
