@@ -102,7 +102,7 @@ class Transducer:
     entry, and paths has, for each suffix of it that does so too, longest first, and for the empty one, the tokens before
     that suffix that aren't emitted yet."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 50_000):
         self.ranks, self.most = ranks, most
         self.token_bytes = {r: b for b, r in ranks.items()}
         self.child: dict[int, int] = {}
@@ -165,11 +165,15 @@ class Transducer:
         key = first << 20 | second
         found = self.compatible_pairs.get(key)
         if found is None:
-            if len(self.compatible_pairs) > 2_000_000:
+            if len(self.compatible_pairs) > 300_000:
                 self.compatible_pairs.clear()
-            found = self.compatible_pairs[key] = self._whole(second) and (first < 0 or self._apart(first, second))
+            found = self.compatible_pairs[key] = self.fit(first, second)
         return found
 
+    def fit(self, first: int, second: int) -> bool:
+        """compatible(), without its memo."""
+        return self._whole(second) and (first < 0 or self._apart(first, second))
+
     def _whole(self, token: int) -> bool:
         return len(self.token_bytes[token]) == 1 or self._split(token)[0] != token
 
@@ -306,7 +310,7 @@ class Lockstep:
 
     def _pair(self, key: int) -> None:
         before = key >> 20
-        self.fits.put(key, int(self.one.compatible(-1 if before == self.START else before, key & self.START)))
+        self.fits.put(key, int(self.one.fit(-1 if before == self.START else before, key & self.START)))
 
     def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         out: list[tuple[int, ...] | None] = [None] * len(pieces)
@@ -320,7 +324,7 @@ class Lockstep:
                 out[i] = tuple(self.one.encode(piece))
             else:
                 rows.append(i)
-        if self.fits.held > 4_000_000:
+        if self.fits.held > 1_000_000:
             self.fits = _Table(18)
         rows.sort(key=lambda i: -len(pieces[i]))
         for at in range(0, len(rows), 8192):
@@ -389,7 +393,7 @@ class Utf8Stream:
 class Codec:
     """encode() and decode() of whole texts, and of columns of texts."""
 
-    def __init__(self, raw_ranks: bytes, pattern: str, most_pieces: int = 250_000):
+    def __init__(self, raw_ranks: bytes, pattern: str, most_pieces: int = 100_000):
         self.transducer = Transducer(read_ranks(raw_ranks))
         self.lockstep = Lockstep(self.transducer)
         self.split_any, latin = compile_pattern(pattern).findall, compile_latin(pattern)
@@ -484,7 +488,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, pattern)
-        for batch in sliced(batches, "text", 4_000_000):
+        for batch in sliced(batches, "text", 2_000_000):
             n, joined, digests, ids = own.encode_column(pick(batch, "text").to_pylist())
             arrays = [pick(batch, "doc_id"), pa.array(n, pa.int64())]
             arrays.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()))

@@ -157,20 +157,25 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int,
             found, at = shingles(hashes, bounds)
             least = [int(found[a:b].min()) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (feature, count)]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int32))) for v in (feature, count)]
             yield pa.RecordBatch.from_arrays(
                 [pick(batch, "doc_id"), *lists, pa.array(n.astype(np.int64)), pa.array(np.array(least, np.uint64).view(np.int64)), *[pick(batch, c) for c in names]],
                 ["doc_id", "features", "counts", "n_words", "copy", *names],
             )
 
-    schema = "doc_id long, features array<long>, counts array<long>, n_words long, copy long" + "".join(f", {c} int" for c in names)
-    rows = joined.mapInArrow(run, schema).toArrow().sort_by("doc_id").to_pylist()
+    schema = "doc_id long, features array<int>, counts array<int>, n_words long, copy long" + "".join(f", {c} int" for c in names)
+    found = joined.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("doc_id")
+    # Features stay in two flat arrays; a row's are views of them.
+    flat = {c: found[c].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("features", "counts")}
+    bounds = flat["features"].offsets.to_numpy()
+    ids, counts = (flat[c].values.to_numpy() for c in ("features", "counts"))
     seen: set[int] = set()
     kept = []
-    for r in rows:
+    for i, r in enumerate(found.drop(["features", "counts"]).to_pylist()):
         if r["n_words"] and r["copy"] not in seen and all(r[c] is not None for c in names):
             seen.add(r["copy"])
-            r["features"], r["counts"] = np.array(r["features"], np.int64), np.array(r["counts"], np.int64)
+            own = slice(int(bounds[i]), int(bounds[i + 1]))
+            r["features"], r["counts"] = ids[own], counts[own]
             kept.append(r)
     return kept
 
