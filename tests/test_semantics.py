@@ -141,3 +141,15 @@ def test_max_drawdown(spark):
     assert of([1, 2, 3]) == (0.0, -1, -1, -1)
     dd = of([-1.0, -2.0])
     assert dd[0] != dd[0] and dd[1:] == (-1, -1, -1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 23])
+def test_long_windows_by_kernel_equal_frames(spark, n, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = [float(v) if i != 31 else NAN for i, v in enumerate(np.round(rng.normal(size=70), 1))]
+    each = [lambda s: ops.rolling_quantile(s, "x", n, 0.3), lambda s: ops.rolling_median(s, "x", n), lambda s: ops.rolling_percent_rank(s, "x", n), lambda s: ops.rolling_max(s, "x", n), lambda s: ops.rolling_min(s, "x", n)]
+    frames = [_run(spark, x, op) for op in each]
+    monkeypatch.setattr(ops, "LONG_ORDER", 0)
+    monkeypatch.setattr(ops, "LONG_EXTREME", 0)
+    for op, want in zip(each, frames, strict=True):
+        _same(_run(spark, x, op), want)

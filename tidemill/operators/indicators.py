@@ -504,7 +504,9 @@ def connors_rsi(s: Series, close, rsi_period: int, streak_period: int, rank_peri
     moves = yield roc(s, close, 1)
     streak, price = yield [Kernel(_streak, [close]), Kernel(rsi_kernel(rsi_period), [close])]
     streaks = yield Kernel(rsi_kernel(streak_period), [streak])
-    return (price + streaks + ops.rolling_percent_rank(s, moves, rank_period)) / 3
+    rank = ops.rolling_percent_rank(s, moves, rank_period)
+    rank = (yield from rank) if isinstance(rank, Generator) else rank
+    return (price + streaks + rank) / 3
 
 
 def elder_ray(s: Series, high, low, close, n: int) -> Generator:

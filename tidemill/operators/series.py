@@ -13,6 +13,8 @@ The order column must be unique within a key. NULL input counts as NaN. Without
 from __future__ import annotations
 
 import inspect
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -24,6 +26,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tidemill.functions.ieee import NAN, col, no_nan, nz, or_nan
 
 
+#: Periods beyond which order statistics and extremes run as kernels.
+LONG_ORDER, LONG_EXTREME = 64, 512
+
+
 @dataclass
 class Kernel:
     """A recurrence: `make()` gives a function that takes one row's inputs and returns one row's outputs (a tuple)."""
@@ -355,12 +361,34 @@ def rolling_mean(s: Series, x, n: int) -> Column:
     return s.mean(x, n)
 
 
-def rolling_max(s: Series, x, n: int) -> Column:
-    return s.max(x, n)
+def _extreme(n: int, sign: float) -> Callable[[float], tuple[float]]:
+    """Largest sign * value of the window: candidates in falling order, each row put in and taken out once."""
+    best: deque[tuple[int, float]] = deque()
+    i, last_nan = -1, -n
+
+    def step(x: float) -> tuple[float]:
+        nonlocal i, last_nan
+        i += 1
+        if x != x:
+            last_nan = i
+        else:
+            while best and best[-1][1] <= sign * x:
+                best.pop()
+            best.append((i, sign * x))
+        while best and best[0][0] <= i - n:
+            best.popleft()
+        return (sign * best[0][1] if i >= n - 1 and last_nan <= i - n else NAN,)
+
+    return step
 
 
-def rolling_min(s: Series, x, n: int) -> Column:
-    return s.min(x, n)
+def rolling_max(s: Series, x, n: int) -> Column | Generator:
+    """Beyond LONG_EXTREME rows by a kernel that takes the same time for any period."""
+    return _kernel_column(Kernel(lambda: _extreme(n, 1.0), [x])) if n > LONG_EXTREME else s.max(x, n)
+
+
+def rolling_min(s: Series, x, n: int) -> Column | Generator:
+    return _kernel_column(Kernel(lambda: _extreme(n, -1.0), [x])) if n > LONG_EXTREME else s.min(x, n)
 
 
 def rolling_range(s: Series, x, n: int) -> Column:
@@ -403,25 +431,67 @@ def rolling_correlation(s: Series, x, y, n: int) -> Column:
     return s.warm(n, F.when(~flat & (spread != 0), F.covar_pop(col(x), col(y)).over(f) / F.when(spread != 0, spread)))
 
 
-def rolling_quantile(s: Series, x, n: int, q: float) -> Column:
+def rolling_quantile(s: Series, x, n: int, q: float) -> Column | Generator:
+    """Exact, by linear interpolation. Beyond LONG_ORDER rows a kernel keeps the window sorted, as Spark's percentile would
+    rebuild it for every row."""
     if not 0 <= q <= 1:
         raise ValueError("q must lie in [0, 1]")
+    if n > LONG_ORDER:
+        return _kernel_column(Kernel(lambda: _sorted_window(n, lambda v, _: _interpolated(v, q)), [x]))
     f = s.frame(n)
     return s.warm(n, F.when(~F.bool_or(F.isnan(col(x))).over(f), F.percentile(col(x), F.lit(q)).over(f)))
 
 
-def rolling_median(s: Series, x, n: int) -> Column:
+def rolling_median(s: Series, x, n: int) -> Column | Generator:
     return rolling_quantile(s, x, n, 0.5)
 
 
-def rolling_percent_rank(s: Series, x, n: int) -> Column:
+def rolling_percent_rank(s: Series, x, n: int) -> Column | Generator:
     """100 * share of the window's n values below the newest."""
+    if n > LONG_ORDER:
+        return _kernel_column(Kernel(lambda: _sorted_window(n, lambda v, new: 100 * bisect_left(v, new) / n), [x]))
     x = col(x)
     bad = F.bool_or(F.isnan(x)).over(s.frame(n))
     below = F.size(F.filter(s.window(x, n), lambda v: v < x))
     return s.warm(n, F.when(~bad, 100 * below / F.lit(float(n))))
 
 
+def _kernel_column(kernel: Kernel) -> Generator:
+    return (yield kernel)
+
+
+def _interpolated(values: list[float], q: float) -> float:
+    at = (len(values) - 1) * q
+    low = int(at)
+    part = at - low
+    return values[low] if not part else values[low] + part * (values[low + 1] - values[low])
+
+
+def _sorted_window(n: int, value: Callable[[list[float], float], float]) -> Callable[[float], tuple[float]]:
+    """value(sorted window, newest) once there are n values, NaN while one of them is NaN."""
+    check_period(n)
+    ring: deque[float] = deque()
+    ordered: list[float] = []
+    bad = 0
+
+    def step(x: float) -> tuple[float]:
+        nonlocal bad
+        if len(ring) == n:
+            old = ring.popleft()
+            if old != old:
+                bad -= 1
+            else:
+                del ordered[bisect_left(ordered, old)]
+        ring.append(x)
+        if x != x:
+            bad += 1
+        else:
+            insort(ordered, x)
+        return (value(ordered, x) if len(ring) == n and not bad else NAN,)
+
+    return step
+
+
 # Recursive smoothers
 
 
