@@ -98,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op9_jaccard_join": OP9_SQL, "op10_pii": OP10_SQL}
 
 
 OP9_SQL = r"""
@@ -136,3 +136,32 @@ SELECT conv_id, count(*) AS n_turns,
   sum(shown + CASE WHEN before = role THEN length('<part>') ELSE role_shown + length('<turn >x</turn>x') END)::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+OP10_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+kinds(k, kind, pattern, own, near) AS (VALUES
+  (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 0.8::DOUBLE, 'mail|contact|write|reach'),
+  (2, 'ip', '[0-9]+(?:\.[0-9]+){3}', 0.6::DOUBLE, 'ip|address|host|server|from'),
+  (3, 'card', '[0-9](?:[ -]?[0-9])+', 0.7::DOUBLE, 'card|visa|credit|debit|pay'),
+  (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', 0.6::DOUBLE, 'phone|tel|call|mobile|fax'),
+  (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b', 0.7::DOUBLE, 'iban|account|bank|transfer'),
+  (6, 'secret', '[A-Za-z0-9_-]{32,}', 0.4::DOUBLE, 'token|key|secret|password|passwd|credential')),
+found AS (SELECT doc_id, text, k, kind, own, near, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS gaps FROM docs, kinds),
+placed AS (SELECT doc_id, text, k, kind, own, near, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS p, hits, gaps FROM found WHERE len(hits) > 0),
+spans AS (SELECT doc_id, text, k, kind, own, near, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS d,
+  (list_sum(list_transform(gaps[1:p], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:p - 1], lambda h: length(h))), 0))::BIGINT AS b FROM placed),
+checked AS (SELECT *, b + length(hit) AS e, own + CASE WHEN regexp_matches(lower(text[greatest(b - 39, 1):b]), '\b(?:' || near || ')') THEN 0.2::DOUBLE ELSE 0 END AS score,
+  CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND right('000' || x, 3) <= '255'))
+    WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[length(d) - i + 1]::INT ELSE 2 * d[length(d) - i + 1]::INT - CASE WHEN d[length(d) - i + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    WHEN 'secret' THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')
+    ELSE list_reduce(list_prepend(0, list_transform(string_split(replace(hit, ' ', '')[5:] || hit[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 END AS ok
+  FROM spans),
+kept AS (SELECT * FROM checked WHERE ok AND (k <= 4 OR score >= 0.55)),
+each AS (SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) FILTER (k <= 4) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY k, b) AS spans, max(score) AS top_score FROM kept GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, top_score FROM docs LEFT JOIN each USING (doc_id)
+"""
