@@ -35,16 +35,6 @@ def test_chat_merges_turns_of_one_role(spark):
     assert [f.formatted[s.start : s.end] for s in f.loss_spans] == ["c"]
 
 
-def test_chat_query_equals_sql(spark):
-    import duckdb
-
-    from tidemill.llm import queries as q
-
-    con = duckdb.connect()
-    con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    assert sorted(tuple(r) for r in q.op1_chat_formatting(spark, SF).collect()) == sorted(con.sql(q.OP1_SQL).fetchall())
-
-
 def test_token_counts_equal_plain_programming():
     pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     counter = tokencount.Counter(pieces, most=50)
