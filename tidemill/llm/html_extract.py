@@ -196,7 +196,7 @@ def extract(page: str | None, path: str | None) -> str:
 
     def end_block() -> None:
         if now:
-            text = _BLANKS.sub(" ", _html.unescape("".join(now))).strip(" ")
+            text = _BLANKS.sub(" ", "".join(now)).strip(" ")
             if text:
                 blocks.append(text)
             now.clear()
@@ -211,7 +211,7 @@ def extract(page: str | None, path: str | None) -> str:
         if within is None:
             within = known[id(node)] = (node.path + "/").startswith(inside)
         if within:
-            now.append(text)
+            now.append(_html.unescape(text) if "&" in text else text)
     end_block()
     return "\n".join(blocks)
 
