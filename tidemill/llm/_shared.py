@@ -50,7 +50,7 @@ def pick(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str, target: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str, target: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `target` bytes of `column` (or one row), which bounds memory."""
     for batch in batches:
         if not batch.num_rows:

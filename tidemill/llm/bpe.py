@@ -393,7 +393,7 @@ class Utf8Stream:
 class Codec:
     """encode() and decode() of whole texts, and of columns of texts."""
 
-    def __init__(self, raw_ranks: bytes, pattern: str, most_pieces: int = 100_000):
+    def __init__(self, raw_ranks: bytes, pattern: str, most_pieces: int = 50_000):
         self.transducer = Transducer(read_ranks(raw_ranks))
         self.lockstep = Lockstep(self.transducer)
         self.split_any, latin = compile_pattern(pattern).findall, compile_latin(pattern)
@@ -488,7 +488,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, pattern)
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             n, joined, digests, ids = own.encode_column(pick(batch, "text").to_pylist())
             arrays = [pick(batch, "doc_id"), pa.array(n, pa.int64())]
             arrays.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()))
