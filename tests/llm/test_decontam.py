@@ -87,3 +87,30 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, none).count() == 0 and drop_leaking(docs, none).count() == 1
     assert find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_blocks_change_nothing(spark):
+    """Items share parts across blocks, so that weights of one block would differ from those of the whole benchmark."""
+    rng = random.Random(6)
+    shared = [rng.choices(VOCABULARY, k=30) for _ in range(3)]
+    part = lambda: rng.choices(VOCABULARY, k=rng.randint(1, 8))
+    items = [(k, " ".join(shared[k % 3] + part())) for k in range(30)] + [(k, " ".join(rng.choices(VOCABULARY, k=k - 25))) for k in range(30, 40)]
+    docs = [(d, " ".join(part() + shared[d % 3] + part())) for d in range(90)]
+    docs += [(d, items[d - 90][1] + " " + " ".join(part())) for d in range(90, 120)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = _brute(docs, items)
+    whole = {(r.doc_id, r.item_id): tuple(r) for r in find_leaks(left, right).collect()}
+    assert {k: round(r[2], 9) for k, r in whole.items()} == want
+    rows = find_leaks(left, right, block_bytes=2500).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.item_id): tuple(r) for r in rows} == whole
+    kept = {r.doc_id for r in drop_leaking(left, right, block_bytes=5000).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_blocks_of_repeated_ids_and_short_items(spark):
+    items = [(k // 2, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(20)] + [(-1, "x y z"), (30, "u v")]
+    docs = spark.createDataFrame([(1, " ".join(t for _, t in items))], "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(find_leaks(docs, right, block_bytes=700).collect()) == sorted(find_leaks(docs, right).collect())
+    short = right.where("item_id in (-1, 30)")
+    assert find_leaks(docs, short, block_bytes=60).count() == 2

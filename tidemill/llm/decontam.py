@@ -10,12 +10,16 @@ their eight bytes, and a fingerprint within a radius of 23 bits is within 2 bits
 each byte's neighbourhood misses none. At a similarity of 0.8 the expected distance is under 10 bits, with a deviation
 under 3. Items of fewer than five words match as a whole sequence; items without words match nothing.
 
-Null and empty texts leak nothing. Items are read in blocks of bounded size; documents are never shuffled. Repeated rows are
-treated alike; an empty table on either side gives no leaks. Other columns, whatever their names, play no part."""
+Null and empty texts leak nothing. Items are read in blocks of bounded size, all rows of an item_id in one; weights are
+those of the whole benchmark, whose counts of shingles are mapped files on each machine if there are several blocks, so the
+number of blocks changes no result. Documents are never shuffled. Repeated rows are treated alike; an empty table on either side gives no leaks. Other columns, whatever their names, play no part."""
 
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -23,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +59,61 @@ def near_bytes(radius: int) -> list[list[int]]:
     return _NEAR_BYTES[radius]
 
 
+def _item_shingles(rows: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of items' texts: the shingles and their offsets, the numbers of words and which items have shingles of full size."""
+    hashes, bounds, _, _ = words(_lowered(rows), WORDLIKE)
+    found, at = shingles(hashes, bounds, size)
+    counts = np.diff(bounds)
+    return found, at, counts, counts >= size
+
+
+class ItemCounts:
+    """How many items of the whole benchmark hold each shingle: two files, sorted by shingle, that Spark brings to each
+    machine and that are mapped, not loaded. Driver and tasks hold a batch of it."""
+
+    def __init__(self, own: DataFrame, size: int, items: int):
+        def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches, "text"):
+                found, at, _, full = _item_shingles(pick(batch, "text"), size)
+                sets = [np.unique(found[a:b]) for a, b, f in zip(at[:-1], at[1:], full, strict=True) if f]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["shingle"])
+
+        def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([np.ascontiguousarray(pick(batch, c).to_numpy()).tobytes()], pa.binary()) for c in ("shingle", "count")], ["shingle", "count"]
+                )
+
+        self.items, self.name = items, f"item-counts-{uuid.uuid4().hex}"
+        counted = own.select("text").mapInArrow(held, "shingle long").groupBy("shingle").count().sort("shingle")
+        # Spark serves the files from here as long as the session lives.
+        path = f"{tempfile.mkdtemp(prefix='tidemill-')}/{self.name}"
+        with open(f"{path}.shingle", "wb") as keys, open(f"{path}.count", "wb") as values:
+            for row in counted.mapInArrow(packed, "shingle binary, count binary").toLocalIterator():
+                keys.write(row[0])
+                values.write(row[1])
+        for part in ("shingle", "count"):
+            own.sparkSession.sparkContext.addFile(f"{path}.{part}")
+
+    def _files(self) -> tuple[np.ndarray, np.ndarray]:
+        paths = [SparkFiles.get(f"{self.name}.{part}") for part in ("shingle", "count")]
+        files = tuple(np.memmap(p, np.int64, "r") if os.path.getsize(p) else np.zeros(0, np.int64) for p in paths)
+        self._files = lambda: files  # type: ignore[method-assign]
+        return files
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_files"}
+
+    def get(self, found: np.ndarray) -> np.ndarray:
+        """For each shingle (uint64) the number of items that hold it, 0 for none."""
+        keys, values = self._files()
+        if not len(keys):
+            return np.zeros(len(found), np.int64)
+        found = found.view(np.int64)
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        return np.where(keys[at] == found, values[at], 0)
+
+
 @dataclass
 class ItemIndex:
     """What tasks need of a block of items."""
@@ -75,19 +135,22 @@ class ItemIndex:
     short: dict[int, dict[int, list[int]]]
     #: The weight of a shingle that no item holds.
     other: float = 0.0
+    #: Of several blocks: the counts of the whole benchmark, for shingles that only items of other blocks hold.
+    counts: ItemCounts | None = None
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str | None]], size: int, least: float, radius: int) -> ItemIndex:
-        column = _lowered(pa.array([t or "" for _, t in rows], pa.large_string()))
-        hashes, bounds, _, _ = words(column, WORDLIKE)
-        found, at = shingles(hashes, bounds, size)
-        counts = np.diff(bounds)
+    def build(cls, rows: list[tuple[int, str | None]], size: int, least: float, radius: int, whole: ItemCounts | None = None) -> ItemIndex:
+        """`whole`: the counts of the whole benchmark, where rows are a block of it."""
+        found, at, counts, full = _item_shingles(pa.array([t or "" for _, t in rows], pa.large_string()), size)
         held: Counter[int] = Counter()
         own = [found[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-        for x, n in zip(own, counts, strict=True):
-            if n >= size:
+        for x, f in zip(own, full, strict=True):
+            if f:
                 held.update(set(x))
-        weigh = {s: math.log(1 + len(rows) / k) for s, k in held.items()}
+        if whole:
+            held = Counter(dict(zip(held, whole.get(np.array(list(held), np.uint64)).tolist(), strict=True)))
+        items = whole.items if whole else len(rows)
+        weigh = {s: math.log(1 + items / k) for s, k in held.items()}
         index = cls(size, least, radius, [], [], [], defaultdict(list), {}, np.zeros(0, np.uint64), np.zeros(0), {}, [], defaultdict(lambda: defaultdict(list)))
         sizes_of: dict[int, set[int]] = defaultdict(set)
         for (item, _), x, n in zip(rows, own, counts.tolist(), strict=True):
@@ -109,7 +172,7 @@ class ItemIndex:
         index.shingles = np.array(sorted(weigh), np.uint64)
         index.weights = np.array([weigh[s] for s in index.shingles.tolist()])
         index.sizes_of = [sorted(sizes_of[s]) for s in index.shingles.tolist()]
-        index.other = math.log(1 + len(rows))
+        index.other, index.counts = math.log(1 + items), whole
         share = near_bytes(radius // BLOCKS)
         for n, members in index.by_words.items():
             tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
@@ -170,14 +233,26 @@ class ItemIndex:
         known = np.zeros(len(found) + 1)
         known[at + 1] = self.weights[place]
         known = np.cumsum(known)
+        weighed = self.counts is None
         for n in sorted({n for p in np.unique(place).tolist() for n in self.sizes_of[p]}):
             m = n - self.size + 1
             if m > len(found):
                 continue
             starts = np.flatnonzero(known[m:] - known[:-m] >= self.least * self.lightest[n] - 1e-9)
+            if len(starts) and not weighed:
+                self._weigh_others(found, weights, at)
+                weighed = True
             for first in range(0, len(starts), 512):
                 self._search_windows(row, n, m, starts[first : first + 512], found, weights, keep)
 
+    def _weigh_others(self, found: np.ndarray, weights: np.ndarray, at: np.ndarray) -> None:
+        """Sets the weights of shingles, all but those at `at`, that only items of other blocks hold."""
+        others = np.ones(len(found), bool)
+        others[at] = False
+        others = np.flatnonzero(others)
+        held = self.counts.get(found[others])
+        weights[others[held > 0]] = [math.log(1 + self.counts.items / k) for k in held[held > 0].tolist()]
+
     def _search_windows(self, row: int, n: int, m: int, starts: np.ndarray, found: np.ndarray, weights: np.ndarray, keep) -> None:
         spans = starts[:, None] + np.arange(m)
         prints = simhash(found[spans], weights[spans])
@@ -210,12 +285,14 @@ def _sequence_names(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def item_indexes(items: DataFrame, size: int, least: float, radius: int, block_bytes: int) -> list[ItemIndex]:
-    """Indexes of all items, in blocks of about block_bytes of text, which bounds what tasks are sent."""
+    """Indexes of all items, in blocks of about block_bytes of text, which bounds what tasks are sent. Rows of one item_id
+    are in one block, so that the best of their windows is found."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    total, count = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) // block_bytes))
-    parts = (own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks))
-    return [ItemIndex.build([tuple(r) for r in sorted(p.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))], size, least, radius) for p in parts]
+    whole = ItemCounts(own, size, count) if blocks > 1 else None
+    parts = (own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks))
+    return [ItemIndex.build([tuple(r) for r in sorted(p.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))], size, least, radius, whole) for p in parts]
 
 
 def find_leaks(
