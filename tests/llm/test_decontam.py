@@ -114,3 +114,28 @@ def test_blocks_of_repeated_ids_and_short_items(spark):
     assert sorted(find_leaks(docs, right, block_bytes=700).collect()) == sorted(find_leaks(docs, right).collect())
     short = right.where("item_id in (-1, 30)")
     assert find_leaks(docs, short, block_bytes=60).count() == 2
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(7)
+    items = [(k, " ".join(rng.choices(VOCABULARY, k=n))) for k, n in enumerate([6, 20, 40, 40])]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        docs += [(10 * k + j, " ".join(x)) for j, x in enumerate([w[:-1], w[1:], w[1:-1], w[: len(w) // 2], w[:4]])]
+    padded = lambda t, n: t + " ." * n
+    want = {}
+    for d, t in docs:
+        for item, it in items:
+            # The document is shorter than the item it is cut from, so it is one window.
+            held = Counter(s for _, x in items for s in {tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)})
+            bags = [Counter(tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)) for x in (t, it)]
+            weigh = lambda s: math.log(1 + len(items) / held.get(s, 1))  # noqa: E731, B023
+            common, either = (sum(weigh(s) * n for s, n in x.items()) for x in (bags[0] & bags[1], bags[0] | bags[1]))
+            if common >= 0.8 * either:
+                want[d, item] = round(common / either, 9), len(t.split())
+    assert len(want) >= 6
+    left = spark.createDataFrame([(d, padded(t, d % 3)) for d, t in docs], "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.n_words) for r in find_leaks(left, right).collect()} == want
+    assert {r.doc_id for r in drop_leaking(left, right).collect()} == {d for d, _ in docs} - {d for d, _ in want}

@@ -2,7 +2,7 @@
 by exact weighted-shingle similarity.
 
 Texts are lower-cased and cut into words of letters, digits and underscores, so case, punctuation and line ends don't
-matter. For each benchmark item of n words every window of n words is a candidate place. The similarity of a window and an
+matter. For each benchmark item of n words every window of n words is a candidate place; a document of fewer words is one window. The similarity of a window and an
 item is their weighted Jaccard similarity: shingles are runs of five words with their multiplicities, weighted by how few
 items hold them. A window whose shingles of any item weigh less than the threshold share of the lightest item of its size
 cannot reach the threshold, so it isn't fingerprinted; that test is exact. The fingerprints have 64 bits; the index holds
@@ -235,9 +235,7 @@ class ItemIndex:
         known = np.cumsum(known)
         weighed = self.counts is None
         for n in sorted({n for p in np.unique(place).tolist() for n in self.sizes_of[p]}):
-            m = n - self.size + 1
-            if m > len(found):
-                continue
+            m = min(n - self.size + 1, len(found))
             starts = np.flatnonzero(known[m:] - known[:-m] >= self.least * self.lightest[n] - 1e-9)
             if len(starts) and not weighed:
                 self._weigh_others(found, weights, at)
@@ -270,7 +268,7 @@ class ItemIndex:
                 common = sum(min(w, bag[s]) for s, w in self.bags[i].items() if s in bag)
                 similarity = common / (total + sum(self.bags[i].values()) - common)
                 if similarity >= self.least - 1e-9:
-                    keep(row, self.ids[i], (similarity, -distance, -start, n))
+                    keep(row, self.ids[i], (similarity, -distance, -start, m + self.size - 1))
 
 
 def _sequence_names(hashes: np.ndarray, n: int) -> np.ndarray:
