@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.llm._shared import materialize
 from tidemill.llm.bpe import encode_documents
 from tidemill.llm.decontam import drop_leaking
-from tidemill.llm.jaccard_join import jaccard_components
+from tidemill.llm.jaccard_join import one_per_component
 from tidemill.llm.pii import redacted
 from tidemill.llm.toxicity import drop_toxic
 
@@ -25,10 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id; of rows that repeat it, one."""
-    keep = jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps of each group of linked documents the row with the smallest doc_id; of rows that repeat it, one."""
+    return one_per_component(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

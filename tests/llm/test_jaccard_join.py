@@ -76,3 +76,22 @@ def test_threshold_is_inclusive(spark):
     four, five = "a b c d e f g h", "a b c d e f g h i"  # 4 and 5 shingles, all of the first in the second
     docs = spark.createDataFrame([(1, four), (2, five), (3, "a b c d e f g")], "doc_id long, text string")
     assert [r.component_id for r in jaccard_components(docs).orderBy("doc_id").collect()] == [1, 1, 3]
+
+
+def test_pipeline_keeps_one_row_per_component(spark):
+    from corpus_pipeline import near_duplicates
+
+    long = " ".join(f"w{i}" for i in range(60))
+    alone, other, third = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [
+        (1, long), (2, long + " more"), (2, alone), (2, alone.upper()),  # an id of a near copy and of a text of its own
+        (3, other), (3, other), (None, other), (None, third), (None, third), (None, third + " more"),
+        (4, ""), (4, ""), (5, None), (None, None), (None, " "), (6, third[:40]),
+    ]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kind string").repartition(4)
+    got = near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    got = sorted(((r.doc_id or 0), (r.text or "").lower()[:3], len(_set(r.text))) for r in got.collect())
+    assert [g for g in got if g[0]] == [(1, "w0 ", 56), (2, "x0 ", 26), (3, "y0 ", 26), (4, "", 0), (5, "", 0), (6, "z0 ", len(_set(third[:40])))]
+    nulls = [g[1:] for g in got if not g[0]]
+    assert len(nulls) == 3 and nulls[0][1] == 0 and nulls[1][1] == 0 and nulls[2] in {("z0 ", 26), ("z0 ", 27)}

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._shared import connected_components, materialize, pick, runs, sliced
@@ -63,7 +63,7 @@ def shingle_sets(column: pa.Array, size: int, word_bytes: np.ndarray = NOT_BLANK
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name), keys, bits."""
+    """doc_id, mark (as in docs), n_shingles, node (the set's name), keys, bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -74,11 +74,11 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(own[:KEYS].view(np.int64))
                 bits.append(bitmap(own) if len(own) else b"")
             yield pa.RecordBatch.from_arrays(
-                [pick(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "n_shingles", "node", "keys", "bits"],
+                [pick(batch, "doc_id"), pick(batch, "mark"), pa.array(n, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "node", "keys", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, keys array<long>, bits binary")
 
 
 def _banded(grouped: DataFrame, rows: int, shingles_: int, percent: int) -> DataFrame:
@@ -219,14 +219,16 @@ def _verified(percent: int):
     return run
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
-) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id: the smallest doc_id that links reach, where two
-    texts link if 100 * |intersection| >= percent * |union| of their sets of distinct runs of `size` words."""
+def text_mark(text: str = "text") -> Column:
+    """A 64-bit hash of a whole text, null as the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, node, ...) of each row, the classes, and (node, component) of the classes that link."""
     if not 50 < percent <= 100:
         raise ValueError("percent must lie in (50, 100]: bitmap widths rely on it")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
     marks = materialize(sketches(docs, size), "join-sets")
     classes = (
         marks.where("n_shingles > 0")
@@ -246,6 +248,15 @@ def jaccard_components(
     full = full.mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
     full = full.select(F.inline("tiles"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
     linked = connected_components(full.mapInArrow(_verified(percent), "a long, b long"), "join-linked")
+    return marks, classes, linked
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id: the smallest doc_id that links reach, where two
+    texts link if 100 * |intersection| >= percent * |union| of their sets of distinct runs of `size` words."""
+    marks, classes, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles)
     named = linked.join(classes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
@@ -253,3 +264,23 @@ def jaccard_components(
     return marks.select("doc_id", "n_shingles", "node").join(
         alone.where("component_id is not null"), F.when(F.col("n_shingles") > 0, marks["node"]) == alone["node"], "left"
     ).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_per_component(
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+) -> DataFrame:
+    """Of each component of docs one row, all columns: that of the smallest doc_id, null ids last; of rows equal in doc_id
+    and text, any. Rows are told apart by doc_id and text, so that neither repeated nor null ids matter. Texts without words
+    link with nothing and all stay, but for those repeated under a known doc_id."""
+    marks, _, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles)
+    of_row = marks.select("doc_id", "mark", "n_shingles", "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("f")
+    least = of_row.where("n_shingles > 0").groupBy("node").agg(first)
+    least = least.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("f").alias("f"))
+    blank = of_row.where("n_shingles = 0")
+    chosen = least.select("f.doc_id", "f.mark").unionByName(blank.where("doc_id is not null").select("doc_id", "mark").distinct())
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(F.col("doc_id").isNotNull() | worded).withColumn("_row", text_mark()).dropDuplicates(["doc_id", "_row"])
+    kept = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_mark")), "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull() & ~worded))
