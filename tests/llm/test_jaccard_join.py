@@ -95,3 +95,17 @@ def test_pipeline_keeps_one_row_per_component(spark):
     assert [g for g in got if g[0]] == [(1, "w0 ", 56), (2, "x0 ", 26), (3, "y0 ", 26), (4, "", 0), (5, "", 0), (6, "z0 ", len(_set(third[:40])))]
     nulls = [g[1:] for g in got if not g[0]]
     assert len(nulls) == 3 and nulls[0][1] == 0 and nulls[1][1] == 0 and nulls[2] in {("z0 ", 26), ("z0 ", 27)}
+
+
+def test_all_links(spark):
+    from tidemill.llm.jaccard_join import jaccard_links
+
+    rows = _rows(2, 160)
+    pairs, members = jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), few=1, tile_rows=9)
+    pairs = [tuple(r) for r in pairs.collect()]
+    node = {r.doc_id: r.node for r in members.collect()}
+    linked = {(a, b) for p in pairs for a, b in (p, p[::-1])} | {(n, n) for n in node.values() if n is not None}
+    sets = {d: _set(t) for d, t in rows}
+    want = {(d, e) for d in sets for e in sets if d < e and sets[d] & sets[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])}
+    got = {(d, e) for d in sets for e in sets if d < e and (node[d], node[e]) in linked}
+    assert got == want and len(pairs) == len(set(pairs))

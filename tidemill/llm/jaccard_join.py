@@ -199,7 +199,9 @@ def _arrays(size: int):
     return run
 
 
-def _verified(percent: int):
+def _verified(percent: int, every: bool = False):
+    """`every`: all pairs that link, also of classes that are connected already."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs(batches, "tile"):
             rows, nodes, sizes, own = _ordered(rows)
@@ -212,8 +214,13 @@ def _verified(percent: int):
                     if 100 * overlap >= percent * (len(sets[i]) + len(sets[j]) - overlap):
                         a.append(nodes[i])
                         b.append(nodes[j])
+                        if every:
+                            continue
                         label[label == label[j]] = label[i]
                         js = js[label[js] != label[i]]
+                if len(a) > 10_000:
+                    yield _edges(a, b)
+                    a, b = [], []
             yield _edges(a, b)
 
     return run
@@ -224,8 +231,9 @@ def text_mark(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, mark, n_shingles, node, ...) of each row, the classes, and (node, component) of the classes that link."""
+def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, mark, n_shingles, node, ...) of each row, the classes, and (node, component) of the classes that link; with
+    `every` instead of these all pairs (a, b) of classes that link, once each."""
     if not 50 < percent <= 100:
         raise ValueError("percent must lie in (50, 100]: bitmap widths rely on it")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
@@ -247,6 +255,9 @@ def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int,
     full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "tiles")
     full = full.mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
     full = full.select(F.inline("tiles"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
+    if every:
+        pairs = full.mapInArrow(_verified(percent, True), "a long, b long")
+        return marks, classes, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     linked = connected_components(full.mapInArrow(_verified(percent), "a long, b long"), "join-linked")
     return marks, classes, linked
 
@@ -266,6 +277,16 @@ def jaccard_components(
     ).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def jaccard_links(
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+) -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs of classes (a, b) and the rows' membership (doc_id, n_shingles, node): two rows link if their
+    nodes are a pair, or equal and not null. Rows with the empty set have a null node. No pair is skipped, so the work grows
+    with the number of pairs of classes; use jaccard_components where the components are enough."""
+    marks, _, pairs = _joined(docs, size, percent, few, tile_rows, tile_shingles, every=True)
+    return pairs, marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+
+
 def one_per_component(
     docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
 ) -> DataFrame:
