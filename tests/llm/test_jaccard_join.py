@@ -109,3 +109,11 @@ def test_all_links(spark):
     want = {(d, e) for d in sets for e in sets if d < e and sets[d] & sets[e] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])}
     got = {(d, e) for d in sets for e in sets if d < e and (node[d], node[e]) in linked}
     assert got == want and len(pairs) == len(set(pairs))
+
+
+def test_a_lone_hot_key_gives_a_tile(spark):
+    from tidemill.llm.jaccard_join import _tiles
+
+    keyed = [(0, node, 50) for node in range(1, 6)] + [(100 * node + k, node, 50) for node in range(1, 6) for k in range(23)]
+    tiles = _tiles(spark.createDataFrame(keyed, "key long, node long, n long"), 2, 4096, 4_000_000, 80)
+    assert {r.node for r in tiles.collect()} == {1, 2, 3, 4, 5}

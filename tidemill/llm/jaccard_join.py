@@ -5,8 +5,8 @@
 2. A class's keys are its 24 smallest hashes. The smallest hash of a union lies in the intersection with probability J, so
    two sets of Jaccard 0.8 or more have no key in common with a chance of 0.2**24, about 2e-17; sets of up to 24 shingles
    put up all of them. Classes with a key in common form tiles. A key of more than `few` classes gives a tile for each band
-   of set sizes, and a band too large for a tile is cut into blocks, so that no task gathers a whole hot key. A class of
-   whose 24 keys at most 6 are hot leaves those out: a pair has at most 6 keys in common with a chance of about 1e-8.
+   of set sizes, and a band too large for a tile is cut into blocks, so that no task gathers a whole hot key. No key is
+   left out.
 3. In a tile, bitmaps of about one bit a shingle bound every overlap from above: each bit that A has and B lacks is at
    least one shingle of A that B lacks. Pairs that could still reach the threshold give candidate groups (only a spanning
    forest leaves the tile).
@@ -31,7 +31,6 @@ from tidemill.llm._shared import connected_components, materialize, pick, runs,
 from tidemill.llm._text import NOT_BLANK, mix, shingles, words
 
 KEYS = 24
-FEW_HOT = 6
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -110,8 +109,7 @@ def _tiles(keyed: DataFrame, few: int, rows: int, shingles_: int, percent: int)
     """(tile, node, n, own) from (key, node, n): groups of classes that have to be compared. The same group under several
     keys is compared once, if it has at most `few` classes."""
     counted = keyed.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    counted = counted.withColumn("hot", F.count_if(F.col("df") > few).over(Window.partitionBy("node")))
-    counted = materialize(counted.where(f"df <= {few} or hot > {FEW_HOT} or n < {KEYS}"), "join-keys")
+    counted = materialize(counted, "join-keys")
     small = counted.where(f"df <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("members"))
     small = small.where("size(members) > 1").select("members").distinct()
     small = small.select(F.xxhash64("members").alias("tile"), F.inline("members")).withColumn("own", F.lit(True))
