@@ -7,17 +7,22 @@ of the token being read). `Transducer` determinises it on demand: a state is the
 emitted as soon as all of them agree on it. A hypothesis lives no longer than a vocabulary entry, which bounds lookahead.
 
 As the tiktoken library does, a piece that is itself in the vocabulary gives that id, and pieces are the matches of the
-split pattern. Nulls and empty texts give no ids. Texts of any length take time in proportion to their length."""
+split pattern; all other pieces, of any length, go through the transducer. Nulls and empty texts give no ids. Texts of any
+length take time in proportion to their length. Rows are independent, so repeated rows and equal ids get equal results, an
+empty table gives no rows, and columns other than doc_id and text, whatever their names, play no part."""
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from heapq import heappop, heappush
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,24 +90,91 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 def merge(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 60) -> list[int]:
-    """The defining procedure: joins the neighbours of the lowest rank, leftmost first, until none is left below `below`."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
-        if best >= below:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    """The defining procedure: joins the neighbours of the lowest rank, leftmost first, until none is left below `below`.
+    Parts are named by their first byte; the heap holds (rank, part, its end, the next part's end) as they were when seen."""
+    end = list(range(1, len(piece) + 1))
+    before = list(range(-1, len(piece) - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def propose(i: int) -> None:
+        if i >= 0 and end[i] < len(piece):
+            rank = ranks.get(piece[i : end[end[i]]])
+            if rank is not None and rank < below:
+                heappush(heap, (rank, i, end[i], end[end[i]]))
+
+    for i in range(len(piece) - 1):
+        propose(i)
+    while heap:
+        _, i, middle, last = heappop(heap)
+        if end[i] != middle or end[middle] != last:
+            continue
+        end[i], end[middle] = last, -1
+        if last < len(piece):
+            before[last] = i
+        propose(i)
+        propose(before[i])
+    out, at = [], 0
+    while at < len(piece):
+        out.append(ranks[piece[at : end[at]]])
+        at = end[at]
+    return out
+
+
+class _Table:
+    """A hash table of int64 keys to int32 values in numpy, read and written by whole arrays. Unknown keys give -1."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.held = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            own = self.keys[at[open_]]
+            out[open_] = np.where(own == keys[open_], self.values[at[open_]], -1)
+            open_ = open_[(own != keys[open_]) & (own >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Of distinct keys that aren't held."""
+        if 2 * (self.held + len(keys)) > 1 << self.bits:
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.__init__(max(self.bits + 1, int(4 * len(keys)).bit_length()))
+        self.held += len(keys)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at] == keys  # of several that want a place, the last written has it
+            self.values[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
 
 
 class Transducer:
-    """Deterministic states are made when first needed. After `most` states the table starts afresh.
+    """Deterministic states are made when first needed. After `most` states the table starts afresh with those in use.
+
+    A state is (node, paths): node is the longest suffix of the bytes read that begins a vocabulary entry, and paths has, for
+    each suffix of it that does so too, longest first, and for the empty one, the tokens before that suffix: the last one
+    emitted (START before any), then those that aren't emitted yet. A move is (state, byte) -> (state, output); an output is
+    a run of tokens that all paths have come to agree on. No path outlives the vocabulary entry that it waits for, so a
+    token is emitted after at most that many bytes more.
+
+    `encode_pieces` steps many pieces at once, a byte of each: moves are looked up by numpy in one table. A piece without
+    company, such as the end of one much longer than the rest, is stepped by itself through the same moves."""
 
-    A state is (last token emitted, node, paths): node is the longest suffix of the bytes read that begins a vocabulary
-    entry, and paths has, for each suffix of it that does so too, longest first, and for the empty one, the tokens before
-    that suffix that aren't emitted yet."""
+    START = -1
+    #: Pieces that go together; so many at least, else one by one.
+    TOGETHER, FEW = 16384, 6
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 50_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
         self.ranks, self.most = ranks, most
         self.token_bytes = {r: b for b, r in ranks.items()}
         self.child: dict[int, int] = {}
@@ -120,13 +192,24 @@ class Transducer:
         self.splits: dict[int, tuple[int, int]] = {}
         self.suffixes: dict[int, tuple[int, ...]] = {0: (0,)}
         self.steps: dict[int, tuple[int, tuple, tuple]] = {}
-        self._restart()
+        self._forget()
 
-    def _restart(self) -> None:
+    def _forget(self) -> None:
+        self.outputs: list[tuple[int, ...]] = [()]
+        self.output_ids: dict[tuple[int, ...], int] = {(): 0}
+        self._restart([])
+
+    def _restart(self, keep: list[tuple]) -> list[int]:
+        """Forgets all states but the start and `keep`, whose new numbers it gives. Outputs stay."""
         self.states: list[tuple] = []
         self.ids: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, tuple]] = {}
-        self.start = self._state((-1, 0, ((),)))
+        #: By state << 8 | byte the number of a move: `moves` for pieces that go alone, `table` for those that go together.
+        self.moves: dict[int, int] = {}
+        self.table = _Table()
+        #: By number of a move: the state that it leads to (-1: nowhere) and its output.
+        self.to, self.emits = array("q"), array("q")
+        self.start = self._state((0, ((self.START,),)))
+        return [self._state(s) for s in keep]
 
     def _state(self, state: tuple) -> int:
         found = self.ids.get(state)
@@ -135,6 +218,13 @@ class Transducer:
             self.states.append(state)
         return found
 
+    def _output(self, tokens: tuple[int, ...]) -> int:
+        found = self.output_ids.get(tokens)
+        if found is None:
+            found = self.output_ids[tokens] = len(self.outputs)
+            self.outputs.append(tokens)
+        return found
+
     def _step(self, node: int, byte: int) -> tuple[int, tuple, tuple]:
         """Where a byte leads from a node; for each suffix but the empty one there, which suffix here it comes from; and
         (suffix here, token) of each token that ends with the byte, longest first."""
@@ -161,19 +251,15 @@ class Transducer:
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the two tokens stay apart: going back through the merges of both, latest first, no merge across the
-        boundary has a lower rank than the merge that next changes the boundary's side. first: -1 at a text's start."""
-        key = first << 20 | second
+        boundary has a lower rank than the merge that next changes the boundary's side. first: START at a text's start."""
+        key = first << 32 | second
         found = self.compatible_pairs.get(key)
         if found is None:
             if len(self.compatible_pairs) > 300_000:
                 self.compatible_pairs.clear()
-            found = self.compatible_pairs[key] = self.fit(first, second)
+            found = self.compatible_pairs[key] = self._whole(second) and (first < 0 or self._apart(first, second))
         return found
 
-    def fit(self, first: int, second: int) -> bool:
-        """compatible(), without its memo."""
-        return self._whole(second) and (first < 0 or self._apart(first, second))
-
     def _whole(self, token: int) -> bool:
         return len(self.token_bytes[token]) == 1 or self._split(token)[0] != token
 
@@ -193,175 +279,169 @@ class Transducer:
             else:
                 limit, right = right + 1, outer
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple] | None:
-        last, node, paths = self.states[state]
-        to, came, ends = self.steps.get(node << 8 | byte) or self._step(node, byte)
-        known = self.compatible_pairs.get
-        for i, token in ends:
-            path = paths[i]
-            before = path[-1] if path else last
-            fits = known(before << 20 | token)
-            if self.compatible(before, token) if fits is None else fits:
+    def _make(self, keys: list[int]) -> range:
+        """Makes the moves of states and bytes (key: state << 8 | byte) and gives their numbers."""
+        states, ids, steps, known = self.states, self.ids, self.steps, self.compatible_pairs
+        outputs, output_ids, to_all, emit_all = self.outputs, self.output_ids, self.to, self.emits
+        first = len(to_all)
+        collects = gc.isenabled()
+        gc.disable()  # states hold no cycles, and looking through them time and again takes long
+        try:
+            for key in keys:
+                node, paths = states[key >> 8]
+                to, came, ends = steps.get(node << 8 | key & 255) or self._step(node, key & 255)
+                for i, token in ends:
+                    path = paths[i]
+                    fits = known.get(path[-1] << 32 | token)
+                    if fits or fits is None and self.compatible(path[-1], token):
+                        break
+                else:  # the vocabulary isn't closed under its merges: no compatible sequence
+                    to_all.append(-1)
+                    emit_all.append(0)
+                    continue
                 done = (*path, token)
-                break
-        else:
-            return None
-        going = [paths[i] for i in came]
-        going.append(done)
-        agreed = 0
-        for tokens in zip(*going, strict=False):
-            if tokens.count(tokens[0]) < len(tokens):
-                break
-            agreed += 1
-        out = done[:agreed]
-        if agreed:
-            last, going = out[-1], [path[agreed:] for path in going]
-        move = self.moves[state << 8 | byte] = self._state((last, to, tuple(going))), out
-        return move
+                if came:
+                    going = [paths[i] for i in came]
+                    going.append(done)
+                    agreed = 0
+                    for a, b in zip(min(going), max(going), strict=False):
+                        if a != b:
+                            break
+                        agreed += 1
+                    state = to, tuple([p[agreed - 1 :] for p in going] if agreed > 1 else going)
+                else:
+                    agreed = len(done)
+                    state = to, ((token,),)
+                number = ids.get(state)
+                if number is None:
+                    number = ids[state] = len(states)
+                    states.append(state)
+                to_all.append(number)
+                spoken = done[1:agreed]
+                number = output_ids.get(spoken)
+                if number is None:
+                    number = output_ids[spoken] = len(outputs)
+                    outputs.append(spoken)
+                emit_all.append(number)
+        finally:
+            if collects:
+                gc.enable()
+        return range(first, len(to_all))
+
+    def _alone(self, piece: bytes, state: int) -> list[int] | None:
+        """The tokens from `state` on, to the end of the piece, or None if there are none."""
+        out: list[int] = []
+        moves, to, emits, outputs = self.moves, self.to, self.emits, self.outputs
+        for at, byte in enumerate(piece):
+            number = moves.get(state << 8 | byte)
+            if number is None:
+                if len(self.states) > self.most:
+                    (state,) = self._restart([self.states[state]])
+                    moves, to, emits = self.moves, self.to, self.emits
+                number = moves[state << 8 | byte] = self._make([state << 8 | byte])[0]
+            state = to[number]
+            if state < 0:
+                return None
+            if emits[number]:
+                out += outputs[emits[number]]
+        return out + list(self.states[state][1][-1][1:])
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most:
-            self._restart()
-        state, out, moves = self.start, [], self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            if move is None:  # the vocabulary isn't closed under its merges: no compatible sequence
-                return merge(self.ranks, piece)
-            state, emitted = move
-            if emitted:
-                out += emitted
-        return out + list(self.states[state][2][-1])
-
-
-class _Table:
-    """A hash table of int64 keys to int32 values in numpy, looked up by whole arrays. Unknown keys give `absent`."""
-
-    absent = -2
-
-    def __init__(self, bits: int = 16):
-        self.bits, self.held = bits, 0
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.absent, np.int32)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self._place(keys)
-        found = self.keys[at]
-        out = self.values[at]
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        out[(found != keys) & (found < 0)] = self.absent
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            own = self.keys[at[open_]]
-            out[open_] = np.where(own == keys[open_], self.values[at[open_]], self.absent)
-            open_ = open_[(own != keys[open_]) & (own >= 0)]
-        return out
-
-    def put(self, key: int, value: int) -> None:
-        if 2 * self.held > 1 << self.bits:
-            old = self.keys, self.values
-            self.__init__(self.bits + 1)
-            for k, v in zip(old[0][old[0] >= 0].tolist(), old[1][old[0] >= 0].tolist(), strict=True):
-                self.put(k, v)
-        at = int(self._place(np.array([key]))[0])
-        while self.keys[at] >= 0 and self.keys[at] != key:
-            at = (at + 1) & ((1 << self.bits) - 1)
-        self.held += self.keys[at] < 0
-        self.keys[at], self.values[at] = key, value
-
-
-class Lockstep:
-    """Runs the transducer over many pieces at once, a byte of each at a time. Its state is kept factored: the suffix node of
-    a piece and the last token before each suffix; both the nodes' transitions and the pairs that fit are determinised
-    lazily, into tables that numpy reads for all pieces together. `longest`: pieces beyond that many bytes go one by one."""
-
-    START = (1 << 20) - 1
-    ENDS = 24
-
-    def __init__(self, transducer: Transducer, longest: int = 48):
-        self.one, self.longest = transducer, longest
-        self.goto, self.fits = _Table(18), _Table(18)
-        nodes = len(transducer.terminal)
-        self.end_token = np.full((nodes, self.ENDS), -1, np.int32)
-        self.length = np.zeros(max(transducer.token_bytes) + 1, np.int64)
-        for rank, token in transducer.token_bytes.items():
-            self.length[rank] = len(token)
-        self.usable = nodes < 1 << 24 and max(transducer.token_bytes) < self.START
-
-    def _learn(self, node: int, byte: int) -> int:
-        to, _, ends = self.one.steps.get(node << 8 | byte) or self.one._step(node, byte)
-        for i, (_, token) in enumerate(ends[: self.ENDS]):
-            self.end_token[to, i] = token
-        self.goto.put(node << 8 | byte, to)
-        return to
-
-    def _fill(self, table: _Table, keys: np.ndarray, make) -> np.ndarray:
-        out = table.get(keys)
-        unknown = out == _Table.absent
-        if unknown.any():
-            for key in np.unique(keys[unknown]).tolist():
-                make(key)
-            out = table.get(keys)
-        return out
-
-    def _pair(self, key: int) -> None:
-        before = key >> 20
-        self.fits.put(key, int(self.one.fit(-1 if before == self.START else before, key & self.START)))
-
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...] | None] = [None] * len(pieces)
-        known = self.one.ranks.get
-        rows = []
-        for i, piece in enumerate(pieces):
-            whole = known(piece)
-            if whole is not None:
-                out[i] = (whole,)
-            elif len(piece) > self.longest or not piece or not self.usable:
-                out[i] = tuple(self.one.encode(piece))
-            else:
-                rows.append(i)
-        if self.fits.held > 1_000_000:
-            self.fits = _Table(18)
-        rows.sort(key=lambda i: -len(pieces[i]))
-        for at in range(0, len(rows), 8192):
-            self._together(pieces, rows[at : at + 8192], out)
-        return out  # type: ignore[return-value]
-
-    def _together(self, pieces: list[bytes], rows: list[int], out: list) -> None:
-        sizes = np.array([len(pieces[i]) for i in rows])
-        width = int(sizes[0])
-        text = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width).astype(np.int64)
-        last = np.full((len(rows), width + 1), -1, np.int64)
-        last[:, 0] = self.START
-        node = np.zeros(len(rows), np.int64)
-        for i in range(width):
+        out = self._alone(piece, self.start)
+        return merge(self.ranks, piece) if out is None else out
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, one piece after the other, and the pieces' offsets in them."""
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        parts = [self._together([pieces[i] for i in order[at : at + self.TOGETHER]]) for at in range(0, len(order), self.TOGETHER)]
+        tokens = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in parts]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        starts = np.cumsum(counts) - counts
+        bounds = np.concatenate([[0], np.cumsum(counts[back])])
+        return tokens[_spread(starts[back], counts[back])], bounds
+
+    def _moves_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the moves of all keys lead, and their outputs; makes those that are missing."""
+        number = self.table.get(keys)
+        missing = number < 0
+        if missing.any():
+            new = np.unique(keys[missing])
+            self.table.put(new, np.array(self._make(new.tolist()), np.int32))
+            number = self.table.get(keys)
+        to, emits = np.frombuffer(self.to, np.int64)[number], np.frombuffer(self.emits, np.int64)[number]
+        return to, emits
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces in descending length: their tokens, one after the other, and how many each has."""
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        at = np.cumsum(sizes) - sizes
+        if max(len(self.states), len(self.outputs)) > self.most:
+            self._forget()
+        state = np.full(len(pieces), self.start, np.int64)
+        rows, outputs, alone = [], [], {}
+
+        def use(out: np.ndarray, row: np.ndarray) -> None:
+            spoken = np.flatnonzero(out)
+            if len(spoken):
+                rows.append(row[spoken])
+                outputs.append(out[spoken])
+
+        every = np.arange(len(pieces))
+        for i in range(int(sizes[0])):
             m = int(np.searchsorted(-sizes, -i, "left"))  # pieces longer than i come first
-            node[:m] = self._fill(self.goto, node[:m] << 8 | text[:m, i], lambda key: self._learn(key >> 8, key & 255))
-            todo = np.arange(m)
-            for k in range(self.ENDS):
-                token = self.end_token[node[todo], k].astype(np.int64)
-                todo, token = todo[token >= 0], token[token >= 0]
-                if not len(todo):
-                    break
-                before = last[todo, i + 1 - self.length[token]]
-                ok = (before >= 0) & (self._fill(self.fits, np.maximum(before, 0) << 20 | token, self._pair) == 1)
-                last[todo[ok], i + 1] = token[ok]
-                todo = todo[~ok]
-        back, tokens = sizes.copy(), []
-        every = np.arange(len(rows))
-        while True:
-            token = np.where(back > 0, last[every, back], -1)
-            if not (back > 0).any():
+            if m < self.FEW:
                 break
-            tokens.append(token)
-            back = np.where(token >= 0, back - self.length[np.maximum(token, 0)], 0)
-        bad = (last[every, sizes] < 0).tolist()
-        for row, i, b in zip(np.stack(tokens[::-1], 1).tolist(), rows, bad, strict=True):
-            out[i] = tuple(merge(self.one.ranks, pieces[i])) if b else tuple([t for t in row if t >= 0])
+            if len(self.states) > self.most:
+                used = np.unique(state[state >= 0])
+                fresh = np.zeros(int(used.max(initial=0)) + 1, np.int64)
+                fresh[used] = self._restart([self.states[s] for s in used.tolist()])
+                state = np.where(state >= 0, fresh[np.maximum(state, 0)], -1)
+            live = np.flatnonzero(state[:m] >= 0)
+            state[live], out = self._moves_of(state[live] << 8 | text[at[live] + i])
+            use(out, live)
+        else:
+            i = int(sizes[0])
+        # What is left: final tokens of pieces read to their end, the rest of long pieces, pieces without a sequence.
+        ends = np.array([self._output(self.states[s][1][-1][1:]) if s >= 0 else 0 for s in state.tolist()], np.int64)
+        longer = [r for r in np.flatnonzero(sizes > i).tolist() if state[r] >= 0]
+        ends[longer] = 0
+        use(ends, every)
+        row = np.concatenate([np.zeros(0, np.int64), *rows])
+        number = np.concatenate([np.zeros(0, np.int64), *outputs])
+        by_row = np.argsort(row, kind="stable")
+        row, (numbers, number) = row[by_row], np.unique(number[by_row], return_inverse=True)
+        spoken = [self.outputs[k] for k in numbers.tolist()]
+        lengths = np.array([len(x) for x in spoken], np.int64)
+        each = lengths[number]
+        tokens = np.array(list(chain.from_iterable(spoken)), np.int64)[_spread((np.cumsum(lengths) - lengths)[number], each)]
+        counts = np.bincount(row, each, minlength=len(pieces)).astype(np.int64)
+        states = [self.states[state[r]] for r in longer]
+        for r, s in zip(longer, states, strict=True):
+            alone[r] = self._alone(pieces[r][i:], self._state(s))
+        for r in np.flatnonzero(state < 0).tolist():
+            alone[r] = None
+        if alone:
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            parts, done = [], 0
+            for r in sorted(alone):
+                own, more = tokens[bounds[r] : bounds[r + 1]], alone[r]
+                whole = np.array(merge(self.ranks, pieces[r]), np.int64) if more is None else np.concatenate([own, np.array(more, np.int64)])
+                parts += [tokens[done : bounds[r]], whole]
+                done, counts[r] = int(bounds[r + 1]), len(whole)
+            tokens = np.concatenate([*parts, tokens[done:]])
+        return tokens, counts
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(start, start + length)."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
 
 
 class Utf8Stream:
@@ -393,14 +473,16 @@ class Utf8Stream:
 class Codec:
     """encode() and decode() of whole texts, and of columns of texts."""
 
-    def __init__(self, raw_ranks: bytes, pattern: str, most_pieces: int = 50_000):
-        self.transducer = Transducer(read_ranks(raw_ranks))
-        self.lockstep = Lockstep(self.transducer)
+    def __init__(self, raw_ranks: bytes, pattern: str):
+        ranks = read_ranks(raw_ranks)
+        self.transducer = Transducer(ranks)
         self.split_any, latin = compile_pattern(pattern).findall, compile_latin(pattern)
         self.split_latin = latin.findall if latin else None
-        #: Memo of pieces: their ids, the ids as text, and the bytes that the ids decode to.
-        self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-        self.most_pieces = most_pieces
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.token_bytes = pa.array(tokens, pa.large_binary())
+        self.token_names = pa.array([b"%d " % i for i in range(len(tokens))], pa.large_binary())
 
     def split(self, text: str) -> list[str]:
         if self.split_latin:
@@ -411,62 +493,72 @@ class Codec:
                 pass
         return self.split_any(text)
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[tuple[int, ...], str, bytes]]:
-        """Of distinct pieces."""
-        if len(self.pieces) > self.most_pieces:
-            self.pieces.clear()
-        found = [self.pieces.get(p) for p in pieces]
-        new = [i for i, x in enumerate(found) if x is None]
-        token_bytes = self.transducer.token_bytes
-        for i, ids in zip(new, self.lockstep.encode([pieces[i].encode("utf-8", "surrogatepass") for i in new]), strict=True):
-            found[i] = ids, " ".join(map(str, ids)), b"".join([token_bytes[t] for t in ids])
-            if len(pieces[i]) <= 48:
-                self.pieces[pieces[i]] = found[i]
-        return found
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one piece after the other, and the pieces' offsets in them. A piece that is in the
+        vocabulary has that id."""
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        known = np.array([self.transducer.ranks.get(p, -1) for p in raw], np.int64)
+        new = np.flatnonzero(known < 0)
+        tokens, bounds = self.transducer.encode_pieces([raw[i] for i in new.tolist()])
+        counts = np.ones(len(raw), np.int64)
+        counts[new] = np.diff(bounds)
+        offsets = np.concatenate([[0], np.cumsum(counts)])
+        out = np.repeat(known, counts)
+        out[_spread(offsets[new], counts[new])] = tokens
+        return out, offsets
 
     def encode(self, text: str | None) -> list[int]:
-        """One text, by the streaming transducer."""
+        """One text, piece by piece."""
         run = self.transducer.encode
         return list(chain.from_iterable([run(p.encode("utf-8", "surrogatepass")) for p in self.split(text or "")]))
 
     def decode_stream(self, ids: Iterable[int], step: int = 8192) -> Iterator[str]:
         """Text as it becomes complete; `step` ids at a time."""
         stream, token_bytes = Utf8Stream(), self.transducer.token_bytes
-        ids = list(ids)
-        for i in range(0, len(ids), step):
-            yield stream.feed(b"".join([token_bytes[t] for t in ids[i : i + step]]))
+        ids = iter(ids)
+        while some := list(islice(ids, step)):
+            yield stream.feed(b"".join([token_bytes[t] for t in some]))
         if rest := stream.close():
             yield rest
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
 
-    def encode_column(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, list[str], pa.ListArray]:
-        """Of each text: the number of ids, the ids as text, the SHA-256 of the text decoded from them, and the ids."""
+    def encode_column(self, texts: list[str | None]) -> pa.LargeListArray:
+        """The ids of each text."""
         split = [self.split(t) if t else [] for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])])
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
         del split
-        found = self.encode_pieces(coded.dictionary.to_pylist())
+        tokens, offsets = self.encode_pieces(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy()
-        counts = np.array([len(x[0]) for x in found], np.int64)
-        sums = np.concatenate([[0], np.cumsum(counts[at])]) if len(at) else np.zeros(1, np.int64)
-        n = sums[bounds[1:]] - sums[bounds[:-1]]
-        texts_of = pa.array([x[1] for x in found], pa.string()).take(coded.indices)
-        joined = pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), texts_of), " ")
-        pieces = pa.array([x[2] for x in found], pa.large_binary()).take(coded.indices)
-        offsets, data = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, pieces.offset * 8) if len(pieces) else np.zeros(1, np.int64), memoryview(pieces.buffers()[2] or b"")
-        digests = []
-        for i in range(len(texts)):
+        counts = np.diff(offsets)[at]
+        ids = tokens[_spread(offsets[at], counts)]
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        return pa.LargeListArray.from_arrays(pa.array(sums[bounds]), pa.array(ids.astype(np.int32)))
+
+    @staticmethod
+    def _bodies(of_token: pa.Array, ids: pa.LargeListArray) -> Iterator[memoryview]:
+        """For each row the bytes of its ids in a row."""
+        each, rows = of_token.take(ids.values), ids.offsets.to_numpy()
+        offsets = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1)[rows].tolist() if len(each) else [0] * len(rows)
+        data = memoryview(each.buffers()[2] or b"")
+        return (data[first:end] for first, end in zip(offsets, offsets[1:], strict=False))
+
+    def names_digests(self, ids: pa.LargeListArray) -> list[str]:
+        """The SHA-256 of each row's decimal ids, joined by one space."""
+        return [hashlib.sha256(body[:-1]).hexdigest() for body in self._bodies(self.token_names, ids)]
+
+    def decoded_digests(self, ids: pa.LargeListArray, step: int = 1 << 16) -> list[str]:
+        """The SHA-256 of the text that each row's ids decode to, by the incremental decoder, `step` bytes at a time."""
+        out = []
+        for body in self._bodies(self.token_bytes, ids):
             stream, digest = Utf8Stream(), hashlib.sha256()
-            first, end = int(offsets[bounds[i]]), int(offsets[bounds[i + 1]])
-            for k in range(first, end, 1 << 16):
-                digest.update(stream.feed(bytes(data[k : min(end, k + (1 << 16))])).encode("utf-8", "surrogatepass"))
+            for k in range(0, len(body), step):
+                digest.update(stream.feed(bytes(body[k : k + step])).encode("utf-8", "surrogatepass"))
             digest.update(stream.close().encode("utf-8", "surrogatepass"))
-            digests.append(digest.hexdigest())
-        flat = pa.array([x[0] for x in found], pa.large_list(pa.int32())).take(coded.indices)
-        ids = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]), flat.flatten())
-        return n, joined, digests, ids
+            out.append(digest.hexdigest())
+        return out
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -488,16 +580,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, pattern)
-        for batch in sliced(batches, "text", 1_000_000):
-            n, joined, digests, ids = own.encode_column(pick(batch, "text").to_pylist())
-            arrays = [pick(batch, "doc_id"), pa.array(n, pa.int64())]
-            arrays.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in joined.to_pylist()], pa.string()))
-            arrays.append(pa.array(digests, pa.string()))
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                arrays.append(ids.cast(pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for batch in sliced(batches, "text", 2_000_000):
+            ids = own.encode_column(pick(batch, "text").to_pylist())
+            columns = [pick(batch, "doc_id"), pa.array(np.diff(ids.offsets.to_numpy())), pa.array(own.names_digests(ids)), pa.array(own.decoded_digests(ids))]
+            yield pa.RecordBatch.from_arrays([*columns, ids.cast(pa.list_(pa.int32()))][: len(names)], names)
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
