@@ -14,15 +14,16 @@ empty table gives no rows, and columns other than doc_id and text, whatever thei
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 import unicodedata
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain, islice
+from marshal import dumps, loads
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,7 @@ class Transducer:
     #: Pieces that go together; so many at least, else one by one.
     TOGETHER, FEW = 16384, 6
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
         self.ranks, self.most = ranks, most
         self.token_bytes = {r: b for b, r in ranks.items()}
         self.child: dict[int, int] = {}
@@ -199,25 +200,30 @@ class Transducer:
         self.output_ids: dict[tuple[int, ...], int] = {(): 0}
         self._restart([])
 
-    def _restart(self, keep: list[tuple]) -> list[int]:
+    def _restart(self, keep: list[bytes]) -> list[int]:
         """Forgets all states but the start and `keep`, whose new numbers it gives. Outputs stay."""
-        self.states: list[tuple] = []
-        self.ids: dict[tuple, int] = {}
+        #: Packed by marshal, which takes a quarter of the memory.
+        self.states: list[bytes] = []
+        self.ids: dict[bytes, int] = {}
         #: By state << 8 | byte the number of a move: `moves` for pieces that go alone, `table` for those that go together.
         self.moves: dict[int, int] = {}
         self.table = _Table()
         #: By number of a move: the state that it leads to (-1: nowhere) and its output.
         self.to, self.emits = array("q"), array("q")
-        self.start = self._state((0, ((self.START,),)))
+        self.start = self._state(dumps((0, ((self.START,),)), 2))
         return [self._state(s) for s in keep]
 
-    def _state(self, state: tuple) -> int:
+    def _state(self, state: bytes) -> int:
         found = self.ids.get(state)
         if found is None:
             found = self.ids[state] = len(self.states)
             self.states.append(state)
         return found
 
+    def _rest(self, state: int) -> tuple[int, ...]:
+        """The tokens that are still to come if the piece ends here."""
+        return loads(self.states[state])[1][-1][1:]
+
     def _output(self, tokens: tuple[int, ...]) -> int:
         found = self.output_ids.get(tokens)
         if found is None:
@@ -284,48 +290,42 @@ class Transducer:
         states, ids, steps, known = self.states, self.ids, self.steps, self.compatible_pairs
         outputs, output_ids, to_all, emit_all = self.outputs, self.output_ids, self.to, self.emits
         first = len(to_all)
-        collects = gc.isenabled()
-        gc.disable()  # states hold no cycles, and looking through them time and again takes long
-        try:
-            for key in keys:
-                node, paths = states[key >> 8]
-                to, came, ends = steps.get(node << 8 | key & 255) or self._step(node, key & 255)
-                for i, token in ends:
-                    path = paths[i]
-                    fits = known.get(path[-1] << 32 | token)
-                    if fits or fits is None and self.compatible(path[-1], token):
+        for key in keys:
+            node, paths = loads(states[key >> 8])
+            to, came, ends = steps.get(node << 8 | key & 255) or self._step(node, key & 255)
+            for i, token in ends:
+                path = paths[i]
+                fits = known.get(path[-1] << 32 | token)
+                if fits or fits is None and self.compatible(path[-1], token):
+                    break
+            else:  # the vocabulary isn't closed under its merges: no compatible sequence
+                to_all.append(-1)
+                emit_all.append(0)
+                continue
+            done = (*path, token)
+            if came:
+                going = [paths[i] for i in came]
+                going.append(done)
+                agreed = 0
+                for a, b in zip(min(going), max(going), strict=False):
+                    if a != b:
                         break
-                else:  # the vocabulary isn't closed under its merges: no compatible sequence
-                    to_all.append(-1)
-                    emit_all.append(0)
-                    continue
-                done = (*path, token)
-                if came:
-                    going = [paths[i] for i in came]
-                    going.append(done)
-                    agreed = 0
-                    for a, b in zip(min(going), max(going), strict=False):
-                        if a != b:
-                            break
-                        agreed += 1
-                    state = to, tuple([p[agreed - 1 :] for p in going] if agreed > 1 else going)
-                else:
-                    agreed = len(done)
-                    state = to, ((token,),)
-                number = ids.get(state)
-                if number is None:
-                    number = ids[state] = len(states)
-                    states.append(state)
-                to_all.append(number)
-                spoken = done[1:agreed]
-                number = output_ids.get(spoken)
-                if number is None:
-                    number = output_ids[spoken] = len(outputs)
-                    outputs.append(spoken)
-                emit_all.append(number)
-        finally:
-            if collects:
-                gc.enable()
+                    agreed += 1
+                state = dumps((to, tuple([p[agreed - 1 :] for p in going] if agreed > 1 else going)), 2)
+            else:
+                agreed = len(done)
+                state = dumps((to, ((token,),)), 2)
+            number = ids.get(state)
+            if number is None:
+                number = ids[state] = len(states)
+                states.append(state)
+            to_all.append(number)
+            spoken = done[1:agreed]
+            number = output_ids.get(spoken)
+            if number is None:
+                number = output_ids[spoken] = len(outputs)
+                outputs.append(spoken)
+            emit_all.append(number)
         return range(first, len(to_all))
 
     def _alone(self, piece: bytes, state: int) -> list[int] | None:
@@ -344,7 +344,7 @@ class Transducer:
                 return None
             if emits[number]:
                 out += outputs[emits[number]]
-        return out + list(self.states[state][1][-1][1:])
+        return out + list(self._rest(state))
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -408,7 +408,8 @@ class Transducer:
         else:
             i = int(sizes[0])
         # What is left: final tokens of pieces read to their end, the rest of long pieces, pieces without a sequence.
-        ends = np.array([self._output(self.states[s][1][-1][1:]) if s >= 0 else 0 for s in state.tolist()], np.int64)
+        last, of_row = np.unique(state, return_inverse=True)
+        ends = np.array([self._output(self._rest(s)) if s >= 0 else 0 for s in last.tolist()], np.int64)[of_row]
         longer = [r for r in np.flatnonzero(sizes > i).tolist() if state[r] >= 0]
         ends[longer] = 0
         use(ends, every)
@@ -526,12 +527,14 @@ class Codec:
 
     def encode_column(self, texts: list[str | None]) -> pa.LargeListArray:
         """The ids of each text."""
-        split = [self.split(t) if t else [] for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
-        del split
-        tokens, offsets = self.encode_pieces(coded.dictionary.to_pylist())
-        at = coded.indices.to_numpy()
+        numbers: defaultdict[str, int] = defaultdict()  # of the distinct pieces
+        numbers.default_factory = numbers.__len__
+        bounds, at = np.zeros(len(texts) + 1, np.int64), []
+        for i, text in enumerate(texts):
+            at.append(np.array([numbers[p] for p in self.split(text)] if text else [], np.int64))
+            bounds[i + 1] = bounds[i] + len(at[-1])
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        tokens, offsets = self.encode_pieces(list(numbers))
         counts = np.diff(offsets)[at]
         ids = tokens[_spread(offsets[at], counts)]
         sums = np.concatenate([[0], np.cumsum(counts)])
