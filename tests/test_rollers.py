@@ -63,3 +63,30 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(2):
         want = r.apply([v for key, _, v in rows if key == k], r.EMA(3))
         assert all((a is None and b != b) or a == pytest.approx(b, rel=1e-12) for a, b in zip([got[k, i] for i in range(40)], want, strict=True))
+
+
+@pytest.mark.parametrize("kind", ["sum", "sma", "rma"])
+@pytest.mark.parametrize("in_order", [False, True])
+def test_other_streams_equal_memory(spark, tmp_path, kind, in_order):
+    rows = [(k, i, float((i * 7 + k) % 13)) for k in range(2) for i in range(40)]
+    for part in range(4):
+        spark.createDataFrame([x for x in rows if x[1] // 10 == part], "k int, i int, x double").coalesce(1).sortWithinPartitions("k", "i").write.parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema("k int, i int, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    name = f"rolled_{kind}_{in_order}"
+    query = r.apply_stream(stream, ["k"], "i", "x", kind, 3, in_order).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {(x.k, x.i): x[kind] for x in spark.sql(f"select * from {name}").collect()}
+    for k in range(2):
+        want = r.apply([v for key, _, v in rows if key == k], r.KINDS[kind](3))
+        assert all((a is None and b != b) or a == pytest.approx(b, rel=1e-12) for a, b in zip([got[k, i] for i in range(40)], want, strict=True))
+
+
+def test_sum_of_long_windows_takes_few_steps():
+    values = [math.sin(i) * 10 ** (i % 7) for i in range(3000)]
+    out = r.apply(values, r.Sum(1000))
+    assert all(out[i] == pytest.approx(math.fsum(values[i - 999 : i + 1]), rel=1e-12, abs=1e-9) for i in range(999, 3000))
+    out = r.apply([1.0, math.inf, 2.0, 3.0, 4.0, math.nan, 1.0, 2.0], r.Sum(2))
+    assert out[1] == out[2] == math.inf and out[3:5] == [5, 7] and out[5] != out[5] and out[7] == 3

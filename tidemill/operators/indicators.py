@@ -8,13 +8,15 @@ import math
 from collections.abc import Callable, Generator, Sequence
 from enum import Enum
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemill.functions import ieee
 from tidemill.functions.ieee import INF, NAN, col, gt, lt, no_nan, or_nan
+from tidemill.operators import kernels
 from tidemill.operators import series as ops
-from tidemill.operators.series import Kernel, Series, check_period, ema_kernel, rma_kernel
+from tidemill.operators.series import Kernel, Series, check_period, ema_kernel, rma_kernel, weighted_kernel, wma_kernel
 
 NEUTRAL_ZERO = 0.0
 
@@ -74,26 +76,14 @@ def rma(s: Series, x, n: int) -> Generator:
     return (yield rma_kernel(x, n))
 
 
-def wma(s: Series, x, n: int) -> Column:
-    return ops.rolling_wma(s, x, n)
+def wma(s: Series, x, n: int) -> Generator:
+    return (yield wma_kernel(x, n))
 
 
-def _chained(n: int, times: int) -> Callable[[], Callable[[float], tuple]]:
-    """EMAs of EMAs, each seeded at the first valid value of the one before."""
-
-    def make() -> Callable[[float], tuple]:
-        steps = [ops.smoother(2 / (n + 1), n, 0 if k == 0 else None)() for k in range(times)]
-
-        def step(x: float) -> tuple:
-            out = []
-            for one in steps:
-                (x,) = one(x)
-                out.append(x)
-            return tuple(out)
-
-        return step
-
-    return make
+def _chained(n: int, times: int) -> Callable[[], kernels.Chain]:
+    """EMAs of EMAs."""
+    check_period(n)
+    return lambda: kernels.Chain(2 / (n + 1), n, times)
 
 
 def dema(s: Series, x, n: int) -> Generator:
@@ -129,27 +119,28 @@ def trima(s: Series, x, n: int) -> Generator:
 
 def hma(s: Series, x, n: int) -> Generator:
     check_period(n)
-    raw = yield 2 * ops.rolling_wma(s, x, max(1, n // 2)) - ops.rolling_wma(s, x, n)
-    return ops.rolling_wma(s, raw, max(1, math.floor(math.sqrt(n) + 0.5)))
+    half, whole = yield [wma_kernel(x, max(1, n // 2)), wma_kernel(x, n)]
+    raw = yield 2 * half - whole
+    return (yield wma_kernel(raw, max(1, math.floor(math.sqrt(n) + 0.5))))
 
 
-def alma(s: Series, x, n: int, offset: float, sigma: float) -> Column:
+def alma(s: Series, x, n: int, offset: float, sigma: float) -> Generator:
     check_period(n)
     if not 0 <= offset <= 1 or sigma <= 0:
         raise ValueError("offset must lie in [0, 1] and sigma be positive")
     centre, width = offset * (n - 1), n / sigma
     weights = [math.exp(-((j - centre) ** 2) / (2 * width * width)) for j in range(n)]
-    return s.weighted(x, [w / sum(weights) for w in weights])
+    return (yield weighted_kernel(x, [w / sum(weights) for w in weights]))
 
 
-def swma(s: Series, x) -> Column:
-    return s.weighted(x, [1 / 6, 2 / 6, 2 / 6, 1 / 6])
+def swma(s: Series, x) -> Generator:
+    return (yield weighted_kernel(x, [1 / 6, 2 / 6, 2 / 6, 1 / 6]))
 
 
-def hamming_ma(s: Series, x, n: int) -> Column:
+def hamming_ma(s: Series, x, n: int) -> Generator:
     check_period(n)
     weights = [1.0] if n == 1 else [0.54 - 0.46 * math.cos(2 * math.pi * k / (n - 1)) for k in range(n)]
-    return s.weighted(x, [w / sum(weights) for w in weights])
+    return (yield weighted_kernel(x, [w / sum(weights) for w in weights]))
 
 
 def zlema(s: Series, x, n: int) -> Generator:
@@ -168,50 +159,20 @@ def kama(s: Series, x, n: int, fast: int, slow: int) -> Generator:
     volatility, before = yield [s.sum(moved, n), s.back(x, n)]
     quick, calm = 2 / (fast + 1), 2 / (slow + 1)
 
-    def make() -> Callable:
-        i, value = -1, NAN
+    def gain(row: np.ndarray, x: np.ndarray, v: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        share = np.divide(np.abs(x - base), v, out=np.zeros(len(x)), where=v != 0)
+        bad = np.isnan(v) | np.isnan(x) | np.isnan(base)
+        return row == n, np.where(bad, np.nan, (share * (quick - calm) + calm) ** 2)
 
-        def step(v: float, x: float, base: float) -> tuple:
-            nonlocal i, value
-            i += 1
-            if i < n:
-                return (NAN,)
-            if i == n:
-                value = x
-            elif v != v or x != x or base != base:
-                value = NAN
-            else:
-                gain = ((abs(x - base) / v if v else 0.0) * (quick - calm) + calm) ** 2
-                value += gain * (x - value)
-            return (value,)
-
-        return step
-
-    return (yield Kernel(make, [volatility, x, before]))
+    return (yield Kernel(lambda: kernels.Adaptive(gain), [x, volatility, before]))
 
 
 def vidya(s: Series, x, n: int, cmo_period: int) -> Generator:
     check_period(n)
     strength = yield from cmo(s, x, cmo_period)
     strength = yield strength
-    k = 2 / (n + 1)
-
-    def make() -> Callable:
-        begun, value = False, NAN
-
-        def step(c: float, x: float) -> tuple:
-            nonlocal begun, value
-            if not begun:
-                if c == c:
-                    begun, value = True, x
-                return (value,)
-            a = k * abs(c) / 100
-            value = a * x + (1 - a) * value
-            return (value,)
-
-        return step
-
-    return (yield Kernel(make, [strength, x]))
+    gain = lambda row, x, c: (~np.isnan(c), 2 / (n + 1) * np.abs(c) / 100)
+    return (yield Kernel(lambda: kernels.Adaptive(gain), [x, strength]))
 
 
 def mcginley_dynamic(s: Series, x, n: int) -> Generator:
@@ -336,40 +297,13 @@ def volatility_ohlc(s: Series, open, high, low, close, n: int, annual: float) ->
 # Momentum
 
 
-def rsi_kernel(n: int) -> Callable[[], Callable]:
-    def make() -> Callable:
-        i, before, up, down = -1, NAN, 0.0, 0.0
-
-        def step(x: float) -> tuple:
-            nonlocal i, before, up, down
-            if i < 0:
-                if x == x:
-                    i, before = 0, x
-                return (NAN,)
-            i += 1
-            move, before = x - before, x
-            gain, loss = (move, 0.0) if move > 0 else (0.0, -move) if move < 0 else (move * 0, move * 0)
-            if i <= n:
-                up, down = up + gain, down + loss
-                if i < n:
-                    return (NAN,)
-                up, down = up / n, down / n
-            else:
-                up, down = gain / n + (1 - 1 / n) * up, loss / n + (1 - 1 / n) * down
-            if up != up or down != down:
-                return (NAN,)
-            if not down:
-                return (100.0 if up else 50.0,)
-            return (100 - 100 / (1 + up / down) if up else 0.0,)
-
-        return step
-
-    return make
+def rsi_kernel(n: int) -> Callable[[], kernels.Strength]:
+    check_period(n)
+    return lambda: kernels.Strength(n)
 
 
 def rsi(s: Series, close, n: int) -> Generator:
     """No moves: 50; no falls: 100; no rises: 0."""
-    check_period(n)
     return (yield Kernel(rsi_kernel(n), [close]))
 
 
@@ -433,7 +367,7 @@ def momentum(s: Series, close, n: int) -> Column:
     return ops.diff(s, close, n)
 
 
-def percent_rank(s: Series, x, n: int) -> Column:
+def percent_rank(s: Series, x, n: int) -> Generator:
     return ops.rolling_percent_rank(s, x, n)
 
 
@@ -457,27 +391,10 @@ def relative_volatility_index(s: Series, close, n: int) -> Generator:
         F.when(~known, NAN).when(col(close) < before, spread).otherwise(0.0),
     ]
     # Both begin at the first valid spread, and not before the second bar.
-    begins = Kernel(_begin_at_first_valid(n), [spread, up, down], 2)
-    u, d = yield begins
+    u, d = yield Kernel(lambda: kernels.FromMarker(1 / n, n, 2), [spread, up, down], 2)
     return F.when(~no_nan(u, d), NAN).otherwise(ratio_or(100 * u, u + d, 50.0))
 
 
-def _begin_at_first_valid(n: int) -> Callable[[], Callable]:
-    def make() -> Callable:
-        i, begun = -1, False
-        steps = [ops.smoother(1 / n, n, 0)() for _ in range(2)]
-
-        def step(marker: float, a: float, b: float) -> tuple:
-            nonlocal i, begun
-            i += 1
-            begun = begun or marker == marker
-            return (steps[0](a)[0], steps[1](b)[0]) if begun and i > 0 else (NAN, NAN)
-
-        return step
-
-    return make
-
-
 def _streak() -> Callable:
     before, length = NAN, NAN
 
@@ -504,8 +421,7 @@ def connors_rsi(s: Series, close, rsi_period: int, streak_period: int, rank_peri
     moves = yield roc(s, close, 1)
     streak, price = yield [Kernel(_streak, [close]), Kernel(rsi_kernel(rsi_period), [close])]
     streaks = yield Kernel(rsi_kernel(streak_period), [streak])
-    rank = ops.rolling_percent_rank(s, moves, rank_period)
-    rank = (yield from rank) if isinstance(rank, Generator) else rank
+    rank = yield ops.percent_rank_kernel(moves, rank_period)
     return (price + streaks + rank) / 3
 
 
@@ -917,13 +833,13 @@ def price_oscillator(s: Series, x, fast: int, slow: int) -> Column:
 # Statistics of windows
 
 
-def correlation_coefficient(s: Series, x, y, n: int) -> Column:
+def correlation_coefficient(s: Series, x, y, n: int) -> Generator:
     return ops.rolling_correlation(s, x, y, n)
 
 
 def correlation_log(s: Series, x, y, n: int) -> Generator:
     a, b = yield [_log_returns(s, x), _log_returns(s, y)]
-    return s.warm(n + 1, ops.rolling_correlation(s, a, b, n))
+    return s.warm(n + 1, (yield ops.correlation_kernel(a, b, n)))
 
 
 def rank_correlation(s: Series, x, y, n: int) -> Generator:
@@ -945,7 +861,7 @@ def rank_correlation(s: Series, x, y, n: int) -> Generator:
     return s.warm(n, F.when(~bad & (spread != 0), sums["xy"] / F.when(spread != 0, spread)))
 
 
-def standard_deviation(s: Series, x, n: int) -> Column:
+def standard_deviation(s: Series, x, n: int) -> Generator:
     return ops.rolling_std_dev(s, x, n)
 
 
@@ -963,7 +879,7 @@ def spread(s: Series, a, b) -> Column:
 
 def coppock_curve(s: Series, close, roc_long: int, roc_short: int, wma_period: int) -> Generator:
     total = yield roc(s, close, roc_long) + roc(s, close, roc_short)
-    return ops.rolling_wma(s, total, wma_period)
+    return (yield wma_kernel(total, wma_period))
 
 
 def know_sure_thing(s: Series, close, rocs: Sequence[int], smas: Sequence[int], signal: int) -> Generator:

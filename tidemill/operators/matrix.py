@@ -210,8 +210,21 @@ def cholesky(df: DataFrame, a: str = "a") -> DataFrame:
     return _kernel(df, [a], "l array<array<double>>, status string", _lower)
 
 
+def _forward(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with low x = b for a lower triangle."""
+    x = np.empty(len(b))
+    for i in range(len(b)):
+        x[i] = (b[i] - low[i, :i] @ x[:i]) / low[i, i]
+    return x
+
+
+def _backward(up: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with up x = b for an upper triangle."""
+    return _forward(up[::-1, ::-1], b[::-1])[::-1]
+
+
 def _substituted(low: np.ndarray, b: np.ndarray) -> tuple[np.ndarray]:
-    return (np.linalg.solve(low.T, np.linalg.solve(low, b)),)
+    return (_backward(low.T, _forward(low, b)),)
 
 
 def cholesky_solve(df: DataFrame, l: str = "l", b: str = "b") -> DataFrame:
@@ -233,7 +246,7 @@ def _fitted(r: np.ndarray, qb: np.ndarray, m: int, norm: float) -> tuple[np.ndar
     n = r.shape[1]
     if (np.abs(np.diag(r)) <= max(m, n) * np.finfo(float).eps * norm).any() or len(r) < n:
         return None, "singular"
-    return np.linalg.solve(r, qb), "ok"
+    return _backward(r, qb), "ok"
 
 
 def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray | None, str]:
@@ -285,15 +298,22 @@ def least_squares_tall(rows: DataFrame, keys: list[str], x: list[str], y: str) -
     return typed.mapInArrow(reduce, schema).groupBy(*keys).applyInArrow(merge, out)
 
 
-def _eigen(m: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None, bool]:
+def _eigen(m: np.ndarray, tolerance: float) -> tuple[np.ndarray | None, np.ndarray | None, bool]:
+    if not m.size:
+        return np.zeros(0), np.zeros((0, 0)), True
     _square(m)
+    m = (m + m.T) / 2
     try:
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        return values, vectors, bool(np.isfinite(values).all())
+        values, vectors = np.linalg.eigh(m)
     except np.linalg.LinAlgError:
         return None, None, False
+    rotated = vectors.T @ m @ vectors
+    left, kept = float((np.triu(rotated, 1) ** 2).sum()), float((np.diag(rotated) ** 2).sum())
+    return values, vectors, left <= tolerance * kept or left == 0
 
 
-def eigen_sym(df: DataFrame, a: str = "a") -> DataFrame:
-    """values (ascending), vectors (as columns) and converged of symmetric matrices."""
-    return _kernel(df, [a], "values array<double>, vectors array<array<double>>, converged boolean", _eigen)
+def eigen_sym(df: DataFrame, a: str = "a", tolerance: float = 0.0) -> DataFrame:
+    """values (ascending), vectors (as columns) and converged of symmetric matrices: whether the squares that the vectors
+    leave off the diagonal come to at most `tolerance` of those on it. A tolerance of 0 or less stands for 1e-24."""
+    limit = tolerance if tolerance > 0 else 1e-24
+    return _kernel(df, [a], "values array<double>, vectors array<array<double>>, converged boolean", lambda m: _eigen(m, limit))

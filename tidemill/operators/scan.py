@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StructField, StructType, TimestampNTZType, TimestampType
 
-from tidemill.functions.ieee import NAN, nz
-from tidemill.operators.series import check_period
+from tidemill.functions.ieee import nz
+from tidemill.operators.kernels import Smoother, fixed_scan
+from tidemill.operators.series import check_period, key_runs
 
 
 def _number(df: DataFrame, ord: str) -> Column:
@@ -25,39 +27,10 @@ def _number(df: DataFrame, ord: str) -> Column:
     return F.col(ord).cast("double")
 
 
-def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[tuple, int, int]]]]:
-    """Each batch with its runs of equal keys: (key, first row, end)."""
-    for batch in batches:
-        names = batch.schema.names
-        own = list(zip(*[batch.column(names.index(k)).to_pylist() for k in keys], strict=True))
-        cuts, first = [], 0
-        for i in range(1, len(own) + 1):
-            if i == len(own) or own[i] != own[first]:
-                cuts.append((own[first], first, i))
-                first = i
-        if own:
-            yield batch, cuts
-
-
-class _Smoother:
-    """State: rows seen (up to n), the sum of the seed and its compensation, the value."""
-
-    def __init__(self, alpha: float, n: int, seen: int = 0, total: float = 0.0, lost: float = 0.0, value: float = NAN):
-        self.alpha, self.n, self.seen, self.total, self.lost, self.value = alpha, n, seen, total, lost, value
-
-    def push(self, x: float) -> float:
-        if self.seen < self.n:
-            new = self.total + x
-            self.lost += (self.total - new) + x if abs(self.total) >= abs(x) else (x - new) + self.total
-            self.total, self.seen = new, self.seen + 1
-            if self.seen == self.n:
-                self.value = (self.total + self.lost) / self.n
-        else:
-            self.value = self.alpha * x + (1 - self.alpha) * self.value
-        return self.value
-
-    def state(self) -> tuple[int, float, float, float]:
-        return self.seen, self.total, self.lost, self.value
+def _resumed(alpha: float, n: int, seen: int, total: float, lost: float, value: float) -> Smoother:
+    smoother = Smoother(alpha, n)
+    smoother.seen, smoother.total, smoother.lost, smoother.value = seen, total, lost, value
+    return smoother
 
 
 def smooth_long(df: DataFrame, keys: list[str], ord: str, x: str, alpha: float, n: int, out: str, pieces: int = 64) -> DataFrame:
@@ -74,21 +47,20 @@ def smooth_long(df: DataFrame, keys: list[str], ord: str, x: str, alpha: float,
 
     def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, [0, [], 0.0]
-        for batch, cuts in _runs(batches, by):
-            done: list[tuple] = []
-            values = batch.column(batch.schema.names.index("_x")).to_pylist()
-            for key, first, end in cuts:
-                if key != now:
+        schema = None
+        for batch, cuts in key_runs(batches, by):
+            done, schema = [], batch.schema
+            values = batch.column("_x").to_numpy(zero_copy_only=False)
+            for fresh, first, end in cuts:
+                if fresh:
                     if now is not None:
                         done.append((now, held))
-                    now, held = key, [0, [], 0.0]
-                for v in values[first:end]:
-                    held[0] += 1
-                    if len(held[1]) < n:
-                        held[1].append(v)
-                    else:
-                        held[2] = alpha * v + (1 - alpha) * held[2]
-            schema = batch.schema
+                    now, held = tuple(batch.column(k)[first].as_py() for k in by), [0, [], 0.0]
+                head = max(0, min(n - len(held[1]), end - first))
+                held[1] += values[first : first + head].tolist()
+                if first + head < end:
+                    held[2] = float(fixed_scan(values[first + head : end], alpha, held[2])[-1])
+                held[0] += end - first
             yield _summary(done, schema)
         if now is not None:
             yield _summary([(now, held)], schema)
@@ -99,34 +71,30 @@ def smooth_long(df: DataFrame, keys: list[str], ord: str, x: str, alpha: float,
         return pa.RecordBatch.from_arrays([*own, *rest], [*by, "_rows", "_head", "_map"])
 
     def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, s = None, _Smoother(alpha, n)
-        for batch in batches:
-            names = batch.schema.names
-            own = list(zip(*[batch.column(names.index(k)).to_pylist() for k in by], strict=True))
+        s = Smoother(alpha, n)
+        for batch, cuts in key_runs(batches, keys):
             came = []
-            for key, count, head, rest in zip(own, *[batch.column(names.index(c)).to_pylist() for c in ("_rows", "_head", "_map")], strict=True):
-                if key[:-1] != now:
-                    now, s = key[:-1], _Smoother(alpha, n)
-                came.append(s.state())
-                for v in head:
-                    s.push(v)
-                if count > len(head):
-                    s.value = (1 - alpha) ** (count - len(head)) * s.value + rest
-            arrays = [batch.column(names.index(k)) for k in by]
+            counts, heads, rests = (batch.column(c).to_pylist() for c in ("_rows", "_head", "_map"))
+            for fresh, first, end in cuts:
+                if fresh:
+                    s = Smoother(alpha, n)
+                for i in range(first, end):
+                    came.append((s.seen, s.total, s.lost, s.value))
+                    s.run(np.array(heads[i], np.float64))
+                    if counts[i] > len(heads[i]):
+                        s.value = (1 - alpha) ** (counts[i] - len(heads[i])) * s.value + rests[i]
             states = [pa.array([c[0] for c in came], pa.int64()), *[pa.array([c[k] for c in came], pa.float64()) for k in (1, 2, 3)]]
-            yield pa.RecordBatch.from_arrays([*arrays, *states], [*by, "_seen", "_total", "_lost", "_value"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in by], *states], [*by, "_seen", "_total", "_lost", "_value"])
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, s = None, None
-        for batch, cuts in _runs(batches, by):
-            names = batch.schema.names
-            column = {c: batch.column(names.index(c)).to_pylist() for c in ("_x", "_seen", "_total", "_lost", "_value")}
-            made: list[float] = []
-            for key, first, end in cuts:
-                if key != now:
-                    now, s = key, _Smoother(alpha, n, *[column[c][first] for c in ("_seen", "_total", "_lost", "_value")])
-                made += [s.push(v) for v in column["_x"][first:end]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in columns], pa.array(made, pa.float64())], [*columns, out])
+        s = None
+        for batch, cuts in key_runs(batches, by):
+            values, made = batch.column("_x").to_numpy(zero_copy_only=False), []
+            for fresh, first, end in cuts:
+                if fresh:
+                    s = _resumed(alpha, n, *[batch.column(c)[first].as_py() for c in ("_seen", "_total", "_lost", "_value")])
+                made.append(s.run(values[first:end])[0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.concatenate(made))], [*columns, out])
 
     doubles = [StructField(c, DoubleType()) for c in ("_total", "_lost", "_value")]
     summary = StructType([*key_fields, *StructType.fromDDL("_rows long, _head array<double>, _map double").fields])

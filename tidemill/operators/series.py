@@ -13,28 +13,31 @@ The order column must be unique within a key. NULL input counts as NaN. Without
 from __future__ import annotations
 
 import inspect
-from bisect import bisect_left, insort
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemill.functions.ieee import NAN, col, no_nan, nz, or_nan
+from tidemill.operators import kernels
+from tidemill.operators.kernels import Rows
 
 
-#: Periods beyond which order statistics and extremes run as kernels.
-LONG_ORDER, LONG_EXTREME = 64, 512
+#: The period beyond which order statistics keep one window sorted instead of sorting each.
+LONG_ORDER = 64
 
 
 @dataclass
 class Kernel:
-    """A recurrence: `make()` gives a function that takes one row's inputs and returns one row's outputs (a tuple)."""
+    """A recurrence or moving window: `make()` gives either an object of `kernels`, whose run() takes arrays, or a function
+    that takes one row's inputs and returns one row's outputs (a tuple)."""
 
-    make: Callable[[], Callable[..., tuple]]
+    make: Callable[[], object]
     inputs: Sequence[Column | str]
     outputs: int = 1
 
@@ -129,7 +132,7 @@ class Series:
     def _provide(self, asked: dict[str, object]) -> dict[str, object]:
         given: dict[str, object] = {}
         columns: dict[str, Column] = {}
-        kernels: dict[str, list[tuple[Kernel, list[str]]]] = {}
+        asked_kernels: dict[str, list[tuple[Kernel, list[str]]]] = {}
 
         def named(c: Column | str) -> str:
             if isinstance(c, str):
@@ -143,23 +146,23 @@ class Series:
             own: list[object] = []
             for one in what if several else [what]:
                 if isinstance(one, Kernel):
-                    kernels.setdefault(name, []).append((one, [named(c) for c in one.inputs]))
+                    asked_kernels.setdefault(name, []).append((one, [named(c) for c in one.inputs]))
                     own.append(one)
                 else:
                     own.append(F.col(named(one)))
             given[name] = own if several else own[0]
         if columns:
             self.df = self.df.withColumns(columns)
-        if kernels:
-            self._run([k for own in kernels.values() for k in own], given)
+        if asked_kernels:
+            self._run([k for own in asked_kernels.values() for k in own], given)
         return given
 
-    def _run(self, kernels: list[tuple[Kernel, list[str]]], given: dict[str, object]) -> None:
+    def _run(self, wanted: list[tuple[Kernel, list[str]]], given: dict[str, object]) -> None:
         names: dict[int, list[str]] = {}
-        for kernel, _ in kernels:
+        for kernel, _ in wanted:
             names[id(kernel)] = [f"_t{self.made + i + 1}" for i in range(kernel.outputs)]
             self.made += kernel.outputs
-        self.df = run_kernels(self.df, self.keys, self.ord, [(k.make, inputs, names[id(k)]) for k, inputs in kernels])
+        self.df = run_kernels(self.df, self.keys, self.ord, [(k.make, inputs, names[id(k)]) for k, inputs in wanted])
 
         def settle(x: object) -> object:
             if isinstance(x, Kernel):
@@ -176,43 +179,50 @@ def check_period(n: int, least: int = 1, name: str = "period") -> None:
         raise ValueError(f"{name} must be at least {least}, not {n}")
 
 
-def run_kernels(df: DataFrame, keys: list[str], ord: str, kernels: list[tuple[Callable, list[str], list[str]]]) -> DataFrame:
+def run_kernels(df: DataFrame, keys: list[str], ord: str, wanted: list[tuple[Callable, list[str], list[str]]]) -> DataFrame:
     """df with the kernels' output columns (double): one shuffle by key, one sort, one pass in Arrow batches."""
-    inputs = sorted({c for _, cols, _ in kernels for c in cols})
-    outputs = [c for _, _, cols in kernels for c in cols]
+    inputs = sorted({c for _, cols, _ in wanted for c in cols})
+    outputs = [c for _, _, cols in wanted for c in cols]
     ready = df.withColumns({f"_in_{c}": nz(c) for c in inputs})
     ready = (ready.repartition(*keys) if keys else ready.coalesce(1)).sortWithinPartitions(*keys, ord)
     kept = df.columns
     schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in outputs]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        steps: list[Callable] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            own = list(zip(*[batch.column(at[k]).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
-            data = {c: batch.column(at[f"_in_{c}"]).to_pylist() for c in inputs}
-            made: list[list[list[float]]] = [[[] for _ in cols] for _, _, cols in kernels]
-            first = 0
-            while first < len(own):
-                if now is None or own[first] != now:
-                    now, steps = own[first], [make() for make, _, _ in kernels]
-                end = first + 1
-                while end < len(own) and own[end] == now:
-                    end += 1
-                for step, (_, cols, outs), into in zip(steps, kernels, made, strict=True):
-                    rows = [step(*values) for values in zip(*[data[c][first:end] for c in cols], strict=True)]
-                    for k in range(len(outs)):
-                        into[k] += [r[k] for r in rows]
-                first = end
-            arrays = [batch.column(at[c]) for c in kept] + [pa.array(x, pa.float64()) for each in made for x in each]
+        steps: list = []
+        for batch, cuts in key_runs(batches, keys):
+            data = {c: batch.column(f"_in_{c}").to_numpy(zero_copy_only=False) for c in inputs}
+            made: list[list[list[np.ndarray]]] = [[[] for _ in cols] for _, _, cols in wanted]
+            for fresh, first, end in cuts:
+                if fresh:
+                    steps = [k if hasattr(k := make(), "run") else Rows(k) for make, _, _ in wanted]
+                for step, (_, cols, _), into in zip(steps, wanted, made, strict=True):
+                    for column, values in zip(into, step.run(*[data[c][first:end] for c in cols]), strict=True):
+                        column.append(values)
+            arrays = [batch.column(c) for c in kept] + [pa.array(np.concatenate(x)) for each in made for x in each]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *outputs])
 
     return ready.mapInArrow(run, schema)
 
 
+def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[tuple[bool, int, int]]]]:
+    """Of batches in which equal keys stand together: each batch with its runs (whether a new key begins, first row, end)."""
+    now: tuple | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k) for k in keys]
+        differs = np.zeros(n - 1, bool)
+        for c in columns:
+            codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            differs |= codes[1:] != codes[:-1]
+        cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), n]
+        first = tuple(c[0].as_py() for c in columns)
+        yield batch, [(k > 0 or first != now, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        now = tuple(c[n - 1].as_py() for c in columns)
+
+
 # Cumulative operators
 
 
@@ -350,178 +360,123 @@ def reverse(s: Series, x) -> Generator:
     return F.col(value)
 
 
-# Rolling windows
+# Rolling windows: kernels whose time doesn't grow with the period (order statistics excepted)
 
 
-def rolling_sum(s: Series, x, n: int) -> Column:
-    return s.sum(x, n)
+def _moving(n: int, value: Callable[..., np.ndarray], *inputs) -> Kernel:
+    check_period(n)
+    count = len(inputs)
+    return Kernel(lambda: kernels.Window(n, value, count), list(inputs))
 
 
-def rolling_mean(s: Series, x, n: int) -> Column:
-    return s.mean(x, n)
+def sum_kernel(x, n: int) -> Kernel:
+    return _moving(n, kernels.moving_sum, x)
 
 
-def _extreme(n: int, sign: float) -> Callable[[float], tuple[float]]:
-    """Largest sign * value of the window: candidates in falling order, each row put in and taken out once."""
-    best: deque[tuple[int, float]] = deque()
-    i, last_nan = -1, -n
+def mean_kernel(x, n: int) -> Kernel:
+    return _moving(n, lambda v, n: kernels.moving_sum(v, n) / n, x)
 
-    def step(x: float) -> tuple[float]:
-        nonlocal i, last_nan
-        i += 1
-        if x != x:
-            last_nan = i
-        else:
-            while best and best[-1][1] <= sign * x:
-                best.pop()
-            best.append((i, sign * x))
-        while best and best[0][0] <= i - n:
-            best.popleft()
-        return (sign * best[0][1] if i >= n - 1 and last_nan <= i - n else NAN,)
 
-    return step
+def weighted_kernel(x, weights: Sequence[float]) -> Kernel:
+    """The sum of the last len(weights) values by weight, oldest first."""
+    fixed = np.array(weights, np.float64)
+    return _moving(len(fixed), lambda v, _: kernels.moving_weighted(v, fixed), x)
 
 
-def rolling_max(s: Series, x, n: int) -> Column | Generator:
-    """Beyond LONG_EXTREME rows by a kernel that takes the same time for any period."""
-    return _kernel_column(Kernel(lambda: _extreme(n, 1.0), [x])) if n > LONG_EXTREME else s.max(x, n)
+def wma_kernel(x, n: int) -> Kernel:
+    check_period(n)
+    return weighted_kernel(x, [2 * (j + 1) / (n * (n + 1)) for j in range(n)])
 
 
-def rolling_min(s: Series, x, n: int) -> Column | Generator:
-    return _kernel_column(Kernel(lambda: _extreme(n, -1.0), [x])) if n > LONG_EXTREME else s.min(x, n)
+def correlation_kernel(x, y, n: int) -> Kernel:
+    return _moving(n, kernels.moving_correlation, x, y)
 
 
-def rolling_range(s: Series, x, n: int) -> Column:
-    return s.max(x, n) - s.min(x, n)
+def std_dev_kernel(x, n: int, less: int = 0) -> Kernel:
+    return _moving(n, lambda v, n: np.sqrt(kernels.moving_variance(v, n, less)), x)
 
 
-def rolling_wma(s: Series, x, n: int) -> Column:
-    check_period(n)
-    return s.weighted(x, [2 * (j + 1) / (n * (n + 1)) for j in range(n)])
+def rolling_sum(s: Series, x, n: int) -> Generator:
+    return (yield sum_kernel(x, n))
 
 
-def rolling_variance(s: Series, x, n: int) -> Column:
-    return s.agg(F.var_pop(col(x)), n)
+def rolling_mean(s: Series, x, n: int) -> Generator:
+    return (yield mean_kernel(x, n))
 
 
-def rolling_variance_sample(s: Series, x, n: int) -> Column:
-    return s.agg(F.var_samp(col(x)), n)
+def rolling_max(s: Series, x, n: int) -> Generator:
+    return (yield _moving(n, kernels.moving_max, x))
 
 
-def rolling_std_dev(s: Series, x, n: int) -> Column:
-    return s.agg(F.stddev_pop(col(x)), n)
+def rolling_min(s: Series, x, n: int) -> Generator:
+    return (yield _moving(n, kernels.moving_min, x))
 
 
-def rolling_std_dev_sample(s: Series, x, n: int) -> Column:
-    return s.agg(F.stddev_samp(col(x)), n)
+def rolling_range(s: Series, x, n: int) -> Generator:
+    return (yield _moving(n, lambda v, n: kernels.moving_max(v, n) - kernels.moving_min(v, n), x))
 
 
-def rolling_covariance(s: Series, x, y, n: int) -> Column:
-    return s.agg(F.covar_pop(col(x), col(y)), n)
+def rolling_wma(s: Series, x, n: int) -> Generator:
+    return (yield wma_kernel(x, n))
 
 
-def rolling_covariance_sample(s: Series, x, y, n: int) -> Column:
-    return s.agg(F.covar_samp(col(x), col(y)), n)
+def rolling_variance(s: Series, x, n: int) -> Generator:
+    return (yield _moving(n, kernels.moving_variance, x))
 
 
-def rolling_correlation(s: Series, x, y, n: int) -> Column:
-    f = s.frame(n)
-    flat = (F.max(col(x)).over(f) == F.min(col(x)).over(f)) | (F.max(col(y)).over(f) == F.min(col(y)).over(f))
-    spread = F.stddev_pop(col(x)).over(f) * F.stddev_pop(col(y)).over(f)
-    return s.warm(n, F.when(~flat & (spread != 0), F.covar_pop(col(x), col(y)).over(f) / F.when(spread != 0, spread)))
+def rolling_variance_sample(s: Series, x, n: int) -> Generator:
+    return (yield _moving(n, lambda v, n: kernels.moving_variance(v, n, 1), x))
 
 
-def rolling_quantile(s: Series, x, n: int, q: float) -> Column | Generator:
-    """Exact, by linear interpolation. Beyond LONG_ORDER rows a kernel keeps the window sorted, as Spark's percentile would
-    rebuild it for every row."""
-    if not 0 <= q <= 1:
-        raise ValueError("q must lie in [0, 1]")
-    if n > LONG_ORDER:
-        return _kernel_column(Kernel(lambda: _sorted_window(n, lambda v, _: _interpolated(v, q)), [x]))
-    f = s.frame(n)
-    return s.warm(n, F.when(~F.bool_or(F.isnan(col(x))).over(f), F.percentile(col(x), F.lit(q)).over(f)))
+def rolling_std_dev(s: Series, x, n: int) -> Generator:
+    return (yield std_dev_kernel(x, n))
 
 
-def rolling_median(s: Series, x, n: int) -> Column | Generator:
-    return rolling_quantile(s, x, n, 0.5)
+def rolling_std_dev_sample(s: Series, x, n: int) -> Generator:
+    return (yield std_dev_kernel(x, n, 1))
 
 
-def rolling_percent_rank(s: Series, x, n: int) -> Column | Generator:
-    """100 * share of the window's n values below the newest."""
-    if n > LONG_ORDER:
-        return _kernel_column(Kernel(lambda: _sorted_window(n, lambda v, new: 100 * bisect_left(v, new) / n), [x]))
-    x = col(x)
-    bad = F.bool_or(F.isnan(x)).over(s.frame(n))
-    below = F.size(F.filter(s.window(x, n), lambda v: v < x))
-    return s.warm(n, F.when(~bad, 100 * below / F.lit(float(n))))
+def rolling_covariance(s: Series, x, y, n: int) -> Generator:
+    return (yield _moving(n, kernels.moving_covariance, x, y))
 
 
-def _kernel_column(kernel: Kernel) -> Generator:
-    return (yield kernel)
+def rolling_covariance_sample(s: Series, x, y, n: int) -> Generator:
+    return (yield _moving(n, lambda v, w, n: kernels.moving_covariance(v, w, n, 1), x, y))
 
 
-def _interpolated(values: list[float], q: float) -> float:
-    at = (len(values) - 1) * q
-    low = int(at)
-    part = at - low
-    return values[low] if not part else values[low] + part * (values[low + 1] - values[low])
+def rolling_correlation(s: Series, x, y, n: int) -> Generator:
+    return (yield correlation_kernel(x, y, n))
 
 
-def _sorted_window(n: int, value: Callable[[list[float], float], float]) -> Callable[[float], tuple[float]]:
-    """value(sorted window, newest) once there are n values, NaN while one of them is NaN."""
-    check_period(n)
-    ring: deque[float] = deque()
-    ordered: list[float] = []
-    bad = 0
-
-    def step(x: float) -> tuple[float]:
-        nonlocal bad
-        if len(ring) == n:
-            old = ring.popleft()
-            if old != old:
-                bad -= 1
-            else:
-                del ordered[bisect_left(ordered, old)]
-        ring.append(x)
-        if x != x:
-            bad += 1
-        else:
-            insort(ordered, x)
-        return (value(ordered, x) if len(ring) == n and not bad else NAN,)
+def rolling_quantile(s: Series, x, n: int, q: float) -> Generator:
+    """Exact, by linear interpolation."""
+    if not 0 <= q <= 1:
+        raise ValueError("q must lie in [0, 1]")
+    if n > LONG_ORDER:
+        return (yield Kernel(lambda: kernels.SortedWindow(n, lambda v, _: kernels.interpolated(v, q)), [x]))
+    return (yield _moving(n, lambda v, n: kernels.moving_quantile(v, n, q), x))
 
-    return step
 
+def rolling_median(s: Series, x, n: int) -> Generator:
+    return rolling_quantile(s, x, n, 0.5)
 
-# Recursive smoothers
 
+def percent_rank_kernel(x, n: int) -> Kernel:
+    if n > LONG_ORDER:
+        return Kernel(lambda: kernels.SortedWindow(n, lambda v, new: 100 * bisect_left(v, new) / n), [x])
+    return _moving(n, kernels.moving_percent_rank, x)
 
-def smoother(alpha: float, n: int, start: int | None = 0) -> Callable[[], Callable[[float], tuple[float]]]:
-    """Exponential smoothing seeded with the mean of n values from row `start` on, or from the first valid value (None).
-    A NaN in the seed or later stays. The seed is summed with compensation."""
 
-    def make() -> Callable[[float], tuple[float]]:
-        i, count, total, lost, value = -1, 0, 0.0, 0.0, NAN
+def rolling_percent_rank(s: Series, x, n: int) -> Generator:
+    """100 * share of the window's n values below the newest."""
+    return (yield percent_rank_kernel(x, n))
 
-        def step(x: float) -> tuple[float]:
-            nonlocal i, count, total, lost, value
-            i += 1
-            if start is not None and i < start or start is None and count == 0 and x != x:
-                return (NAN,)
-            if count < n:
-                count += 1
-                new = total + x
-                lost += (total - new) + x if abs(total) >= abs(x) else (x - new) + total
-                total = new
-                if count == n:
-                    value = (total + lost) / n
-                    return (value,)
-                return (NAN,)
-            value = alpha * x + (1 - alpha) * value
-            return (value,)
 
-        return step
+# Recursive smoothers
+
 
-    return make
+def smoother(alpha: float, n: int, start: int | None = 0) -> Callable[[], kernels.Smoother]:
+    return lambda: kernels.Smoother(alpha, n, start)
 
 
 def ema_kernel(x, n: int, start: int | None = 0) -> Kernel:
@@ -534,12 +489,26 @@ def rma_kernel(x, n: int, start: int | None = 0) -> Kernel:
     return Kernel(smoother(1 / n, n, start), [x])
 
 
-def rolling_ema(s: Series, x, n: int) -> Generator:
-    return (yield ema_kernel(x, n))
+def _smoothed(s: Series, x, n: int, alpha: float, pieces: int | None) -> Generator:
+    """A series without keys, or one of which `pieces` says so, is cut into that many range partitions; see `scan`."""
+    check_period(n)
+    if not (pieces or not s.keys):
+        return (yield Kernel(smoother(alpha, n), [x]))
+    from tidemill.operators.scan import smooth_long
+
+    values = yield col(x)
+    s.made += 2
+    name, out = f"_x{s.made}", f"_y{s.made}"
+    s.df = smooth_long(s.df.withColumn(name, values), s.keys, s.ord, name, alpha, n, out, pieces or 64).drop(name)
+    return F.col(out)
+
+
+def rolling_ema(s: Series, x, n: int, pieces: int | None = None) -> Generator:
+    return _smoothed(s, x, n, 2 / (n + 1), pieces)
 
 
-def rolling_rma(s: Series, x, n: int) -> Generator:
-    return (yield rma_kernel(x, n))
+def rolling_rma(s: Series, x, n: int, pieces: int | None = None) -> Generator:
+    return _smoothed(s, x, n, 1 / n, pieces)
 
 
 def compress(df: DataFrame, mask: Column | str) -> DataFrame:

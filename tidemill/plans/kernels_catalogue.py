@@ -14,9 +14,9 @@ from tidemill.functions import scalar as sc
 from tidemill.functions.ieee import NAN
 from tidemill.operators import matrix as mat
 from tidemill.operators import series as ops
-from tidemill.operators.series import Series
+from tidemill.operators.series import Kernel, Series
 from tidemill.plans.oracles import SHIFT, rounded
-from tidemill.streaming.rollers import apply_batch
+from tidemill.streaming.rollers import KINDS, Ring, apply_batch
 
 KEYS = ["event_type"]
 W = "PARTITION BY event_type ORDER BY event_id"
@@ -170,7 +170,7 @@ MASKED_SQL = _grouped({
 
 
 def compress(spark, sf_dir):
-    kept = ticks(spark, sf_dir).where(sc.greater("z", 50.0))
+    kept = ops.compress(ticks(spark, sf_dir), sc.greater("z", 50.0))
     return _shown(Series(kept, KEYS, "event_id").compute(i=lambda s: s.index()).select(*KEYS, "event_id", "i", "z"))
 
 
@@ -327,19 +327,51 @@ def rollers(spark, sf_dir):
 _F10 = f"OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 ROLLERS_SQL = _rows({"sum": f"CASE WHEN i >= 9 THEN sum(x) {_F10} END", "sma": f"CASE WHEN i >= 9 THEN avg(x) {_F10} END", "ema": _ema(2 / 21, 20), "rma": _ema(1 / 14, 14)})
 
-# Matrices: the second-moment matrices of the embeddings' first four components, by label.
+def rings(spark, sf_dir):
+    """A ring and a roller for each key, both reset after every hundred rows."""
 
-CELLS = """cells AS (SELECT label, vec_id, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE] AS e FROM embeddings),
-ij AS (SELECT a.i, b.j FROM range(4) a(i), range(4) b(j)),
-sums AS (SELECT label::BIGINT AS matrix_id, i::INT AS i, j::INT AS j, sum(e[i + 1] * e[j + 1]) AS v FROM cells, ij GROUP BY label, i, j),
+    def op(s: Series):
+        i = yield s.index()
+
+        def make():
+            ring, roller = Ring(5), KINDS["sum"](5)
+
+            def step(i: float, x: float) -> tuple:
+                if i % 100 == 0:
+                    ring.reset()
+                    roller.reset()
+                out, fell = ring.push(x)
+                return out, float(fell), float(ring.len()), float(ring.full()), float(ring.cap()), ring.at(0), roller.push(x), float(roller.warmup()), float(roller.window())
+
+            return step
+
+        made = yield Kernel(make, [i, "x"], 9)
+        return dict(zip(("out", "fell", "len", "full", "cap", "oldest", "sum", "warmup", "window"), made, strict=True))
+
+    return _shown(Series(ticks(spark, sf_dir).select(*KEYS, "event_id", "x"), KEYS, "event_id").compute(ring=op).drop("x"))
+
+
+_SEGMENT = "(PARTITION BY event_type, g ORDER BY event_id"
+RINGS_SQL = _rows({
+    "ring_out": f"coalesce(lag(x, 5) OVER {_SEGMENT}), 0)", "ring_fell": "CASE WHEN i % 100 >= 5 THEN 1 ELSE 0 END", "ring_len": "least(i % 100 + 1, 5)", "ring_full": "CASE WHEN i % 100 >= 4 THEN 1 ELSE 0 END", "ring_cap": "5",
+    "ring_oldest": f"first_value(x) OVER {_SEGMENT} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", "ring_sum": f"CASE WHEN i % 100 >= 4 THEN sum(x) OVER {_SEGMENT} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END", "ring_warmup": "5", "ring_window": "5",
+}, (), ({"g": "i // 100"},))
+
+# Matrices: by label, the second moments of the rows of the embeddings as 8 x 8 matrices.
+
+CELLS = """cells AS (SELECT label, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+ij AS (SELECT a.i, b.j FROM range(8) a(i), range(8) b(j)),
+sums AS (SELECT label::BIGINT AS matrix_id, i::INT AS i, j::INT AS j, sum(list_sum(list_transform(range(1, 9), lambda k: e[8 * i + k] * e[8 * j + k]))) AS v FROM cells, ij GROUP BY label, i, j),
 m AS (SELECT matrix_id, i, j, v + CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM sums)"""
 
 
 def _matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    four = e.select(F.col("label").cast("long").alias("matrix_id"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("e"))
-    cells = four.select("matrix_id", "e", F.posexplode("e").alias("i", "a")).select("matrix_id", "i", "a", F.posexplode("e").alias("j", "b"))
-    return cells.groupBy("matrix_id", "i", "j").agg((F.sum(F.col("a") * F.col("b")) + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
+    eight = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: x.cast("double")))
+    rows = e.select(F.col("label").cast("long").alias("matrix_id"), eight.alias("e"))
+    cells = rows.select("matrix_id", "e", F.posexplode("e").alias("i", "a")).select("matrix_id", "i", "a", F.posexplode("e").alias("j", "b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    return cells.groupBy("matrix_id", "i", "j").agg((F.sum(product) + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
 
 
 def _mat_sql(select: str, more: str = "") -> str:
@@ -349,7 +381,7 @@ def _mat_sql(select: str, more: str = "") -> str:
 def mat_elementwise(spark, sf_dir):
     m = _matrices(spark, sf_dir)
     t = mat.transpose(m.withColumn("v", F.col("v") * (F.col("i") + 1)))
-    parts = {"added": mat.add(m, t), "subtracted": mat.sub(m, t), "scaled": mat.scale(m, 2.5), "transposed": t, "filled": mat.fill(m, 7.0), "set_": mat.set_(m, 1, 2, -1.0)}
+    parts = {"added": mat.add(m, t), "subtracted": mat.sub(m, t), "scaled": mat.scale(m, 2.5), "transposed": t, "filled": mat.fill(m, 7.0), "set_": mat.set_(m, 1, 2, -1.0), "copied": mat.copy(mat.clone(m))}
     out = None
     for name, part in parts.items():
         part = part.withColumnRenamed("v", name)
@@ -358,7 +390,7 @@ def mat_elementwise(spark, sf_dir):
 
 
 MAT_ELEMENTWISE_SQL = _mat_sql(
-    f"SELECT matrix_id, i, j, {rounded('v + v * (j + 1)')} AS added, {rounded('v - v * (j + 1)')} AS subtracted, {rounded('v * 2.5')} AS scaled, {rounded('v * (j + 1)')} AS transposed, 7.0::DOUBLE AS filled, {rounded('CASE WHEN i = 1 AND j = 2 THEN -1 ELSE v END')} AS set_ FROM m"
+    f"SELECT matrix_id, i, j, {rounded('v + v * (j + 1)')} AS added, {rounded('v - v * (j + 1)')} AS subtracted, {rounded('v * 2.5')} AS scaled, {rounded('v * (j + 1)')} AS transposed, 7.0::DOUBLE AS filled, {rounded('CASE WHEN i = 1 AND j = 2 THEN -1 ELSE v END')} AS set_, {rounded('v')} AS copied FROM m"
 )
 
 
@@ -372,7 +404,7 @@ MAT_MUL_SQL = _mat_sql(f"SELECT a.matrix_id, a.i, b.j, {rounded('sum(a.v * b.v *
 
 def mat_mul_vec(spark, sf_dir):
     m = _matrices(spark, sf_dir)
-    x = m.where("i = 0").select("matrix_id", "j", F.col("v").alias("x"))
+    x = mat.row(m, 0).withColumnRenamed("v", "x")
     return _shown(mat.mul_vec(m, x))
 
 
@@ -392,37 +424,77 @@ MAT_REDUCTIONS_SQL = _mat_sql(
 )
 
 
-def _residual(df: DataFrame, x: Column, y: Column) -> Column:
-    return F.array_max(F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: F.abs(p["x"] - p["y"])))
+def _residual(x: Column, y: Column) -> Column:
+    """The largest difference of two vectors; NaN counts as one."""
+    far = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: F.abs(p["x"] - p["y"]))
+    return F.array_max(F.transform(far, lambda v: F.coalesce(v, F.lit(float("nan")))))
 
 
 def _product(a: Column, x: Column) -> Column:
     return F.transform(a, lambda r: F.aggregate(F.zip_with(r, x, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v))
 
 
+def _columns(a: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(a[0]) - 1), lambda j: F.transform(a, lambda r: F.get(r, j)))
+
+
+def _times(a: Column, b: Column) -> Column:
+    """a b of arrays of rows."""
+    return F.transform(a, lambda r: _product(_columns(b), r))
+
+
+def _unit(n: int, factor: Column | None = None) -> Column:
+    one = F.lit(1.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(i == j, one if factor is None else F.get(factor, i)).otherwise(0.0)))
+
+
+def _far(a: Column, b: Column) -> Column:
+    """The largest difference of two matrices."""
+    return _residual(F.flatten(a), F.flatten(b))
+
+
+def _beyond(a: Column, upper: bool) -> Column:
+    """The largest absolute value above (or below) the diagonal."""
+    return F.array_max(F.flatten(F.transform(a, lambda r, i: F.transform(r, lambda v, j: F.when((j > i) if upper else (j < i), F.abs(v)).otherwise(0.0)))))
+
+
 def mat_linalg(spark, sf_dir):
-    """What the factorisations leave over, which is zero to six places, and eigenvalues' sum and product."""
+    """What the factorisations leave over, which is zero to six places; eigenvalues' sum and square sum; the faults of a
+    matrix of zeros and of one with negative squares."""
+    n = 8
     a = mat.to_arrays(_matrices(spark, sf_dir)).withColumn("b", F.col("a")[0]).withColumn("k", F.col("a"))
     solved = mat.solve(a.withColumn("m", F.col("a")).withColumn("c", F.col("b")))
-    out = solved.select("matrix_id", "status", _residual(solved, _product(F.col("m"), F.col("x")), F.col("c")).alias("solve"))
+    out = solved.select("matrix_id", "status", _residual(_product(F.col("m"), F.col("x")), F.col("c")).alias("solve"))
     inv = mat.inverse(a)
-    first = F.array([F.lit(1.0)] + [F.lit(0.0)] * 3)
-    inv = inv.select("matrix_id", _residual(inv, _product(F.col("inverse"), F.col("b")), first).alias("inverse"))
-    chol = mat.cholesky_solve(mat.cholesky(a).withColumn("c", F.col("b")))
-    chol = chol.select("matrix_id", _residual(chol, _product(F.col("k"), F.col("x")), F.col("c")).alias("cholesky"))
+    inv = inv.select("matrix_id", _far(_times(F.col("k"), F.col("inverse")), _unit(n)).alias("inverse"))
+    low = mat.cholesky(a).withColumn("c", F.col("b")).withColumn("low", F.col("l"))
+    chol = mat.cholesky_solve(low)
+    chol = chol.select(
+        "matrix_id", _residual(_product(F.col("k"), F.col("x")), F.col("c")).alias("cholesky_solve"), _far(_times(F.col("low"), _columns(F.col("low"))), F.col("k")).alias("cholesky"),
+        _beyond(F.col("low"), True).alias("cholesky_upper"), F.forall(F.transform("low", lambda r, i: F.get(r, i)), lambda v: v > 0).alias("cholesky_positive"),
+    )
     least = mat.least_squares(a.withColumn("c", F.col("b")))
-    least = least.select("matrix_id", _residual(least, _product(F.col("k"), F.col("x")), F.col("c")).alias("least_squares"))
+    least = least.select("matrix_id", _residual(_product(F.col("k"), F.col("x")), F.col("c")).alias("least_squares"))
     q_ = mat.qr(a)
-    q_ = q_.select("matrix_id", _residual(q_, _product(F.col("q"), F.transform("r", lambda r: r[0])), F.transform("k", lambda r: r[0])).alias("qr"))
-    eig = mat.eigen_sym(a).select("matrix_id", "converged", F.aggregate("values", F.lit(0.0), lambda t, v: t + v).alias("eigen_sum"), F.aggregate("values", F.lit(0.0), lambda t, v: t + v * v).alias("eigen_squares"))
-    for part in (inv, chol, least, q_, eig):
+    q_ = q_.select("matrix_id", _far(_times(F.col("q"), F.col("r")), F.col("k")).alias("qr"), _far(_times(_columns(F.col("q")), F.col("q")), _unit(n)).alias("qr_orthogonal"), _beyond(F.col("r"), False).alias("qr_lower"))
+    eig = mat.eigen_sym(a, tolerance=1e-20)
+    v = F.col("vectors")
+    eig = eig.select(
+        "matrix_id", "converged", F.aggregate("values", F.lit(0.0), lambda t, x: t + x).alias("eigen_sum"), F.aggregate("values", F.lit(0.0), lambda t, x: t + x * x).alias("eigen_squares"),
+        _far(_times(F.col("k"), v), _times(v, _unit(n, F.col("values")))).alias("eigen_vectors"), _far(_times(_columns(v), v), _unit(n)).alias("eigen_orthogonal"),
+    )
+    scaled = lambda by: F.transform("a", lambda r: F.transform(r, lambda x: x * by))
+    flat = mat.solve(a.withColumn("a", scaled(0.0))).select("matrix_id", F.col("status").alias("flat_status"))
+    negative = mat.cholesky(a.withColumn("a", scaled(-1.0))).select("matrix_id", F.col("status").alias("negative_status"))
+    for part in (inv, chol, least, q_, eig, flat, negative):
         out = out.join(part, "matrix_id")
     return _shown(out)
 
 
-_ZERO = "0.0::DOUBLE"
+_LEFT = "solve inverse cholesky_solve cholesky cholesky_upper least_squares qr qr_orthogonal qr_lower eigen_vectors eigen_orthogonal".split()
 MAT_LINALG_SQL = _mat_sql(
-    f"SELECT matrix_id, 'ok' AS status, {_ZERO} AS solve, {_ZERO} AS inverse, {_ZERO} AS cholesky, {_ZERO} AS least_squares, {_ZERO} AS qr, true AS converged, {rounded('sum(v) FILTER (i = j)')} AS eigen_sum, {rounded('sum(v * v)')} AS eigen_squares FROM m GROUP BY matrix_id"
+    f"SELECT matrix_id, 'ok' AS status, {', '.join(f'0.0::DOUBLE AS {c}' for c in _LEFT)}, true AS cholesky_positive, true AS converged, {rounded('sum(v) FILTER (i = j)')} AS eigen_sum, {rounded('sum(v * v)')} AS eigen_squares,"
+    " 'singular' AS flat_status, 'not positive definite' AS negative_status FROM m GROUP BY matrix_id"
 )
 
 
@@ -450,7 +522,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_reductions": (reductions, REDUCTIONS_SQL), "vec_reductions_nan": (reductions_nan, REDUCTIONS_NAN_SQL), "vec_moments": (moments, MOMENTS_SQL), "vec_max_drawdown": (max_drawdown, MAX_DRAWDOWN_SQL),
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
-    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 

@@ -60,6 +60,13 @@ class Ring:
         self.first = self.count = 0
 
 
+def _added(total: tuple[float, float], v: float) -> tuple[float, float]:
+    """A sum and what rounding has lost of it, with v added."""
+    new = total[0] + v
+    lost = (total[0] - new) + v if abs(total[0]) >= abs(v) else (v - new) + total[0]
+    return new, total[1] + lost if math.isfinite(new) else 0.0
+
+
 class Roller:
     def __init__(self, window: int):
         if window < 1:
@@ -87,26 +94,43 @@ class Roller:
 
 
 class Sum(Roller):
-    """Sum of the last n values; NaN until there are n and while one of them is NaN. The sum is taken anew from the ring
-    with exact summation, so nothing is left behind by values that have gone."""
+    """Sum of the last n values; NaN until there are n and while one of them is NaN. The window is two stacks: new values
+    go on one, whose compensated sum grows; old ones leave the other, which has the sum of what is left with each value and
+    is filled from the first when empty. So a value costs a few additions, and none is ever taken out of a sum."""
 
     def reset(self) -> None:
-        self.ring = Ring(self.n)
+        self.new: list[float] = []
+        self.sum: tuple[float, float] = (0.0, 0.0)
+        #: Value, and the sum from it to the newest here; the oldest is last.
+        self.old: list[tuple[float, tuple[float, float]]] = []
 
     def push(self, v: float) -> float:
-        self.ring.push(v)
-        if not self.ring.full():
+        if len(self.new) + len(self.old) == self.n:
+            if not self.old:
+                total = (0.0, 0.0)
+                while self.new:
+                    x = self.new.pop()
+                    total = _added(total, x)
+                    self.old.append((x, total))
+                self.sum = (0.0, 0.0)
+            self.old.pop()
+        self.new.append(v)
+        self.sum = _added(self.sum, v)
+        if len(self.new) + len(self.old) < self.n:
             return NAN
-        values = self.ring.values
-        return NAN if any(x != x for x in values) else math.fsum(values) if all(math.isfinite(x) for x in values) else sum(values)
+        total = self.sum
+        if self.old:
+            rest = self.old[-1][1]
+            total = _added(_added(total, rest[0]), rest[1]) if math.isfinite(rest[0]) else _added(total, rest[0])
+        return total[0] + total[1] if math.isfinite(total[0]) else total[0]
 
     def state(self) -> list[float]:
-        return [self.ring.at(i) for i in range(self.ring.len())]
+        return [v for v, _ in reversed(self.old)] + self.new
 
     def restore(self, state: list[float]) -> None:
         self.reset()
         for v in state:
-            self.ring.push(v)
+            self.push(v)
 
 
 class SMA(Sum):
@@ -177,8 +201,8 @@ def apply_batch(df: DataFrame, keys: list[str], ord: str, x: str, kind: str, n:
 class RollerProcessor(StatefulProcessor):
     """A roller for each key; its state is one array of doubles. It emits every row with the roller's value."""
 
-    def __init__(self, kind: str, n: int, ord: str, x: str, columns: list[str]):
-        self.kind, self.n, self.ord, self.x, self.columns = kind, n, ord, x, columns
+    def __init__(self, kind: str, n: int, ord: str, x: str, columns: list[str], in_order: bool = False):
+        self.kind, self.n, self.ord, self.x, self.columns, self.in_order = kind, n, ord, x, columns, in_order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("values", ArrayType(DoubleType(), False), True)])
@@ -189,19 +213,20 @@ class RollerProcessor(StatefulProcessor):
         if self.kept.exists():
             # A NaN is stored as the NULL that pandas makes of it.
             roller.restore([NAN if v is None else float(v) for v in self.kept.get()[0]])
-        got = pd.concat(list(rows)).sort_values(self.ord, kind="stable")
-        got[self.kind] = [roller.push(NAN if v is None else float(v)) for v in got[self.x]]
+        for got in rows if self.in_order else [pd.concat(list(rows)).sort_values(self.ord, kind="stable")]:
+            made = [roller.push(NAN if v is None else float(v)) for v in got[self.x]]
+            yield got[self.columns].assign(**{self.kind: made})
         self.kept.update((roller.state(),))
-        yield got[[*self.columns, self.kind]]
 
     def close(self) -> None:
         pass
 
 
-def apply_stream(df: DataFrame, keys: list[str], ord: str, x: str, kind: str, n: int) -> DataFrame:
-    """A streaming df with column `kind`; needs the RocksDB state store. NaN shows as NULL in the result."""
+def apply_stream(df: DataFrame, keys: list[str], ord: str, x: str, kind: str, n: int, in_order: bool = False) -> DataFrame:
+    """A streaming df with column `kind`; needs the RocksDB state store. NaN shows as NULL in the result. A key's rows of a
+    micro-batch are sorted in memory; with `in_order`, which says that they come so, they are taken as they stream in."""
     KINDS[kind](n)
     schema = StructType([*df.schema.fields, StructField(kind, DoubleType())])
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RollerProcessor(kind, n, ord, x, df.columns), outputStructType=schema, outputMode="append", timeMode="none"
+        statefulProcessor=RollerProcessor(kind, n, ord, x, df.columns, in_order), outputStructType=schema, outputMode="append", timeMode="none"
     )
