@@ -460,35 +460,32 @@ def _beyond(a: Column, upper: bool) -> Column:
 
 def mat_linalg(spark, sf_dir):
     """What the factorisations leave over, which is zero to six places; eigenvalues' sum and square sum; the faults of a
-    matrix of zeros and of one with negative squares."""
-    n = 8
-    a = mat.to_arrays(_matrices(spark, sf_dir)).withColumn("b", F.col("a")[0]).withColumn("k", F.col("a"))
-    solved = mat.solve(a.withColumn("m", F.col("a")).withColumn("c", F.col("b")))
-    out = solved.select("matrix_id", "status", _residual(_product(F.col("m"), F.col("x")), F.col("c")).alias("solve"))
-    inv = mat.inverse(a)
-    inv = inv.select("matrix_id", _far(_times(F.col("k"), F.col("inverse")), _unit(n)).alias("inverse"))
-    low = mat.cholesky(a).withColumn("c", F.col("b")).withColumn("low", F.col("l"))
-    chol = mat.cholesky_solve(low)
-    chol = chol.select(
-        "matrix_id", _residual(_product(F.col("k"), F.col("x")), F.col("c")).alias("cholesky_solve"), _far(_times(F.col("low"), _columns(F.col("low"))), F.col("k")).alias("cholesky"),
-        _beyond(F.col("low"), True).alias("cholesky_upper"), F.forall(F.transform("low", lambda r, i: F.get(r, i)), lambda v: v > 0).alias("cholesky_positive"),
-    )
-    least = mat.least_squares(a.withColumn("c", F.col("b")))
-    least = least.select("matrix_id", _residual(_product(F.col("k"), F.col("x")), F.col("c")).alias("least_squares"))
-    q_ = mat.qr(a)
-    q_ = q_.select("matrix_id", _far(_times(F.col("q"), F.col("r")), F.col("k")).alias("qr"), _far(_times(_columns(F.col("q")), F.col("q")), _unit(n)).alias("qr_orthogonal"), _beyond(F.col("r"), False).alias("qr_lower"))
-    eig = mat.eigen_sym(a, tolerance=1e-20)
-    v = F.col("vectors")
-    eig = eig.select(
-        "matrix_id", "converged", F.aggregate("values", F.lit(0.0), lambda t, x: t + x).alias("eigen_sum"), F.aggregate("values", F.lit(0.0), lambda t, x: t + x * x).alias("eigen_squares"),
-        _far(_times(F.col("k"), v), _times(v, _unit(n, F.col("values")))).alias("eigen_vectors"), _far(_times(_columns(v), v), _unit(n)).alias("eigen_orthogonal"),
-    )
-    scaled = lambda by: F.transform("a", lambda r: F.transform(r, lambda x: x * by))
-    flat = mat.solve(a.withColumn("a", scaled(0.0))).select("matrix_id", F.col("status").alias("flat_status"))
-    negative = mat.cholesky(a.withColumn("a", scaled(-1.0))).select("matrix_id", F.col("status").alias("negative_status"))
-    for part in (inv, chol, least, q_, eig, flat, negative):
-        out = out.join(part, "matrix_id")
-    return _shown(out)
+    matrix of zeros and of one with negative squares. The kernels follow one another over one pass of the matrices."""
+    n, k = 8, F.col("k")
+
+    def then(df: DataFrame, kernel: Callable, names: dict[str, str], **inputs: Column) -> DataFrame:
+        return kernel(df.withColumns(inputs)).withColumnsRenamed(names)
+
+    scaled = lambda by: F.transform(k, lambda r: F.transform(r, lambda x: x * by))
+    df = mat.to_arrays(_matrices(spark, sf_dir)).withColumnRenamed("a", "k")
+    df = then(df, mat.solve, {"x": "solved", "status": "solve_status"}, a=k, b=k[0])
+    df = then(df, mat.inverse, {"inverse": "inverted", "status": "inverse_status"}, a=k)
+    df = then(df, mat.cholesky, {"l": "low", "status": "cholesky_status"}, a=k)
+    df = then(df, mat.cholesky_solve, {"x": "by_cholesky"}, l=F.col("low"), b=k[0])
+    df = then(df, mat.least_squares, {"x": "fitted", "status": "least_status"}, a=k, b=k[0])
+    df = then(df, mat.qr, {}, a=k)
+    df = then(df, lambda d: mat.eigen_sym(d, tolerance=1e-20), {}, a=k)
+    df = then(df, mat.solve, {"x": "none", "status": "flat_status"}, a=scaled(0.0), b=k[0])
+    df = then(df, mat.cholesky, {"l": "no_low", "status": "negative_status"}, a=scaled(-1.0))
+    low, q_, r, v = (F.col(c) for c in ("low", "q", "r", "vectors"))
+    return _shown(df.select(
+        "matrix_id", F.col("solve_status").alias("status"), _residual(_product(k, F.col("solved")), k[0]).alias("solve"), _far(_times(k, F.col("inverted")), _unit(n)).alias("inverse"),
+        _residual(_product(k, F.col("by_cholesky")), k[0]).alias("cholesky_solve"), _far(_times(low, _columns(low)), k).alias("cholesky"), _beyond(low, True).alias("cholesky_upper"),
+        F.forall(F.transform(low, lambda x, i: F.get(x, i)), lambda x: x > 0).alias("cholesky_positive"), _residual(_product(k, F.col("fitted")), k[0]).alias("least_squares"),
+        _far(_times(q_, r), k).alias("qr"), _far(_times(_columns(q_), q_), _unit(n)).alias("qr_orthogonal"), _beyond(r, False).alias("qr_lower"),
+        "converged", F.aggregate("values", F.lit(0.0), lambda t, x: t + x).alias("eigen_sum"), F.aggregate("values", F.lit(0.0), lambda t, x: t + x * x).alias("eigen_squares"),
+        _far(_times(k, v), _times(v, _unit(n, F.col("values")))).alias("eigen_vectors"), _far(_times(_columns(v), v), _unit(n)).alias("eigen_orthogonal"), "flat_status", "negative_status",
+    ))
 
 
 _LEFT = "solve inverse cholesky_solve cholesky cholesky_upper least_squares qr qr_orthogonal qr_lower eigen_vectors eigen_orthogonal".split()
