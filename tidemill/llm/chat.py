@@ -10,8 +10,9 @@ keeps the turns of a merged block apart.
 
 Rows are range-partitioned by (conv_id, turn, role, text), so a conversation with a third of all rows spreads over many
 tasks, and are collected, sorted and merged in segments of at most `segment` successive turns. A conversation's segments, in
-order, are its formatted text; a segment that goes on with the role of the one before continues its block. No value grows
-with a conversation's length. loss_spans are the code point spans, in a segment's text, of the escaped assistant texts.
+order, are its formatted text; a segment that goes on with the role of the one before continues its block. What meets in one
+task by conversation is a number and two roles for each segment. No value grows with a conversation's length, but for the
+digests of `read_back`, which reads a conversation's segments one after the other as SHA-256 has to. loss_spans are the code point spans, in a segment's text, of the escaped assistant texts.
 
 Null texts and roles are empty; a null turn goes first; equal turns go by role, then text; repeated rows stay. Rows with a
 null conv_id form one conversation. Other columns are ignored. An empty table gives no rows."""
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import pick
+from tidemill.llm._shared import materialize, pick
 
 _CONTROL = r"(\\|<turn |</turn>|<part>)"
 _CONTROL_IN_ROLE = r"(\\|<turn |</turn>|<part>|>)"
@@ -58,19 +59,23 @@ def format_conversations(turns: DataFrame, segment: int = 128, loss_role: str =
     )
     merged = packed.select(
         "conv_id",
+        "piece",
         "group",
         F.size("turns").cast("long").alias("n_turns"),
         F.aggregate("turns", F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), _merge).alias("blocks"),
     )
+    # Written once: both the neighbours' roles and the texts come from it, and a second run might cut segments elsewhere.
+    merged = materialize(merged.withColumns({"first": F.element_at("blocks", 1)["role"], "last": F.element_at("blocks", -1)["role"]}), "chat-segments")
+    # Only roles of segments meet by conversation, which is less than a hundredth of the rows and none of the texts.
     w = Window.partitionBy("conv_id").orderBy("group")
-    linked = merged.select(
-        "conv_id",
+    places = merged.select(
+        F.col("conv_id").alias("conv"),
+        F.col("group").alias("own"),
         (F.row_number().over(w) - 1).cast("long").alias("segment"),
-        "n_turns",
-        "blocks",
-        F.lag(F.element_at("blocks", -1)["role"]).over(w).alias("before"),
-        F.lead(F.element_at("blocks", 1)["role"]).over(w).alias("after"),
+        F.lag("last").over(w).alias("before"),
+        F.lead("first").over(w).alias("after"),
     )
+    linked = merged.join(places, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("group") == F.col("own"))).select("conv_id", "segment", "n_turns", "blocks", "before", "after")
     pieces = linked.withColumn("pieces", F.flatten(F.transform("blocks", lambda b, i: _pieces(b, i, loss_role))))
     pieces = pieces.withColumn("starts", _starts(F.col("pieces")))
     return pieces.select(
