@@ -17,7 +17,7 @@ def test_chat_round_trip(spark, segment):
     rng = random.Random(2)
     bits = ["\\", "<turn ", "</turn>", "<part>", ">", "\n", "a", "</tu", "<", "é"]
     rows = [(c, rng.choice([None, 0, 1, 2, 9]), rng.choice(["user", "assistant", "a>b", None, "as\\s"]), rng.choice([None, ""] + ["".join(rng.choices(bits, k=k)) for k in range(1, 8)])) for c in (1, 2, None) for _ in range(150)]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumnRenamed("none", "segment")
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' as segment", "1 as piece", "2 as blocks", "3 as at")
     out = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns, segment=segment, partitions=5)).collect()}
     for c in (1, 2, None):
         own = sorted([(x[1] if x[1] is not None else -1, x[2] or "", x[3] or "") for x in rows if x[0] == c], key=lambda x: (x[0], x[1].encode(), x[2].encode()))
@@ -28,6 +28,17 @@ def test_chat_round_trip(spark, segment):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_of_long_texts_and_a_hot_conversation(spark):
+    rows = [(1, t, "user" if t % 700 else "assistant", "word " * (t % 5)) for t in range(3000)] + [(c, 0, "user", "x") for c in range(2, 200)]
+    rows += [(500, 0, "assistant", "<turn " * 200_000 + "é"), (500, 1, "assistant", "\\" * 300_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    out = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns, partitions=6)).collect()}
+    assert out[1].n_turns == 3000 and out[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 1).encode()).hexdigest()
+    assert out[500].loss_sha256 == hashlib.sha256((rows[-2][3] + rows[-1][3]).encode()).hexdigest() and out[500].loss_chars == 1_500_001
+    segments = chat.format_conversations(turns, partitions=6).where("conv_id = 1").orderBy("segment").collect()
+    assert [s.segment for s in segments] == list(range(len(segments))) and len(segments) >= 24 and "".join(s.formatted for s in segments).count("<turn ") == 10
+
+
 def test_chat_merges_turns_of_one_role(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")]
     f = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), partitions=1).first()
@@ -108,11 +119,88 @@ def test_fingerprints_of_edits(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abca").hexdigest() and one.near_next == 1
 
 
+def _paragraph(fingerprint, place):
+    """The number of a paragraph, counted over all sections."""
+    return sum(s.count(",") + 1 for s in fingerprint.split("/")[1 : place[0] + 1]) + place[1]
+
+
 def test_differences_locate_edits():
-    text = "\n".join(f"line {i} of some words here {i * i}" for i in range(40))
+    lines = [f"line {i} of some words here {i * i}" for i in range(60)]
+    text = "\n".join(lines)
     a, b = merkle.fingerprints([text, text.replace("line 20 ", "line XX ")])
     found = merkle.differences(a, b)
-    assert len(found) == 1 and merkle.differences(a, a) == [] and 0.9 < merkle.likeness(a, b) < 1
+    assert [_paragraph(a, p) for p in found] == [20] and merkle.differences(a, a) == [] and 0.9 < merkle.likeness(a, b) < 1
+    assert merkle.located(a, b) == f"{found[0][0]}.{found[0][1]}" and merkle.located(a, a) == ""
+    rng = random.Random(9)
+    for _ in range(60):
+        new, touched = list(lines), set()
+        for i in sorted(rng.sample(range(60), rng.randint(0, 4)), reverse=True):
+            touched.add(i)
+            new[i : i + 1] = rng.choice([[], [f"other {i} words are here"], [f"other {i} words", f"and more of {i} them"]])
+        at = rng.randint(0, len(new))
+        new[at:at] = [f"new line {k} with words {k * 7}" for k in range(rng.choice([0, 0, 1, 20]))]  # moves all that follows
+        b = merkle.fingerprints(["\n".join(new)])[0]
+        assert {_paragraph(a, p) for p in merkle.differences(a, b)} == touched
+    a, b = merkle.fingerprints(["\n".join(["same words again"] * 50), "\n".join(["same words again"] * 48)])
+    assert len(merkle.differences(a, b)) == 2
+
+
+def _tree(text):
+    """A plain reading of the fingerprint: (paragraphs as lists of pieces of words)."""
+    from tidemill.llm._text import NOT_BLANK, words
+    import pyarrow as pa
+    import re
+
+    out = []
+    for line in text.split("\n"):
+        found = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if found:
+            hashes = [int(words(pa.array([w]), NOT_BLANK, fold=False)[0][0]) for w in found]
+            pieces, now = [], []
+            for w, h in zip(found, hashes, strict=True):
+                now.append(w)
+                if h % 4 == 0:
+                    pieces.append(now)
+                    now = []
+            pieces += [now] if now else []
+            out.append([tuple(p[i : i + merkle.LONGEST]) for p in pieces for i in range(0, len(p), merkle.LONGEST)])
+    return out
+
+
+def test_fingerprints_against_a_plain_tree():
+    """Leaves stand for pieces one to one, paragraphs stand where the plain reading has them, likeness counts common pieces."""
+    from collections import Counter
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["ab", "cde", "f", "é", "\n", "ghi", "\t x", "Ab"], k=rng.randint(0, 90))) for _ in range(120)] + ["", "one", "\n\n"]
+    prints, trees = merkle.fingerprints(texts), [_tree(t) for t in texts]
+    name = {}
+    for p, tree in zip(prints, trees, strict=True):
+        bodies = [x for s in p.split("/")[1:] for x in s.split(",")]
+        assert [len(b) // merkle.WIDTH for b in bodies] == [len(x) for x in tree]
+        for body, pieces in zip(bodies, tree, strict=True):
+            for i, piece in enumerate(pieces):
+                leaf = body[merkle.WIDTH * i : merkle.WIDTH * (i + 1)]
+                assert name.setdefault(piece, leaf) == leaf
+    assert len(set(name.values())) == len(name)
+    for i in range(0, 120, 7):
+        for j in range(0, 120, 11):
+            x, y = (Counter(p for line in trees[k] for p in line) for k in (i, j))
+            either = x.total() + y.total()
+            want = 1.0 if texts[i] == texts[j] else 2 * (x & y).total() / either if x and y else 0.0
+            assert merkle.likeness(prints[i], prints[j]) == pytest.approx(want)
+        assert (prints[i] == prints[i + 1]) == (texts[i] == texts[i + 1])
+
+
+def test_fingerprints_of_odd_tables(spark):
+    rows = [(5, "b a"), (5, "a b"), (5, "a b"), (None, "x y"), (None, None), (7, "long words " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as part", "2 as own", "'k' as key").repartition(3)
+    for kw in ({}, {"rows_each": 1}, {"rows_each": 1, "most_parts": 2}):
+        out = merkle.fingerprint_edits(docs, **kw).collect()
+        order = sorted(((d is not None, d or 0, t or "") for d, t in rows))
+        want = sorted(hashlib.sha256(merkle.edited(a[2], b[2]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1], strict=True))
+        assert sorted(r.edited_sha256 for r in out) == want and sorted(r.n_chars for r in out) == [0, 3, 3, 3, 3, 1_100_000]
+        assert all(r.near_next == 1 for r in out if r.doc_id == 5 and r.near_next > 0.99) and max(r.near_next for r in out) == 1
 
 
 def test_cumulative_link_recovers_order():

@@ -8,11 +8,17 @@ root and leaves; inner hashes follow from the leaves, and `differences` descends
 
 Fingerprint: root (32 hex digits), then for each section "/" and its paragraphs joined by ",", a paragraph being its pieces'
 hashes of six characters (36 bits). Null and empty texts have a root and no leaves. Likeness is the share of leaves in
-common (twice the common ones, with multiplicity, over all); without leaves on either side it is 1 for equal roots, else 0."""
+common (twice the common ones, with multiplicity, over all); without leaves on either side it is 1 for equal roots, else 0.
+
+Rows of equal doc_id go by text, and all return; a null doc_id goes first; repeated rows are each other's next documents, the
+only row of a table is its own. An empty table gives no rows. Columns other than doc_id and text, whatever their names, are
+ignored. A very long text costs time and memory in proportion to itself."""
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -115,20 +121,72 @@ def likeness(a: str, b: str) -> float:
     return float(2 * common / (len(x) + len(y)))
 
 
+def _aligned(mine: list[str], theirs: list[str]) -> list[tuple[int, int, int, int]]:
+    """What two lists of hashes don't have in common, in order: (first, end, first there, end there). Equal ends are taken
+    off; between them, hashes that both hold once are matched in the longest order that both share."""
+    first = 0
+    while first < min(len(mine), len(theirs)) and mine[first] == theirs[first]:
+        first += 1
+    tail = 0
+    while tail < min(len(mine), len(theirs)) - first and mine[-1 - tail] == theirs[-1 - tail]:
+        tail += 1
+    a, b = range(first, len(mine) - tail), range(first, len(theirs) - tail)
+    once = Counter(mine[i] for i in a)
+    place = {theirs[j]: j for j in b}
+    there = Counter(theirs[j] for j in b)
+    pairs = [(i, place[mine[i]]) for i in a if once[mine[i]] == 1 and there[mine[i]] == 1]
+    ends: list[int] = []  # of the best run of each length, by its last place there
+    best: list[tuple[int, int]] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(ends, j)
+        back.append(best[at - 1][1] if at else -1)
+        if at == len(ends):
+            ends.append(j)
+            best.append((j, k))
+        else:
+            ends[at], best[at] = j, (j, k)
+    matched, k = [], best[-1][1] if best else -1
+    while k >= 0:
+        matched.append(pairs[k])
+        k = back[k]
+    out, i, j = [], first, first
+    for x, y in [*reversed(matched), (len(mine) - tail, len(theirs) - tail)]:
+        if i < x or j < y:
+            out.append((i, x, j, y))
+        i, j = x + 1, y + 1
+    return out
+
+
 def differences(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of the paragraphs of a that b has not in that section; sections that b also has are skipped."""
+    """(section, paragraph) of the paragraphs of a that have no counterpart in b. Only sections whose hashes differ are looked
+    into, and sections and paragraphs are aligned by hash, so what an insertion has moved isn't named."""
     if a[:32] == b[:32]:
         return []
-    mine, theirs = a.split("/")[1:], b.split("/")[1:]
-    known = {_node(s.split(",")) for s in theirs}
+    mine, theirs = ([s.split(",") for s in x.split("/")[1:]] for x in (a, b))
+    places = [(i, k) for i, section in enumerate(mine) for k in range(len(section))]
+    begins = np.cumsum([0, *[len(s) for s in mine]]).tolist()
     out = []
-    for i, section in enumerate(mine):
-        if _node(section.split(",")) not in known:
-            near = set(theirs[i].split(",")) if i < len(theirs) else set()
-            out += [(i, k) for k, p in enumerate(section.split(",")) if p not in near]
+    for first, end, there, until in _aligned([_node(s) for s in mine], [_node(s) for s in theirs]):
+        own = [p for s in mine[first:end] for p in s]
+        for x, y, _, _ in _aligned(own, [p for s in theirs[there:until] for p in s]):
+            out += places[begins[first] + x : begins[first] + y]
     return out
 
 
+def located(a: str, b: str) -> str:
+    """The differing paragraphs of a as ranges "section.paragraph-section.paragraph", joined by commas."""
+    found = differences(a, b)
+    sizes = [s.count(",") + 1 for s in a.split("/")[1:]]
+    runs: list[list[tuple[int, int]]] = []
+    for place in found:
+        if runs and place in ((runs[-1][1][0], runs[-1][1][1] + 1), (runs[-1][1][0] + 1, 0)) and (place[1] or runs[-1][1][1] + 1 == sizes[runs[-1][1][0]]):
+            runs[-1][1] = place
+        else:
+            runs.append([place, place])
+    return ",".join(f"{x[0]}.{x[1]}" + (f"-{y[0]}.{y[1]}" if y != x else "") for x, y in runs)
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row's whole text; no shuffle."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +200,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 _LOWEST = -(2**63)
 
 
-def _in_parts(docs: DataFrame, rows_each: int) -> DataFrame:
+def _in_parts(docs: DataFrame, rows_each: int, most_parts: int) -> DataFrame:
     """(part, own, key, doc_id, text), dealt by part and in order: parts hold consecutive doc_ids (null first; rows of equal
     doc_id go by text), each followed by the first row of the next part, the last by the first of all (own = false).
-    The bounds are ids that occur, found on the id column alone; the driver sees one id a part."""
+    The bounds are ids that occur, found on the id column alone; the driver sees one id for each of at most most_parts parts.
+    A part is a partition of its own; it is sorted there, with spilling, and read in batches, so it may be of any size."""
     ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"))
     count = ids.count()
-    wanted = max(1, -(-count // rows_each))
+    wanted = min(max(1, -(-count // rows_each)), most_parts)
     shares = F.array(*[F.lit(k / wanted) for k in range(1, wanted)]) if wanted > 1 else F.array(F.lit(0.5))
     lowest, found = ids.agg(F.min("key"), F.percentile_approx("key", shares, 10 * wanted + 100)).first()
     bounds = np.array(sorted({b for b in found or [] if b > lowest} if wanted > 1 else set()), np.int64)
@@ -169,7 +228,7 @@ def _in_parts(docs: DataFrame, rows_each: int) -> DataFrame:
 
     keyed = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = keyed.mapInArrow(place, "part long, own boolean, key long, doc_id long, text string")
-    return placed.repartition("part").sortWithinPartitions("part", F.desc("own"), "key", "text")
+    return placed.repartitionById(len(begins), F.col("part").cast("int")).sortWithinPartitions("part", F.desc("own"), "key", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -178,10 +237,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def fingerprint_edits(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next, where the next document is that of the next larger doc_id (after the last: the first). Texts are shuffled
-    once, into parts of about rows_each rows; a task holds a few megabytes of them at a time."""
+def fingerprint_edits(docs: DataFrame, rows_each: int = 1000, most_parts: int = 4096) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next and edited_at (the paragraphs that the edit has changed or removed, see `located`), where the next document is
+    that of the next larger doc_id (after the last: the first). Texts are shuffled once, into parts of about rows_each rows,
+    or larger ones if that makes more than most_parts; a task holds a few megabytes of them at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, waiting = None, None  # the part, and its last row: (doc_id, text, fingerprint, own)
@@ -206,9 +266,10 @@ def fingerprint_edits(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
                 pa.array(new, pa.string()),
                 pa.array([likeness(a[2], e) for (a, _), e in zip(pairs, new, strict=True)], pa.float64()),
                 pa.array([likeness(a[2], b[2]) for a, b in pairs], pa.float64()),
+                pa.array([located(a[2], e) for (a, _), e in zip(pairs, new, strict=True)], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_at"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_parts(own, rows_each).mapInArrow(run, schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at string"
+    return _in_parts(own, rows_each, most_parts).mapInArrow(run, schema)
