@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._shared import pick, sliced
+from tidemill.llm._table import Table, spread
 
 #: White space as Unicode's White_Space has it; the regex module's own class also holds U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -121,44 +122,6 @@ def merge(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 60) -> list[i
     return out
 
 
-class _Table:
-    """A hash table of int64 keys to int32 values in numpy, read and written by whole arrays. Unknown keys give -1."""
-
-    def __init__(self, bits: int = 16):
-        self.bits, self.held = bits, 0
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self._place(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], -1)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            own = self.keys[at[open_]]
-            out[open_] = np.where(own == keys[open_], self.values[at[open_]], -1)
-            open_ = open_[(own != keys[open_]) & (own >= 0)]
-        return out
-
-    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Of distinct keys that aren't held."""
-        if 2 * (self.held + len(keys)) > 1 << self.bits:
-            old = self.keys >= 0
-            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
-            self.__init__(max(self.bits + 1, int(4 * len(keys)).bit_length()))
-        self.held += len(keys)
-        at = self._place(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[free]
-            placed = self.keys[at] == keys  # of several that want a place, the last written has it
-            self.values[at[placed]] = values[placed]
-            keys, values, at = keys[~placed], values[~placed], (at[~placed] + 1) & ((1 << self.bits) - 1)
-
-
 class Transducer:
     """Deterministic states are made when first needed. After `most` states the table starts afresh with those in use.
 
@@ -193,9 +156,10 @@ class Transducer:
         self.splits: dict[int, tuple[int, int]] = {}
         self.suffixes: dict[int, tuple[int, ...]] = {0: (0,)}
         self.steps: dict[int, tuple[int, tuple, tuple]] = {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Starts afresh, with no states and outputs."""
         self.outputs: list[tuple[int, ...]] = [()]
         self.output_ids: dict[tuple[int, ...], int] = {(): 0}
         self._restart([])
@@ -207,7 +171,7 @@ class Transducer:
         self.ids: dict[bytes, int] = {}
         #: By state << 8 | byte the number of a move: `moves` for pieces that go alone, `table` for those that go together.
         self.moves: dict[int, int] = {}
-        self.table = _Table()
+        self.table = Table()
         #: By number of a move: the state that it leads to (-1: nowhere) and its output.
         self.to, self.emits = array("q"), array("q")
         self.start = self._state(dumps((0, ((self.START,),)), 2))
@@ -363,7 +327,7 @@ class Transducer:
         back[order] = np.arange(len(order))
         starts = np.cumsum(counts) - counts
         bounds = np.concatenate([[0], np.cumsum(counts[back])])
-        return tokens[_spread(starts[back], counts[back])], bounds
+        return tokens[spread(starts[back], counts[back])], bounds
 
     def _moves_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the moves of all keys lead, and their outputs; makes those that are missing."""
@@ -382,7 +346,7 @@ class Transducer:
         text = np.frombuffer(b"".join(pieces), np.uint8)
         at = np.cumsum(sizes) - sizes
         if max(len(self.states), len(self.outputs)) > self.most:
-            self._forget()
+            self.forget()
         state = np.full(len(pieces), self.start, np.int64)
         rows, outputs, alone = [], [], {}
 
@@ -420,7 +384,7 @@ class Transducer:
         spoken = [self.outputs[k] for k in numbers.tolist()]
         lengths = np.array([len(x) for x in spoken], np.int64)
         each = lengths[number]
-        tokens = np.array(list(chain.from_iterable(spoken)), np.int64)[_spread((np.cumsum(lengths) - lengths)[number], each)]
+        tokens = np.array(list(chain.from_iterable(spoken)), np.int64)[spread((np.cumsum(lengths) - lengths)[number], each)]
         counts = np.bincount(row, each, minlength=len(pieces)).astype(np.int64)
         states = [self.states[state[r]] for r in longer]
         for r, s in zip(longer, states, strict=True):
@@ -439,12 +403,6 @@ class Transducer:
         return tokens, counts
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The concatenation of arange(start, start + length)."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
-
-
 class Utf8Stream:
     """Incremental UTF-8: feed() takes bytes, gives the text that is complete and keeps the rest of a code point."""
 
@@ -505,7 +463,7 @@ class Codec:
         counts[new] = np.diff(bounds)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         out = np.repeat(known, counts)
-        out[_spread(offsets[new], counts[new])] = tokens
+        out[spread(offsets[new], counts[new])] = tokens
         return out, offsets
 
     def encode(self, text: str | None) -> list[int]:
@@ -536,7 +494,7 @@ class Codec:
         at = np.concatenate([np.zeros(0, np.int64), *at])
         tokens, offsets = self.encode_pieces(list(numbers))
         counts = np.diff(offsets)[at]
-        ids = tokens[_spread(offsets[at], counts)]
+        ids = tokens[spread(offsets[at], counts)]
         sums = np.concatenate([[0], np.cumsum(counts)])
         return pa.LargeListArray.from_arrays(pa.array(sums[bounds]), pa.array(ids.astype(np.int32)))
 
