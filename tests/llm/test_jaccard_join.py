@@ -57,7 +57,10 @@ def _rows(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed,kw", [(1, {}), (2, {"few": 1, "tile_rows": 9}), (3, {"few": 2, "tile_rows": 4096, "tile_shingles": 900})])
+@pytest.mark.parametrize(
+    "seed,kw",
+    [(1, {}), (2, {"few": 1, "tile_rows": 9}), (3, {"few": 2, "tile_rows": 4096, "tile_shingles": 900}), (4, {"exact": True}), (5, {"exact": True, "few": 1, "tile_rows": 9})],
+)
 def test_equals_brute_force(spark, seed, kw):
     rows = _rows(seed, 160)
     got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **kw).collect())
@@ -69,7 +72,9 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
     assert got == [(-1, 1, 4), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6)]
-    assert jaccard_components(docs.limit(0)).count() == 0
+    assert jaccard_components(docs.limit(0)).count() == 0 and jaccard_components(docs.limit(0), exact=True).count() == 0
+    exact = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard_components(docs, exact=True).collect())
+    assert exact == got
 
 
 def test_threshold_is_inclusive(spark):

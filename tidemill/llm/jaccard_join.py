@@ -1,12 +1,14 @@
-"""N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
+"""N-gram Jaccard join: keys of smallest hashes (or, with `exact`, rarest shingles) deal sets into size-banded tiles, where
+hashed bitmap signatures bound overlaps before exact sorted-array intersection.
 
 1. Every whole text becomes its set of distinct word shingles, as 64-bit hashes. Equal sets form a class, which is searched
    once; copies are never expanded into pairs.
 2. A class's keys are its 24 smallest hashes. The smallest hash of a union lies in the intersection with probability J, so
    two sets of Jaccard 0.8 or more have no key in common with a chance of 0.2**24, about 2e-17; sets of up to 24 shingles
-   put up all of them. Classes with a key in common form tiles. A key of more than `few` classes gives a tile for each band
-   of set sizes, and a band too large for a tile is cut into blocks, so that no task gathers a whole hot key. No key is
-   left out.
+   put up all of them. With `exact` the keys are the fifth of a set's shingles that the fewest classes hold, of which two sets
+   that link always share one; that takes a count of all shingles and about as many more rows as texts have words. Classes
+   with a key in common form tiles. A key of more than `few` classes gives a tile for each band of set sizes, and a band too
+   large for a tile is dealt into blocks, so that no task gathers a whole hot key. No key is left out.
 3. In a tile, bitmaps of about one bit a shingle bound every overlap from above: each bit that A has and B lacks is at
    least one shingle of A that B lacks. Pairs that could still reach the threshold give candidate groups (only a spanning
    forest leaves the tile).
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._shared import connected_components, materialize, pick, runs, sliced
@@ -84,32 +86,25 @@ def _banded(grouped: DataFrame, rows: int, shingles_: int, percent: int) -> Data
     """(tile, node, n, own) from (grp, node, n): a tile for each group and size band, with the band's own classes and those
     of the next band, so each class stands in two tiles. Sizes that can link differ by a factor of 100 / percent at most,
     and a band is a little wider than that. A band with more classes than a tile holds (`rows`, or `shingles_` shingles) is
-    cut into blocks by size, with a tile for any two of them that can hold a link."""
+    dealt into blocks by hash, with a tile for any two of them, so nothing ever gathers a band."""
     ratio = 100 / percent * 1.01
     band = F.floor(F.log("n") / math.log(ratio)).cast("int")
     both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
     dealt = grouped.select("grp", "node", "n", F.inline(both))
-    w = Window.partitionBy("grp", "band")
     most = F.greatest(F.lit(8), F.least(F.lit(rows), F.floor(shingles_ / F.pow(F.lit(ratio), F.col("band") + 2)))).cast("int")
-    sized = dealt.select("*", F.count("*").over(w).alias("count"), F.count_if("own").over(w).alias("owned"), most.alias("most"))
-    sized = sized.where("owned > 0 and count > 1")
-    name = F.xxhash64("grp", "band")
-    whole = sized.where("count <= most").select(name.alias("tile"), "node", "n", "own")
-    ranked = sized.where("count > most").select(
-        "*", F.floor((F.row_number().over(w.orderBy("n", "node")) - 1) / F.col("most")).alias("b"), name.alias("g")
-    )
-    blocks = ranked.groupBy("g", "b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("any_own"))
-    pairs = blocks.where("any_own").select("g", F.col("b").alias("b1"), "hi").join(blocks.select("g", F.col("b").alias("b2"), "lo"), "g")
-    pairs = pairs.where(f"b1 <= b2 and 100 * hi >= {percent} * lo")
-    sides = pairs.select("g", F.xxhash64("g", "b1", "b2").alias("tile"), F.explode(F.array_distinct(F.array("b1", "b2"))).alias("b"))
-    return whole.unionByName(ranked.join(sides, ["g", "b"]).select("tile", "node", "n", "own"))
+    counts = dealt.groupBy("grp", "band").agg(F.count("*").alias("count"), F.count_if("own").alias("owned")).where("owned > 0 and count > 1")
+    counts = counts.select("grp", "band", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    sized = dealt.join(counts, ["grp", "band"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # The block meets each other one once: the lower number stands first in a tile's name.
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("grp", "band", F.least(o, F.col("b")), F.greatest(o, F.col("b"))))
+    return sized.select(F.explode(others).alias("tile"), "node", "n", "own")
 
 
 def _tiles(keyed: DataFrame, few: int, rows: int, shingles_: int, percent: int) -> DataFrame:
     """(tile, node, n, own) from (key, node, n): groups of classes that have to be compared. The same group under several
     keys is compared once, if it has at most `few` classes."""
-    counted = keyed.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    counted = materialize(counted, "join-keys")
+    df = keyed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    counted = materialize(keyed.join(df, "key"), "join-keys")
     small = counted.where(f"df <= {few}").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("members"))
     small = small.where("size(members) > 1").select("members").distinct()
     small = small.select(F.xxhash64("members").alias("tile"), F.inline("members")).withColumn("own", F.lit(True))
@@ -117,6 +112,24 @@ def _tiles(keyed: DataFrame, few: int, rows: int, shingles_: int, percent: int)
     return small.select("tile", "node", "n", "own").unionByName(_banded(hot, rows, shingles_, percent))
 
 
+def _rarest(full: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n) from (node, n, hashes): of each set its n - ceil(percent * n / 100) + 1 rarest shingles, ties by hash. In
+    any order of all shingles, two sets that link have one of these in common, so no link is left out."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, hashes in zip(*[pick(batch, c).to_pylist() for c in ("node", "n", "hashes")], strict=True):
+                own = pa.array(np.frombuffer(hashes, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node)), pa.array(np.full(n, n)), own], ["node", "n", "key"])
+
+    each = full.mapInArrow(cut, "node long, n long, key long")
+    held = each.groupBy("key").agg(F.count("*").alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "key")))
+    chosen = each.join(held, "key").groupBy("node", "n").agg(order.alias("sorted"))
+    chosen = chosen.select("node", "n", F.slice("sorted", F.lit(1), (F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1).cast("int")).alias("prefix"))
+    return chosen.select("node", "n", F.explode("prefix").alias("p")).select(F.col("p.key").alias("key"), "node", "n")
+
+
 def _reach(n: np.ndarray, m: np.ndarray | int, overlap: np.ndarray, percent: int) -> np.ndarray:
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -229,29 +242,38 @@ def text_mark(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _joined(
+    docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int, every: bool = False, exact: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, mark, n_shingles, node, ...) of each row, the classes, and (node, component) of the classes that link; with
     `every` instead of these all pairs (a, b) of classes that link, once each."""
     if not 50 < percent <= 100:
         raise ValueError("percent must lie in (50, 100]: bitmap widths rely on it")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_mark().alias("mark"))
     marks = materialize(sketches(docs, size), "join-sets")
-    classes = (
-        marks.where("n_shingles > 0")
-        .groupBy("node", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("first"), F.min_by(F.struct("keys", "bits"), F.coalesce("doc_id", F.lit(2**63 - 1))).alias("s"))
-    )
-    classes = materialize(classes.select("node", "n", "first", "s.keys", "s.bits"), "join-classes")
-    tiles = _tiles(classes.select(F.explode("keys").alias("key"), "node", "n"), few, tile_rows, tile_shingles, percent)
+    # A class's text is read from one of its rows, told by doc_id and mark, so rows without a doc_id don't meet on one key.
+    least = F.min_by(F.struct("keys", "bits", "mark"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "mark")).alias("s")
+    classes = marks.where("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("first"), least)
+    classes = materialize(classes.select("node", "n", "first", "s.mark", "s.keys", "s.bits"), "join-classes")
+
+    def arrays(wanted: DataFrame) -> DataFrame:
+        """node, tiles, n, hashes for (node, first, mark, tiles)."""
+        found = docs.join(wanted.withColumnRenamed("mark", "of"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("of")))
+        return found.select("text", "node", "tiles").mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
+
+    if exact:
+        none = F.array(F.struct(F.lit(0).cast("long").alias("tile"), F.lit(True).alias("own")))
+        keyed = _rarest(arrays(classes.select("node", "first", "mark", none.alias("tiles"))).dropDuplicates(["node"]).select("node", "n", "hashes"), percent)
+    else:
+        keyed = classes.select(F.explode("keys").alias("key"), "node", "n")
+    tiles = _tiles(keyed, few, tile_rows, tile_shingles, percent)
     compared = tiles.join(classes.select("node", "bits"), "node").repartition("tile").sortWithinPartitions("tile")
     rough = connected_components(compared.mapInArrow(_candidates(percent), "a long, b long"), "join-rough")
-    grouped = rough.join(classes.select("node", "n", "first"), "node").select(F.col("component").alias("grp"), "node", "n", "first")
+    grouped = rough.join(classes.select("node", "n", "first", "mark"), "node").select(F.col("component").alias("grp"), "node", "n", "first", "mark")
     grouped = materialize(grouped, "join-groups")
     placed = _banded(grouped.select("grp", "node", "n"), tile_rows, tile_shingles, percent)
     where = placed.groupBy("node").agg(F.collect_set(F.struct("tile", "own")).alias("tiles"))
-    wanted = where.join(grouped.select("node", "first"), "node")
-    full = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "tiles")
-    full = full.mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
+    full = arrays(where.join(grouped.select("node", "first", "mark"), "node"))
     full = full.select(F.inline("tiles"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
     if every:
         pairs = full.mapInArrow(_verified(percent, True), "a long, b long")
@@ -261,11 +283,11 @@ def _joined(docs: DataFrame, size: int, percent: int, few: int, tile_rows: int,
 
 
 def jaccard_components(
-    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000, exact: bool = False
 ) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id: the smallest doc_id that links reach, where two
     texts link if 100 * |intersection| >= percent * |union| of their sets of distinct runs of `size` words."""
-    marks, classes, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles)
+    marks, classes, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles, exact=exact)
     named = linked.join(classes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
@@ -276,22 +298,22 @@ def jaccard_components(
 
 
 def jaccard_links(
-    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000, exact: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """All links, as pairs of classes (a, b) and the rows' membership (doc_id, n_shingles, node): two rows link if their
     nodes are a pair, or equal and not null. Rows with the empty set have a null node. No pair is skipped, so the work grows
     with the number of pairs of classes; use jaccard_components where the components are enough."""
-    marks, _, pairs = _joined(docs, size, percent, few, tile_rows, tile_shingles, every=True)
+    marks, _, pairs = _joined(docs, size, percent, few, tile_rows, tile_shingles, every=True, exact=exact)
     return pairs, marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
 
 
 def one_per_component(
-    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000
+    docs: DataFrame, size: int = 5, percent: int = 80, few: int = 512, tile_rows: int = 4096, tile_shingles: int = 4_000_000, exact: bool = False
 ) -> DataFrame:
     """Of each component of docs one row, all columns: that of the smallest doc_id, null ids last; of rows equal in doc_id
     and text, any. Rows are told apart by doc_id and text, so that neither repeated nor null ids matter. Texts without words
     link with nothing and all stay, but for those repeated under a known doc_id."""
-    marks, _, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles)
+    marks, _, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles, exact=exact)
     of_row = marks.select("doc_id", "mark", "n_shingles", "node")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("f")
     least = of_row.where("n_shingles > 0").groupBy("node").agg(first)
