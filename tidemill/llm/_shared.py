@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: The open `scratch` blocks' tables.
+_scratch: list[list[str]] = []
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts lineage: a lost executor costs no more
-    than the tasks that read it. The files stay until the folder is cleaned, as checkpoint files do."""
+    than the tasks that read it. Files go at the end of a `scratch` block that is open (not with `keep`); without one they
+    stay until the folder is cleaned, as checkpoint files do."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write in this block are deleted at its end; what is to last has to be written before that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_table(spark, path)
+
+
+def shared_file(spark: SparkSession, path: str):
+    """A new file that the driver writes to: has write(bytearray) and close()."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
+
+
+def drop_tables_of(df: DataFrame) -> None:
+    """Deletes the folders of the files that df reads."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        drop_table(df.sparkSession, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -94,8 +125,7 @@ def connected_components(edges: DataFrame, tag: str = "cc", limit: int = 60) ->
             .distinct()
         )
         following = materialize(small, tag)
-        for path in {f.rpartition("/")[0] for f in now.inputFiles()}:
-            drop_table(spark, path)
+        drop_tables_of(now)
         now, after = following, sums(following)
         if after == before:
             break

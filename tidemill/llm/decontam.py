@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -31,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import pick, sliced
+from tidemill.llm._shared import pick, shared_dir, shared_file, sliced
 from tidemill.llm._text import WORDLIKE, mix, shingles, words
 
 BITS, BLOCKS = 64, 8
@@ -68,8 +67,8 @@ def _item_shingles(rows: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 class ItemCounts:
-    """How many items of the whole benchmark hold each shingle: two files, sorted by shingle, that Spark brings to each
-    machine and that are mapped, not loaded. Driver and tasks hold a batch of it."""
+    """How many items of the whole benchmark hold each shingle: two files in the shared folder, sorted by shingle, that Spark
+    brings to each machine and that are mapped, not loaded. Driver and tasks hold a batch of it."""
 
     def __init__(self, own: DataFrame, size: int, items: int):
         def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +85,15 @@ class ItemCounts:
 
         self.items, self.name = items, f"item-counts-{uuid.uuid4().hex}"
         counted = own.select("text").mapInArrow(held, "shingle long").groupBy("shingle").count().sort("shingle")
-        # Spark serves the files from here as long as the session lives.
-        path = f"{tempfile.mkdtemp(prefix='tidemill-')}/{self.name}"
-        with open(f"{path}.shingle", "wb") as keys, open(f"{path}.count", "wb") as values:
-            for row in counted.mapInArrow(packed, "shingle binary, count binary").toLocalIterator():
-                keys.write(row[0])
-                values.write(row[1])
-        for part in ("shingle", "count"):
-            own.sparkSession.sparkContext.addFile(f"{path}.{part}")
+        spark = own.sparkSession
+        paths = [f"{shared_dir(spark)}/{self.name}.{part}" for part in ("shingle", "count")]
+        files = [shared_file(spark, p) for p in paths]
+        for row in counted.mapInArrow(packed, "shingle binary, count binary").toLocalIterator():
+            for file, part in zip(files, row, strict=True):
+                file.write(bytearray(part))
+        for file, path in zip(files, paths, strict=True):
+            file.close()
+            spark.sparkContext.addFile(path)
 
     def _files(self) -> tuple[np.ndarray, np.ndarray]:
         paths = [SparkFiles.get(f"{self.name}.{part}") for part in ("shingle", "count")]
@@ -185,7 +185,7 @@ class ItemIndex:
         return index
 
     def search(self, column: pa.Array) -> dict[int, dict[int, tuple[float, int, int, int]]]:
-        """By row and item: the best window as (similarity, -distance, -first word, words)."""
+        """By row and item: the best window as (similarity to nine places, -first word, -distance, words)."""
         hashes, bounds, _, _ = words(_lowered(column), WORDLIKE)
         out: dict[int, dict[int, tuple]] = defaultdict(dict)
 
@@ -202,7 +202,7 @@ class ItemIndex:
                 row = int(np.searchsorted(bounds, p, "right")) - 1
                 if p + n <= bounds[row + 1]:
                     for item in known[int(runs[p])]:
-                        keep(row, item, (1.0, 0, -(p - int(bounds[row])), n))
+                        keep(row, item, (1.0, -(p - int(bounds[row])), 0, n))
         if not len(self.shingles):
             return out
         found, at = shingles(hashes, bounds, self.size)
@@ -268,7 +268,7 @@ class ItemIndex:
                 common = sum(min(w, bag[s]) for s, w in self.bags[i].items() if s in bag)
                 similarity = common / (total + sum(self.bags[i].values()) - common)
                 if similarity >= self.least - 1e-9:
-                    keep(row, self.ids[i], (similarity, -distance, -start, m + self.size - 1))
+                    keep(row, self.ids[i], (round(similarity, 9), -start, -distance, m + self.size - 1))
 
 
 def _sequence_names(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -305,7 +305,7 @@ def find_leaks(
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, "text"):
                 ids = pick(batch, "doc_id").to_pylist()
-                rows = [(ids[r], i, p[0], -p[1], -p[2], p[3]) for r, x in sorted(index.search(pick(batch, "text")).items()) for i, p in sorted(x.items())]
+                rows = [(ids[r], i, p[0], -p[2], -p[1], p[3]) for r, x in sorted(index.search(pick(batch, "text")).items()) for i, p in sorted(x.items())]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [f.split()[0] for f in schema.split(", ")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemill.llm.decontam import find_leaks
 
-    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "first_word", "n_words")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +100,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op9_jaccard_join": OP9_SQL, "op10_pii": OP10_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_decontamination": OP2_SQL, "op9_jaccard_join": OP9_SQL, "op10_pii": OP10_SQL}
+
+
+#: Every window of as many words as the item (or the whole document, if that has fewer) that shares a shingle with it.
+OP2_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+runs AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM items WHERE len(w) >= 5),
+held AS (SELECT x, count(DISTINCT item_id) AS k FROM runs GROUP BY x),
+parts AS (SELECT r.item_id, r.n, r.x, count(*) AS own, ln(1 + (SELECT count(*) FROM items) / any_value(h.k)) AS weight FROM runs r JOIN held h USING (x) GROUP BY r.item_id, r.n, r.x),
+whole AS (SELECT item_id, sum(own * weight) AS total FROM parts GROUP BY item_id),
+placed AS (SELECT doc_id, len(w) - 4 AS many, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM docs WHERE len(w) >= 5),
+weighed AS (SELECT doc_id, many, p, x, ln(1 + (SELECT count(*) FROM items) / coalesce(k, 1)) AS weight FROM placed LEFT JOIN held USING (x)),
+summed AS (SELECT doc_id, p, sum(weight) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM weighed),
+hits AS (SELECT DISTINCT d.doc_id, d.many, s.item_id, least(s.n - 4, d.many) AS m, d.p FROM placed d JOIN parts s USING (x)),
+windows AS (SELECT DISTINCT doc_id, item_id, m, unnest(range(greatest(p - m + 1, 0), least(p, many - m) + 1)) AS a FROM hits),
+shared AS (SELECT v.doc_id, v.item_id, v.m, v.a, h.x, count(*) AS there FROM windows v JOIN (SELECT h.*, d.x FROM hits h JOIN placed d USING (doc_id, p)) h ON h.doc_id = v.doc_id AND h.item_id = v.item_id AND h.p BETWEEN v.a AND v.a + v.m - 1 GROUP BY ALL),
+common AS (SELECT s.doc_id, s.item_id, s.m, s.a, sum(least(there, own) * weight) AS common FROM shared s JOIN parts USING (item_id, x) GROUP BY ALL),
+scored AS (SELECT c.doc_id, c.item_id, c.m, c.a, common / (e.upto - coalesce(b.upto, 0) + total - common) AS similarity FROM common c JOIN whole USING (item_id)
+  JOIN summed e ON e.doc_id = c.doc_id AND e.p = c.a + c.m - 1 LEFT JOIN summed b ON b.doc_id = c.doc_id AND b.p = c.a - 1),
+best AS (SELECT doc_id, item_id, round(similarity, 9) AS similarity, a, m + 4 AS words FROM scored WHERE similarity >= 0.8 - 1e-9
+  UNION ALL SELECT doc_id, item_id, 1.0, a, n FROM (SELECT d.doc_id, i.item_id, len(i.w) AS n, i.w AS v, d.w, unnest(range(0, len(d.w) - len(i.w) + 1)) AS a FROM docs d, items i WHERE len(i.w) BETWEEN 1 AND 4) WHERE w[a + 1:a + n] = v)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_max(a, (similarity, -a))::BIGINT AS first_word, arg_max(words, (similarity, -a))::INT AS n_words FROM best GROUP BY doc_id, item_id
+"""
 
 
 OP9_SQL = r"""
