@@ -48,9 +48,9 @@ def test_chat_merges_turns_of_one_role(spark):
 
 def test_token_counts_equal_plain_programming():
     pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    counter = tokencount.Counter(pieces, most=50)
+    counter = tokencount.Counter(pieces)
     rng = random.Random(3)
-    words = ["▁" + "".join(rng.choices("etaoinsé漢😀th", k=rng.randint(1, 12))) for _ in range(200)]
+    words = list({"▁" + "".join(rng.choices("etaoinsé漢😀th", k=rng.randint(0, 12))) for _ in range(400)}) + ["▁" + "the" * 40 + "x" * k for k in range(9)]
 
     def plain(w):
         best = [(0.0, 0)]
@@ -61,8 +61,42 @@ def test_token_counts_equal_plain_programming():
             best.append(max(options))
         return -best[-1][1], best[-1][0]
 
-    for part in (words[:90], words[60:]):
-        assert counter.count(part) == [plain(w) for w in part]
+    want = [plain(w) for w in words]
+    for few in (1, 6, 1000):
+        counter.few = few
+        assert counter.count(words) == want and counter.count(words[:3]) == want[:3] and counter.count([]) == []
+    trie = tokencount._Trie(counter, 100)
+    node = np.zeros(3, np.int64)
+    for codes in zip(*[map(ord, w) for w in ("then", "them", "thus")], strict=True):
+        node = trie.grow(node, np.array(codes))
+    assert trie.size == 1 + 2 + 2 + 3 and len(set(node.tolist())) == 3  # t, th; the, thu; then, them, thus
+
+
+def test_token_counts_of_whole_rows(spark):
+    """Every row of sf0.01 by a plain program: words by Unicode white space, and the plain recurrence for each."""
+    from functools import cache
+
+    pieces = tokencount.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    byte, longest = min(pieces.values()) - 10.0, max(map(len, pieces))
+
+    @cache
+    def plain(w):
+        best = [(0.0, 0)]
+        for i in range(1, len(w) + 1):
+            b = len(w[i - 1].encode())
+            options = [(best[i - 1][0] + byte * b, best[i - 1][1] - b)]
+            options += [(best[j][0] + pieces[w[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if w[j:i] in pieces]
+            best.append(max(options))
+        return -best[-1][1], best[-1][0]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000 or text is null")
+    got = {r.doc_id: r for r in tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    rows = docs.collect()
+    assert len(rows) == len(got) > 500
+    for r in rows:
+        words = [plain("▁" + w) for w in (r.text or "").replace("\x1c", "\0").replace("\x1d", "\0").replace("\x1e", "\0").replace("\x1f", "\0").split()]
+        own = got[r.doc_id]
+        assert (own.n_pretokens, own.n_tokens) == (len(words), sum(n for n, _ in words)) and own.score == pytest.approx(sum(s for _, s in words), abs=1e-5)
 
 
 def test_token_counts_of_odd_rows(spark):
@@ -226,10 +260,35 @@ def test_held_out_accuracy(spark):
     assert (good[:, 0] == good[:, 1]).mean() > 0.9
 
 
+def test_second_thresholds_on_held_out_rows(spark):
+    """Both thresholds cut where they should on rows that the models haven't seen: grade 2 of quality is good and not toxic."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    train, test = labels.where("pmod(xxhash64(doc_id), 5) > 0"), labels.where("pmod(xxhash64(doc_id), 5) = 0").collect()
+    out = {r.doc_id: r for r in quality.grade_quality(docs, train).collect()}
+    best = np.array([(r.quality == 1 and r.toxic == 0, out[r.doc_id].p_best >= 0.5) for r in test if r.quality is not None and r.toxic is not None])
+    assert (best[:, 0] == best[:, 1]).mean() > 0.85
+    severity = {r.doc_id: r for r in toxicity.grade_toxicity(docs, train).collect()}
+    assert all(0 <= r.p_severe <= r.p_toxic <= 1 and abs(r.expected_severity - r.p_toxic - r.p_severe) < 1e-9 for r in severity.values())
+    toxic = [severity[r.doc_id] for r in test if r.toxic == 1]
+    clean = [severity[r.doc_id] for r in test if r.toxic == 0]
+    assert np.mean([r.p_severe >= 0.5 for r in clean]) < 0.01 < 0.2 < np.mean([r.p_severe >= 0.5 for r in toxic]) < 0.8
+
+
+def test_sample_takes_one_row_of_a_repeated_doc_id(spark):
+    rows = [(1, f"text number {i % 3} of many") for i in range(20_000)] + [(2, "other text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = ordinal.sampled(docs, labels, ["toxic"], 10, shape=False)
+    assert [r["doc_id"] for r in got] == [1, 2] and [len(r["features"]) for r in got] == [len(r["features"]) for r in ordinal.sampled(docs.orderBy("text"), labels, ["toxic"], 10, shape=False)]
+
+
 def test_classifiers_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (3, "word " * 5000, 0.0), (None, "x", 0.0)], "doc_id long, text string, grade double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.rejected for r in toxicity.grade_toxicity(docs, none).collect()] == [False] * 4
+    some = spark.createDataFrame([(1, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.grade_quality(docs.limit(0), some).count() == 0 and toxicity.drop_toxic(docs.limit(0), docs, some).count() == 0
     assert quality.grade_quality(docs, none).count() == 4 and toxicity.grade_toxicity(docs.limit(0), none).count() == 0
     one = spark.createDataFrame([(1, 0, None), (3, 1, 1), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.grade_toxicity(docs, one).count() == 4 and toxicity.drop_toxic(docs, docs, one).columns == docs.columns

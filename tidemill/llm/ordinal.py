@@ -138,7 +138,8 @@ def fit_cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarr
 
 
 def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, shape: bool) -> list[dict]:
-    """Sampled labelled texts as features: one dict a row. The joined side has `sample` rows at most."""
+    """Sampled labelled texts as features, one dict for each doc_id, so at most `sample` of them: of several rows of a doc_id
+    the one whose text has the smallest hash."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -146,7 +147,7 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int,
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
     joined = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).drop("label_id")
     names = [f"label_{c}" for c in columns]
 
@@ -159,12 +160,14 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int,
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(cuts, pa.array(v.astype(np.int32))) for v in (feature, count)]
             yield pa.RecordBatch.from_arrays(
-                [pick(batch, "doc_id"), *lists, pa.array(n.astype(np.int64)), pa.array(np.array(least, np.uint64).view(np.int64)), *[pick(batch, c) for c in names]],
-                ["doc_id", "features", "counts", "n_words", "copy", *names],
+                [pick(batch, "doc_id"), pick(batch, "mark"), *lists, pa.array(n.astype(np.int64)), pa.array(np.array(least, np.uint64).view(np.int64)), *[pick(batch, c) for c in names]],
+                ["doc_id", "mark", "features", "counts", "n_words", "copy", *names],
             )
 
-    schema = "doc_id long, features array<int>, counts array<int>, n_words long, copy long" + "".join(f", {c} int" for c in names)
-    found = joined.mapInArrow(run, schema).toArrow().combine_chunks().sort_by("doc_id")
+    schema = "doc_id long, mark long, features array<int>, counts array<int>, n_words long, copy long" + "".join(f", {c} int" for c in names)
+    each = joined.mapInArrow(run, schema)
+    one = each.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in each.columns if c not in ("doc_id", "mark")]), "mark").alias("r")).select("doc_id", "r.*")
+    found = one.toArrow().combine_chunks().sort_by("doc_id")
     # Features stay in two flat arrays; a row's are views of them.
     flat = {c: found[c].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("features", "counts")}
     bounds = flat["features"].offsets.to_numpy()

@@ -1,7 +1,8 @@
 """Quality: an ordinal model of ratings 0 (poor), 1 (good but toxic) and 2 (good), for selection by expected grade or tail.
 
 Null and empty texts have the features of no words; repeated rows get equal results. Without labels of both kinds nothing is
-known, and all rows get grade 0. An empty table gives no rows; extra columns are ignored."""
+known, and all rows get grade 0. A very long text costs time and
+memory in proportion to itself. An empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 

@@ -2,7 +2,8 @@
 mark toxic texts is at least the median of the toxic sample, else 1. A text is rejected if P(grade > 0) reaches `limit`.
 
 Null and empty texts have no features, so they get the base rates and pass. Repeated rows get equal results. Without labels
-of both kinds nothing is rejected. An empty table gives no rows. Extra columns are ignored, or kept by drop_toxic."""
+of both kinds nothing is rejected. A very long text costs time and
+memory in proportion to itself. An empty table gives no rows. Extra columns are ignored, or kept by drop_toxic."""
 
 from __future__ import annotations
 
