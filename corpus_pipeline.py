@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import materialize
+from tidemill.llm._shared import drop_tables_of, materialize, scratch
 from tidemill.llm.bpe import encode_documents
 from tidemill.llm.decontam import drop_leaking
 from tidemill.llm.jaccard_join import one_per_component
@@ -59,10 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents table; each other stage is written to the shared folder and read again."""
+    """The last stage's rows over the documents table; each other stage is written to the shared folder and read again, and
+    then its own tables and its predecessor's are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if i:
+            drop_tables_of(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
