@@ -116,6 +116,20 @@ def test_blocks_of_repeated_ids_and_short_items(spark):
     assert find_leaks(docs, short, block_bytes=60).count() == 2
 
 
+def test_odd_rows(spark):
+    """Repeated rows, clashing columns, null ids, a very long text and empty ones."""
+    item = "one two three four five six seven eight nine ten"
+    long = " ".join(f"w{i}" for i in range(100_000)) + " " + item + " " + " ".join(f"v{i}" for i in range(100_000))
+    rows = [(1, item), (1, item), (2, long), (None, item.upper()), (3, None), (4, " . ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as item_id", "0.5 as similarity", "'x' as first_word", "1 as n_words")
+    items = spark.createDataFrame([(5, item), (5, item), (6, None), (None, "")], "item_id long, text string").selectExpr("*", "9 as doc_id", "1 as k")
+    for blocks in (8_000_000, 60):
+        got = sorted(((r.doc_id or 0), r.item_id, r.similarity, r.first_word, r.n_words) for r in find_leaks(docs, items, block_bytes=blocks).collect())
+        assert got == [(0, 5, 1.0, 0, 10), (1, 5, 1.0, 0, 10), (1, 5, 1.0, 0, 10), (2, 5, 1.0, 100_000, 10)]
+        kept = drop_leaking(docs, items, block_bytes=blocks)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_documents_shorter_than_the_item(spark):
     rng = random.Random(7)
     items = [(k, " ".join(rng.choices(VOCABULARY, k=n))) for k, n in enumerate([6, 20, 40, 40])]

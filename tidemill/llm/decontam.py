@@ -282,15 +282,17 @@ def _sequence_names(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + _FACTORS[63] * np.array([n], np.uint64))
 
 
-def item_indexes(items: DataFrame, size: int, least: float, radius: int, block_bytes: int) -> list[ItemIndex]:
-    """Indexes of all items, in blocks of about block_bytes of text, which bounds what tasks are sent. Rows of one item_id
-    are in one block, so that the best of their windows is found."""
+def item_indexes(items: DataFrame, size: int, least: float, radius: int, block_bytes: int) -> Iterator[ItemIndex]:
+    """Indexes of all items, one after the other, in blocks of about block_bytes of text: the driver holds one, and so does a
+    task, as documents are read once for each block. Rows of one item_id are in one block, so that the best of their windows
+    is found."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total, count = own.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) // block_bytes))
     whole = ItemCounts(own, size, count) if blocks > 1 else None
-    parts = (own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks))
-    return [ItemIndex.build([tuple(r) for r in sorted(p.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))], size, least, radius, whole) for p in parts]
+    for b in range(blocks):
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
+        yield ItemIndex.build([tuple(r) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))], size, least, radius, whole)
 
 
 def find_leaks(
