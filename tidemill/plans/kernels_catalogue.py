@@ -327,6 +327,64 @@ def rollers(spark, sf_dir):
 _F10 = f"OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 ROLLERS_SQL = _rows({"sum": f"CASE WHEN i >= 9 THEN sum(x) {_F10} END", "sma": f"CASE WHEN i >= 9 THEN avg(x) {_F10} END", "ema": _ema(2 / 21, 20), "rma": _ema(1 / 14, 14)})
 
+def short_rollers(spark, sf_dir):
+    """Averages of three rows, reset after every fourth."""
+
+    def op(s: Series):
+        i = yield s.index()
+
+        def make():
+            each = [KINDS[k](3) for k in ("sma", "ema", "rma")]
+
+            def step(i: float, x: float) -> tuple:
+                if i % 4 == 0:
+                    for roller in each:
+                        roller.reset()
+                return (*[r.push(x) for r in each], *[float(r.warmup()) for r in each], *[float(r.window()) for r in each])
+
+            return step
+
+        made = yield Kernel(make, [i, "x"], 9)
+        return dict(zip([a + b for b in ("", "_warmup", "_window") for a in ("sma", "ema", "rma")], made, strict=True))
+
+    return _shown(Series(ticks(spark, sf_dir).select(*KEYS, "event_id", "x"), KEYS, "event_id").compute(of=op).drop("x"))
+
+
+_THREE = [f"(x + {_lag('x', 1)} + {_lag('x', 2)}) / 3", f"({_lag('x', 1)} + {_lag('x', 2)} + {_lag('x', 3)}) / 3"]
+SHORT_ROLLERS_SQL = _rows(
+    {"of_sma": f"CASE WHEN i % 4 >= 2 THEN {_THREE[0]} END"}
+    | {f"of_{k}": f"CASE i % 4 WHEN 2 THEN {_THREE[0]} WHEN 3 THEN {a} * x + {b} * {_THREE[1]} END" for k, a, b in (("ema", "0.5", "0.5"), ("rma", "1 / 3.0", "2 / 3.0"))}
+    | {f"of_{k}_{c}": "3" for k in ("sma", "ema", "rma") for c in ("warmup", "window")}
+)
+
+
+def rolling_long(spark, sf_dir):
+    """Periods that are longer than a day of rows."""
+    return _computed(
+        spark, sf_dir, sum=lambda s: ops.rolling_sum(s, "x", 300), max=lambda s: ops.rolling_max(s, "x", 300), min=lambda s: ops.rolling_min(s, "z", 60), variance=lambda s: ops.rolling_variance(s, "x", 300),
+        correlation=lambda s: ops.rolling_correlation(s, "x", "y", 150), median=lambda s: ops.rolling_median(s, "x", 100), quantile=lambda s: ops.rolling_quantile(s, "x", 65, 0.8),
+    )
+
+
+def _of_last(f: str, n: int, nan: bool = False) -> str:
+    frame = f"OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN i >= {n - 1}{f' AND NOT bool_or(isnan(z)) {frame}' if nan else ''} THEN {f} {frame} END"
+
+
+ROLLING_LONG_SQL = _rows({
+    "sum": _of_last("sum(x)", 300), "max": _of_last("max(x)", 300), "min": _of_last("min(z)", 60, True), "variance": _of_last("var_pop(x)", 300), "correlation": _of_last("corr(x, y)", 150), "median": _of_last("quantile_cont(x, 0.5)", 100), "quantile": _of_last("quantile_cont(x, 0.8)", 65),
+})
+
+
+def smoothers_whole(spark, sf_dir):
+    """One series of all rows, cut into pieces."""
+    one = Series(ticks(spark, sf_dir).select("event_id", "x"), [], "event_id")
+    return _shown(one.compute(ema=lambda s: ops.rolling_ema(s, "x", 20), rma=lambda s: ops.rolling_rma(s, "x", 14)).drop("x"))
+
+
+SMOOTHERS_WHOLE_SQL = SMOOTHERS_SQL.replace(W, "ORDER BY event_id").replace("PARTITION BY event_type", "").replace(" SELECT event_type, event_id, round", " SELECT event_id, round")
+
+
 def rings(spark, sf_dir):
     """A ring and a roller for each key, both reset after every hundred rows."""
 
@@ -519,7 +577,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_reductions": (reductions, REDUCTIONS_SQL), "vec_reductions_nan": (reductions_nan, REDUCTIONS_NAN_SQL), "vec_moments": (moments, MOMENTS_SQL), "vec_max_drawdown": (max_drawdown, MAX_DRAWDOWN_SQL),
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
-    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 
