@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._shared import connected_components, materialize, pick, runs, sliced
@@ -84,20 +84,33 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 def _banded(grouped: DataFrame, rows: int, shingles_: int, percent: int) -> DataFrame:
     """(tile, node, n, own) from (grp, node, n): a tile for each group and size band, with the band's own classes and those
-    of the next band, so each class stands in two tiles. Sizes that can link differ by a factor of 100 / percent at most,
+    of the next band, so each class stands in two bands. Sizes that can link differ by a factor of 100 / percent at most,
     and a band is a little wider than that. A band with more classes than a tile holds (`rows`, or `shingles_` shingles) is
-    dealt into blocks by hash, with a tile for any two of them, so nothing ever gathers a band."""
+    cut into blocks by size, equal sizes being dealt by hash, with a tile for any two blocks that can hold a link. Blocks
+    follow from the counts of sizes; each class learns its own by its size, so nothing gathers a band's classes."""
     ratio = 100 / percent * 1.01
     band = F.floor(F.log("n") / math.log(ratio)).cast("int")
     both = F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band - 1).alias("band"), F.lit(False).alias("own")))
-    dealt = grouped.select("grp", "node", "n", F.inline(both))
-    most = F.greatest(F.lit(8), F.least(F.lit(rows), F.floor(shingles_ / F.pow(F.lit(ratio), F.col("band") + 2)))).cast("int")
-    counts = dealt.groupBy("grp", "band").agg(F.count("*").alias("count"), F.count_if("own").alias("owned")).where("owned > 0 and count > 1")
-    counts = counts.select("grp", "band", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    sized = dealt.join(counts, ["grp", "band"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # The block meets each other one once: the lower number stands first in a tile's name.
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("grp", "band", F.least(o, F.col("b")), F.greatest(o, F.col("b"))))
-    return sized.select(F.explode(others).alias("tile"), "node", "n", "own")
+    sizes = grouped.groupBy("grp", "n").agg(F.count("*").alias("c")).select("grp", "n", "c", F.inline(both))
+    w = Window.partitionBy("grp", "band")
+    reach = math.ceil(1e6 * math.log(100 / percent)) + 1
+    near = w.orderBy(F.floor(1e6 * F.log("n"))).rangeBetween(-reach, reach)
+    most = F.greatest(F.lit(8), F.least(F.lit(rows), F.floor(shingles_ / F.pow(F.lit(ratio), F.col("band") + 2))))
+    sizes = sizes.select("*", F.sum("c").over(w).alias("count"), F.bool_or("own").over(w).alias("owned"), (F.sum("c").over(w.orderBy("n")) - F.col("c")).alias("before"), most.alias("most"))
+    sizes = sizes.where("owned and count > 1")
+    block = lambda at: F.when(F.col("count") <= F.col("most"), 0).otherwise(F.floor(at / F.col("most"))).cast("long")
+    sizes = sizes.withColumns({"first": block(F.col("before")), "last": block(F.col("before") + F.col("c") - 1)})
+    # The blocks that a size can link with; those beyond the band's own classes only with blocks of such.
+    sizes = sizes.withColumns({"low": F.min("first").over(near), "high": F.max("last").over(near), "end": F.max(F.when(F.col("own"), F.col("last"))).over(w)})
+    high = F.when(F.col("own"), F.col("high")).otherwise(F.least("high", "end"))
+    of_size = sizes.where(F.col("low") <= high).groupBy("grp", "n").agg(F.collect_list(F.struct("band", "own", "first", "last", "low", high.alias("high"))).alias("bands"))
+
+    def tiles(z: Column) -> Column:
+        b = z["first"] + F.pmod(F.xxhash64("node"), z["last"] - z["first"] + 1)
+        return F.transform(F.sequence(z["low"], z["high"]), lambda o: F.struct(F.xxhash64("grp", z["band"], F.least(b, o), F.greatest(b, o)).alias("tile"), z["own"].alias("own")))
+
+    placed = grouped.repartition("node").join(of_size, ["grp", "n"]).select("node", "n", F.explode(F.flatten(F.transform("bands", tiles))).alias("t"))
+    return placed.select("t.tile", "node", "n", "t.own")
 
 
 def _tiles(keyed: DataFrame, few: int, rows: int, shingles_: int, percent: int) -> DataFrame:
@@ -258,7 +271,8 @@ def _joined(
 
     def arrays(wanted: DataFrame) -> DataFrame:
         """node, tiles, n, hashes for (node, first, mark, tiles)."""
-        found = docs.join(wanted.withColumnRenamed("mark", "of"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("of")))
+        wanted = wanted.withColumnRenamed("mark", "of").hint("merge")  # grows with docs, so it's never sent whole
+        found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("of")))
         return found.select("text", "node", "tiles").mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
 
     if exact:
