@@ -106,6 +106,53 @@ def test_strength_and_adaptive(cuts):
     _same(got, want)
 
 
+def _streak():
+    before, length = np.nan, np.nan
+
+    def step(x):
+        nonlocal before, length
+        if x != x or before != before:
+            length = np.nan
+        elif x > before:
+            length = length + 1 if length > 0 else 1.0
+        elif x < before:
+            length = length - 1 if length < 0 else -1.0
+        else:
+            length = 0.0
+        before = x
+        return (length,)
+
+    return step
+
+
+def _volume_force():
+    before, width, trend, total = np.nan, np.nan, 0.0, 0.0
+
+    def step(high, low, close, volume):
+        nonlocal before, width, trend, total
+        price, last, old, wide = high + low + close, before, width, high - low
+        before, width = price, wide
+        if price != price or last != last or volume != volume or wide != wide or old != old:
+            return (np.nan,)
+        way = -1.0 if price < last else 1.0
+        total = wide if not trend else total + wide if way == trend else old + wide
+        trend = way
+        return (volume * abs(2 * (wide / total - 1)) * way * 100 if total else 0.0,)
+
+    return step
+
+
+@pytest.mark.parametrize("cuts", CUTS)
+def test_streak_and_volume_force(cuts):
+    steps = np.round(GAPS / 8)
+    _same(_cut(k.Streak(), [steps], cuts)[0], k.Rows(_streak()).run(steps)[0])
+    low = np.round(np.abs(X))
+    high, close, volume = low + np.round(np.abs(Y) / 4), low, 1 + np.abs(X)
+    volume[[50, 51]] = np.nan
+    close = np.where(np.isnan(GAPS), np.nan, close)
+    _same(_cut(k.VolumeForce(), [high, low, close, volume], cuts)[0], k.Rows(_volume_force()).run(high, low, close, volume)[0])
+
+
 def test_series_without_keys_is_cut_into_pieces(spark):
     rows = [(i, float((i * 37) % 101)) for i in range(3000)]
     df = spark.createDataFrame(rows, "i long, x double").repartition(6)

@@ -395,31 +395,12 @@ def relative_volatility_index(s: Series, close, n: int) -> Generator:
     return F.when(~no_nan(u, d), NAN).otherwise(ratio_or(100 * u, u + d, 50.0))
 
 
-def _streak() -> Callable:
-    before, length = NAN, NAN
-
-    def step(x: float) -> tuple:
-        nonlocal before, length
-        if x != x or before != before:
-            length = NAN
-        elif x > before:
-            length = length + 1 if length > 0 else 1.0
-        elif x < before:
-            length = length - 1 if length < 0 else -1.0
-        else:
-            length = 0.0
-        before = x
-        return (length,)
-
-    return step
-
-
 def connors_rsi(s: Series, close, rsi_period: int, streak_period: int, rank_period: int) -> Generator:
     """Mean of the RSI of prices, the RSI of streaks and the percent rank of one-bar changes."""
     for p in (rsi_period, streak_period, rank_period):
         check_period(p)
     moves = yield roc(s, close, 1)
-    streak, price = yield [Kernel(_streak, [close]), Kernel(rsi_kernel(rsi_period), [close])]
+    streak, price = yield [Kernel(kernels.Streak, [close]), Kernel(rsi_kernel(rsi_period), [close])]
     streaks = yield Kernel(rsi_kernel(streak_period), [streak])
     rank = yield ops.percent_rank_kernel(moves, rank_period)
     return (price + streaks + rank) / 3
@@ -528,29 +509,10 @@ def ease_of_movement(s: Series, high, low, volume, n: int) -> Generator:
     return s.mean(one, n)
 
 
-def _volume_force() -> Callable:
-    """Volume force by bar: the range accumulates while the direction of high + low + close holds."""
-    i, before, width, trend, total = -1, NAN, NAN, 0.0, 0.0
-
-    def step(high: float, low: float, close: float, volume: float) -> tuple:
-        nonlocal i, before, width, trend, total
-        i += 1
-        price, last, old, wide = high + low + close, before, width, high - low
-        before, width = price, wide
-        if i == 0 or price != price or last != last or volume != volume or wide != wide or old != old:
-            return (NAN,)
-        way = -1.0 if price < last else 1.0
-        total = wide if i == 1 or not trend else total + wide if way == trend else old + wide
-        trend = way
-        return (volume * abs(2 * (wide / total - 1)) * way * 100 if total else 0.0,)
-
-    return step
-
-
 def klinger_oscillator(s: Series, high, low, close, volume, fast: int, slow: int, signal: int) -> Generator:
     if fast >= slow:
         raise ValueError("fast must be less than slow")
-    force = yield Kernel(_volume_force, [high, low, close, volume])
+    force = yield Kernel(kernels.VolumeForce, [high, low, close, volume])
     quick, calm = yield [ema_kernel(force, fast, 1), ema_kernel(force, slow, 1)]
     line = yield quick - calm
     return {"kvo": line, "signal": (yield ema_kernel(line, signal, None))}

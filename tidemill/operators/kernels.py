@@ -59,9 +59,9 @@ def fixed_scan(x: np.ndarray, a: float, value: float) -> np.ndarray:
     return out
 
 
-def varying_scan(gain: np.ndarray, x: np.ndarray, value: float) -> np.ndarray:
-    """y = gain * x + (1 - gain) * y for each row, from y = value: maps of 1, 2, 4, ... rows are joined."""
-    keep, out = 1 - gain, gain * x
+def affine_scan(keep: np.ndarray, add: np.ndarray, value: float) -> np.ndarray:
+    """y = keep * y + add for each row, from y = value: maps of 1, 2, 4, ... rows are joined."""
+    keep, out = keep.astype(np.float64), add.astype(np.float64)
     far = 1
     while far < len(out):
         out[far:] = out[far:] + keep[far:] * out[:-far]
@@ -179,11 +179,54 @@ class Adaptive:
             at, self.begun = int(first[0]) + 1, True
             self.value = out[at - 1] = float(x[at - 1])
         if at < len(x):
-            out[at:] = varying_scan(np.array(gain[at:], np.float64), x[at:], self.value)
+            out[at:] = affine_scan(1 - gain[at:], gain[at:] * x[at:], self.value)
             self.value = float(out[-1])
         return (out,)
 
 
+class Streak:
+    """Rows in a row that rose (positive) or fell (negative); 0 for an equal one, NaN beside a NaN."""
+
+    def __init__(self) -> None:
+        self.before = self.length = NAN
+
+    def run(self, x: np.ndarray) -> tuple[np.ndarray]:
+        before = np.concatenate([[self.before], x[:-1]])
+        way = np.where(np.isnan(x) | np.isnan(before), NAN, np.where(x > before, 1.0, np.where(x < before, -1.0, 0.0)))
+        same = way == np.concatenate([[np.sign(self.length)], way[:-1]])
+        out = way * affine_scan(same, np.ones(len(x)), abs(self.length) if self.length == self.length else 0.0)
+        self.before, self.length = float(x[-1]), float(out[-1])
+        return (out,)
+
+
+class VolumeForce:
+    """Klinger's volume force: the range of bars accumulates while the direction of high + low + close holds, and begins anew
+    with the last two bars where it turns. A bar beside a NaN has none and changes nothing."""
+
+    def __init__(self) -> None:
+        self.price = self.width = NAN
+        self.way, self.total = 0.0, 0.0
+
+    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple[np.ndarray]:
+        price, width = high + low + close, high - low
+        last, old = np.concatenate([[self.price], price[:-1]]), np.concatenate([[self.width], width[:-1]])
+        self.price, self.width = float(price[-1]), float(width[-1])
+        out = np.full(len(price), NAN)
+        at = np.flatnonzero(~np.isnan(price + last + volume + width + old))
+        if not len(at):
+            return (out,)
+        way = np.where(price[at] < last[at], -1.0, 1.0)
+        same = way == np.concatenate([[self.way], way[:-1]])
+        add = width[at] + np.where(same, 0.0, old[at])
+        if not self.way:
+            add[0] = width[at[0]]
+        total = affine_scan(same, add, self.total)
+        self.way, self.total = float(way[-1]), float(total[-1])
+        share = np.divide(width[at], total, out=np.ones(len(at)), where=total != 0)
+        out[at] = np.where(total != 0, volume[at] * np.abs(2 * (share - 1)) * way * 100, 0.0)
+        return (out,)
+
+
 # Moving windows
 
 
