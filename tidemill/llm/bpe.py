@@ -138,7 +138,7 @@ class Transducer:
     #: Pieces that go together; so many at least, else one by one.
     TOGETHER, FEW = 16384, 6
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 300_000):
         self.ranks, self.most = ranks, most
         self.token_bytes = {r: b for b, r in ranks.items()}
         self.child: dict[int, int] = {}
@@ -541,10 +541,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(raw, pattern)
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             ids = own.encode_column(pick(batch, "text").to_pylist())
             columns = [pick(batch, "doc_id"), pa.array(np.diff(ids.offsets.to_numpy())), pa.array(own.names_digests(ids)), pa.array(own.decoded_digests(ids))]
             yield pa.RecordBatch.from_arrays([*columns, ids.cast(pa.list_(pa.int32()))][: len(names)], names)
+        own.transducer.forget()  # the worker may get other work
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
