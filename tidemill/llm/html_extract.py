@@ -45,12 +45,12 @@ CONTAINERS = frozenset("article main section div td body blockquote".split())
 PREMIUM = {"article": 3.0, "main": 2.0, "body": 0.25, "section": 1.2}
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
-    " footer header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion"
-    " related respond sharing share sidebar side-bar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
+    " footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion"
+    " related replies reply respond sharing share sidebar side-bar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
 )
 #: Words that say where or how something stands, not what it is.
 LAYOUT_WORDS = frozenset(
-    "area bar bottom box block button buttons column container content floating group icons inline inner item items layer left line link links list main"
+    "area bar bottom box block button buttons column container content floating group icons inline inner item items label layer left line link links list main"
     " outer overlay page panel post posts primary reader right row secondary section site slot sticky sub the thread top trail unit user visitor wrap wrapper".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -65,6 +65,8 @@ SCOPES = frozenset("article aside body button details div footer form header mai
 _TOKEN = re.compile(r"<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: Only these attributes matter here.
+_NAMED = re.compile("class|id|role|hidden", re.I)
 _BLANKS = re.compile(r"[\s\x85\xa0]+")
 _WORD = re.compile(r"[a-z]+(?:-bar)?")
 #: How an element is cut: not, if links make up half of it, unless it holds an h1, always.
@@ -89,6 +91,8 @@ def _cut_rule(tag: str, attributes: dict[str, str]) -> int:
 
 
 def _name(tag: str, attributes: dict[str, str]) -> str:
+    if "class" not in attributes:
+        return tag.replace("/", "_")
     classes = sorted({c for x in attributes.get("class", "").lower().split() if (c := re.sub(r"\d+", "", x).strip("-_"))})
     return (tag + "".join(f".{c}" for c in classes)).replace("/", "_")
 
@@ -183,7 +187,7 @@ class Page:
                 continue
             if tag == "body" and self.tag[self._open[-1]] == "head":
                 self._close(len(self._open) - 1)
-            self._start(tag, {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(inside)} if inside.strip(" /\t\r\n") else {})
+            self._start(tag, {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(inside)} if _NAMED.search(inside) else {})
 
     def _weigh(self) -> None:
         """Which elements are cut, and what containers hold: one pass down, one up, and again for what isn't cut."""
