@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations", "benchmark"):
+    for table in ("documents", "conversations", "benchmark", "embeddings"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df, relation = q.queries()[name](spark, SF), con.sql(q.oracle_sql()[name])
     columns = sorted(df.columns)
