@@ -16,7 +16,7 @@ from tidemill.functions import ieee
 from tidemill.functions.ieee import INF, NAN, col, gt, lt, no_nan, or_nan
 from tidemill.operators import kernels
 from tidemill.operators import series as ops
-from tidemill.operators.series import Kernel, Series, check_period, ema_kernel, rma_kernel, weighted_kernel, wma_kernel
+from tidemill.operators.series import Kernel, Running, Series, check_period, ema_kernel, rma_kernel, weighted_kernel, wma_kernel
 
 NEUTRAL_ZERO = 0.0
 
@@ -414,10 +414,10 @@ def elder_ray(s: Series, high, low, close, n: int) -> Generator:
 # Volume
 
 
-def vwap(s: Series, high, low, close, volume) -> Column:
+def vwap(s: Series, high, low, close, volume) -> Generator:
     """From the series' start; no volume: 0."""
-    paid = F.sum((col(high) + col(low) + col(close)) / 3 * col(volume)).over(s.running)
-    return ratio_or(paid, F.sum(col(volume)).over(s.running), 0.0)
+    paid, sold = yield [Running("sum", (col(high) + col(low) + col(close)) / 3 * col(volume)), Running("sum", col(volume))]
+    return ratio_or(paid, sold, 0.0)
 
 
 def vwma(s: Series, close, volume, n: int) -> Column:
@@ -426,13 +426,13 @@ def vwma(s: Series, close, volume, n: int) -> Column:
 
 
 def _signed_volume(s: Series, close, volume) -> Column:
-    before = F.lag(col(close)).over(s.w)
+    before = s.lag(close)
     return F.when(before.isNull(), 0.0).when(~no_nan(col(close), before), NAN).when(col(close) > before, col(volume)).when(col(close) < before, -col(volume)).otherwise(0.0)
 
 
 def obv(s: Series, close, volume) -> Generator:
     signed = yield _signed_volume(s, close, volume)
-    return F.sum(signed).over(s.running)
+    return (yield Running("sum", signed))
 
 
 def net_volume(s: Series, close, volume) -> Column:
@@ -445,9 +445,9 @@ def _money_flow_volume(high, low, close, volume) -> Column:
     return F.when(F.isnan(span) | (span == 0), 0.0).otherwise(share * col(volume))
 
 
-def accumulation_distribution(s: Series, high, low, close, volume) -> Column:
+def accumulation_distribution(s: Series, high, low, close, volume) -> Generator:
     """A bar without range adds 0."""
-    return F.sum(_money_flow_volume(high, low, close, volume)).over(s.running)
+    return (yield Running("sum", _money_flow_volume(high, low, close, volume)))
 
 
 def chaikin_money_flow(s: Series, high, low, close, volume, n: int) -> Column:
@@ -456,7 +456,7 @@ def chaikin_money_flow(s: Series, high, low, close, volume, n: int) -> Column:
 
 
 def chaikin_oscillator(s: Series, high, low, close, volume, fast: int, slow: int) -> Generator:
-    line = yield accumulation_distribution(s, high, low, close, volume)
+    line = yield from accumulation_distribution(s, high, low, close, volume)
     quick, calm = yield [ema_kernel(line, fast), ema_kernel(line, slow)]
     return quick - calm
 
@@ -466,7 +466,7 @@ def money_flow_index(s: Series, high, low, close, volume, n: int) -> Generator:
     price = yield typical_price(s, high, low, close)
     before = s.back(price, 1)
     bad, flow = ~no_nan(price, before), price * col(volume)
-    first = F.lag(price).over(s.w).isNull()
+    first = s.lag(price).isNull()
     up, down = yield [
         F.when(first | bad, NAN).when(price > before, flow).otherwise(0.0),
         F.when(first | bad, NAN).when(price < before, flow).otherwise(0.0),
@@ -478,9 +478,9 @@ def money_flow_index(s: Series, high, low, close, volume, n: int) -> Generator:
 
 def price_volume_trend(s: Series, close, volume) -> Generator:
     """A zero base adds 0."""
-    before = F.lag(col(close)).over(s.w)
+    before = s.lag(close)
     part = yield F.when(before.isNull() | (before == 0), 0.0).otherwise((col(close) - before) / F.when(before != 0, before) * col(volume))
-    return F.sum(part).over(s.running)
+    return (yield Running("sum", part))
 
 
 def volume_oscillator(s: Series, volume, fast: int, slow: int) -> Column:
@@ -880,8 +880,8 @@ def williams_alligator(s: Series, high, low, jaw: tuple[int, int], teeth: tuple[
 def williams_fractal(s: Series, high, low, n: int) -> Column | dict:
     """A strict extreme among n bars on both sides, reported n bars later; masks."""
     check_period(n)
-    sides = [s.w.rowsBetween(-2 * n, -n - 1), s.w.rowsBetween(-n + 1, 0)]
-    full = F.row_number().over(s.w) > 2 * n
+    sides = [s.between(-2 * n, -n - 1), s.between(-n + 1, 0)]
+    full = s.full(2 * n + 1)
     h, l = s.back(high, n), s.back(low, n)
     known = no_nan(h, l)
     up, down = known & full, known & full
@@ -947,7 +947,7 @@ def swing_index(s: Series, open, high, low, close, limit_move: float) -> Column:
     if not limit_move > 0:
         raise ValueError("limit_move must be positive")
     o, h, l, c = col(open), col(high), col(low), col(close)
-    o1, c1 = F.lag(o).over(s.w), F.lag(c).over(s.w)
+    o1, c1 = s.lag(o), s.lag(c)
     hc, lc, co, span = F.abs(h - c1), F.abs(l - c1), F.abs(c1 - o1), h - l
     r = F.when((hc >= lc) & (hc >= span), hc - 0.5 * lc).when((lc >= hc) & (lc >= span), lc - 0.5 * hc).otherwise(span) + 0.25 * co
     k = F.greatest(h, c1) - F.least(l, c1)
@@ -957,7 +957,7 @@ def swing_index(s: Series, open, high, low, close, limit_move: float) -> Column:
 
 def accumulative_swing_index(s: Series, open, high, low, close, limit_move: float) -> Generator:
     one = yield swing_index(s, open, high, low, close, limit_move)
-    return F.sum(one).over(s.running)
+    return (yield Running("sum", one))
 
 
 # The rest
@@ -981,8 +981,8 @@ def chop_zone(s: Series, high, low, close, n: int) -> Generator:
     return F.when(~no_nan(u, d) | (u == 0) | (d == 0), NAN).otherwise(100 * ieee.log10(u / F.when(d != 0, d)) / math.log10(n))
 
 
-def advance_decline(s: Series, advances, declines) -> Column:
-    return F.sum(col(advances) - col(declines)).over(s.running)
+def advance_decline(s: Series, advances, declines) -> Generator:
+    return (yield Running("sum", col(advances) - col(declines)))
 
 
 def _crossed(s: Series, fast: Column, slow: Column) -> dict:

@@ -1,112 +1,18 @@
-"""Linear smoothers of long series, spread over many tasks.
-
-y = a * x + (1 - a) * y is an affine map of y, and affine maps chain. The range of the order column is cut into `pieces` of
-equal width; each key's rows in a piece are reduced to a few numbers (their count, the first n values and one map for the
-rest), these are chained key by key, and every piece is filled in from the state that comes in. A key's rows are spread over
-`pieces` tasks; what meets in one task is a row of at most n + 2 numbers for each of its pieces."""
+"""Linear smoothers of long series, spread over many tasks: one operator of `pieces`, for DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DoubleType, StructField, StructType, TimestampNTZType, TimestampType
-
-from tidemill.functions.ieee import nz
-from tidemill.operators.kernels import Smoother, fixed_scan
-from tidemill.operators.series import check_period, key_runs
-
-
-def _number(df: DataFrame, ord: str) -> Column:
-    kind = df.schema[ord].dataType
-    if isinstance(kind, (DateType, TimestampNTZType, TimestampType)):
-        return F.unix_micros(F.col(ord).cast("timestamp")).cast("double")
-    return F.col(ord).cast("double")
+from pyspark.sql import DataFrame
 
-
-def _resumed(alpha: float, n: int, seen: int, total: float, lost: float, value: float) -> Smoother:
-    smoother = Smoother(alpha, n)
-    smoother.seen, smoother.total, smoother.lost, smoother.value = seen, total, lost, value
-    return smoother
+from tidemill.operators.series import Kernel, Series, check_period, smoother
 
 
 def smooth_long(df: DataFrame, keys: list[str], ord: str, x: str, alpha: float, n: int, out: str, pieces: int = 64) -> DataFrame:
     """df with column `out`: exponential smoothing seeded with the mean of each key's first n rows; NaN before that, and from
     the first NaN on. An EMA has alpha = 2 / (n + 1), Wilder's average 1 / n."""
     check_period(n)
-    number = _number(df, ord)
-    low, high = df.agg(F.min(number), F.max(number)).first()
-    piece = F.lit(0) if low is None or low == high or pieces < 2 else F.width_bucket(number, F.lit(low), F.lit(high), F.lit(pieces))
-    rows = df.withColumns({"_piece": piece.cast("long"), "_x": nz(x)})
-    by = [*keys, "_piece"]
-    fields = {f.name: f for f in rows.schema.fields}
-    key_fields, columns = [fields[k] for k in by], df.columns
-
-    def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, [0, [], 0.0]
-        schema = None
-        for batch, cuts in key_runs(batches, by):
-            done, schema = [], batch.schema
-            values = batch.column("_x").to_numpy(zero_copy_only=False)
-            for fresh, first, end in cuts:
-                if fresh:
-                    if now is not None:
-                        done.append((now, held))
-                    now, held = tuple(batch.column(k)[first].as_py() for k in by), [0, [], 0.0]
-                head = max(0, min(n - len(held[1]), end - first))
-                held[1] += values[first : first + head].tolist()
-                if first + head < end:
-                    held[2] = float(fixed_scan(values[first + head : end], alpha, held[2])[-1])
-                held[0] += end - first
-            yield _summary(done, schema)
-        if now is not None:
-            yield _summary([(now, held)], schema)
-
-    def _summary(done: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        own = [pa.array([k[i] for k, _ in done], schema.field(c).type) for i, c in enumerate(by)]
-        rest = [pa.array([h[0] for _, h in done], pa.int64()), pa.array([h[1] for _, h in done], pa.list_(pa.float64())), pa.array([h[2] for _, h in done], pa.float64())]
-        return pa.RecordBatch.from_arrays([*own, *rest], [*by, "_rows", "_head", "_map"])
-
-    def chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Smoother(alpha, n)
-        for batch, cuts in key_runs(batches, keys):
-            came = []
-            counts, heads, rests = (batch.column(c).to_pylist() for c in ("_rows", "_head", "_map"))
-            for fresh, first, end in cuts:
-                if fresh:
-                    s = Smoother(alpha, n)
-                for i in range(first, end):
-                    came.append((s.seen, s.total, s.lost, s.value))
-                    s.run(np.array(heads[i], np.float64))
-                    if counts[i] > len(heads[i]):
-                        s.value = (1 - alpha) ** (counts[i] - len(heads[i])) * s.value + rests[i]
-            states = [pa.array([c[0] for c in came], pa.int64()), *[pa.array([c[k] for c in came], pa.float64()) for k in (1, 2, 3)]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in by], *states], [*by, "_seen", "_total", "_lost", "_value"])
 
-    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = None
-        for batch, cuts in key_runs(batches, by):
-            values, made = batch.column("_x").to_numpy(zero_copy_only=False), []
-            for fresh, first, end in cuts:
-                if fresh:
-                    s = _resumed(alpha, n, *[batch.column(c)[first].as_py() for c in ("_seen", "_total", "_lost", "_value")])
-                made.append(s.run(values[first:end])[0])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(np.concatenate(made))], [*columns, out])
+    def smoothed(s: Series):
+        return (yield Kernel(smoother(alpha, n), [x], smooth=(alpha, n, 0)))
 
-    doubles = [StructField(c, DoubleType()) for c in ("_total", "_lost", "_value")]
-    summary = StructType([*key_fields, *StructType.fromDDL("_rows long, _head array<double>, _map double").fields])
-    incoming = StructType([*key_fields, *StructType.fromDDL("_seen long").fields, *doubles])
-    dealt = rows.select(*by, ord, "_x").repartition(*by).sortWithinPartitions(*by, ord)
-    few = dealt.mapInArrow(reduce, summary)
-    few = (few.repartition(*keys) if keys else few.coalesce(1)).sortWithinPartitions(*by)
-    states = few.mapInArrow(chain, incoming)
-    states = states.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_seen", "_total", "_lost", "_value")
-    same = F.lit(True)
-    for i, k in enumerate(by):
-        same = same & rows[k].eqNullSafe(F.col(f"_k{i}"))
-    joined = rows.join(states, same).drop(*[f"_k{i}" for i in range(len(by))])
-    ready = joined.repartition(*by).sortWithinPartitions(*by, ord)
-    return ready.mapInArrow(fill, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+    return Series(df, keys, ord, pieces).compute(**{out: smoothed})

@@ -8,6 +8,9 @@ pass over the rows. Windows cost one shuffle by key; Catalyst groups expressions
 Kernels read each key's rows in order from sorted partitions and keep a fixed state, so a key's rows are never held in
 memory together, however many there are; the rows of one key go through one task.
 
+A series with `pieces`, or without keys, is cut into blocks of rows that many tasks work on; see `pieces`. Operators then ask for
+ordered aggregates (`Running`, `Since`) and places in a sort (`Place`), which are windows by key otherwise.
+
 The order column must be unique within a key. NULL input counts as NaN. Without keys all rows are one series."""
 
 from __future__ import annotations
@@ -40,6 +43,74 @@ class Kernel:
     make: Callable[[], object]
     inputs: Sequence[Column | str]
     outputs: int = 1
+    #: The rows that an output depends on, itself included; None if all before it do.
+    reach: int | None = None
+    #: Of a smoother: alpha, n and start as in `kernels.Smoother`.
+    smooth: tuple[float, int, int | None] | None = None
+
+
+@dataclass
+class Running:
+    """An aggregate of each row's value and those of all rows before it; `how` is a name in `RUNNING`, nulls play no part."""
+
+    how: str
+    value: Column | str
+
+
+@dataclass
+class Since:
+    """An aggregate of the values from the last row on for which `mask` is true; null before the first such row."""
+
+    how: str
+    mask: Column | str
+    value: Column | str
+
+
+@dataclass
+class Place:
+    """Where a row stands when its series is sorted by x, ties by the order column: "sort" 0-based, NaN first; "argsort" 0-based,
+    NaN last; "rank" 1-based means of ties, NaN for NaN."""
+
+    how: str
+    x: Column | str
+
+
+@dataclass
+class Request:
+    """A Running, Since or Place that an operator asked for: its fields as columns, the column to make, and how many rows the
+    operator had looked back before."""
+
+    how: str
+    fields: dict[str, Column]
+    out: str
+    behind: int
+
+
+@dataclass(frozen=True)
+class Monoid:
+    """An aggregate function of rows in order; `merge` aggregates its results, `join` joins two of them, which may be null."""
+
+    of: Callable[[Column], Column]
+    merge: Callable[[Column], Column]
+    join: Callable[[Column, Column], Column]
+
+    def both(self, a: Column, b: Column) -> Column:
+        return F.coalesce(self.join(a, b), b, a)
+
+
+def _last(x: Column) -> Column:
+    return F.last(x, ignorenulls=True)
+
+
+RUNNING = {
+    "sum": Monoid(F.sum, F.sum, lambda a, b: a + b),
+    "product": Monoid(F.product, F.product, lambda a, b: a * b),
+    "max": Monoid(F.max, F.max, F.greatest),
+    "min": Monoid(F.min, F.min, F.least),
+    "any": Monoid(F.bool_or, F.bool_or, lambda a, b: a | b),
+    "count": Monoid(F.count_if, F.sum, lambda a, b: a + b),
+    "last": Monoid(_last, _last, lambda a, b: b),
+}
 
 
 @dataclass
@@ -47,12 +118,19 @@ class Series:
     df: DataFrame
     keys: list[str]
     ord: str
+    #: How many blocks a key's rows are cut into; None: 64 without keys, else 0, which cuts none.
+    pieces: int | None = None
     #: Names of temporary columns so far.
     made: int = field(default=0, init=False)
+    #: The operator that `compute` is advancing, and how many rows each has looked back so far.
+    now: str = field(default="", init=False)
+    behind: dict[str, int] = field(default_factory=dict, init=False)
 
     def __post_init__(self) -> None:
         self.w = Window.partitionBy(*self.keys).orderBy(self.ord)
         self.running = self.w.rowsBetween(Window.unboundedPreceding, 0)
+        if self.pieces is None:
+            self.pieces = 0 if self.keys else 64
 
     # Window building blocks
 
@@ -62,7 +140,29 @@ class Series:
 
     def frame(self, n: int):
         check_period(n)
-        return self.w.rowsBetween(-(n - 1), 0)
+        return self.between(1 - n, 0)
+
+    def between(self, first: int, last: int):
+        """The frame of rows from `first` to `last`, relative to each."""
+        self._looks(-first)
+        return self.w.rowsBetween(first, last)
+
+    def lag(self, x) -> Column:
+        """x of the row before, null for the first row."""
+        self._looks(1)
+        return F.lag(col(x)).over(self.w)
+
+    def full(self, n: int) -> Column:
+        """Whether a row is its series' n-th or later."""
+        self._looks(n - 1)
+        return F.row_number().over(self.w) >= n
+
+    def total(self) -> Column:
+        """Number of rows."""
+        return F.count("*").over(Window.partitionBy(*self.keys))
+
+    def _looks(self, rows: int) -> None:
+        self.behind[self.now] = self.behind.get(self.now, 0) + max(0, rows)
 
     def warm(self, n: int, value: Column) -> Column:
         """value from the n-th row on, NaN before."""
@@ -71,6 +171,7 @@ class Series:
     def back(self, x, k: int) -> Column:
         """x of k rows before (after, for k < 0); NaN outside."""
         x = col(x)
+        self._looks(k)
         return x if k == 0 else or_nan((F.lag(x, k) if k > 0 else F.lead(x, -k)).over(self.w))
 
     def sum(self, x, n: int) -> Column:
@@ -106,8 +207,14 @@ class Series:
         results: dict[str, object] = {}
         waiting: dict[str, tuple[Generator, object]] = {}
         self.df = self.df.select(*self.df.columns)
+        if self.pieces:
+            from tidemill.operators.pieces import compute_long, divisible
+
+            if divisible(self.df, self.ord):
+                return compute_long(self, operators)
         keep = self.df.columns
         for name, op in operators.items():
+            self.now = name
             made = op(self) if callable(op) else op
             if inspect.isgenerator(made):
                 waiting[name] = (made, None)
@@ -116,6 +223,7 @@ class Series:
         while waiting:
             asked: dict[str, object] = {}
             for name, (gen, value) in list(waiting.items()):
+                self.now = name
                 try:
                     asked[name] = gen.send(value)
                 except StopIteration as end:
@@ -133,6 +241,7 @@ class Series:
         given: dict[str, object] = {}
         columns: dict[str, Column] = {}
         asked_kernels: dict[str, list[tuple[Kernel, list[str]]]] = {}
+        ordered: list[tuple[Running | Since | Place, Request]] = []
 
         def named(c: Column | str) -> str:
             if isinstance(c, str):
@@ -148,21 +257,53 @@ class Series:
                 if isinstance(one, Kernel):
                     asked_kernels.setdefault(name, []).append((one, [named(c) for c in one.inputs]))
                     own.append(one)
+                elif isinstance(one, (Running, Since, Place)):
+                    fields = {k: F.col(named(v if isinstance(v, Column) else F.col(v))) for k, v in vars(one).items() if k != "how"}
+                    self.made += 1
+                    ordered.append((one, Request(one.how, fields, f"_t{self.made}", self.behind.get(name, 0))))
+                    own.append(F.col(f"_t{self.made}"))
                 else:
                     own.append(F.col(named(one)))
             given[name] = own if several else own[0]
         if columns:
             self.df = self.df.withColumns(columns)
+        for kind, make in ((Running, self._scan), (Since, self._segments), (Place, self._place)):
+            if wanted := [request for one, request in ordered if isinstance(one, kind)]:
+                make(wanted)
         if asked_kernels:
-            self._run([k for own in asked_kernels.values() for k in own], given)
+            self._run([(*k, self.behind.get(name, 0)) for name, own in asked_kernels.items() for k in own], given)
+            for name, own in asked_kernels.items():
+                self.behind[name] = self.behind.get(name, 0) + sum((k.reach or 1) - 1 for k, _ in own)
         return given
 
-    def _run(self, wanted: list[tuple[Kernel, list[str]]], given: dict[str, object]) -> None:
+    def _scan(self, wanted: list[Request]) -> None:
+        self.df = self.df.withColumns({r.out: RUNNING[r.how].of(r.fields["value"]).over(self.running) for r in wanted})
+
+    def _segments(self, wanted: list[Request]) -> None:
+        self.df = self.df.withColumns({f"{r.out}_g": F.count_if(r.fields["mask"]).over(self.running) for r in wanted})
+        for r in wanted:
+            group = F.col(f"{r.out}_g")
+            w = Window.partitionBy(*self.keys, group).orderBy(self.ord).rowsBetween(Window.unboundedPreceding, 0)
+            self.df = self.df.withColumn(r.out, F.when(group > 0, RUNNING[r.how].of(r.fields["value"]).over(w)))
+
+    def _place(self, wanted: list[Request]) -> None:
+        for r in wanted:
+            x = r.fields["x"]
+            w = Window.partitionBy(*self.keys)
+            if r.how == "rank":
+                below = F.rank().over(w.orderBy(x))
+                value = F.when(F.isnan(x), NAN).otherwise(below + (F.count("*").over(Window.partitionBy(*self.keys, x)) - 1) / F.lit(2.0))
+            else:
+                order = [F.isnan(x).desc()] if r.how == "sort" else []
+                value = (F.row_number().over(w.orderBy(*order, x, self.ord)) - 1).cast("long")
+            self.df = self.df.withColumn(r.out, value)
+
+    def _run(self, wanted: list[tuple[Kernel, list[str], int]], given: dict[str, object]) -> None:
         names: dict[int, list[str]] = {}
-        for kernel, _ in wanted:
+        for kernel, _, _ in wanted:
             names[id(kernel)] = [f"_t{self.made + i + 1}" for i in range(kernel.outputs)]
             self.made += kernel.outputs
-        self.df = run_kernels(self.df, self.keys, self.ord, [(k.make, inputs, names[id(k)]) for k, inputs in wanted])
+        self._kernels([(k, inputs, names[id(k)], behind) for k, inputs, behind in wanted])
 
         def settle(x: object) -> object:
             if isinstance(x, Kernel):
@@ -173,6 +314,9 @@ class Series:
         for name in given:
             given[name] = settle(given[name])
 
+    def _kernels(self, wanted: list[tuple[Kernel, list[str], list[str], int]]) -> None:
+        self.df = run_kernels(self.df, self.keys, self.ord, [(k.make, inputs, outputs) for k, inputs, outputs, _ in wanted])
+
 
 def check_period(n: int, least: int = 1, name: str = "period") -> None:
     if n < least:
@@ -226,29 +370,30 @@ def key_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tup
 # Cumulative operators
 
 
-def cum_sum(s: Series, x) -> Column:
-    return F.sum(col(x)).over(s.running)
+def cum_sum(s: Series, x) -> Generator:
+    return (yield Running("sum", col(x)))
 
 
-def cum_prod(s: Series, x) -> Column:
-    return F.product(col(x)).over(s.running)
+def cum_prod(s: Series, x) -> Generator:
+    return (yield Running("product", col(x)))
 
 
-def cum_max(s: Series, x) -> Column:
-    return F.max(col(x)).over(s.running)
+def cum_max(s: Series, x) -> Generator:
+    return (yield Running("max", col(x)))
 
 
-def cum_min(s: Series, x) -> Column:
-    return F.when(F.bool_or(F.isnan(col(x))).over(s.running), NAN).otherwise(F.min(col(x)).over(s.running))
+def cum_min(s: Series, x) -> Generator:
+    bad, low = yield [Running("any", F.isnan(col(x))), Running("min", col(x))]
+    return F.when(bad, NAN).otherwise(low)
 
 
-def cum_count_true(s: Series, m) -> Column:
-    return F.count_if(col(m)).over(s.running)
+def cum_count_true(s: Series, m) -> Generator:
+    return (yield Running("count", col(m)))
 
 
-def drawdown(s: Series, x) -> Column:
+def drawdown(s: Series, x) -> Generator:
     """(x - peak) / peak of the running maximum; NaN from the first NaN on and while the peak isn't positive."""
-    peak = F.max(col(x)).over(s.running)
+    peak = yield Running("max", col(x))
     return F.when(peak > 0, (col(x) - peak) / F.when(peak > 0, peak)).otherwise(NAN)
 
 
@@ -300,56 +445,46 @@ def cross(s: Series, a, b) -> Column:
 
 def bars_since(s: Series, m) -> Generator:
     """Rows since the last true, -1 before the first."""
-    i = yield s.index()
-    return F.coalesce(i - F.last(F.when(col(m), i), ignorenulls=True).over(s.running), F.lit(-1)).cast("long")
+    rows = yield Since("count", col(m), F.lit(True))
+    return (F.coalesce(rows, F.lit(0)) - 1).cast("long")
 
 
-def value_when(s: Series, m, x) -> Column:
+def value_when(s: Series, m, x) -> Generator:
     """x at the last true row, which may be NaN; NaN before the first."""
-    return or_nan(F.last(F.when(col(m), F.struct(col(x).alias("x"))), ignorenulls=True).over(s.running)["x"])
-
-
-def _since(s: Series, m, x, lowest: bool) -> Generator:
-    group = yield F.count_if(col(m)).over(s.running)
-    w = Window.partitionBy(*s.keys, group).orderBy(s.ord).rowsBetween(Window.unboundedPreceding, 0)
-    x = col(x)
-    value = F.when(F.bool_or(F.isnan(x)).over(w), NAN).otherwise(F.min(x).over(w)) if lowest else F.max(x).over(w)
-    return F.when(group == 0, NAN).otherwise(value)
+    held = yield Running("last", F.when(col(m), F.struct(col(x).alias("x"))))
+    return or_nan(held["x"])
 
 
 def highest_since(s: Series, m, x) -> Generator:
-    return _since(s, m, x, False)
+    return or_nan((yield Since("max", col(m), col(x))))
 
 
 def lowest_since(s: Series, m, x) -> Generator:
-    return _since(s, m, x, True)
+    bad, low = yield [Since("any", col(m), F.isnan(col(x))), Since("min", col(m), col(x))]
+    return F.when(bad, NAN).otherwise(or_nan(low))
 
 
 # Orders and ranks
 
 
-def sort_copy(s: Series, x) -> Column:
+def sort_copy(s: Series, x) -> Generator:
     """Position in ascending order, NaN first: order by it to sort. Ties go by the order column."""
-    w = Window.partitionBy(*s.keys).orderBy(F.isnan(col(x)).desc(), col(x), s.ord)
-    return (F.row_number().over(w) - 1).cast("long")
+    return (yield Place("sort", col(x)))
 
 
-def argsort(s: Series, x) -> Column:
+def argsort(s: Series, x) -> Generator:
     """Position in stable ascending order, NaN last."""
-    w = Window.partitionBy(*s.keys).orderBy(col(x), s.ord)
-    return (F.row_number().over(w) - 1).cast("long")
+    return (yield Place("argsort", col(x)))
 
 
-def rank(s: Series, x) -> Column:
+def rank(s: Series, x) -> Generator:
     """1-based average ranks; NaN has none and counts for none."""
-    x = col(x)
-    w = Window.partitionBy(*s.keys).orderBy(x)
-    return F.when(F.isnan(x), NAN).otherwise(F.rank().over(w) + (F.count("*").over(Window.partitionBy(*s.keys, x)) - 1) / F.lit(2.0))
+    return (yield Place("rank", col(x)))
 
 
 def reverse(s: Series, x) -> Generator:
     """The value that stands here when the series is read backwards: a join by key and mirrored position."""
-    i, n = yield [s.index(), F.count("*").over(Window.partitionBy(*s.keys))]
+    i, n = yield [s.index(), s.total()]
     s.made += 1
     value, mirror = f"_v{s.made}", f"_m{s.made}"
     right = s.df.select(*[F.col(k).alias(f"{mirror}_{j}") for j, k in enumerate(s.keys)], (n - 1 - i).alias(mirror), col(x).alias(value))
@@ -366,7 +501,7 @@ def reverse(s: Series, x) -> Generator:
 def _moving(n: int, value: Callable[..., np.ndarray], *inputs) -> Kernel:
     check_period(n)
     count = len(inputs)
-    return Kernel(lambda: kernels.Window(n, value, count), list(inputs))
+    return Kernel(lambda: kernels.Window(n, value, count), list(inputs), reach=n)
 
 
 def sum_kernel(x, n: int) -> Kernel:
@@ -453,7 +588,7 @@ def rolling_quantile(s: Series, x, n: int, q: float) -> Generator:
     if not 0 <= q <= 1:
         raise ValueError("q must lie in [0, 1]")
     if n > LONG_ORDER:
-        return (yield Kernel(lambda: kernels.SortedWindow(n, lambda v, _: kernels.interpolated(v, q)), [x]))
+        return (yield Kernel(lambda: kernels.SortedWindow(n, lambda v, _: kernels.interpolated(v, q)), [x], reach=n))
     return (yield _moving(n, lambda v, n: kernels.moving_quantile(v, n, q), x))
 
 
@@ -463,7 +598,7 @@ def rolling_median(s: Series, x, n: int) -> Generator:
 
 def percent_rank_kernel(x, n: int) -> Kernel:
     if n > LONG_ORDER:
-        return Kernel(lambda: kernels.SortedWindow(n, lambda v, new: 100 * bisect_left(v, new) / n), [x])
+        return Kernel(lambda: kernels.SortedWindow(n, lambda v, new: 100 * bisect_left(v, new) / n), [x], reach=n)
     return _moving(n, kernels.moving_percent_rank, x)
 
 
@@ -481,25 +616,25 @@ def smoother(alpha: float, n: int, start: int | None = 0) -> Callable[[], kernel
 
 def ema_kernel(x, n: int, start: int | None = 0) -> Kernel:
     check_period(n)
-    return Kernel(smoother(2 / (n + 1), n, start), [x])
+    return Kernel(smoother(2 / (n + 1), n, start), [x], smooth=(2 / (n + 1), n, start))
 
 
 def rma_kernel(x, n: int, start: int | None = 0) -> Kernel:
     check_period(n)
-    return Kernel(smoother(1 / n, n, start), [x])
+    return Kernel(smoother(1 / n, n, start), [x], smooth=(1 / n, n, start))
 
 
 def _smoothed(s: Series, x, n: int, alpha: float, pieces: int | None) -> Generator:
-    """A series without keys, or one of which `pieces` says so, is cut into that many range partitions; see `scan`."""
+    """`pieces` cuts the series for this smoother alone; one that is cut into blocks already needs none."""
     check_period(n)
-    if not (pieces or not s.keys):
-        return (yield Kernel(smoother(alpha, n), [x]))
+    if not pieces or type(s) is not Series:
+        return (yield Kernel(smoother(alpha, n), [x], smooth=(alpha, n, 0)))
     from tidemill.operators.scan import smooth_long
 
     values = yield col(x)
     s.made += 2
     name, out = f"_x{s.made}", f"_y{s.made}"
-    s.df = smooth_long(s.df.withColumn(name, values), s.keys, s.ord, name, alpha, n, out, pieces or 64).drop(name)
+    s.df = smooth_long(s.df.withColumn(name, values), s.keys, s.ord, name, alpha, n, out, pieces).drop(name)
     return F.col(out)
 
 
