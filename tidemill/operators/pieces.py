@@ -81,11 +81,11 @@ def part_of(number: Column, cuts: list[float]) -> Column:
 def beside(rows: DataFrame, few: DataFrame, by: list[str], single: bool) -> DataFrame:
     """rows with the other columns of few, which has one row for each value of `by`. `single`: the series has no keys, so few
     has no more rows than there are parts, and is broadcast."""
-    named = few.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in few.columns if c not in by])
+    named = few.select(*[F.col(k).alias(f"_same{i}") for i, k in enumerate(by)], *[c for c in few.columns if c not in by])
     same = F.lit(True)
     for i, k in enumerate(by):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(F.broadcast(named) if single else named, same).drop(*[f"_k{i}" for i in range(len(by))])
+        same = same & F.col(k).eqNullSafe(F.col(f"_same{i}"))
+    return rows.join(F.broadcast(named) if single else named, same).drop(*[f"_same{i}" for i in range(len(by))])
 
 
 def expand(df: DataFrame, keys: list[str], ord: str, back: int, ahead: int, pieces: int) -> DataFrame:

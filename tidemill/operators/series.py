@@ -131,6 +131,7 @@ class Series:
         self.running = self.w.rowsBetween(Window.unboundedPreceding, 0)
         if self.pieces is None:
             self.pieces = 0 if self.keys else 64
+        self.made = max((int(c[2:]) for c in self.df.columns if c.startswith("_t") and c[2:].isdigit()), default=0)
 
     # Window building blocks
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidemill.functions import reductions as red
 from tidemill.functions import scalar as sc
 from tidemill.functions.ieee import NAN
+from tidemill.operators import indicators as ta
 from tidemill.operators import matrix as mat
 from tidemill.operators import series as ops
+from tidemill.operators.selection import median_abs_deviation, quantiles
 from tidemill.operators.series import Kernel, Series
 from tidemill.plans.oracles import SHIFT, rounded
 from tidemill.streaming.rollers import KINDS, Ring, apply_batch
@@ -207,12 +209,14 @@ MATHEMATICS_SQL = _rows({
 }, ("log_zero", "div_zero", "big_floor"))
 
 
+CUMULATIVE = dict(
+    cum_sum=lambda s: ops.cum_sum(s, "x"), cum_prod=lambda s: ops.cum_prod(s, 1 + F.col("y") / 10000), cum_max=lambda s: ops.cum_max(s, "x"), cum_min=lambda s: ops.cum_min(s, "x"),
+    cum_max_nan=lambda s: ops.cum_max(s, "z"), cum_min_nan=lambda s: ops.cum_min(s, "z"), cum_count_true=lambda s: ops.cum_count_true(s, "m"), drawdown=lambda s: ops.drawdown(s, "x"),
+)
+
+
 def cumulative(spark, sf_dir):
-    return _computed(
-        spark, sf_dir,
-        cum_sum=lambda s: ops.cum_sum(s, "x"), cum_prod=lambda s: ops.cum_prod(s, 1 + F.col("y") / 10000), cum_max=lambda s: ops.cum_max(s, "x"), cum_min=lambda s: ops.cum_min(s, "x"),
-        cum_max_nan=lambda s: ops.cum_max(s, "z"), cum_min_nan=lambda s: ops.cum_min(s, "z"), cum_count_true=lambda s: ops.cum_count_true(s, "m"), drawdown=lambda s: ops.drawdown(s, "x"),
-    )
+    return _computed(spark, sf_dir, **CUMULATIVE)
 
 
 _RUN = f"OVER ({W} ROWS UNBOUNDED PRECEDING)"
@@ -248,8 +252,11 @@ LAGS_SQL = LAGS_SQL.replace(
 )
 
 
+SINCE = dict(bars_since=lambda s: ops.bars_since(s, "m"), value_when=lambda s: ops.value_when(s, "m", "z"), highest_since=lambda s: ops.highest_since(s, "m", "x"), lowest_since=lambda s: ops.lowest_since(s, "m", "x"))
+
+
 def since(spark, sf_dir):
-    return _computed(spark, sf_dir, bars_since=lambda s: ops.bars_since(s, "m"), value_when=lambda s: ops.value_when(s, "m", "z"), highest_since=lambda s: ops.highest_since(s, "m", "x"), lowest_since=lambda s: ops.lowest_since(s, "m", "x"))
+    return _computed(spark, sf_dir, **SINCE)
 
 
 SINCE_SQL = _rows({
@@ -258,9 +265,15 @@ SINCE_SQL = _rows({
 }, ("bars_since",), ({"li": f"max(CASE WHEN m THEN i END) {_RUN}", "g": f"count(*) FILTER (m) {_RUN}"},))
 
 
+def _tied() -> Column:
+    return F.round(F.col("z") / 10)
+
+
+SORTS = dict(sort=lambda s: ops.sort_copy(s, _tied()), argsort=lambda s: ops.argsort(s, _tied()), rank=lambda s: ops.rank(s, _tied()))
+
+
 def sorts(spark, sf_dir):
-    tied = F.round(F.col("z") / 10)
-    return _computed(spark, sf_dir, sort=lambda s: ops.sort_copy(s, tied), argsort=lambda s: ops.argsort(s, tied), rank=lambda s: ops.rank(s, tied))
+    return _computed(spark, sf_dir, **SORTS)
 
 
 _TIE = "CASE WHEN isnan(z) THEN z ELSE round(z / 10) END"
@@ -270,14 +283,15 @@ SORTS_SQL = _rows({
 }, ("sort", "argsort"), ({"v": _TIE},))
 
 
+ROLLING = dict(
+    sum=lambda s: ops.rolling_sum(s, "z", 20), mean=lambda s: ops.rolling_mean(s, "x", 20), max=lambda s: ops.rolling_max(s, "z", 20), min=lambda s: ops.rolling_min(s, "z", 20), range=lambda s: ops.rolling_range(s, "x", 20), wma=lambda s: ops.rolling_wma(s, "x", 5),
+    variance=lambda s: ops.rolling_variance(s, "x", 20), variance_sample=lambda s: ops.rolling_variance_sample(s, "x", 20), std_dev=lambda s: ops.rolling_std_dev(s, "x", 20), std_dev_sample=lambda s: ops.rolling_std_dev_sample(s, "x", 20),
+    covariance=lambda s: ops.rolling_covariance(s, "x", "y", 20), covariance_sample=lambda s: ops.rolling_covariance_sample(s, "x", "y", 20), correlation=lambda s: ops.rolling_correlation(s, "x", "y", 20),
+)
+
+
 def rolling(spark, sf_dir):
-    n = 20
-    return _computed(
-        spark, sf_dir,
-        sum=lambda s: ops.rolling_sum(s, "z", n), mean=lambda s: ops.rolling_mean(s, "x", n), max=lambda s: ops.rolling_max(s, "z", n), min=lambda s: ops.rolling_min(s, "z", n), range=lambda s: ops.rolling_range(s, "x", n), wma=lambda s: ops.rolling_wma(s, "x", 5),
-        variance=lambda s: ops.rolling_variance(s, "x", n), variance_sample=lambda s: ops.rolling_variance_sample(s, "x", n), std_dev=lambda s: ops.rolling_std_dev(s, "x", n), std_dev_sample=lambda s: ops.rolling_std_dev_sample(s, "x", n),
-        covariance=lambda s: ops.rolling_covariance(s, "x", "y", n), covariance_sample=lambda s: ops.rolling_covariance_sample(s, "x", "y", n), correlation=lambda s: ops.rolling_correlation(s, "x", "y", n),
-    )
+    return _computed(spark, sf_dir, **ROLLING)
 
 
 _F20 = f"OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -376,6 +390,65 @@ ROLLING_LONG_SQL = _rows({
 })
 
 
+def _whole(spark: SparkSession, sf_dir: str, operators: dict) -> DataFrame:
+    """One series of all rows, cut into blocks."""
+    return _shown(Series(ticks(spark, sf_dir).drop(*KEYS), [], "event_id").compute(**operators).drop("x", "y", "z", "m"))
+
+
+def _of_whole(sql: str) -> str:
+    return sql.replace("PARTITION BY event_type, ", "PARTITION BY ").replace("PARTITION BY event_type ORDER", "ORDER").replace(" SELECT event_type, event_id, ", " SELECT event_id, ")
+
+
+def cumulative_whole(spark, sf_dir):
+    return _whole(spark, sf_dir, CUMULATIVE)
+
+
+def since_whole(spark, sf_dir):
+    return _whole(spark, sf_dir, SINCE)
+
+
+def rolling_whole(spark, sf_dir):
+    return _whole(spark, sf_dir, ROLLING)
+
+
+def sorts_whole(spark, sf_dir):
+    return _whole(spark, sf_dir, SORTS)
+
+
+CUMULATIVE_WHOLE_SQL, SINCE_WHOLE_SQL, ROLLING_WHOLE_SQL, SORTS_WHOLE_SQL = (_of_whole(sql) for sql in (CUMULATIVE_SQL, SINCE_SQL, ROLLING_SQL, SORTS_SQL))
+
+
+def indicators_whole(spark, sf_dir):
+    """Indicators whose parts look back, run on and look back again."""
+    return _whole(spark, sf_dir, {
+        "bands": lambda s: ta.bollinger_bands(s, "x", 20, 2.0), "obv": lambda s: ta.obv(s, "x", sc.abs_("y")), "vwap": lambda s: ta.vwap(s, "x", "x", "x", sc.abs_("y")),
+        "turn": lambda s: ta.net_volume(s, "x", sc.abs_("y")), "line": lambda s: ta.ichimoku(s, "x", "x", "x", 9, 26, 52, 26),
+    })
+
+
+def _mid(n: int, back: int = 0) -> str:
+    return f"CASE WHEN i >= {n - 1 + back} THEN (max(x) OVER r{n}{back} + min(x) OVER r{n}{back}) / 2 END"
+
+
+INDICATORS_WHOLE_SQL = f"""WITH {_of_whole(TICKS)}, t0 AS (SELECT *, CASE WHEN lag(x) OVER w < x THEN abs(y) WHEN lag(x) OVER w > x THEN -abs(y) ELSE 0 END AS signed FROM ticks WINDOW w AS (ORDER BY event_id))
+SELECT event_id, {rounded('CASE WHEN i >= 19 THEN avg(x) OVER f END')} AS bands_middle, {rounded('CASE WHEN i >= 19 THEN avg(x) OVER f + 2 * stddev_pop(x) OVER f END')} AS bands_upper, {rounded('CASE WHEN i >= 19 THEN avg(x) OVER f - 2 * stddev_pop(x) OVER f END')} AS bands_lower,
+  {rounded('sum(signed) OVER u')} AS obv, {rounded('sum(x * abs(y)) OVER u / sum(abs(y)) OVER u')} AS vwap, {rounded('signed')} AS turn,
+  {rounded(_mid(9))} AS line_conversion, {rounded(_mid(26))} AS line_base, {rounded(f'({_mid(9, 26)} + {_mid(26, 26)}) / 2')} AS line_span_a, {rounded(_mid(52, 26))} AS line_span_b, {rounded('lead(x, 26) OVER (ORDER BY event_id)')} AS line_lagging
+FROM t0 WINDOW f AS (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), u AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+  {', '.join(f'r{n}{b} AS (ORDER BY event_id ROWS BETWEEN {n - 1 + b} PRECEDING AND {b or 0} PRECEDING)' for n, b in ((9, 0), (26, 0), (9, 26), (26, 26), (52, 26)))}"""
+
+
+def quantiles_whole(spark, sf_dir):
+    """Order statistics of one group of all rows, and of each type's rows, of which no more than a thousand are ever sorted."""
+    df = ticks(spark, sf_dir).withColumn("event_type", F.lit("all")).unionByName(ticks(spark, sf_dir))
+    found = quantiles(df, KEYS, "x", {"median": 0.5, "quantile": 0.3, "percentile": 0.95, "least": 0.0, "most": 1.0}, rows=1000)
+    return _shown(found.join(median_abs_deviation(df, KEYS, "x", rows=1000), KEYS))
+
+
+QUANTILES_WHOLE_SQL = f"""WITH {TICKS}, groups AS (SELECT 'all' AS event_type, x FROM ticks UNION ALL SELECT event_type, x FROM ticks), c AS (SELECT *, abs(x - median(x) OVER (PARTITION BY event_type)) AS d FROM groups)
+SELECT event_type, {rounded('median(x)')} AS median, {rounded('quantile_cont(x, 0.3)')} AS quantile, {rounded('quantile_cont(x, 0.95)')} AS percentile, {rounded('min(x)')} AS least, {rounded('max(x)')} AS most, {rounded('median(d)')} AS mad FROM c GROUP BY event_type"""
+
+
 def smoothers_whole(spark, sf_dir):
     """One series of all rows, cut into pieces."""
     one = Series(ticks(spark, sf_dir).select("event_id", "x"), [], "event_id")
@@ -577,7 +650,8 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_reductions": (reductions, REDUCTIONS_SQL), "vec_reductions_nan": (reductions_nan, REDUCTIONS_NAN_SQL), "vec_moments": (moments, MOMENTS_SQL), "vec_max_drawdown": (max_drawdown, MAX_DRAWDOWN_SQL),
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
-    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "vec_cumulative_whole": (cumulative_whole, CUMULATIVE_WHOLE_SQL), "vec_since_whole": (since_whole, SINCE_WHOLE_SQL), "vec_rolling_whole": (rolling_whole, ROLLING_WHOLE_SQL),
+    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 
