@@ -88,6 +88,31 @@ def test_names_are_weighed():
     assert html_extract.extract("<article><h1>a</h1><article class='comment even'>remark</article></article>", None) == "a"
 
 
+def test_quotes_open_values_only():
+    page = "<article><p title=it's>First don't end</p><p data-x=a\"b>Second para don't stop</p><p title = '>'>third</p></article>"
+    assert html_extract.extract(page, None) == "First don't end\nSecond para don't stop\nthird"
+
+
+@pytest.mark.parametrize("cards", [3, 20, 200])
+def test_cards_do_not_outvote_an_article(spark, cards):
+    rng = random.Random(cards)
+    rows = []
+    for k in range(12):
+        paragraphs = [_say(rng, 40, 50) for _ in range(6)]
+        latest = "".join(f"<article class=card><h3>{_say(rng, 3, 5)}</h3><p>{_say(rng, 18, 22)}</p></article>" for _ in range(cards))
+        rows.append((k, "https://h.example/", f"<body><div class=latest>{latest}</div><article class=story>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article></body>", "\n".join(paragraphs)))
+    out = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, want string")).collect()
+    assert {r.page_id: r.text for r in out} == {r[0]: r[3] for r in rows}
+
+
+def test_titles_and_paragraphs_of_an_article_stay():
+    for title in ("<header><h2>Title of it</h2></header>", "<div class='post-header'><h2>Title of it</h2></div>", "<header><h3>Title of it</h3></header>"):
+        page = f"<body><header><h2>Site</h2></header><article>{title}<p class='related'>a related matter</p><p>two</p><header><h2>later</h2></header></article></body>"
+        assert html_extract.extract(page, None) == "Title of it\na related matter\ntwo"
+    for name in ("feedback-list", "discussion", "reactions"):
+        assert html_extract.extract(f"<main><p>text</p><div class={name}><p>reader remark</p></div></main>", None) == "text"
+
+
 def test_vote_is_guarded():
     long = "long words of an article " * 30
     assert html_extract.extract(f"<div class='c'>teaser</div><article>{long}</article>", "/div.c") == long.strip()

@@ -1,6 +1,6 @@
 """Main text of web pages by consensus host paths.
 
-1. Every page's containers are scored: by their own text, less what stands in links and in boilerplate, with a premium for
+1. Every page's containers are scored, each alone: by their own text, less what stands in links and in boilerplate, with a premium for
    article-like tags. A page votes for its best container's generalised path: tags with their classes (digits
    dropped), without positions. Votes are counted by host in Spark, where partial sums go before the shuffle, so a host
    with a third of all pages costs no more than another.
@@ -11,13 +11,13 @@
 Out go menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments (both kinds) and markup, inside
 the container too. Elements say so by tag, role or attribute, or by a class or id all of whose words are names of boilerplate or
 of mere layout ("share-buttons"); where such a word is only part of a name ("share-price"), half of the element's text must
-stand in links as well. What holds an h1 stays, but for a header right below the body; if nothing would be left, names don't
-count. Character
+stand in links as well, as it must for a paragraph of any name. What holds an h1, or the first heading of an article or main
+element, stays, but for a header right below the body; if nothing would be left, names don't count. Character
 references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by a
 newline. Whatever else the container holds stays, however short, long, deep or frequent.
 
 Null and empty pages have an empty text. A null url belongs to the host ''. Pages are whole, of any length and depth; reading
-takes time in proportion to it, also where tags are cut off or never closed. From the first tag on whose quotes never close, a
+takes time in proportion to it, also where tags are cut off or never closed. A quote opens an attribute's value only right after "="; from the first tag on whose quotes never close, a
 tag ends at its first ">". Of equally good containers the first counts. Repeated rows vote alike, rows of equal page_id
 are told apart by nothing and all return, an empty table gives no rows, and extra columns are ignored."""
 
@@ -41,12 +41,13 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html"
     " li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 PREMIUM = {"article": 3.0, "main": 2.0, "body": 0.25, "section": 1.2}
 CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus"
-    " footer gdpr header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion"
-    " related replies reply respond sharing share sidebar side-bar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion discussions disqus"
+    " feedback footer gdpr guestbook header masthead menu menubar nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion"
+    " reactions related remarks replies reply respond sharing share sidebar side-bar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert".split()
 )
 #: Words that say where or how something stands, not what it is.
 LAYOUT_WORDS = frozenset(
@@ -63,8 +64,9 @@ CLOSES = {
 SCOPES = frozenset("article aside body button details div footer form header main nav section table td th ul ol dl blockquote html".split())
 
 _TOKEN = re.compile(r"<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)")
-_STOP = re.compile("[>\"']")
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: A quote opens a value only right after "=".
+_STOP = re.compile(r">|=\s*[\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Only these attributes matter here.
 _NAMED = re.compile("class|id|role|hidden", re.I)
 _BLANKS = re.compile(r"[\s\x85\xa0]+")
@@ -86,7 +88,7 @@ def _cut_rule(tag: str, attributes: dict[str, str]) -> int:
             if not cut or tag == "article" and not {"comment", "comments"} & set(cut):
                 continue
             whole = len(cut) > 1 or all(w in CUT_WORDS or w in LAYOUT_WORDS or len(w) == 1 for w in words)
-            rule = max(rule, UNLESS_TITLE if whole else IF_LINKS)
+            rule = max(rule, UNLESS_TITLE if whole and tag != "p" else IF_LINKS)
     return max(rule, UNLESS_TITLE) if tag == "header" else rule
 
 
@@ -197,6 +199,13 @@ class Page:
             if node >= 0 and not text.isspace():
                 own[node] += len(text) - text.count(" ")
         titled = [t == "h1" for t in tag]
+        # An article's or main element's first heading is its title, of any level.
+        inside, headed = [0] * n, set()
+        for i in range(1, n):
+            inside[i] = i if tag[i] in ("article", "main") else inside[parent[i]]
+            if tag[i] in HEADINGS and inside[i] and inside[i] not in headed:
+                headed.add(inside[i])
+                titled[i] = True
         link = [t == "a" for t in tag]
         cut = [rule == ALWAYS for rule in self.rule]
         for i in range(1, n):
@@ -233,15 +242,21 @@ class Page:
             nearest[i] = i if tag[i] in CONTAINERS else nearest[parent[i]]
             self.near[nearest[i]] += whole[i]
             linked[i] = whole[i] if link[i] else 0
+        # Of the articles within an element only the longest counts for it, as many are a list of other pages.
+        longest = [0] * n
         for i in range(n - 1, 0, -1):
-            whole[parent[i]] += whole[i]
-            linked[parent[i]] += linked[i]
-        #: By path: what its containers score.
+            whole[i] += longest[i]
+            if tag[i] == "article":
+                longest[parent[i]] = max(longest[parent[i]], whole[i])
+            else:
+                whole[parent[i]] += whole[i]
+                linked[parent[i]] += linked[i]
+        #: By path: what the best of its containers scores. Many small ones on a path are a list, which no article is.
         self.scores: dict[int, float] = {}
         for i in range(1, n):
             if whole[i] and tag[i] in CONTAINERS:
                 score = (self.near[i] + 0.7 * (whole[i] - self.near[i]) - 1.5 * linked[i]) * PREMIUM.get(tag[i], 1.0)
-                self.scores[self.path[i]] = self.scores.get(self.path[i], 0.0) + score
+                self.scores[self.path[i]] = max(self.scores.get(self.path[i], score), score)
 
     def named(self, path: int) -> str:
         """A path's names."""
@@ -288,7 +303,7 @@ def _tag_end(page: str, at: int) -> int:
     while m := _STOP.search(page, at):
         if m[0] == ">":
             return m.start()
-        at = page.find(m[0], m.end()) + 1
+        at = page.find(m[0][-1], m.end()) + 1
         if not at:
             break
     return -1
