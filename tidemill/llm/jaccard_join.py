@@ -1,8 +1,8 @@
 """N-gram Jaccard join: keys of smallest hashes (or, with `exact`, rarest shingles) deal sets into size-banded tiles, where
 hashed bitmap signatures bound overlaps before exact sorted-array intersection.
 
-1. Every whole text becomes its set of distinct word shingles, as 64-bit hashes. Equal sets form a class, which is searched
-   once; copies are never expanded into pairs.
+1. Every whole text becomes its set of distinct word shingles, as 64-bit hashes. Sets equal by a name of 128 bits form a class,
+   which is searched once; copies are never expanded into pairs.
 2. A class's keys are its 24 smallest hashes. The smallest hash of a union lies in the intersection with probability J, so
    two sets of Jaccard 0.8 or more have no key in common with a chance of 0.2**24, about 2e-17; sets of up to 24 shingles
    put up all of them. With `exact` the keys are the fifth of a set's shingles that the fewest classes hold, of which two sets
@@ -16,7 +16,8 @@ hashed bitmap signatures bound overlaps before exact sorted-array intersection.
    bitmaps allow and that aren't connected yet are decided by exact intersection. Nothing is capped or sampled.
 
 Nulls and empty texts have the empty set and link with nothing. A text with fewer words than a shingle is one shingle.
-Repeated rows are copies. A null doc_id takes part and never names a component. Columns other than doc_id and text are
+Texts of any length are read whole, some at a time. Repeated rows are copies, and of equally small hashes none is chosen, as sets have each
+once. A null doc_id takes part and never names a component. Columns other than doc_id and text are
 ignored. An empty table gives no rows."""
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def _folded(bits: np.ndarray, words_: int) -> np.ndarray:
     return bits
 
 
-def _set_name(hashes: np.ndarray) -> int:
-    total = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=np.uint64)
-    return int(mix(total + np.array([len(hashes)], np.uint64))[0])
+def _set_name(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits as two longs."""
+    size = np.array([len(hashes)], np.uint64)
+    sums = [mix(hashes ^ np.uint64(salt)).sum(keepdims=True, dtype=np.uint64) for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+    return tuple(int(mix(total + size).view(np.int64)[0]) for total in sums)
 
 
 def shingle_sets(column: pa.Array, size: int, word_bytes: np.ndarray = NOT_BLANK) -> Iterator[np.ndarray]:
@@ -64,22 +67,22 @@ def shingle_sets(column: pa.Array, size: int, word_bytes: np.ndarray = NOT_BLANK
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, mark (as in docs), n_shingles, node (the set's name), keys, bits."""
+    """doc_id, mark (as in docs), n_shingles, name1, name2 (the set's name, null for none), keys, bits."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             n, names, keys, bits = [], [], [], []
             for own in shingle_sets(pick(batch, "text"), size):
                 n.append(len(own))
-                names.append(_set_name(own) if len(own) else 0)
+                names.append(_set_name(own) if len(own) else (None, None))
                 keys.append(own[:KEYS].view(np.int64))
                 bits.append(bitmap(own) if len(own) else b"")
             yield pa.RecordBatch.from_arrays(
-                [pick(batch, "doc_id"), pick(batch, "mark"), pa.array(n, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                ["doc_id", "mark", "n_shingles", "node", "keys", "bits"],
+                [pick(batch, "doc_id"), pick(batch, "mark"), pa.array(n, pa.int64()), *[pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)], pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "name1", "name2", "keys", "bits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, keys array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, mark string, n_shingles long, name1 long, name2 long, keys array<long>, bits binary")
 
 
 def _banded(grouped: DataFrame, rows: int, shingles_: int, percent: int) -> DataFrame:
@@ -214,7 +217,8 @@ def _arrays(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = list(shingle_sets(pick(batch, "text"), size))
-            same = np.array([len(s) and _set_name(s) for s in sets], np.uint64).view(np.int64) == pick(batch, "node").to_numpy()
+            named = np.array([_set_name(s) if len(s) else (0, 0) for s in sets], np.int64)
+            same = (named[:, 0] == pick(batch, "name1").to_numpy()) & (named[:, 1] == pick(batch, "name2").to_numpy())
             yield pa.RecordBatch.from_arrays(
                 [pick(batch, "node"), pick(batch, "tiles"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 ["node", "tiles", "n", "hashes"],
@@ -251,14 +255,14 @@ def _verified(percent: int, every: bool = False):
 
 
 def text_mark(text: str = "text") -> Column:
-    """A 64-bit hash of a whole text, null as the empty text."""
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """128 bits that tell a whole text, null as the empty text."""
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def _joined(
     docs: DataFrame, size: int, percent: int, few: int, tile_rows: int, tile_shingles: int, every: bool = False, exact: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, mark, n_shingles, node, ...) of each row, the classes, and (node, component) of the classes that link; with
+    """(doc_id, mark, n_shingles, name1, name2, ...) of each row, the classes, which have names and a node of their own, and (node, component) of the classes that link; with
     `every` instead of these all pairs (a, b) of classes that link, once each."""
     if not 50 < percent <= 100:
         raise ValueError("percent must lie in (50, 100]: bitmap widths rely on it")
@@ -266,28 +270,28 @@ def _joined(
     marks = materialize(sketches(docs, size), "join-sets")
     # A class's text is read from one of its rows, told by doc_id and mark, so rows without a doc_id don't meet on one key.
     least = F.min_by(F.struct("keys", "bits", "mark"), F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "mark")).alias("s")
-    classes = marks.where("n_shingles > 0").groupBy("node", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("first"), least)
-    classes = materialize(classes.select("node", "n", "first", "s.mark", "s.keys", "s.bits"), "join-classes")
+    classes = marks.where("n_shingles > 0").groupBy("name1", "name2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("first"), least)
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "name1", "name2", "n", "first", "s.mark", "s.keys", "s.bits"), "join-classes")
 
     def arrays(wanted: DataFrame) -> DataFrame:
-        """node, tiles, n, hashes for (node, first, mark, tiles)."""
+        """node, tiles, n, hashes for (node, name1, name2, first, mark, tiles)."""
         wanted = wanted.withColumnRenamed("mark", "of").hint("merge")  # grows with docs, so it's never sent whole
         found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("mark") == F.col("of")))
-        return found.select("text", "node", "tiles").mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
+        return found.select("text", "node", "name1", "name2", "tiles").mapInArrow(_arrays(size), "node long, tiles array<struct<tile:long,own:boolean>>, n long, hashes binary")
 
     if exact:
         none = F.array(F.struct(F.lit(0).cast("long").alias("tile"), F.lit(True).alias("own")))
-        keyed = _rarest(arrays(classes.select("node", "first", "mark", none.alias("tiles"))).dropDuplicates(["node"]).select("node", "n", "hashes"), percent)
+        keyed = _rarest(arrays(classes.select("node", "name1", "name2", "first", "mark", none.alias("tiles"))).dropDuplicates(["node"]).select("node", "n", "hashes"), percent)
     else:
         keyed = classes.select(F.explode("keys").alias("key"), "node", "n")
     tiles = _tiles(keyed, few, tile_rows, tile_shingles, percent)
     compared = tiles.join(classes.select("node", "bits"), "node").repartition("tile").sortWithinPartitions("tile")
     rough = connected_components(compared.mapInArrow(_candidates(percent), "a long, b long"), "join-rough")
-    grouped = rough.join(classes.select("node", "n", "first", "mark"), "node").select(F.col("component").alias("grp"), "node", "n", "first", "mark")
+    grouped = rough.join(classes.select("node", "name1", "name2", "n", "first", "mark"), "node").select(F.col("component").alias("grp"), "node", "name1", "name2", "n", "first", "mark")
     grouped = materialize(grouped, "join-groups")
     placed = _banded(grouped.select("grp", "node", "n"), tile_rows, tile_shingles, percent)
     where = placed.groupBy("node").agg(F.collect_set(F.struct("tile", "own")).alias("tiles"))
-    full = arrays(where.join(grouped.select("node", "first", "mark"), "node"))
+    full = arrays(where.join(grouped.select("node", "name1", "name2", "first", "mark"), "node"))
     full = full.select(F.inline("tiles"), "node", "n", "hashes").repartition("tile").sortWithinPartitions("tile")
     if every:
         pairs = full.mapInArrow(_verified(percent, True), "a long, b long")
@@ -305,10 +309,9 @@ def jaccard_components(
     named = linked.join(classes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
-    alone = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
-    return marks.select("doc_id", "n_shingles", "node").join(
-        alone.where("component_id is not null"), F.when(F.col("n_shingles") > 0, marks["node"]) == alone["node"], "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = classes.join(of_node, "node", "left").select("name1", "name2", F.coalesce("component_id", "first").alias("component_id"))
+    named = marks.select("doc_id", "n_shingles", "name1", "name2").join(alone, ["name1", "name2"], "left")
+    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def jaccard_links(
@@ -317,8 +320,9 @@ def jaccard_links(
     """All links, as pairs of classes (a, b) and the rows' membership (doc_id, n_shingles, node): two rows link if their
     nodes are a pair, or equal and not null. Rows with the empty set have a null node. No pair is skipped, so the work grows
     with the number of pairs of classes; use jaccard_components where the components are enough."""
-    marks, _, pairs = _joined(docs, size, percent, few, tile_rows, tile_shingles, every=True, exact=exact)
-    return pairs, marks.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    marks, classes, pairs = _joined(docs, size, percent, few, tile_rows, tile_shingles, every=True, exact=exact)
+    members = marks.select("doc_id", "n_shingles", "name1", "name2").join(classes.select("node", "name1", "name2"), ["name1", "name2"], "left")
+    return pairs, members.select("doc_id", "n_shingles", "node")
 
 
 def one_per_component(
@@ -327,10 +331,11 @@ def one_per_component(
     """Of each component of docs one row, all columns: that of the smallest doc_id, null ids last; of rows equal in doc_id
     and text, any. Rows are told apart by doc_id and text, so that neither repeated nor null ids matter. Texts without words
     link with nothing and all stay, but for those repeated under a known doc_id."""
-    marks, _, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles, exact=exact)
-    of_row = marks.select("doc_id", "mark", "n_shingles", "node")
+    marks, classes, linked = _joined(docs, size, percent, few, tile_rows, tile_shingles, exact=exact)
+    of_row = marks.select("doc_id", "mark", "n_shingles", "name1", "name2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("f")
-    least = of_row.where("n_shingles > 0").groupBy("node").agg(first)
+    least = of_row.where("n_shingles > 0").groupBy("name1", "name2").agg(first)
+    least = least.join(classes.select("node", "name1", "name2"), ["name1", "name2"])
     least = least.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("f").alias("f"))
     blank = of_row.where("n_shingles = 0")
     chosen = least.select("f.doc_id", "f.mark").unionByName(blank.where("doc_id is not null").select("doc_id", "mark").distinct())
