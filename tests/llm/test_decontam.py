@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
-from tidemill.llm.decontam import drop_leaking, find_leaks, near_bytes
+import pyarrow as pa
+import pytest
+
+from tidemill.llm.decontam import ItemIndex, drop_leaking, find_leaks, near_bytes
 
 VOCABULARY = [f"word{i}" for i in range(300)]
 
@@ -153,3 +156,45 @@ def test_documents_shorter_than_the_item(spark):
     right = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.n_words) for r in find_leaks(left, right).collect()} == want
     assert {r.doc_id for r in drop_leaking(left, right).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def _weighted(items, text):
+    """Similarity of a text of as many words as the items to each of them, by the definition."""
+    bags = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (x.split() for x in [*items, text])]
+    held = Counter(s for b in bags[:-1] for s in b)
+    weigh = {s: math.log(1 + len(items) / held.get(s, 1)) for b in bags for s in b}
+    own = bags[-1]
+    out = []
+    for b in bags[:-1]:
+        common = sum(min(c, own[s]) * weigh[s] for s, c in b.items())
+        total = sum(c * weigh[s] for x in (b, own) for s, c in x.items())
+        out.append(common / (total - common))
+    return out
+
+
+@pytest.mark.parametrize("length,tail", [(92, 1), (96, 1), (100, 1), (60, 0), (200, 3)])
+def test_items_that_share_a_template_are_all_found(spark, length, tail):
+    """Heavy shingles of their own beside a light template: fingerprints differ in many bits at similarities of 0.8 and more."""
+    rng = random.Random(length)
+    template = [f"w{rng.randrange(5000)}" for _ in range(length)]
+    items = [" ".join([*template, *[f"own{i}x{k}" for k in range(tail)]]) for i in range(300)]
+    text = " ".join([*template, *[f"other{k}" for k in range(tail)]])
+    want = {i for i, s in enumerate(_weighted(items, text)) if s >= 0.8}
+    assert len(want) in (0, 300)
+    found = find_leaks(spark.createDataFrame([(1, "before it " + text + " and after")], "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.item_id for r in found.collect()} == want
+
+
+def test_index_alone_finds_nearly_all():
+    """The radius, without what is verified beyond it: items with a rare word of their own, and with repeated runs."""
+    rng = random.Random(7)
+    hit = total = 0
+    for _ in range(6):
+        template = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(92, 100))]
+        items = [" ".join([*template, f"own{i}"]) for i in range(100)]
+        index = ItemIndex.build(list(enumerate(items)), 5, 0.8, 23)
+        index.beyond = False
+        text = " ".join([*template, "other"])
+        want = {i for i, s in enumerate(_weighted(items, text)) if s >= 0.8}
+        hit, total = hit + len(want & index.search(pa.array([text]))[0].keys()), total + len(want)
+    assert total and hit >= 0.99 * total

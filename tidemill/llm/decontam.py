@@ -7,10 +7,13 @@ item is their weighted Jaccard similarity: shingles are runs of five words with
 items hold them. A window whose shingles of any item weigh less than the threshold share of the lightest item of its size
 cannot reach the threshold, so it isn't fingerprinted; that test is exact. The fingerprints have 64 bits; the index holds
 their eight bytes, and a fingerprint within a radius of 23 bits is within 2 bits in one byte at least, so that looking up
-each byte's neighbourhood misses none. At a similarity of 0.8 the expected distance is under 10 bits, with a deviation
-under 3. Items of fewer than five words match as a whole sequence; items without words match nothing.
+each byte's neighbourhood misses none. A shingle adds to a fingerprint's sums by the root of its weight in the window, so that
+the cosine of two windows' vectors is at least 0.88 where their similarity is 0.8, whatever the weights, and about 10 of 64 bits
+differ. That is an expectation: a few heavy shingles can make the distance larger. So items beyond the radius aren't
+given up: those whose shingles in the window weigh as much as the threshold demands are verified as well, and the result
+misses nothing. Items of fewer than five words match as a whole sequence; items without words match nothing.
 
-Null and empty texts leak nothing. Items are read in blocks of bounded size, all rows of an item_id in one; weights are
+Null and empty texts leak nothing. Texts are searched whole, of any length. Items are read in blocks of bounded size, all rows of an item_id in one; weights are
 those of the whole benchmark, whose counts of shingles are mapped files on each machine if there are several blocks, so the
 number of blocks changes no result. Documents are never shuffled. Repeated rows are treated alike; an empty table on either side gives no leaks. Other columns, whatever their names, play no part."""
 
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm._shared import pick, shared_dir, shared_file, sliced
+from tidemill.llm._table import spread
 from tidemill.llm._text import WORDLIKE, mix, shingles, words
 
 BITS, BLOCKS = 64, 8
@@ -42,7 +46,14 @@ def _lowered(column: pa.Array) -> pa.Array:
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Fingerprints (uint64) of rows of weighted shingles: both arrays are (rows, shingles)."""
+    """Fingerprints (uint64) of rows of weighted shingles: both arrays are (rows, shingles). What a shingle adds is the root of its
+    weight times its occurrences in the row."""
+    ordered = np.sort(hashes, axis=1)
+    times = np.ones(hashes.shape)
+    for row in np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(axis=1)).tolist():
+        _, which, count = np.unique(hashes[row], return_inverse=True, return_counts=True)
+        times[row] = count[which]
+    weights = np.sqrt(weights / times)
     bits = np.unpackbits(mix(hashes + np.uint64(0x2545F4914F6CDD1D))[..., None].view(np.uint8), axis=-1).astype(np.float32)
     sums = ((2 * bits - 1) * weights[..., None].astype(np.float32)).sum(axis=-2)
     return np.packbits(sums > 0, axis=-1).view(np.uint64)[..., 0]
@@ -133,10 +144,19 @@ class ItemIndex:
     tables: dict[int, list[dict[int, list[int]]]]
     sizes_of: list[list[int]]
     short: dict[int, dict[int, list[int]]]
+    #: For each shingle from posts[k] to posts[k + 1]: the items that hold it and what it weighs in each.
+    posts: np.ndarray
+    post_items: np.ndarray
+    post_weights: np.ndarray
+    #: The items' numbers of words and weights.
+    words_of: np.ndarray
+    totals: np.ndarray
     #: The weight of a shingle that no item holds.
     other: float = 0.0
     #: Of several blocks: the counts of the whole benchmark, for shingles that only items of other blocks hold.
     counts: ItemCounts | None = None
+    #: Whether items beyond the radius are looked for.
+    beyond: bool = True
 
     @classmethod
     def build(cls, rows: list[tuple[int, str | None]], size: int, least: float, radius: int, whole: ItemCounts | None = None) -> ItemIndex:
@@ -151,7 +171,7 @@ class ItemIndex:
             held = Counter(dict(zip(held, whole.get(np.array(list(held), np.uint64)).tolist(), strict=True)))
         items = whole.items if whole else len(rows)
         weigh = {s: math.log(1 + items / k) for s, k in held.items()}
-        index = cls(size, least, radius, [], [], [], defaultdict(list), {}, np.zeros(0, np.uint64), np.zeros(0), {}, [], defaultdict(lambda: defaultdict(list)))
+        index = cls(size, least, radius, [], [], [], defaultdict(list), {}, np.zeros(0, np.uint64), np.zeros(0), {}, [], defaultdict(lambda: defaultdict(list)), *[np.zeros(0)] * 5)
         sizes_of: dict[int, set[int]] = defaultdict(set)
         for (item, _), x, n in zip(rows, own, counts.tolist(), strict=True):
             if n == 0:
@@ -173,6 +193,15 @@ class ItemIndex:
         index.weights = np.array([weigh[s] for s in index.shingles.tolist()])
         index.sizes_of = [sorted(sizes_of[s]) for s in index.shingles.tolist()]
         index.other, index.counts = math.log(1 + items), whole
+        held_by = [(s, i, w) for i, bag in enumerate(index.bags) for s, w in bag.items()]
+        names = np.searchsorted(index.shingles, np.array([h[0] for h in held_by], np.uint64))
+        order = np.argsort(names, kind="stable")
+        index.posts = np.searchsorted(names[order], np.arange(len(index.shingles) + 1))
+        index.post_items, index.post_weights = np.array([h[1] for h in held_by], np.int64)[order], np.array([h[2] for h in held_by])[order]
+        index.words_of = np.zeros(len(index.ids), np.int64)
+        for n, members in index.by_words.items():
+            index.words_of[members] = n
+        index.totals = np.array([sum(bag.values()) for bag in index.bags])
         share = near_bytes(radius // BLOCKS)
         for n, members in index.by_words.items():
             tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
@@ -241,7 +270,7 @@ class ItemIndex:
                 self._weigh_others(found, weights, at)
                 weighed = True
             for first in range(0, len(starts), 512):
-                self._search_windows(row, n, m, starts[first : first + 512], found, weights, keep)
+                self._search_windows(row, n, m, starts[first : first + 512], found, weights, at, place, keep)
 
     def _weigh_others(self, found: np.ndarray, weights: np.ndarray, at: np.ndarray) -> None:
         """Sets the weights of shingles, all but those at `at`, that only items of other blocks hold."""
@@ -251,24 +280,35 @@ class ItemIndex:
         held = self.counts.get(found[others])
         weights[others[held > 0]] = [math.log(1 + self.counts.items / k) for k in held[held > 0].tolist()]
 
-    def _search_windows(self, row: int, n: int, m: int, starts: np.ndarray, found: np.ndarray, weights: np.ndarray, keep) -> None:
+    def _sharing(self, n: int, places: np.ndarray) -> list[int]:
+        """The items of n words of which these shingles hold the threshold's share, whatever their fingerprints."""
+        places = np.unique(places)
+        runs = spread(self.posts[places], self.posts[places + 1] - self.posts[places])
+        items, which = np.unique(self.post_items[runs], return_inverse=True)
+        shared = np.bincount(which, self.post_weights[runs], len(items))
+        return items[(self.words_of[items] == n) & (shared >= self.least * self.totals[items] - 1e-9)].tolist()
+
+    def _search_windows(self, row: int, n: int, m: int, starts: np.ndarray, found: np.ndarray, weights: np.ndarray, at: np.ndarray, place: np.ndarray, keep) -> None:
         spans = starts[:, None] + np.arange(m)
         prints = simhash(found[spans], weights[spans])
         tables = self.tables[n]
         for start, own in zip(starts.tolist(), prints.tolist(), strict=True):
             near = {i for b in range(BLOCKS) for i in tables[b].get(own >> 8 * b & 255, ())}
-            near = [(i, d) for i in near if (d := (own ^ self.prints[i]).bit_count()) <= self.radius]
+            near = {i for i in near if (own ^ self.prints[i]).bit_count() <= self.radius}
+            if self.beyond:
+                first, end = np.searchsorted(at, (start, start + m))
+                near.update(self._sharing(n, place[first:end]))
             if not near:
                 continue
             bag: dict[int, float] = defaultdict(float)
             for s, w in zip(found[start : start + m].tolist(), weights[start : start + m].tolist(), strict=True):
                 bag[s] += w
             total = sum(bag.values())
-            for i, distance in near:
+            for i in near:
                 common = sum(min(w, bag[s]) for s, w in self.bags[i].items() if s in bag)
                 similarity = common / (total + sum(self.bags[i].values()) - common)
                 if similarity >= self.least - 1e-9:
-                    keep(row, self.ids[i], (round(similarity, 9), -start, -distance, m + self.size - 1))
+                    keep(row, self.ids[i], (round(similarity, 9), -start, -(own ^ self.prints[i]).bit_count(), m + self.size - 1))
 
 
 def _sequence_names(hashes: np.ndarray, n: int) -> np.ndarray:
