@@ -206,21 +206,22 @@ def gmma(s: Series, close) -> Generator:
 # Extremes and channels
 
 
-def highest(s: Series, x, n: int) -> Column:
-    return s.max(x, n)
+def highest(s: Series, x, n: int) -> Generator:
+    return (yield ops.max_kernel(x, n))
 
 
-def lowest(s: Series, x, n: int) -> Column:
-    return s.min(x, n)
+def lowest(s: Series, x, n: int) -> Generator:
+    return (yield ops.min_kernel(x, n))
 
 
-def donchian(s: Series, high, low, n: int) -> dict:
-    top, bottom = s.max(high, n), s.min(low, n)
+def donchian(s: Series, high, low, n: int) -> Generator:
+    top, bottom = yield [ops.max_kernel(high, n), ops.min_kernel(low, n)]
     return {"upper": top, "middle": (top + bottom) / 2, "lower": bottom}
 
 
-def fifty_two_week_high_low(s: Series, high, low, bars: int) -> dict:
-    return {"highs": s.max(high, bars), "lows": s.min(low, bars)}
+def fifty_two_week_high_low(s: Series, high, low, bars: int) -> Generator:
+    highs, lows = yield [ops.max_kernel(high, bars), ops.min_kernel(low, bars)]
+    return {"highs": highs, "lows": lows}
 
 
 def moving_average_envelope(s: Series, x, n: int, percent: float) -> dict:
@@ -670,13 +671,14 @@ def zig_zag(s: Series, high, low, deviation: float) -> Generator:
 
 
 def _regression(s: Series, x, n: int) -> Generator:
-    """slope, value at the newest bar, centred sums (xx, xy, yy) of each window."""
+    """slope, value at the newest bar, centred sums (xx, xy, yy) and mean of each window: moving moments of position and value,
+    whose time doesn't grow with the period."""
     check_period(n, 2)
     i = yield s.index().cast("double")
-    f = s.frame(n)
     sxx = n * (n * n - 1) / 12
-    sxy, syy, mean = yield [n * F.covar_pop(i, col(x)).over(f), n * F.var_pop(col(x)).over(f), s.mean(x, n)]
-    slope = s.warm(n, sxy / sxx)
+    both, own, mean = yield [ops.covariance_kernel(i, x, n), ops.variance_kernel(x, n), ops.mean_kernel(x, n)]
+    sxy, syy = n * both, n * own
+    slope = sxy / sxx
     return slope, mean + slope * ((n - 1) / 2), sxx, sxy, syy, mean
 
 
@@ -697,25 +699,25 @@ def linear_regression_intercept(s: Series, x, n: int) -> Generator:
 def r2(s: Series, x, n: int) -> Generator:
     """Flat window: 0."""
     _, _, sxx, sxy, syy, _ = yield from _regression(s, x, n)
-    f = s.frame(n)
-    flat = (F.max(col(x)).over(f) == F.min(col(x)).over(f)) | (syy == 0)
-    return s.warm(n, F.when(F.isnan(syy), NAN).when(flat, 0.0).otherwise(sxy * sxy / (sxx * F.when(syy != 0, syy))))
+    top, bottom = yield [ops.max_kernel(x, n), ops.min_kernel(x, n)]
+    flat = (top == bottom) | (syy == 0)
+    return F.when(F.isnan(syy), NAN).when(flat, 0.0).otherwise(sxy * sxy / (sxx * F.when(syy != 0, syy)))
 
 
-def _standard_error(s: Series, found: tuple, n: int) -> Column:
+def _standard_error(found: tuple, n: int) -> Column:
     _, _, sxx, sxy, syy, _ = found
     rest = syy - sxy * sxy / sxx
-    return s.warm(n, F.when(F.isnan(rest), NAN).otherwise(F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 2)))) if n > 2 else s.warm(n, F.when(F.isnan(rest), NAN).otherwise(0.0))
+    return F.when(F.isnan(rest), NAN).otherwise(F.sqrt(F.greatest(rest, F.lit(0.0)) / (n - 2)) if n > 2 else F.lit(0.0))
 
 
 def standard_error(s: Series, x, n: int) -> Generator:
     """n = 2: 0."""
-    return _standard_error(s, (yield from _regression(s, x, n)), n)
+    return _standard_error((yield from _regression(s, x, n)), n)
 
 
 def standard_error_bands(s: Series, x, n: int, k: float) -> Generator:
     found = yield from _regression(s, x, n)
-    error = _standard_error(s, found, n)
+    error = _standard_error(found, n)
     return {"upper": found[1] + k * error, "middle": found[1], "lower": found[1] - k * error}
 
 

@@ -52,9 +52,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder, with its lineage cut. A local session without one gets one of its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        if named := df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            context.setCheckpointDir(named)
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemill-"))
+        else:
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemill-"))
     return df.checkpoint()
 
 

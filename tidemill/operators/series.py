@@ -528,6 +528,22 @@ def correlation_kernel(x, y, n: int) -> Kernel:
     return _moving(n, kernels.moving_correlation, x, y)
 
 
+def covariance_kernel(x, y, n: int, less: int = 0) -> Kernel:
+    return _moving(n, lambda v, w, n: kernels.moving_covariance(v, w, n, less), x, y)
+
+
+def variance_kernel(x, n: int, less: int = 0) -> Kernel:
+    return _moving(n, lambda v, n: kernels.moving_variance(v, n, less), x)
+
+
+def max_kernel(x, n: int) -> Kernel:
+    return _moving(n, kernels.moving_max, x)
+
+
+def min_kernel(x, n: int) -> Kernel:
+    return _moving(n, kernels.moving_min, x)
+
+
 def std_dev_kernel(x, n: int, less: int = 0) -> Kernel:
     return _moving(n, lambda v, n: np.sqrt(kernels.moving_variance(v, n, less)), x)
 
@@ -541,11 +557,11 @@ def rolling_mean(s: Series, x, n: int) -> Generator:
 
 
 def rolling_max(s: Series, x, n: int) -> Generator:
-    return (yield _moving(n, kernels.moving_max, x))
+    return (yield max_kernel(x, n))
 
 
 def rolling_min(s: Series, x, n: int) -> Generator:
-    return (yield _moving(n, kernels.moving_min, x))
+    return (yield min_kernel(x, n))
 
 
 def rolling_range(s: Series, x, n: int) -> Generator:
