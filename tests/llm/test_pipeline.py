@@ -125,5 +125,5 @@ def test_odd_rows(spark):
     got = now.collect()
     assert Counter((r.doc_id, (r.text or "")[:7]) for r in got if r.text) == Counter({(1, "w0 w1 w"): 1, (None, "a b c d"): 1, (4, "mail me"): 1})
     assert sum(r.doc_id == 2 for r in got) == 1 and sum(r.doc_id == 3 for r in got) == 1
-    assert "[EMAIL]" in next(r.text for r in got if r.doc_id == 4)
+    assert "[EMAIL]" in next(r.text for r in got if r.doc_id == 4) and {(r["_row"], r.mark, r.node) for r in got} == {(1, "m", 7)}
     assert p.STAGES[-1][1](spark, now, SF).count() == len(got)

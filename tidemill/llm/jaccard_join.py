@@ -339,8 +339,9 @@ def one_per_component(
     least = least.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("f").alias("f"))
     blank = of_row.where("n_shingles = 0")
     chosen = least.select("f.doc_id", "f.mark").unionByName(blank.where("doc_id is not null").select("doc_id", "mark").distinct())
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    own, id, mark = (next(n for n in (k + "_" * i for i in range(len(docs.columns) + 1)) if n not in docs.columns) for k in ("_own", "_id", "_mark"))
+    chosen = chosen.select(F.col("doc_id").alias(id), F.col("mark").alias(mark))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(F.col("doc_id").isNotNull() | worded).withColumn("_row", text_mark()).dropDuplicates(["doc_id", "_row"])
-    kept = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_mark")), "left_semi")
+    rows = docs.where(F.col("doc_id").isNotNull() | worded).withColumn(own, text_mark()).dropDuplicates(["doc_id", own])
+    kept = rows.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(id)) & (F.col(own) == F.col(mark)), "left_semi")
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull() & ~worded))
