@@ -14,6 +14,16 @@ from tidemill.operators.selection import median_abs_deviation, quantiles
 from tidemill.operators.series import Series
 
 HIGH, LOW = "upper", "lower"
+
+
+def _after_machine(s):
+    """A machine of what looks back, looked back at."""
+    low = yield s.min("x", 3)
+    bars = yield from ta.parabolic_sar(s, low + 2, low, 0.02, 0.02, 0.2)
+    held = yield bars["sar"]
+    return s.back(held, 2)
+
+
 GROUPS = {
     "running": {
         "sum": lambda s: ops.cum_sum(s, "x"), "product": lambda s: ops.cum_prod(s, 1 + F.col("z") / 100), "max": lambda s: ops.cum_max(s, "z"), "min": lambda s: ops.cum_min(s, "z"),
@@ -30,7 +40,11 @@ GROUPS = {
         "macd": lambda s: ta.macd(s, "x", 3, 6, 4), "obv": lambda s: ta.obv(s, "x", "t"), "force": lambda s: ta.force_index(s, "x", "t", 4), "adx": lambda s: ta.directional_movement(s, HIGH, LOW, "x", 5),
         "chaikin": lambda s: ta.chaikin_oscillator(s, HIGH, LOW, F.col("x") + F.col("t") / 2, "t", 3, 6),
     },
-    "sequential": {"trend": lambda s: ta.supertrend(s, HIGH, LOW, "x", 5, 2.0), "reverse": lambda s: ops.reverse(s, "x"), "sum": lambda s: ops.cum_sum(s, "x")},
+    "machines": {
+        "trend": lambda s: ta.supertrend(s, HIGH, LOW, "x", 5, 2.0), "sar": lambda s: ta.parabolic_sar(s, HIGH, LOW, 0.02, 0.02, 0.2), "zig": lambda s: ta.zig_zag(s, HIGH, LOW, 0.1), "fisher": lambda s: ta.fisher_transform(s, HIGH, LOW, 4),
+        "mcginley": lambda s: ta.mcginley_dynamic(s, "x", 5), "klinger": lambda s: ta.klinger_oscillator(s, HIGH, LOW, "x", "t", 3, 6, 4), "before": _after_machine, "poisoned": lambda s: ta.mcginley_dynamic(s, "z", 5),
+    },
+    "sequential": {"trend": lambda s: ta.rsi(s, "x", 5), "reverse": lambda s: ops.reverse(s, "x"), "sum": lambda s: ops.cum_sum(s, "x")},
 }
 
 
@@ -62,6 +76,25 @@ def test_blocks_equal_rows(spark, rows, group, pieces, keys):
         assert all(_near(a, b) for a, b in zip(r, other, strict=True)), (r, other)
 
 
+STATES = {k: GROUPS["machines"][k] for k in ("sar", "zig", "fisher", "mcginley")}
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_machines_in_blocks_equal_one_run_bit_by_bit(spark, rows, keys):
+    df = rows if keys else rows.where("k = 'a'")
+    # The highest row comes first and no low is ever low enough: each block waits for the one before.
+    falling = F.lit(2e6) - F.col("i")
+    far = {"far": lambda s: ta.zig_zag(s, falling, falling, 0.9)}
+    one, cut = Series(df, ["k"], "i", 0), Series(df, keys, "i", 6)
+    want = {(r.k, r.i): np.array(r[7:], float).tobytes() for r in one.compute(**STATES, **far).collect()}
+    got = {(r.k, r.i): np.array(r[7:], float).tobytes() for r in cut.compute(**STATES, **far).collect()}
+    assert got == want
+    assert not one.reruns and len(cut.reruns) == 4 and (keys or cut.reruns == [4, 3, 2, 1])
+    settled = Series(df, keys, "i", 3)
+    settled.compute(sar=STATES["sar"])
+    assert len(settled.reruns) <= 1
+
+
 def test_blocks_are_even_and_halos_complete(spark):
     df = spark.range(1000).select(F.pow("id", F.lit(6)).cast("long").alias("i"))
     out = expand(df, [], "i", 4, 2, 8).groupBy("_block", "_side").count().collect()

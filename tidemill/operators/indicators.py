@@ -26,6 +26,10 @@ def ratio_or(num: Column, den: Column, neutral: float) -> Column:
     return F.when(~no_nan(num, den), NAN).when(den == 0, neutral).otherwise(num / F.when(den != 0, den))
 
 
+def _machine(step: Callable[..., tuple], begin: list[float], inputs: list, outputs: int = 1) -> Kernel:
+    return Kernel(lambda: kernels.Machine(step, begin), inputs, outputs, machine=True)
+
+
 def _abs_dev(window: Column, centre: Column, n: int) -> Column:
     return F.aggregate(window, F.lit(0.0), lambda a, v: a + F.abs(v - centre)) / n
 
@@ -178,22 +182,17 @@ def vidya(s: Series, x, n: int, cmo_period: int) -> Generator:
 def mcginley_dynamic(s: Series, x, n: int) -> Generator:
     check_period(n)
 
-    def make() -> Callable:
-        begun, value = False, NAN
-
-        def step(x: float) -> tuple:
-            nonlocal begun, value
-            if not begun:
-                begun, value = True, x
-                return (value,)
-            ratio = x / value if value and value == value and x == x else 0.0
-            divisor = 0.6 * n * ratio * ratio * ratio * ratio
-            value = value + (x - value) / divisor if divisor else NAN
-            return (value,)
-
-        return step
+    def step(held: list[float], x: float) -> tuple:
+        begun, value = held
+        if not begun:
+            held[:] = 1.0, x
+            return (x,)
+        ratio = x / value if value and value == value and x == x else 0.0
+        divisor = 0.6 * n * ratio * ratio * ratio * ratio
+        held[1] = value = value + (x - value) / divisor if divisor else NAN
+        return (value,)
 
-    return (yield Kernel(make, [x]))
+    return (yield _machine(step, [0, NAN], [x]))
 
 
 def gmma(s: Series, close) -> Generator:
@@ -513,7 +512,7 @@ def ease_of_movement(s: Series, high, low, volume, n: int) -> Generator:
 def klinger_oscillator(s: Series, high, low, close, volume, fast: int, slow: int, signal: int) -> Generator:
     if fast >= slow:
         raise ValueError("fast must be less than slow")
-    force = yield Kernel(kernels.VolumeForce, [high, low, close, volume])
+    force = yield Kernel(kernels.VolumeForce, [high, low, close, volume], machine=True)
     quick, calm = yield [ema_kernel(force, fast, 1), ema_kernel(force, slow, 1)]
     line = yield quick - calm
     return {"kvo": line, "signal": (yield ema_kernel(line, signal, None))}
@@ -575,29 +574,25 @@ def supertrend(s: Series, high, low, close, atr_n: int, mult: float) -> Generato
     """Bands that only tighten while price respects them; direction +1 or -1."""
     reach = yield from atr(s, high, low, close, atr_n)
 
-    def make() -> Callable:
-        begun, up, top, bottom, before = False, True, NAN, NAN, NAN
-
-        def step(high: float, low: float, close: float, reach: float) -> tuple:
-            nonlocal begun, up, top, bottom, before
-            middle, last = (high + low) / 2, before
-            before = close
-            if not begun:
-                if reach != reach:
-                    return (NAN, NAN)
-                begun, top, bottom = True, middle + mult * reach, middle - mult * reach
-                return (bottom, 1.0)
-            upper, lower = middle + mult * reach, middle - mult * reach
-            if upper < top or last > top:
-                top = upper
-            if lower > bottom or last < bottom:
-                bottom = lower
-            up = not close < bottom if up else close > top
-            return (bottom, 1.0) if up else (top, -1.0)
-
-        return step
-
-    line, direction = yield Kernel(make, [high, low, close, reach], 2)
+    def step(held: list[float], high: float, low: float, close: float, reach: float) -> tuple:
+        begun, up, top, bottom, last = held
+        middle, held[4] = (high + low) / 2, close
+        if not begun:
+            if reach != reach:
+                return (NAN, NAN)
+            top, bottom = middle + mult * reach, middle - mult * reach
+            held[:4] = 1.0, 1.0, top, bottom
+            return (bottom, 1.0)
+        upper, lower = middle + mult * reach, middle - mult * reach
+        if upper < top or last > top:
+            top = upper
+        if lower > bottom or last < bottom:
+            bottom = lower
+        up = not close < bottom if up else close > top
+        held[1:4] = up, top, bottom
+        return (bottom, 1.0) if up else (top, -1.0)
+
+    line, direction = yield _machine(step, [0, 1, NAN, NAN, NAN], [high, low, close, reach], 2)
     return {"line": line, "direction": direction}
 
 
@@ -606,32 +601,25 @@ def parabolic_sar(s: Series, high, low, start: float, increment: float, most: fl
     if increment <= 0 or most < start:
         raise ValueError("increment must be positive and most at least start")
 
-    def make() -> Callable:
-        up, pace, far, line = True, start, NAN, NAN
-        bars: list[tuple[float, float]] = []
-
-        def step(high: float, low: float) -> tuple:
-            nonlocal up, pace, far, line
-            if not bars:
-                far, line = high, low
-            else:
-                line += pace * (far - line)
-                if (low < line) if up else (high > line):
-                    up, line, far, pace = not up, far, low if up else high, start
-                elif (high > far) if up else (low < far):
-                    far, pace = high if up else low, min(pace + increment, most)
-                for h, b in reversed(bars):
-                    if up and b < line:
-                        line = b
-                    elif not up and h > line:
-                        line = h
-            bars.append((high, low))
-            del bars[:-2]
-            return (line, 1.0 if up else -1.0)
-
-        return step
-
-    line, direction = yield Kernel(make, [high, low], 2)
+    def step(held: list[float], high: float, low: float) -> tuple:
+        begun, up, pace, far, line, *bars = held  # the last bar's high and low, and those of the one before
+        if not begun:
+            far, line = high, low
+        else:
+            line += pace * (far - line)
+            if (low < line) if up else (high > line):
+                up, line, far, pace = not up, far, low if up else high, start
+            elif (high > far) if up else (low < far):
+                far, pace = high if up else low, min(pace + increment, most)
+            for h, b in (bars[:2], bars[2:]):
+                if up and b < line:
+                    line = b
+                elif not up and h > line:
+                    line = h
+        held[:] = 1.0, up, pace, far, line, high, low, *bars[:2]
+        return (line, 1.0 if up else -1.0)
+
+    line, direction = yield _machine(step, [0, 1, start, *[NAN] * 6], [high, low], 2)
     return {"sar": line, "direction": direction}
 
 
@@ -640,30 +628,24 @@ def zig_zag(s: Series, high, low, deviation: float) -> Generator:
     if deviation < 0:
         raise ValueError("deviation must not be negative")
 
-    def make() -> Callable:
-        rising, run, pivot, kind = True, NAN, NAN, 0.0
-        begun = False
-
-        def step(high: float, low: float) -> tuple:
-            nonlocal rising, run, pivot, kind, begun
-            if not begun:
-                begun, run, pivot, kind = True, high, low, -1.0
-                return (pivot, kind)
-            if rising:
-                if high > run:
-                    run = high
-                if low <= run * (1 - deviation):
-                    pivot, kind, rising, run = run, 1.0, False, low
-            else:
-                if low < run:
-                    run = low
-                if high >= run * (1 + deviation):
-                    pivot, kind, rising, run = run, -1.0, True, high
-            return (pivot, kind)
-
-        return step
-
-    pivot, kind = yield Kernel(make, [high, low], 2)
+    def step(held: list[float], high: float, low: float) -> tuple:
+        begun, rising, run, pivot, kind = held
+        if not begun:
+            run, pivot, kind = high, low, -1.0
+        elif rising:
+            if high > run:
+                run = high
+            if low <= run * (1 - deviation):
+                pivot, kind, rising, run = run, 1.0, False, low
+        else:
+            if low < run:
+                run = low
+            if high >= run * (1 + deviation):
+                pivot, kind, rising, run = run, -1.0, True, high
+        held[:] = 1.0, rising, run, pivot, kind
+        return (pivot, kind)
+
+    pivot, kind = yield _machine(step, [0, 1, NAN, NAN, 0], [high, low], 2)
     return {"pivot": pivot, "kind": kind.cast("byte")}
 
 
@@ -760,22 +742,18 @@ def fisher_transform(s: Series, high, low, n: int) -> Generator:
     top, bottom, mid = yield [s.max(high, n), s.min(low, n), median_price(s, high, low)]
     place = yield F.when(~no_nan(top, bottom, mid), NAN).otherwise(ratio_or(mid - bottom, top - bottom, 0.5))
 
-    def make() -> Callable:
-        i, value, fish = -1, 0.0, 0.0
-
-        def step(p: float) -> tuple:
-            nonlocal i, value, fish
-            i += 1
-            if i < n - 1:
-                return (NAN,)
-            value = 0.66 * (p - 0.5) + 0.67 * value
-            value = min(max(value, -0.999), 0.999) if value == value else NAN
-            fish = 0.5 * math.log((1 + value) / (1 - value)) + 0.5 * fish
-            return (fish,)
-
-        return step
-
-    return (yield Kernel(make, [place]))
+    def step(held: list[float], p: float) -> tuple:
+        wait, value, fish = held
+        if wait:
+            held[0] -= 1
+            return (NAN,)
+        value = 0.66 * (p - 0.5) + 0.67 * value
+        value = min(max(value, -0.999), 0.999) if value == value else NAN
+        fish = 0.5 * math.log((1 + value) / (1 - value)) + 0.5 * fish
+        held[1:] = value, fish
+        return (fish,)
+
+    return (yield _machine(step, [n - 1, 0, 0], [place]))
 
 
 def mass_index(s: Series, high, low, ema_period: int, sum_period: int) -> Generator:

@@ -3,7 +3,7 @@
 A kernel has a state and `run(*inputs)`, which takes the next rows' inputs and gives their outputs as a tuple of arrays; how
 rows are cut into runs changes nothing but the last bits. Linear recurrences are scans of affine maps, moving sums and
 extremes are prefixes and suffixes of blocks of one period, so that their time doesn't grow with the period and no value is
-ever taken out of a sum. What branches on its own last result goes row by row (`Rows`)."""
+ever taken out of a sum. What branches on its own last result goes row by row (`Machine`, `Rows`)."""
 
 from __future__ import annotations
 
@@ -32,6 +32,25 @@ class Rows:
         return tuple(np.array(x, np.float64) for x in zip(*rows, strict=True))
 
 
+class Machine:
+    """A kernel of a function that takes its state, a list of numbers that it may change, and one row's inputs. All that a
+    machine keeps is in the list, so that it can stop in one task and go on in another."""
+
+    def __init__(self, step: Callable[..., tuple], begin: list[float]):
+        self.step, self.held = step, [float(v) for v in begin]
+
+    def run(self, *inputs: np.ndarray) -> tuple[np.ndarray, ...]:
+        step, held = self.step, self.held
+        rows = [step(held, *x) for x in zip(*[i.tolist() for i in inputs], strict=True)]
+        return tuple(np.array(x, np.float64) for x in zip(*rows, strict=True))
+
+    def state(self) -> list[float]:
+        return [float(v) for v in self.held]
+
+    def restore(self, state: list[float]) -> None:
+        self.held = list(state)
+
+
 # Affine recurrences
 
 
@@ -207,6 +226,12 @@ class VolumeForce:
         self.price = self.width = NAN
         self.way, self.total = 0.0, 0.0
 
+    def state(self) -> list[float]:
+        return [self.price, self.width, self.way, self.total]
+
+    def restore(self, state: list[float]) -> None:
+        self.price, self.width, self.way, self.total = state
+
     def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple[np.ndarray]:
         price, width = high + low + close, high - low
         last, old = np.concatenate([[self.price], price[:-1]]), np.concatenate([[self.width], width[:-1]])

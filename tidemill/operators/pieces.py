@@ -15,8 +15,8 @@ If what is scanned has itself looked back, it isn't known in so many first rows
 is a row for each block of a key.
 
 Places in a sort cut the range of values instead, so that equal values never meet in two parts; a value that fills parts by
-itself has a part of its own, which is cut by the order column. Kernels that branch on their own last result stay with
-one task for each key."""
+itself has a part of its own, which is cut by the order column. Kernels that branch on their own last result run on guesses
+(`machines`); other recurrences stay with one task for each key."""
 
 from __future__ import annotations
 
@@ -142,7 +142,7 @@ class Probe(Series):
         super()._place(wanted)
 
     def _kernels(self, wanted: list[tuple[Kernel, list[str], list[str], int]]) -> None:
-        self.by_blocks &= all(k.reach is not None or k.smooth is not None for k, _, _, _ in wanted)
+        self.by_blocks &= all(k.reach is not None or k.smooth is not None or k.machine for k, _, _, _ in wanted)
         self.df = self.df.withColumns({c: F.lit(NAN) for _, _, outputs, _ in wanted for c in outputs})
 
 
@@ -224,12 +224,22 @@ class Blocks(Series):
         if near := [w for w in wanted if w[0].reach is not None]:
             super()._kernels(near)
         far: dict[int, list] = {}
+        machines: dict[int, list] = {}
         for kernel, inputs, outputs, behind in wanted:
-            if kernel.reach is None:
+            if kernel.machine:
+                machines.setdefault(behind, []).append((kernel.make, inputs, outputs))
+            elif kernel.reach is None:
                 far.setdefault(behind, []).append((kernel.smooth, inputs[0], outputs[0]))
         for behind, some in far.items():
             self._cut()
             self.df = _smoothed(self.df, self.outer, self.ord, some, behind)
+        for behind, some in machines.items():
+            from tidemill.operators.machines import run_machines
+
+            self.scans += 1
+            self._cut()
+            self.df, again = run_machines(self.df, self.outer, self.ord, some, behind)
+            self.reruns += again
 
 
 def _sides(behind: int) -> dict[str, Column]:
@@ -415,5 +425,7 @@ def compute_long(series: Series, operators: dict[str, object]) -> DataFrame:
         df = Whole(df, series.keys, series.ord, series.pieces).compute(**whole)
     if blocks:
         expanded = expand(df, series.keys, series.ord, back, ahead, series.pieces)
-        df = Blocks(expanded, series.keys, series.ord).compute(**blocks).where("_side = 0").drop("_block", "_pos", "_side", "_lead")
+        cut = Blocks(expanded, series.keys, series.ord)
+        df = cut.compute(**blocks).where("_side = 0").drop("_block", "_pos", "_side", "_lead")
+        series.reruns = cut.reruns
     return df.select(*keep, *[c for name in operators for c in names[name]])

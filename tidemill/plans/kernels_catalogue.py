@@ -438,6 +438,58 @@ FROM t0 WINDOW f AS (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW
   {', '.join(f'r{n}{b} AS (ORDER BY event_id ROWS BETWEEN {n - 1 + b} PRECEDING AND {b or 0} PRECEDING)' for n, b in ((9, 0), (26, 0), (9, 26), (26, 26), (52, 26)))}"""
 
 
+def machines_whole(spark, sf_dir):
+    """State machines on one series of all rows, each block run on a guess until it fits the one before."""
+    bar = ("high", "low", "x")
+    df = ticks(spark, sf_dir).select("event_id", "x", (F.col("x") + 1 + F.col("event_id") % 7).alias("high"), (F.col("x") - 1 - F.col("event_id") % 5).alias("low"))
+    found = Series(df, [], "event_id").compute(
+        trend=lambda s: ta.supertrend(s, *bar, 10, 3.0), sar=lambda s: ta.parabolic_sar(s, "high", "low", 0.02, 0.02, 0.2), zig=lambda s: ta.zig_zag(s, F.col("high") + 500, F.col("low") + 500, 0.05),
+        mcginley=lambda s: ta.mcginley_dynamic(s, F.col("x") + 500, 10), fisher=lambda s: ta.fisher_transform(s, "high", "low", 10),
+    )
+    return _shown(found.drop(*bar))
+
+
+def _machines_sql() -> str:
+    """All states in one recursive table, row by row; `a` is the ATR, which is a sum up to its seed."""
+    a = "(CASE WHEN n.i < 9 THEN r.a + n.tr WHEN n.i = 9 THEN (r.a + n.tr) / 10 ELSE 0.1 * n.tr + 0.9 * r.a END)"
+    mid = "(n.high + n.low) / 2"
+    top = f"(CASE WHEN n.i < 9 THEN 'nan'::DOUBLE WHEN n.i = 9 OR {mid} + 3 * {a} < r.top OR n.px > r.top THEN {mid} + 3 * {a} ELSE r.top END)"
+    bottom = f"(CASE WHEN n.i < 9 THEN 'nan'::DOUBLE WHEN n.i = 9 OR {mid} - 3 * {a} > r.bottom OR n.px < r.bottom THEN {mid} - 3 * {a} ELSE r.bottom END)"
+    line = "(r.sar + r.af * (r.ep - r.sar))"
+    flip = f"(CASE WHEN r.up = 1 THEN n.low < {line} ELSE n.high > {line} END)"
+    up = f"(CASE WHEN {flip} THEN -r.up ELSE r.up END)"
+    base = f"(CASE WHEN {flip} THEN r.ep ELSE {line} END)"
+    far = "(CASE WHEN r.up = 1 THEN n.high > r.ep ELSE n.low < r.ep END)"
+    rise, fall = "greatest(r.run, n.high + 500)", "least(r.run, n.low + 500)"
+    crest, trough = f"(r.way = 1 AND n.low + 500 <= {rise} * 0.95)", f"(r.way = 0 AND n.high + 500 >= {fall} * 1.05)"
+    val = "least(greatest(0.66 * (n.p - 0.5) + 0.67 * r.v, -0.999), 0.999)"
+    states = {
+        "a": ("n.tr", a), "top": ("'nan'", top), "bottom": ("'nan'", bottom),
+        "tr": ("1", f"CASE WHEN n.i <= 9 THEN 1 WHEN r.tr = 1 AND n.x < {bottom} THEN -1 WHEN r.tr = -1 AND n.x > {top} THEN 1 ELSE r.tr END"),
+        "up": ("1", up), "af": ("0.02", f"CASE WHEN {flip} THEN 0.02 WHEN {far} THEN least(r.af + 0.02, 0.2) ELSE r.af END"),
+        "ep": ("n.high", f"CASE WHEN {flip} THEN CASE WHEN r.up = 1 THEN n.low ELSE n.high END WHEN {far} THEN CASE WHEN r.up = 1 THEN n.high ELSE n.low END ELSE r.ep END"),
+        "sar": ("n.low", f"CASE WHEN {up} = 1 THEN least({base}, n.l1, coalesce(n.l2, n.l1)) ELSE greatest({base}, n.h1, coalesce(n.h2, n.h1)) END"),
+        "way": ("1", f"CASE WHEN {crest} THEN 0 WHEN {trough} THEN 1 ELSE r.way END"),
+        "run": ("n.high + 500", f"CASE WHEN {crest} THEN n.low + 500 WHEN {trough} THEN n.high + 500 WHEN r.way = 1 THEN {rise} ELSE {fall} END"),
+        "piv": ("n.low + 500", f"CASE WHEN {crest} THEN {rise} WHEN {trough} THEN {fall} ELSE r.piv END"),
+        "kind": ("-1", f"CASE WHEN {crest} THEN 1 WHEN {trough} THEN -1 ELSE r.kind END"),
+        "md": ("n.x + 500", "r.md + (n.x + 500 - r.md) / (0.6 * 10 * pow((n.x + 500) / r.md, 4))"),
+        "v": ("0", f"CASE WHEN n.i < 9 THEN 0 ELSE {val} END"), "f": ("0", f"CASE WHEN n.i < 9 THEN 0 ELSE 0.5 * ln((1 + {val}) / (1 - {val})) + 0.5 * r.f END"),
+    }
+    first, later = (", ".join(f"({e[k]})::DOUBLE AS {n}" for n, e in states.items()) for k in (0, 1))
+    w = "OVER (ORDER BY event_id)"
+    ten = "OVER (ORDER BY event_id ROWS 9 PRECEDING)"
+    return f"""WITH RECURSIVE e AS (SELECT event_id, value AS x, value + 1 + event_id % 7 AS high, value - 1 - event_id % 5 AS low FROM events),
+  q AS (SELECT *, row_number() {w} - 1 AS i, lag(x) {w} AS px, lag(high) {w} AS h1, lag(high, 2) {w} AS h2, lag(low) {w} AS l1, lag(low, 2) {w} AS l2, max(high) {ten} AS hi, min(low) {ten} AS lo FROM e),
+  n AS (SELECT *, greatest(high - low, coalesce(abs(high - px), 0), coalesce(abs(low - px), 0)) AS tr, CASE WHEN hi = lo THEN 0.5 ELSE ((high + low) / 2 - lo) / (hi - lo) END AS p FROM q),
+  r AS (SELECT n.event_id, n.i, {first} FROM n WHERE n.i = 0 UNION ALL SELECT n.event_id, n.i, {later} FROM r JOIN n ON n.i = r.i + 1)
+SELECT event_id, {rounded('CASE WHEN i >= 9 THEN CASE WHEN tr = 1 THEN bottom ELSE top END END')} AS trend_line, {rounded('CASE WHEN i >= 9 THEN tr END')} AS trend_direction, {rounded('sar')} AS sar_sar, {rounded('up')} AS sar_direction,
+  {rounded("piv")} AS zig_pivot, kind::TINYINT AS zig_kind, {rounded('md')} AS mcginley, {rounded('CASE WHEN i >= 9 THEN f END')} AS fisher FROM r"""
+
+
+MACHINES_WHOLE_SQL = _machines_sql()
+
+
 def quantiles_whole(spark, sf_dir):
     """Order statistics of one group of all rows, and of each type's rows, of which no more than a thousand are ever sorted."""
     df = ticks(spark, sf_dir).withColumn("event_type", F.lit("all")).unionByName(ticks(spark, sf_dir))
@@ -651,7 +703,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
     "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "vec_cumulative_whole": (cumulative_whole, CUMULATIVE_WHOLE_SQL), "vec_since_whole": (since_whole, SINCE_WHOLE_SQL), "vec_rolling_whole": (rolling_whole, ROLLING_WHOLE_SQL),
-    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "vec_machines_whole": (machines_whole, MACHINES_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 
