@@ -89,10 +89,11 @@ def test_machines_in_blocks_equal_one_run_bit_by_bit(spark, rows, keys):
     want = {(r.k, r.i): np.array(r[7:], float).tobytes() for r in one.compute(**STATES, **far).collect()}
     got = {(r.k, r.i): np.array(r[7:], float).tobytes() for r in cut.compute(**STATES, **far).collect()}
     assert got == want
-    assert not one.reruns and len(cut.reruns) == 4 and (keys or cut.reruns == [4, 3, 2, 1])
+    assert not one.reruns and all(len(again) <= 4 for again in cut.reruns)
+    assert ([8, 6, 4, 2] if keys else [4, 3, 2, 1]) in cut.reruns  # keys a and null; b has one row
     settled = Series(df, keys, "i", 3)
     settled.compute(sar=STATES["sar"])
-    assert len(settled.reruns) <= 1
+    assert len(settled.reruns) == 1 and len(settled.reruns[0]) <= 1
 
 
 def test_blocks_are_even_and_halos_complete(spark):

@@ -239,7 +239,7 @@ class Blocks(Series):
             self.scans += 1
             self._cut()
             self.df, again = run_machines(self.df, self.outer, self.ord, some, behind)
-            self.reruns += again
+            self.reruns.append(again)
 
 
 def _sides(behind: int) -> dict[str, Column]:

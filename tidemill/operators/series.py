@@ -122,8 +122,8 @@ class Series:
     ord: str
     #: How many blocks a key's rows are cut into; None: 64 without keys, else 0, which cuts none.
     pieces: int | None = None
-    #: Of state machines on a series in blocks: how many blocks had to be run again, round by round (set by `compute`).
-    reruns: list[int] = field(default_factory=list, init=False)
+    #: For each run of state machines over a series in blocks: how many blocks had to be run again, round by round. Set by `compute`.
+    reruns: list[list[int]] = field(default_factory=list, init=False)
     #: Names of temporary columns so far.
     made: int = field(default=0, init=False)
     #: The operator that `compute` is advancing, and how many rows each has looked back so far.
