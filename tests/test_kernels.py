@@ -1,6 +1,7 @@
 """Kernels by runs of rows against plain definitions, however rows are cut."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemill.operators import kernels as k
@@ -45,7 +46,15 @@ def test_windows(cuts, n):
             (k.moving_percent_rank, lambda w: 100 * (w < w[-1]).sum() / n), (lambda v, n: k.moving_weighted(v, np.arange(n) + 1.0), lambda w: w @ (np.arange(n) + 1.0)),
         ):
             _same(_cut(k.Window(n, moving), [x], cuts)[0], _windows(n, plain, x))
-        _same(_cut(k.SortedWindow(n, lambda v, _: k.interpolated(v, 0.3)), [x], cuts)[0], _windows(n, lambda w: np.quantile(w, 0.3), x))
+        for ranked, plain in (
+            (lambda v, n: k.moving_quantile(v, n, 0.3, True), lambda w: np.quantile(w, 0.3)), (lambda v, n: k.moving_quantile(v, n, 1.0, True), np.max), (lambda v, n: k.moving_percent_rank(v, n, True), lambda w: 100 * (w < w[-1]).sum() / n),
+            (k.moving_abs_deviation, lambda w: np.abs(w - w.mean()).mean()), (lambda v, n: k.moving_abs_deviation(v, n, True), lambda w: np.abs(w - w.mean()).mean()),
+        ):
+            for values in (x, np.round(x)):  # and with many ties
+                _same(_cut(k.Window(n, ranked), [values], cuts)[0], _windows(n, plain, values))
+        if n in (7, 20):
+            ties = np.round(Y)
+            _same(_cut(k.Window(n, k.moving_rank_correlation, 2), [x, ties], cuts)[0], _windows(n, lambda a, b: pd.Series(a).rank().corr(pd.Series(b).rank()), x, ties))
         _same(_cut(k.Window(n, k.moving_covariance, 2), [x, Y], cuts)[0], _windows(n, lambda a, b: np.cov(a, b, ddof=0)[0, 1], x, Y))
         if n > 2:
             _same(_cut(k.Window(n, k.moving_correlation, 2), [x, Y], cuts)[0], _windows(n, lambda a, b: np.corrcoef(a, b)[0, 1], x, Y))
@@ -53,6 +62,21 @@ def test_windows(cuts, n):
     assert np.isfinite(inf[n - 1 : 150]).all() and np.isfinite(inf[151 + n :]).all()
 
 
+def test_order_statistics_take_the_same_steps_for_any_period():
+    x = np.random.default_rng(1).standard_normal(5000)
+    ranked = k.Ranked(x, sums=True)
+    assert len(ranked.levels) == 13
+    first = np.arange(1000)
+    for n in (1, 64, 4000):
+        count, total = ranked.below(first, first + n, np.full(1000, 2500))
+        inside = [np.sort(x[i : i + n]) for i in (0, 500, 999)]
+        limit = ranked.values[2500]
+        assert [count[0], count[500], count[999]] == [(w < limit).sum() for w in inside]
+        _same([total[0], total[500], total[999]], [w[w < limit].sum() for w in inside])
+        assert [ranked.kth(first, first + n, n // 2)[i] for i in (0, 500, 999)] == [w[n // 2] for w in inside]
+    assert k.moving_abs_deviation(np.full(9, 0.1), 3, True).tolist() == [0.0] * 7
+
+
 def test_nothing_is_left_of_values_that_have_gone():
     x = np.array([1e16, *[1.0] * 7, 1e300, 2.0, 2.0, 2.0])
     for cuts in ((12,), (1,), (5,)):

@@ -30,10 +30,6 @@ def _machine(step: Callable[..., tuple], begin: list[float], inputs: list, outpu
     return Kernel(lambda: kernels.Machine(step, begin), inputs, outputs, machine=True)
 
 
-def _abs_dev(window: Column, centre: Column, n: int) -> Column:
-    return F.aggregate(window, F.lit(0.0), lambda a, v: a + F.abs(v - centre)) / n
-
-
 # Prices
 
 
@@ -343,8 +339,7 @@ def williams_percent_r(s: Series, high, low, close, n: int) -> Column:
 def cci(s: Series, high, low, close, n: int) -> Generator:
     """No deviation, and also a NaN in the window: 0."""
     price = yield typical_price(s, high, low, close)
-    mean, window = yield [s.mean(price, n), s.window(price, n)]
-    dev = yield _abs_dev(window, mean, n)
+    mean, dev = yield [ops.mean_kernel(price, n), ops.abs_deviation_kernel(price, n)]
     value = F.when(F.isnan(dev) | (dev == 0), 0.0).otherwise((price - mean) / (0.015 * F.when(dev != 0, dev)))
     return s.warm(n, value)
 
@@ -786,21 +781,8 @@ def correlation_log(s: Series, x, y, n: int) -> Generator:
 
 def rank_correlation(s: Series, x, y, n: int) -> Generator:
     """Spearman with average ranks; no spread, or a NaN in the window: NaN."""
-    pairs = F.collect_list(F.struct(col(x).alias("x"), col(y).alias("y"))).over(s.frame(n))
-    window = yield pairs
-    middle = (n + 1) / 2
-
-    def centred(v: Column, name: str) -> Column:
-        below = F.size(F.filter(window, lambda o: o[name] < v[name]))
-        same = F.size(F.filter(window, lambda o: o[name] == v[name]))
-        return below + (same + 1) / F.lit(2.0) - middle
-
-    zero = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
-    devs = F.transform(window, lambda v: F.struct(centred(v, "x").alias("a"), centred(v, "y").alias("b")))
-    sums = yield F.aggregate(devs, zero, lambda t, d: F.struct((t["xy"] + d["a"] * d["b"]).alias("xy"), (t["xx"] + d["a"] * d["a"]).alias("xx"), (t["yy"] + d["b"] * d["b"]).alias("yy")))
-    bad = F.exists(window, lambda v: F.isnan(v["x"]) | F.isnan(v["y"]))
-    spread = F.sqrt(sums["xx"] * sums["yy"])
-    return s.warm(n, F.when(~bad & (spread != 0), sums["xy"] / F.when(spread != 0, spread)))
+    check_period(n)
+    return (yield Kernel(lambda: kernels.Window(n, kernels.moving_rank_correlation, 2), [col(x), col(y)], reach=n))
 
 
 def standard_deviation(s: Series, x, n: int) -> Generator:

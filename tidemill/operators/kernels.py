@@ -7,8 +7,6 @@ ever taken out of a sum. What branches on its own last result goes row by row (`
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -341,61 +339,125 @@ def moving_weighted(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.convolve(x, weights[::-1], "valid")
 
 
-def _sheets(x: np.ndarray, n: int, value: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """value(windows), some rows at a time."""
-    windows = np.lib.stride_tricks.sliding_window_view(x, n)
+def _sheets(n: int, value: Callable[..., np.ndarray], *rows: np.ndarray) -> np.ndarray:
+    """value(windows of each), some rows at a time."""
+    windows = [np.lib.stride_tricks.sliding_window_view(x, n) for x in rows]
     step = max(1, SHEET // n)
-    return np.concatenate([value(windows[i : i + step]) for i in range(0, len(windows), step)])
-
-
-def moving_quantile(x: np.ndarray, n: int, q: float) -> np.ndarray:
+    return np.concatenate([value(*[w[i : i + step] for w in windows]) for i in range(0, len(windows[0]), step)])
+
+
+class Ranked:
+    """Rows by the ranks of their values, bit by bit (a wavelet matrix): each level has the rows in order of the bits above it, and
+    how many of those before a place have a 0 here. A question about a window takes a step for each bit, whatever its length, and is
+    asked for all windows at once. Sums are differences of prefix sums."""
+
+    def __init__(self, x: np.ndarray, sums: bool = False):
+        self.values, codes = np.unique(x, return_inverse=True)
+        self.codes = codes = codes.astype(np.int64)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray | None]] = []
+        for bit in reversed(range(len(self.values).bit_length())):
+            zero = (codes >> bit) & 1 == 0
+            order = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+            codes, x = codes[order], x[order]
+            self.levels.append((bit, np.concatenate([[0], np.cumsum(zero)]), np.concatenate([[0.0], np.cumsum(x)]) if sums else None))
+
+    def kth(self, first: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+        """The k-th smallest value (from 0) of the rows from `first` to before `end`."""
+        left, code = np.full(len(first), k), np.zeros(len(first), np.int64)
+        for bit, zeros, _ in self.levels:
+            a, b = zeros[first], zeros[end]
+            one = left >= b - a
+            left = left - np.where(one, b - a, 0)
+            code |= one.astype(np.int64) << bit
+            first, end = np.where(one, zeros[-1] + first - a, a), np.where(one, zeros[-1] + end - b, b)
+        return self.values[code]
+
+    def below(self, first: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the rows from `first` to before `end` have a rank below `code`, and their sum."""
+        count, total = np.zeros(len(first), np.int64), np.zeros(len(first))
+        for bit, zeros, sums in self.levels:
+            a, b = zeros[first], zeros[end]
+            one = (code >> bit) & 1 == 1
+            count += np.where(one, b - a, 0)
+            if sums is not None:
+                total += np.where(one, sums[b] - sums[a], 0.0)
+            first, end = np.where(one, zeros[-1] + first - a, a), np.where(one, zeros[-1] + end - b, b)
+        return count, total
+
+
+def _spans(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    first = np.arange(len(x) - n + 1)
+    return first, first + n
+
+
+def _any(bad: np.ndarray, n: int) -> np.ndarray:
+    count = np.concatenate([[0], np.cumsum(bad)])
+    return count[n:] > count[:-n]
+
+
+def moving_quantile(x: np.ndarray, n: int, q: float, by_ranks: bool = False) -> np.ndarray:
+    """By linear interpolation; each window is sorted, or all are asked by ranks, which pays for long ones."""
     at = (n - 1) * q
     low, part = int(at), at - int(at)
+    if by_ranks:
+        ranked, spans = Ranked(x), _spans(x, n)
+        found = ranked.kth(*spans, low)
+        found = found + (part * (ranked.kth(*spans, low + 1) - found) if part else 0.0)
+        return np.where(_any(np.isnan(x), n), NAN, found)
 
     def value(windows: np.ndarray) -> np.ndarray:
         ordered = np.sort(windows, axis=1)
         found = ordered[:, low] + (part * (ordered[:, low + 1] - ordered[:, low]) if part else 0.0)
         return np.where(np.isnan(ordered[:, -1]), NAN, found)
 
-    return _sheets(x, n, value)
+    return _sheets(n, value, x)
 
 
-def moving_percent_rank(x: np.ndarray, n: int) -> np.ndarray:
+def moving_percent_rank(x: np.ndarray, n: int, by_ranks: bool = False) -> np.ndarray:
     """100 * share of the window's n values below the newest."""
-    return _sheets(x, n, lambda w: np.where(np.isnan(w).any(axis=1), NAN, 100 * (w < w[:, -1:]).sum(axis=1) / n))
-
-
-class SortedWindow:
-    """value(sorted window, newest) once there are n values, NaN while one of them is NaN: for periods at which sorting each
-    window anew takes longer than keeping one sorted."""
-
-    def __init__(self, n: int, value: Callable[[list[float], float], float]):
-        self.n, self.value = n, value
-        self.ring: deque[float] = deque()
-        self.ordered: list[float] = []
-        self.bad = 0
-
-    def run(self, x: np.ndarray) -> tuple[np.ndarray]:
-        n, ring, ordered, value = self.n, self.ring, self.ordered, self.value
-        out = []
-        for v in x.tolist():
-            if len(ring) == n:
-                old = ring.popleft()
-                if old != old:
-                    self.bad -= 1
-                else:
-                    del ordered[bisect_left(ordered, old)]
-            ring.append(v)
-            if v != v:
-                self.bad += 1
-            else:
-                insort(ordered, v)
-            out.append(value(ordered, v) if len(ring) == n and not self.bad else NAN)
-        return (np.array(out, np.float64),)
-
-
-def interpolated(values: list[float], q: float) -> float:
-    at = (len(values) - 1) * q
-    low = int(at)
-    part = at - low
-    return values[low] if not part else values[low] + part * (values[low + 1] - values[low])
+    if by_ranks:
+        ranked = Ranked(x)
+        return np.where(_any(np.isnan(x), n), NAN, 100 * ranked.below(*_spans(x, n), ranked.codes[n - 1 :])[0] / n)
+    return _sheets(n, lambda w: np.where(np.isnan(w).any(axis=1), NAN, 100 * (w < w[:, -1:]).sum(axis=1) / n), x)
+
+
+def moving_abs_deviation(x: np.ndarray, n: int, by_ranks: bool = False) -> np.ndarray:
+    """The mean distance from the window's mean: 0 for equal values, NaN beside one that isn't finite. Those below the mean are
+    as far from it, together, as those above; by ranks their sum comes from prefix sums over a batch, around its median."""
+    bad = ~np.isfinite(x)
+    if by_ranks:
+        fine = np.where(bad, 0.0, x - np.median(x[~bad])) if not bad.all() else np.zeros(len(x))
+        ranked, mean = Ranked(fine, sums=True), moving_sum(fine, n) / n
+        count, total = ranked.below(*_spans(x, n), np.searchsorted(ranked.values, mean))
+        found = np.maximum(2 * (mean * count - total) / n, 0.0)
+    else:
+        fine = np.where(bad, 0.0, x)
+        found = _sheets(n, lambda w: np.abs(w - w.mean(axis=1, keepdims=True)).mean(axis=1), fine)
+    found = np.where(moving_max(fine, n) == moving_min(fine, n), 0.0, found)
+    return np.where(_any(bad, n), NAN, found)
+
+
+def _mean_ranks(windows: np.ndarray) -> np.ndarray:
+    """The rank of each value in its row, from 0; equal values share the mean of theirs."""
+    order = np.argsort(windows, axis=1)
+    ordered = np.take_along_axis(windows, order, axis=1)
+    place = np.broadcast_to(np.arange(windows.shape[1]), windows.shape)
+    new = np.ones(windows.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    first = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    ends = np.roll(new, -1, axis=1)  # column 0 is new, so the last one ends
+    last = np.minimum.accumulate(np.where(ends, place, windows.shape[1])[:, ::-1], axis=1)[:, ::-1]
+    ranks = np.empty(windows.shape)
+    np.put_along_axis(ranks, order, (first + last) / 2, axis=1)
+    return ranks
+
+
+def moving_rank_correlation(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Of mean ranks; NaN without spread on either side, or beside a NaN."""
+
+    def value(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        a, b = _mean_ranks(v) - (n - 1) / 2, _mean_ranks(w) - (n - 1) / 2
+        spread = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+        return np.where(spread != 0, (a * b).sum(axis=1) / np.where(spread != 0, spread, 1.0), NAN)
+
+    return np.where(_any(np.isnan(x) | np.isnan(y), n), NAN, _sheets(n, value, x, y))

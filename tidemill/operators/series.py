@@ -16,7 +16,6 @@ The order column must be unique within a key. NULL input counts as NaN. Without
 from __future__ import annotations
 
 import inspect
-from bisect import bisect_left
 from collections.abc import Callable, Generator, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,8 +29,7 @@ from tidemill.functions.ieee import NAN, col, no_nan, nz, or_nan
 from tidemill.operators import kernels
 from tidemill.operators.kernels import Rows
 
-
-#: The period beyond which order statistics keep one window sorted instead of sorting each.
+#: The period beyond which order statistics ask for ranks instead of sorting each window.
 LONG_ORDER = 64
 
 
@@ -608,9 +606,8 @@ def rolling_quantile(s: Series, x, n: int, q: float) -> Generator:
     """Exact, by linear interpolation."""
     if not 0 <= q <= 1:
         raise ValueError("q must lie in [0, 1]")
-    if n > LONG_ORDER:
-        return (yield Kernel(lambda: kernels.SortedWindow(n, lambda v, _: kernels.interpolated(v, q)), [x], reach=n))
-    return (yield _moving(n, lambda v, n: kernels.moving_quantile(v, n, q), x))
+    by_ranks = n > LONG_ORDER
+    return (yield _moving(n, lambda v, n: kernels.moving_quantile(v, n, q, by_ranks), x))
 
 
 def rolling_median(s: Series, x, n: int) -> Generator:
@@ -618,9 +615,14 @@ def rolling_median(s: Series, x, n: int) -> Generator:
 
 
 def percent_rank_kernel(x, n: int) -> Kernel:
-    if n > LONG_ORDER:
-        return Kernel(lambda: kernels.SortedWindow(n, lambda v, new: 100 * bisect_left(v, new) / n), [x], reach=n)
-    return _moving(n, kernels.moving_percent_rank, x)
+    by_ranks = n > LONG_ORDER
+    return _moving(n, lambda v, n: kernels.moving_percent_rank(v, n, by_ranks), x)
+
+
+def abs_deviation_kernel(x, n: int) -> Kernel:
+    """The mean distance from the window's mean."""
+    by_ranks = n > LONG_ORDER
+    return _moving(n, lambda v, n: kernels.moving_abs_deviation(v, n, by_ranks), x)
 
 
 def rolling_percent_rank(s: Series, x, n: int) -> Generator:
