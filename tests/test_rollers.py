@@ -1,11 +1,15 @@
 """Rollers: in memory, in batch and as streams give the same."""
 
 import math
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from tidemill.streaming import rollers as r
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors don't have the tests' folder
+
 
 def test_ring():
     ring = r.Ring(2)
@@ -84,6 +88,95 @@ def test_other_streams_equal_memory(spark, tmp_path, kind, in_order):
         assert all((a is None and b != b) or a == pytest.approx(b, rel=1e-12) for a, b in zip([got[k, i] for i in range(40)], want, strict=True))
 
 
+class Spread(r.Roller):
+    """A roller of a user: the greatest of the last n values less the least."""
+
+    forgets = True
+
+    def reset(self):
+        self.last = []
+
+    def push(self, v):
+        self.last = [*self.last, v][-self.n :]
+        return max(self.last) - min(self.last) if len(self.last) == self.n else math.nan
+
+    def state(self):
+        return list(self.last)
+
+    def restore(self, state):
+        self.last = list(state)
+
+
+class Counted(Spread):
+    """Never forgets."""
+
+    forgets = False
+
+    def push(self, v):
+        self.last = [self.last[0] + 1 if self.last else 1.0]
+        return self.last[0]
+
+
+def _spread(n=4):
+    return Spread(n)
+
+
+def _alike(got, want):
+    return len(got) == len(want) and all(a == b or ((a is None or a != a) and b != b) for a, b in zip(got, want, strict=True))
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_rollers_of_users_in_batches(spark, keys):
+    rows = [(k, k * 1000 + i, math.cos(i * (k + 1)) * 7) for k in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    got = r.apply_batch(df, keys, "i", "x", _spread, pieces=5)
+    assert got.columns == ["k", "i", "x", "spread"]
+    got = {x.i: x.spread for x in got.collect()}
+    counts = {x.i: x.c for x in r.apply_batch(df, keys, "i", "x", lambda: Counted(1), out="c", pieces=5).collect()}
+    for group in [[x for x in rows if x[0] == k] for k in range(2)] if keys else [rows]:
+        assert _alike([got[i] for _, i, _ in group], r.apply([v for _, _, v in group], Spread(4)))
+        assert [counts[i] for _, i, _ in group] == list(range(1, len(group) + 1))
+    with pytest.raises(TypeError):
+        r.apply_batch(df, keys, "i", "x", lambda: 3)
+    with pytest.raises(ValueError):
+        r.apply_batch(df, keys, "i", "x", "sum", 0)
+
+
+def test_streams_wait_for_their_turn_and_go_on_after_a_stop(spark, tmp_path):
+    """Rows come out of order, also across micro-batches, and the query is stopped between them."""
+    rows = [(k, i, float((i * 7 + k) % 13)) for k in range(2) for i in range(40)]
+    order = sorted(rows, key=lambda x: ((x[1] * 17) % 9 + x[1], x[0]))  # each at most 8 seconds late
+    schema = "k int, ts timestamp, x double"
+
+    def arrive(part, some):
+        df = spark.createDataFrame(some, "k int, i int, x double").selectExpr("k", "timestamp_seconds(1000000 + i) ts", "x")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+
+    def run(make):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = r.apply_stream(stream, ["k"], "ts", "x", make, delay="10 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return spark.read.parquet(f"{tmp_path}/out").selectExpr("k", "cast(ts as long) - 1000000 i", "spread").collect()
+
+    arrive(0, order[:30])
+    arrive(1, order[30:50])
+    early = run(_spread)
+    assert 0 < len(early) < 50  # what the watermark hasn't passed still waits
+    arrive(2, order[50:])
+    arrive(3, [(0, 500, 0.0)])
+    arrive(4, [(0, 7, 99.0)])  # much too late
+    found = run(_spread)
+    got = {(x.k, x.i): x.spread for x in found}
+    assert len(got) == len(found) == len(rows)
+    for k in range(2):
+        assert _alike([got[k, i] for i in range(40)], r.apply([v for key, _, v in rows if key == k], Spread(4)))
+    with pytest.raises(ValueError):
+        r.apply_stream(spark.createDataFrame([], "k int, i int, x double"), ["k"], "i", "x", _spread, delay="1 second")
+
+
 def test_sum_of_long_windows_takes_few_steps():
     values = [math.sin(i) * 10 ** (i % 7) for i in range(3000)]
     out = r.apply(values, r.Sum(1000))

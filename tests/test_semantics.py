@@ -143,6 +143,30 @@ def test_max_drawdown(spark):
     assert dd[0] != dd[0] and dd[1:] == (-1, -1, -1)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_max_drawdown_in_ranges_equals_one_pass(spark, parts):
+    rng = np.random.default_rng(5)
+    groups = {"a": np.round(rng.normal(size=90).cumsum() + 5, 1), "b": np.round(rng.random(35) * 3), None: np.array([2.0, 1.0, 3.0, 1.5, 3.0]), "up": np.arange(1.0, 9), "one": np.array([4.0]), "below": np.array([-1.0, -3.0])}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in groups.items() for i, v in enumerate(x)], "k string, i long, x double").repartition(5)
+    found = {r.k: tuple(r)[1:] for r in red.max_drawdown(df, ["k"], "x", "i", parts).collect()}
+    assert found.keys() == groups.keys()
+    for k, x in groups.items():
+        best, top, want = 0.0, NAN, (0.0, -1, -1, -1)
+        for i, v in enumerate(x.tolist()):
+            top = v if v > 0 and not top >= v else top
+            if top > 0 and (top - v) / top > best:
+                best = (top - v) / top
+                later = [j for j in range(i + 1, len(x)) if x[j] >= top]
+                want = (best, x.tolist().index(top), i, later[0] if later else -1)
+        if top != top:
+            assert found[k][0] != found[k][0] and found[k][1:] == (-1, -1, -1)
+        else:
+            assert found[k] == want, k
+    whole = red.max_drawdown(df.where("k = 'a'"), [], "x", "i", parts).first()
+    assert tuple(whole) == found["a"]
+    assert red.max_drawdown(df.limit(0), ["k"], "x", "i", parts).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 23])
 def test_long_windows_by_kernel_equal_frames(spark, n, monkeypatch):
     rng = np.random.default_rng(7)

@@ -214,28 +214,40 @@ def mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return near.groupBy(*keys).agg(median("d").alias("mad"))
 
 
-def max_drawdown(df: DataFrame, keys: list[str], x: str, i: str) -> DataFrame:
-    """keys, max_drawdown, peak, trough, recovery: indices from column i (0-based), -1 for none."""
-    w = Window.partitionBy(*keys).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.select(*keys, col(i).alias("i"), col(x).alias("x")).withColumn("peak", F.max(F.when(F.col("x") > 0, F.col("x"))).over(w))
-    fall = run.withColumn("fall", F.when(F.col("peak") > 0, (F.col("peak") - F.col("x")) / F.col("peak")))
-    worst = fall.groupBy(*keys).agg(
-        _any_nan(F.col("x")).alias("nan"),
-        F.max("peak").alias("any"),
-        F.coalesce(F.max("fall"), F.lit(0.0)).alias("dd"),
-        F.min_by(F.struct("i", "peak"), F.when(F.col("fall").isNotNull(), F.struct(-F.col("fall"), F.col("i")))).alias("at"),
-    )
-    worst = worst.withColumn("at", F.when(F.col("dd") > 0, F.col("at")))
-    every = [k for k in keys]
-    joined = fall.join(worst, every) if every else fall.crossJoin(F.broadcast(worst))
-    found = joined.groupBy(*keys).agg(
+def max_drawdown(df: DataFrame, keys: list[str], x: str, i: str, parts: int = 64) -> DataFrame:
+    """keys, max_drawdown, peak, trough, recovery: indices from column i (0-based), -1 for none.
+
+    Each key's rows are summed up in `parts` ranges of i: the highest and the lowest value and the worst fall within. Against
+    the highest value of the ranges before, a range's worst fall is that to its lowest value; one that a higher value of
+    the same range precedes is smaller than the fall from that. So no task holds more than a range of a key."""
+    from tidemill.operators.pieces import beside, cuts_of, part_of
+
+    rows = df.select(*keys, col(i).alias("i"), col(x).alias("x"))
+    number = F.col("i").cast("double")
+    rows = rows.withColumn("_part", part_of(number, cuts_of(rows, number, parts)))
+    w = Window.partitionBy(*keys, "_part").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    high = F.max(F.when(F.col("x") > 0, F.col("x"))).over(w)
+
+    def worse(peak: Column, x: Column, i: Column) -> Column:
+        """Sorts the worst fall first, then the earliest, then the one from the highest peak."""
+        return F.when(peak > 0, F.struct((-(peak - x) / F.when(peak > 0, peak)).alias("fall"), i.alias("i"), (-peak).alias("peak")))
+
+    few = rows.withColumn("peak", high).withColumn("at", worse(F.col("peak"), F.col("x"), F.col("i"))).groupBy(*keys, "_part").agg(
+        _any_nan(F.col("x")).alias("nan"), F.max("peak").alias("top"), F.min(F.struct("x", "i")).alias("low"), F.min("at").alias("own")
+    )
+    before = F.max("top").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    few = few.withColumn("at", F.least("own", worse(before, F.col("low.x"), F.col("low.i"))))
+    worst = few.groupBy(*keys).agg(F.bool_or("nan").alias("nan"), F.max("top").alias("any"), F.min("at").alias("at"))
+    worst = worst.withColumn("dd", F.coalesce(-F.col("at.fall"), F.lit(0.0))).withColumn("at", F.when(F.col("dd") > 0, F.col("at")))
+    top = -F.col("at.peak")
+    found = beside(rows, worst, keys, not keys).groupBy(*keys).agg(
         F.first("nan").alias("nan"), F.first("any").alias("any"), F.first("dd").alias("dd"), F.first("at").alias("at"),
-        F.min(F.when((F.col("x") == F.col("at.peak")) & (F.col("i") < F.col("at.i")), F.col("i"))).alias("peak"),
-        F.min(F.when((F.col("x") >= F.col("at.peak")) & (F.col("i") > F.col("at.i")), F.col("i"))).alias("recovery"),
+        F.min(F.when((F.col("x") == top) & (F.col("i") < F.col("at.i")), F.col("i"))).alias("peak"),
+        F.min(F.when((F.col("x") >= top) & (F.col("i") > F.col("at.i")), F.col("i"))).alias("recovery"),
     )
-    bad = F.col("nan") | F.col("any").isNull()
+    bad = F.coalesce(F.col("nan"), F.lit(False)) | F.col("any").isNull()
 
     def index(c: Column) -> Column:
         return F.when(bad, -1).otherwise(F.coalesce(c, F.lit(-1))).cast("long")
 
-    return found.select(*keys, F.when(bad, NAN).otherwise(F.col("dd")).alias("max_drawdown"), index(F.col("peak")).alias("peak"), index(F.col("at.i")).alias("trough"), index(F.col("recovery")).alias("recovery"))
+    return found.select(*keys, F.when(bad, NAN).otherwise(F.col("dd") + 0.0).alias("max_drawdown"), index(F.col("peak")).alias("peak"), index(F.col("at.i")).alias("trough"), index(F.col("recovery")).alias("recovery"))

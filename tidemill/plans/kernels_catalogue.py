@@ -18,7 +18,7 @@ from tidemill.operators import series as ops
 from tidemill.operators.selection import median_abs_deviation, quantiles
 from tidemill.operators.series import Kernel, Series
 from tidemill.plans.oracles import SHIFT, rounded
-from tidemill.streaming.rollers import KINDS, Ring, apply_batch
+from tidemill.streaming.rollers import KINDS, Ring, Roller, apply_batch
 
 KEYS = ["event_type"]
 W = "PARTITION BY event_type ORDER BY event_id"
@@ -438,6 +438,36 @@ FROM t0 WINDOW f AS (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW
   {', '.join(f'r{n}{b} AS (ORDER BY event_id ROWS BETWEEN {n - 1 + b} PRECEDING AND {b or 0} PRECEDING)' for n, b in ((9, 0), (26, 0), (9, 26), (26, 26), (52, 26)))}"""
 
 
+class Swing(Roller):
+    """A roller as a user would write one: the greatest of the last n values less the least."""
+
+    forgets = True
+
+    def reset(self) -> None:
+        self.last: list[float] = []
+
+    def push(self, v: float) -> float:
+        self.last = [*self.last, v][-self.n :]
+        return max(self.last) - min(self.last) if len(self.last) == self.n else NAN
+
+    def state(self) -> list[float]:
+        return list(self.last)
+
+    def restore(self, state: list[float]) -> None:
+        self.last = list(state)
+
+
+def user_rollers(spark, sf_dir):
+    """A roller that isn't among those with names, by type and over one series of all rows."""
+    df = apply_batch(ticks(spark, sf_dir).select(*KEYS, "event_id", "x"), KEYS, "event_id", "x", lambda: Swing(12), out="own")
+    return _shown(apply_batch(df, [], "event_id", "x", lambda: Swing(7), out="whole").drop("x"))
+
+
+USER_ROLLERS_SQL = f"""WITH {TICKS}, t AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS j FROM ticks)
+SELECT event_type, event_id, {rounded(f'CASE WHEN i >= 11 THEN max(x) OVER ({W} ROWS 11 PRECEDING) - min(x) OVER ({W} ROWS 11 PRECEDING) END')} AS own,
+  {rounded('CASE WHEN j >= 6 THEN max(x) OVER (ORDER BY event_id ROWS 6 PRECEDING) - min(x) OVER (ORDER BY event_id ROWS 6 PRECEDING) END')} AS whole FROM t"""
+
+
 def machines_whole(spark, sf_dir):
     """State machines on one series of all rows, each block run on a guess until it fits the one before."""
     bar = ("high", "low", "x")
@@ -703,7 +733,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
     "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "vec_cumulative_whole": (cumulative_whole, CUMULATIVE_WHOLE_SQL), "vec_since_whole": (since_whole, SINCE_WHOLE_SQL), "vec_rolling_whole": (rolling_whole, ROLLING_WHOLE_SQL),
-    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "vec_machines_whole": (machines_whole, MACHINES_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "series_user_rollers": (user_rollers, USER_ROLLERS_SQL), "vec_machines_whole": (machines_whole, MACHINES_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 

@@ -1,19 +1,25 @@
 """Stateful rollers: bounded series by `apply`, streams by transformWithState.
 
-A roller takes one value and gives one; its state has a fixed size and is a list of doubles, so that the same step runs in
-memory, in batch kernels and in Spark's state store. Streams have no order of rows across micro-batches: rows are taken in
-order of the order column within each micro-batch, so sources must deliver a key's rows in order."""
+A roller takes one value and gives one; its state is a list of doubles, so that the same step runs in memory, in batch kernels
+and in Spark's state store. Those at hand have names (`KINDS`); any other is a subclass of `Roller`, given as something that makes one.
+
+A stream has no order of rows across micro-batches. By default rows are taken in order of the order column within each
+micro-batch, so sources must deliver a key's rows in order. With a `delay` rows wait in the state store until the watermark has
+passed them, and are taken in order then; those that come later than that are left out, as by all of Spark's operators with a
+watermark. Either way a stream that is stopped goes on from its checkpoint."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType, TimestampType
 
 from tidemill.operators.series import Kernel, Series
 
@@ -68,6 +74,12 @@ def _added(total: tuple[float, float], v: float) -> tuple[float, float]:
 
 
 class Roller:
+    """What a subclass gives: reset() to the beginning, push(v) for the next value, and its state as numbers, to stop with and to
+    go on from. Two rollers of equal states must give equal results from there on."""
+
+    #: Whether the state after many values hardly depends on how it began. If so, batches may cut long series into blocks.
+    forgets = False
+
     def __init__(self, window: int):
         if window < 1:
             raise ValueError("window must be at least 1")
@@ -98,6 +110,8 @@ class Sum(Roller):
     go on one, whose compensated sum grows; old ones leave the other, which has the sum of what is left with each value and
     is filled from the first when empty. So a value costs a few additions, and none is ever taken out of a sum."""
 
+    forgets = True
+
     def reset(self) -> None:
         self.new: list[float] = []
         self.sum: tuple[float, float] = (0.0, 0.0)
@@ -139,6 +153,8 @@ class SMA(Sum):
 
 
 class _Recursive(Roller):
+    forgets = True
+
     def alpha(self) -> float:
         raise NotImplementedError
 
@@ -184,49 +200,138 @@ def apply(values: Iterable[float], roller: Roller) -> list[float]:
     return [roller.push(v) for v in values]
 
 
-def apply_batch(df: DataFrame, keys: list[str], ord: str, x: str, kind: str, n: int) -> DataFrame:
-    """df with column `kind`: the roller over each key's rows in order."""
+Maker = Callable[[], Roller]
+
+
+def _maker(kind: str | Maker, n: int | None, out: str | None) -> tuple[Maker, str]:
+    """What makes the roller, and the name of its column."""
+    if isinstance(kind, str):
+        made = KINDS[kind]
+        make, out = (lambda: made(n)), out or kind
+    else:
+        make = kind
+    if not isinstance(roller := make(), Roller):
+        raise TypeError(f"{roller!r} is no Roller")
+    return make, out or type(roller).__name__.lower()
+
+
+class _Pushed:
+    """A roller as a kernel."""
+
+    def __init__(self, roller: Roller):
+        self.roller = roller
+
+    def run(self, x: np.ndarray) -> tuple[np.ndarray]:
+        return (np.array([self.roller.push(v) for v in x.tolist()], np.float64),)
+
+    def state(self) -> list[float]:
+        return self.roller.state()
+
+    def restore(self, state: list[float]) -> None:
+        self.roller.restore(state)
 
-    def op(s: Series):
-        def make():
-            roller = KINDS[kind](n)
-            return lambda v: (roller.push(v),)
 
-        return (yield Kernel(make, [x]))
+def apply_batch(df: DataFrame, keys: list[str], ord: str, x: str, kind: str | Maker, n: int | None = None, out: str | None = None, pieces: int | None = None) -> DataFrame:
+    """df with column `out` (the kind's name): the roller over each key's rows in order. `pieces` is that of `Series`; only
+    rollers that forget are run in blocks."""
+    make, out = _maker(kind, n, out)
+
+    def op(s: Series):
+        return (yield Kernel(lambda: _Pushed(make()), [x], machine=make().forgets))
 
-    KINDS[kind](n)
-    return Series(df, keys, ord).compute(**{kind: op})
+    return Series(df, keys, ord, pieces).compute(**{out: op})
 
 
 class RollerProcessor(StatefulProcessor):
     """A roller for each key; its state is one array of doubles. It emits every row with the roller's value."""
 
-    def __init__(self, kind: str, n: int, ord: str, x: str, columns: list[str], in_order: bool = False):
-        self.kind, self.n, self.ord, self.x, self.columns, self.in_order = kind, n, ord, x, columns, in_order
+    def __init__(self, make: Maker, out: str, ord: str, x: str, columns: list[str], in_order: bool = False):
+        self.make, self.out, self.ord, self.x, self.columns, self.in_order = make, out, ord, x, columns, in_order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("values", ArrayType(DoubleType(), False), True)])
         self.kept = handle.getValueState("roller", schema)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        roller = KINDS[self.kind](self.n)
+    def rolled(self, each: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roller = self.make()
         if self.kept.exists():
             # A NaN is stored as the NULL that pandas makes of it.
             roller.restore([NAN if v is None else float(v) for v in self.kept.get()[0]])
-        for got in rows if self.in_order else [pd.concat(list(rows)).sort_values(self.ord, kind="stable")]:
+        for got in each:
             made = [roller.push(NAN if v is None else float(v)) for v in got[self.x]]
-            yield got[self.columns].assign(**{self.kind: made})
+            yield got[self.columns].assign(**{self.out: np.array(made, np.float64)})
         self.kept.update((roller.state(),))
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        yield from self.rolled(rows if self.in_order else [pd.concat(list(rows)).sort_values(self.ord, kind="stable")])
+
     def close(self) -> None:
         pass
 
 
-def apply_stream(df: DataFrame, keys: list[str], ord: str, x: str, kind: str, n: int, in_order: bool = False) -> DataFrame:
-    """A streaming df with column `kind`; needs the RocksDB state store. NaN shows as NULL in the result. A key's rows of a
-    micro-batch are sorted in memory; with `in_order`, which says that they come so, they are taken as they stream in."""
-    KINDS[kind](n)
-    schema = StructType([*df.schema.fields, StructField(kind, DoubleType())])
+class WaitingRollerProcessor(RollerProcessor):
+    """Rows wait, as Arrow batches in a list, until the watermark has passed them. A timer stands at the first one that waits."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", StructType([StructField("rows", BinaryType(), True)]))
+
+    def _keep(self, rows: pd.DataFrame) -> bytes:
+        table = pa.Table.from_pandas(rows, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def _wake(self, rows: pd.DataFrame) -> None:
+        micros = _micros(rows[self.ord]).min()
+        self.handle.registerTimer(int(-(-micros // 1000)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for got in rows:
+            got = got[got[self.ord].notna()]
+            if len(got):
+                self.waiting.appendValue((self._keep(got[self.columns]),))
+                self._wake(got)
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held = [pa.ipc.open_stream(bytes(v[0])).read_pandas() for v in self.waiting.get()] if self.waiting.exists() else []
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values(self.ord, kind="stable")
+        passed = _micros(rows[self.ord]) <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not passed.any():
+            self._wake(rows)
+            return
+        rest = rows[~passed]
+        if len(rest):
+            self.waiting.put([(self._keep(rest),)])
+            self._wake(rest)
+        else:
+            self.waiting.clear()
+        yield from self.rolled([rows[passed]])
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def apply_stream(
+    df: DataFrame, keys: list[str], ord: str, x: str, kind: str | Maker, n: int | None = None, in_order: bool = False, out: str | None = None, delay: str | None = None
+) -> DataFrame:
+    """A streaming df with column `out` (the kind's name); needs the RocksDB state store. NaN shows as NULL in the result. A
+    key's rows of a micro-batch are sorted in memory; with `in_order`, which says that they come so, they are taken as they stream
+    in. With `delay`, a watermark on the order column, which must be a timestamp, rows wait for their turn: each key's rows come out in
+    order, whatever order they came in, once the watermark has passed them; rows without a timestamp are left out."""
+    make, out = _maker(kind, n, out)
+    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
+    processor = RollerProcessor
+    if delay is not None:
+        if not isinstance(df.schema[ord].dataType, TimestampType):
+            raise ValueError(f"{ord} must be a timestamp to wait by")
+        df, processor = df.withWatermark(ord, delay), WaitingRollerProcessor
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RollerProcessor(kind, n, ord, x, df.columns, in_order), outputStructType=schema, outputMode="append", timeMode="none"
+        statefulProcessor=processor(make, out, ord, x, df.columns, in_order), outputStructType=schema, outputMode="append", timeMode="none" if delay is None else "eventTime"
     )
