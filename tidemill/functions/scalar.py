@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import fma as _fma
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemill.functions import ieee
+from tidemill.functions import fused, ieee
 from tidemill.functions.ieee import INF, NAN, col
 
 greater, greater_equal, less, less_equal, equal, not_equal = ieee.gt, ieee.ge, ieee.lt, ieee.le, ieee.eq, ieee.ne
@@ -153,20 +153,13 @@ def mul_add(x, y, z) -> Column:
     return col(x) * col(y) + col(z)
 
 
-def _exact(a: float, b: float, c: float) -> float:
-    try:
-        return _fma(a, b, c)
-    except (OverflowError, ValueError):  # infinities and 0 * inf, where rounding plays no part
-        return a * b + c
-
-
 def fma(x, y, z) -> Column:
     """x * y + z with one rounding; Catalyst has no such expression, so values go through Arrow in batches."""
 
     @F.pandas_udf("double")
     def exact(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b, c in parts:
-            yield pd.Series([_exact(*v) for v in zip(a, b, c, strict=True)], dtype="float64")
+        for part in parts:
+            yield pd.Series(fused.fma(*[v.to_numpy(np.float64) for v in part]))
 
     return ieee.or_nan(exact(col(x), col(y), col(z)))
 
