@@ -3,7 +3,8 @@
 Long form (matrix_id, i, j, v), 0-based, one row an element: elementwise operations are joins on position, products a join on
 the shared index and a sum, so matrices of any size are spread over the cluster. Row form (matrix_id, a: array<array<double>>):
 many small matrices, each factored whole in an Arrow kernel; faults of the data are in a `status` column ("ok", "singular",
-"not positive definite"), faults of shape raise."""
+"not positive definite"), faults of shape raise. Tile form (matrix_id, bi, bj, block): squares of `size` times `size` cells as
+doubles row by row, cells outside the matrix or without a row being 0: products of large matrices move tiles instead of cells."""
 
 from __future__ import annotations
 
@@ -16,8 +17,13 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import ieee
 from tidemill.functions.ieee import col
+from tidemill.operators.series import key_runs
 
 LONG = ["matrix_id", "i", "j", "v"]
+#: Rows and columns of a tile: 128 KB.
+SIZE = 128
+#: Tiles that a task adds up before it hands them on.
+HELD = 256
 
 # Making
 
@@ -118,6 +124,85 @@ def mul(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["matrix_id", "k"]).groupBy("matrix_id", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+_TILE = ["matrix_id", "bi", "bj"]
+_TILES = "matrix_id long, bi long, bj long, block binary"
+
+
+def _tiles(sums: dict[tuple[int, int, int], np.ndarray]) -> pa.RecordBatch:
+    keys = [pa.array([k[c] for k in sums], pa.int64()) for c in range(3)]
+    return pa.RecordBatch.from_arrays([*keys, pa.array([v.tobytes() for v in sums.values()], pa.binary())], [*_TILE, "block"])
+
+
+def to_tiles(m: DataFrame, size: int = SIZE) -> DataFrame:
+    """Tile form of a long form; repeated cells are added."""
+    cells = m.select(F.col("matrix_id").cast("long").alias("matrix_id"), *[F.floor(F.col(p) / size).cast("long").alias(f"b{p}") for p in "ij"], (F.pmod("i", F.lit(size)) * size + F.pmod("j", F.lit(size))).cast("long").alias("p"), F.col("v").cast("double").alias("v"))
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block = None, np.zeros(size * size)
+        for batch, runs in key_runs(batches, _TILE):
+            p, v = batch.column("p").to_numpy(), batch.column("v").to_numpy(zero_copy_only=False)
+            for fresh, first, end in runs:
+                if fresh:
+                    if key is not None:
+                        yield _tiles({key: block})
+                    key, block = tuple(batch.column(c)[first].as_py() for c in _TILE), np.zeros(size * size)
+                np.add.at(block, p[first:end], v[first:end])
+        if key is not None:
+            yield _tiles({key: block})
+
+    return cells.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(gather, _TILES)
+
+
+def from_tiles(tiles: DataFrame, rows: int | None = None, cols: int | None = None, size: int = SIZE) -> DataFrame:
+    """Long form of the cells of tiles, up to the given numbers of rows and columns."""
+
+    def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m, bi, bj, block in zip(*[batch.column(c).to_pylist() for c in (*_TILE, "block")], strict=True):
+                i, j = (x.ravel() for x in np.indices((size, size)))
+                i, j = i + bi * size, j + bj * size
+                kept = (i < (rows if rows is not None else i + 1)) & (j < (cols if cols is not None else j + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), m)), pa.array(i[kept]), pa.array(j[kept]), pa.array(np.frombuffer(block)[kept])], LONG)
+
+    return tiles.mapInArrow(cells, "matrix_id long, i long, j long, v double")
+
+
+def mul_tiles(a: DataFrame, b: DataFrame, size: int = SIZE) -> DataFrame:
+    """The product of matrices in tile form. Tiles meet by the shared index; a task adds up its products tile by tile before it
+    hands them on, so that a long shared index, such as the rows of a table, gives few tiles for each task."""
+    left = a.select("matrix_id", "bi", F.col("bj").alias("k"), F.col("block").alias("x"))
+    right = b.select("matrix_id", F.col("bi").alias("k"), "bj", F.col("block").alias("y"))
+
+    def products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            for *key, x, y in zip(*[batch.column(c) for c in (*_TILE, "x", "y")], strict=True):
+                at = tuple(k.as_py() for k in key)
+                made = np.frombuffer(x.as_buffer()).reshape(size, size) @ np.frombuffer(y.as_buffer()).reshape(size, size)
+                sums[at] = sums[at] + made if at in sums else made
+                if len(sums) > HELD:
+                    yield _tiles(sums)
+                    sums = {}
+        if sums:
+            yield _tiles(sums)
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for batch, runs in key_runs(batches, _TILE):
+            for fresh, first, end in runs:
+                if fresh:
+                    if key is not None:
+                        yield _tiles({key: total})
+                    key, total = tuple(batch.column(c)[first].as_py() for c in _TILE), np.zeros((size, size))
+                for k in range(first, end):
+                    total = total + np.frombuffer(batch.column("block")[k].as_buffer()).reshape(size, size)
+        if key is not None:
+            yield _tiles({key: total})
+
+    partial = left.join(right, ["matrix_id", "k"]).select(*_TILE, "x", "y").mapInArrow(products, _TILES)
+    return partial.repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(added, _TILES)
+
+
 def mul_vec(a: DataFrame, x: DataFrame) -> DataFrame:
     """x: (matrix_id, j, x). Gives (matrix_id, i, v)."""
     return a.join(x, ["matrix_id", "j"]).groupBy("matrix_id", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))

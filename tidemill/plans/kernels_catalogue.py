@@ -615,6 +615,21 @@ def mat_mul(spark, sf_dir):
 MAT_MUL_SQL = _mat_sql(f"SELECT a.matrix_id, a.i, b.j, {rounded('sum(a.v * b.v * (b.j + 1))')} AS v FROM m a JOIN m b ON a.matrix_id = b.matrix_id AND a.j = b.i GROUP BY a.matrix_id, a.i, b.j")
 
 
+def mat_mul_tiles(spark, sf_dir):
+    """All embeddings E by their own Gram matrix, E (E' E), in tiles: the shared index of the first product is the table's rows."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    long = e.select(F.lit(0).cast("long").alias("matrix_id"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    rows, columns = mat.to_tiles(long), mat.to_tiles(mat.transpose(long))
+    found = mat.from_tiles(mat.mul_tiles(rows, mat.mul_tiles(columns, rows)), cols=64)
+    vectors = e.select(F.col("vec_id").alias("i"))
+    return _shown(found.join(vectors, "i", "left_semi").select("i", "j", "v"))
+
+
+MAT_MUL_TILES_SQL = f"""WITH e AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+  g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM e a JOIN e b ON a.i = b.i GROUP BY a.j, b.j)
+SELECT e.i, g.j, {rounded('sum(e.v * g.v)')} AS v FROM e JOIN g ON e.j = g.i GROUP BY e.i, g.j"""
+
+
 def mat_mul_vec(spark, sf_dir):
     m = _matrices(spark, sf_dir)
     x = mat.row(m, 0).withColumnRenamed("v", "x")
@@ -733,7 +748,7 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vec_masks": (masks, MASKS_SQL), "vec_masked_reductions": (masked, MASKED_SQL), "vec_compress": (compress, COMPRESS_SQL), "vec_arithmetic": (arithmetic, ARITHMETIC_SQL), "vec_mathematics": (mathematics, MATHEMATICS_SQL),
     "vec_cumulative": (cumulative, CUMULATIVE_SQL), "vec_lags_signals": (lags, LAGS_SQL), "vec_since": (since, SINCE_SQL), "vec_sorts_ranks": (sorts, SORTS_SQL), "vec_rolling": (rolling, ROLLING_SQL), "vec_rolling_order": (rolling_order, ROLLING_ORDER_SQL),
     "vec_smoothers": (smoothers, SMOOTHERS_SQL), "series_rollers": (rollers, ROLLERS_SQL), "series_rings": (rings, RINGS_SQL), "series_short_rollers": (short_rollers, SHORT_ROLLERS_SQL), "vec_rolling_long": (rolling_long, ROLLING_LONG_SQL), "vec_smoothers_whole": (smoothers_whole, SMOOTHERS_WHOLE_SQL), "vec_cumulative_whole": (cumulative_whole, CUMULATIVE_WHOLE_SQL), "vec_since_whole": (since_whole, SINCE_WHOLE_SQL), "vec_rolling_whole": (rolling_whole, ROLLING_WHOLE_SQL),
-    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "series_user_rollers": (user_rollers, USER_ROLLERS_SQL), "vec_machines_whole": (machines_whole, MACHINES_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL),
+    "vec_sorts_whole": (sorts_whole, SORTS_WHOLE_SQL), "vec_indicators_whole": (indicators_whole, INDICATORS_WHOLE_SQL), "series_user_rollers": (user_rollers, USER_ROLLERS_SQL), "vec_machines_whole": (machines_whole, MACHINES_WHOLE_SQL), "vec_quantiles_whole": (quantiles_whole, QUANTILES_WHOLE_SQL), "mat_construct": (mat_construct, MAT_CONSTRUCT_SQL), "mat_elementwise": (mat_elementwise, MAT_ELEMENTWISE_SQL), "mat_mul": (mat_mul, MAT_MUL_SQL), "mat_mul_tiles": (mat_mul_tiles, MAT_MUL_TILES_SQL),
     "mat_mul_vec": (mat_mul_vec, MAT_MUL_VEC_SQL), "mat_reductions": (mat_reductions, MAT_REDUCTIONS_SQL), "mat_linalg": (mat_linalg, MAT_LINALG_SQL), "mat_least_squares_tall": (mat_least_squares_tall, MAT_LEAST_SQUARES_TALL_SQL),
 }
 
