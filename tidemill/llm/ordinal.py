@@ -5,20 +5,23 @@ their first bytes, runs of marks, and a few buckets of a text's shape. A feature
 log(1 + count per hundred words), each with a weight. A feature enters the model if it
 is in at least `least_docs` sampled texts and its share of texts differs between low and high grades by `least_z` standard
 errors, which leaves a short list of weights. Fitting uses at most `sample` labelled rows (the lowest hashes of doc_id, so
-the same rows each time), of each group of near copies one; scoring covers all rows, whole texts, without a shuffle."""
+the same rows each time), of each group of near copies one. Spark counts their features; the driver gets the counts of
+features in `least_docs` texts or more and, of each row, the features that enter the model. Scoring covers all rows, whole
+texts, without a shuffle."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._shared import pick, sliced
+from tidemill.llm._shared import materialize, pick, scratch, sliced
 from tidemill.llm._text import NOT_BLANK, WORDLIKE, column_bytes, mix, shingles, words
 
 BITS = 20
@@ -137,9 +140,10 @@ def fit_cumulative_link(x: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarr
     return weights, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
 
 
-def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, shape: bool) -> list[dict]:
-    """Sampled labelled texts as features, one dict for each doc_id, so at most `sample` of them: of several rows of a doc_id
-    the one whose text has the smallest hash."""
+def sample_rows(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, shape: bool) -> DataFrame:
+    """Sampled labelled texts as features, at most `sample` of them: doc_id, features and counts (arrays), n_words, copy and the
+    labels. One row for each doc_id, of several that whose text has the smallest hash; then of those with equal `copy` the
+    smallest doc_id. Texts without words and rows with a null label are left out."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("label_id"))
@@ -167,47 +171,77 @@ def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int,
     schema = "doc_id long, mark long, features array<int>, counts array<int>, n_words long, copy long" + "".join(f", {c} int" for c in names)
     each = joined.mapInArrow(run, schema)
     one = each.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in each.columns if c not in ("doc_id", "mark")]), "mark").alias("r")).select("doc_id", "r.*")
-    found = one.toArrow().combine_chunks().sort_by("doc_id")
+    usable = one.where(" and ".join(["n_words > 0", *[f"{c} is not null" for c in names]]))
+    return usable.groupBy("copy").agg(F.min_by(F.struct(*[c for c in one.columns if c != "copy"]), "doc_id").alias("r")).select("r.*", "copy")
+
+
+@contextmanager
+def fit_sample(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, shape: bool) -> Iterator[DataFrame]:
+    """sample_rows, written to the shared folder for the time of a fit."""
+    with scratch(docs.sparkSession):
+        yield materialize(sample_rows(docs, labels, columns, sample, shape), "ordinal-sample")
+
+
+def collected(rows: DataFrame) -> list[dict]:
+    """sample_rows as dicts in order of doc_id."""
+    found = rows.toArrow().combine_chunks().sort_by("doc_id")
     # Features stay in two flat arrays; a row's are views of them.
     flat = {c: found[c].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("features", "counts")}
     bounds = flat["features"].offsets.to_numpy()
     ids, counts = (flat[c].values.to_numpy() for c in ("features", "counts"))
-    seen: set[int] = set()
-    kept = []
-    for i, r in enumerate(found.drop(["features", "counts"]).to_pylist()):
-        if r["n_words"] and r["copy"] not in seen and all(r[c] is not None for c in names):
-            seen.add(r["copy"])
-            own = slice(int(bounds[i]), int(bounds[i + 1]))
-            r["features"], r["counts"] = ids[own], counts[own]
-            kept.append(r)
+    kept = found.drop(["features", "counts"]).to_pylist()
+    for r, first, end in zip(kept, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        r["features"], r["counts"] = ids[first:end], counts[first:end]
     return kept
 
 
-def discriminating(rows: list[dict], high: np.ndarray, least_docs: int, least_z: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features whose share of texts differs between low and high rows, and the sign of the difference."""
-    n1, n0 = int(high.sum()), int((~high).sum())
-    if not n1 or not n0:
+def sampled(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int, shape: bool) -> list[dict]:
+    """sample_rows with all their features, on the driver."""
+    return collected(sample_rows(docs, labels, columns, sample, shape))
+
+
+def discriminating(rows: DataFrame, high: Column, least_docs: int = 10, least_z: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Features of sample_rows whose share of texts differs between low and high rows, in order, and the sign of the
+    difference. Features of fewer than `least_docs` texts never reach the driver."""
+    each = rows.select(high.alias("high"), F.explode(F.concat(F.array(F.lit(-1)), "features")).alias("feature"))  # -1: all rows
+    counts = each.groupBy("feature").agg(F.count("*").alias("both"), F.count_if("high").alias("high"))
+    found = counts.where((F.col("both") >= least_docs) | (F.col("feature") < 0)).toArrow().sort_by("feature")
+    ids, both, n_high = (found[c].to_numpy() for c in ("feature", "both", "high"))
+    if not len(ids) or not 0 < n_high[0] < both[0]:
         return np.zeros(0, np.int64), np.zeros(0)
-    counts = [np.bincount(np.concatenate([r["features"] for r, h in zip(rows, high, strict=True) if h == want]), minlength=1 << BITS) for want in (True, False)]
-    both = counts[0] + counts[1]
+    n1, n0 = int(n_high[0]), int(both[0] - n_high[0])
+    ids, both, n_high = ids[1:].astype(np.int64), both[1:], n_high[1:]
     share = both / (n1 + n0)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z = (counts[0] / n1 - counts[1] / n0) / error
-    ids = np.flatnonzero((both >= least_docs) & (np.abs(z) >= least_z))
-    return ids, np.sign(z[ids])
+    z = (n_high / n1 - (both - n_high) / n0) / error
+    chosen = np.abs(z) >= least_z
+    return ids[chosen], np.sign(z[chosen])
+
+
+def with_features(rows: DataFrame, ids: np.ndarray) -> list[dict]:
+    """sample_rows on the driver, with those of their features that are among ids (in order)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [pick(batch, c) for c in ("features", "counts")]
+            feature, count = (x.flatten().to_numpy() for x in lists)
+            known = np.isin(feature, ids)
+            ends = np.append(0, np.cumsum(known))[np.append(0, np.cumsum(pc.list_value_length(lists[0]).to_numpy()))]
+            kept = [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(v[known])) for v in (feature, count)]
+            yield batch.set_column(batch.schema.get_field_index("features"), "features", kept[0]).set_column(batch.schema.get_field_index("counts"), "counts", kept[1])
+
+    return collected(rows.mapInArrow(run, rows.schema))
 
 
-def fit(rows: list[dict], grade: Callable[[dict], int], levels: int, shape: bool, least_docs: int = 10, least_z: float = 6.0, high: Callable[[int], bool] = lambda g: g > 0) -> Model:
-    """A model of grade(row); without rows of both kinds, one without weights that gives grade 0 to all."""
+def fit(rows: list[dict], ids: np.ndarray, grade: Callable[[dict], int], levels: int, shape: bool) -> Model:
+    """A model of grade(row) on the features ids; without rows of both kinds, one without weights that gives grade 0 to all."""
     grades = np.array([grade(r) for r in rows], np.int64)
     if not len(rows) or len(np.unique(grades)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1) + 10.0, shape)
-    ids, _ = discriminating(rows, np.array([high(int(g)) for g in grades]), least_docs, least_z)
     x = []
     for r in rows:
-        at = np.minimum(np.searchsorted(ids, r["features"]), max(len(ids) - 1, 0))
-        known = (ids[at] == r["features"]) if len(ids) else np.zeros(len(at), bool)
-        x.append((np.concatenate([at[known], at[known] + len(ids)]), np.concatenate(values(r["counts"][known], np.float64(r["n_words"])))))
+        at = np.searchsorted(ids, r["features"])
+        x.append((np.concatenate([at, at + len(ids)]), np.concatenate(values(r["counts"], np.float64(r["n_words"])))))
     weights, thresholds = fit_cumulative_link(x, grades, 2 * len(ids), levels)
     return Model(ids, weights, thresholds, shape)
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.ordinal import Model, fit, sampled, score
+from tidemill.llm.ordinal import Model, discriminating, fit, fit_sample, score, with_features
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
-    rows = sampled(docs, labels, ["quality", "toxic"], sample, shape=True)
-    return fit(rows, lambda r: 0 if not r["label_quality"] else 1 if r["label_toxic"] else 2, 3, shape=True)
+    with fit_sample(docs, labels, ["quality", "toxic"], sample, shape=True) as table:
+        ids, _ = discriminating(table, F.col("label_quality") != 0)
+        rows = with_features(table, ids)
+    return fit(rows, ids, lambda r: 0 if not r["label_quality"] else 1 if r["label_toxic"] else 2, 3, shape=True)
 
 
 def grade_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, limit: float = 0.5) -> DataFrame:

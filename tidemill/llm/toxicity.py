@@ -11,18 +11,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.ordinal import Model, discriminating, fit, keep_rows, sampled, score
+from tidemill.llm.ordinal import Model, discriminating, fit, fit_sample, keep_rows, score, with_features
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model:
-    rows = sampled(docs, labels, ["toxic"], sample, shape=False)
-    toxic = np.array([r["label_toxic"] > 0 for r in rows], bool)
-    ids, signs = discriminating(rows, toxic, 10, 6.0) if len(rows) else (np.zeros(0, np.int64), np.zeros(0))
+    with fit_sample(docs, labels, ["toxic"], sample, shape=False) as table:
+        ids, signs = discriminating(table, F.col("label_toxic") > 0)
+        rows = with_features(table, ids)
     marks = set(ids[signs > 0].tolist())
     for r in rows:
         r["density"] = sum(c for f, c in zip(r["features"].tolist(), r["counts"].tolist(), strict=True) if f in marks) / r["n_words"]
-    middle = float(np.median([r["density"] for r in rows if r["label_toxic"] > 0])) if toxic.any() else 0.0
-    return fit(rows, lambda r: 0 if not r["label_toxic"] else 1 + (r["density"] >= middle and r["density"] > 0), 3, shape=False)
+    densities = [r["density"] for r in rows if r["label_toxic"] > 0]
+    middle = float(np.median(densities)) if densities else 0.0
+    return fit(rows, ids, lambda r: 0 if r["label_toxic"] <= 0 else 1 + (r["density"] >= middle and r["density"] > 0), 3, shape=False)
 
 
 def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, limit: float = 0.5) -> DataFrame:
